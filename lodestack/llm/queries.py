@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licences, shards, simhash, token_counts, url_filter
+from . import decontaminate, fingerprints, licences, pieces, quality, shards, simhash, token_counts, toxicity, url_filter
 
 #: Fixed values of the URL rules: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.resample(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -63,6 +74,20 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECES)
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return both.select(
+        "doc_id",
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.xxhash64("token_ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -126,10 +151,13 @@ def queries() -> dict:
     return {
         "op1_licences": op1_licences,
         "op2_fingerprints": op2_fingerprints,
+        "op3_toxicity": op3_toxicity,
+        "op4_quality": op4_quality,
         "op5_shards": op5_shards,
         "op6_decontamination": op6_decontamination,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_url_rules": op8_url_rules,
+        "op9_pieces": op9_pieces,
         "op10_token_counts": op10_token_counts,
     }
 
