@@ -243,8 +243,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component, that of the smallest id. Of rows that share this id, the one of the smallest text hash stays;
     rows without an id cannot be told apart and all stay."""
-    found = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select("component_id").distinct()
-    rank = spare_name(df, "copy_number")
-    named = df.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col("component_id"), "left_semi")
+    found = near_duplicates(df, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    kept_id, rank = spare_name(df, "kept_id"), spare_name(df, "copy_number")
+    found = found.select(F.col("component_id").alias(kept_id)).distinct()
+    named = df.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(kept_id), "left_semi")
     named = named.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where(F.col(rank) == 1).drop(rank)
     return named.union(df.where(F.col(id_col).isNull()))
