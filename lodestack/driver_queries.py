@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions.canonical import json_string
-from .operators import calls, ignore, ledger, lexical, migrations, models, snapshot, structure
+from .operators import calls, contracts, ignore, ledger, lexical, migrations, models, snapshot, structure
 from .schemas import LexicalPolicy
 
 QUERIES: dict = {}
@@ -541,6 +541,34 @@ def q63(spark, sf_dir):
     return migrations.reconcile(migrations.discover(applied), migrations.discover(found))
 
 
+@query(
+    "q64_reference_audit",
+    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 17 <> 0)",
+)
+def q64(spark, sf_dir):
+    """Lines against orders of which every seventeenth has been lost."""
+    orders = read(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0")
+    return contracts.missing_references(read(spark, sf_dir, "lineitem"), orders, {"l_orderkey": "o_orderkey"}).select("l_orderkey", "l_linenumber")
+
+
+@query("q65_unproven_passes", "SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id % 4 = 0")
+def q65(spark, sf_dir):
+    """Purchases as passed results; every fourth has no evidence."""
+    status = F.when(F.col("event_type") == "purchase", "passed").otherwise("failed")
+    evidence = F.when(F.col("event_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("props"))
+    return contracts.unproven_passes(read(spark, sf_dir, "events").select("event_id", status.alias("status"), evidence.alias("evidence"))).select("event_id")
+
+
+@query(
+    "q66_request_contracts",
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'prompt' WHEN conv_id % 5 = 0 THEN 'max_output_tokens' WHEN conv_id % 7 = 0 THEN 'temperature' END AS reason FROM conversations WHERE turn % 3 = 0 OR conv_id % 5 = 0 OR conv_id % 7 = 0""",
+)
+def q66(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    r = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, " \u00a0\n").otherwise("x").alias("prompt"), F.when(F.col("conv_id") % 5 == 0, 0).otherwise(9).alias("max_output_tokens"), F.when(F.col("conv_id") % 7 == 0, 2.5).otherwise(0.5).alias("temperature"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    return contracts.invalid_requests(r).select("conv_id", "turn", "reason")
+
+
 @query("q70_json_escapes", "SELECT conv_id, turn, length(text)::INT AS chars FROM conversations WHERE regexp_matches(text, '^[ -~]*$')")
 def q70(spark, sf_dir):
     """Canonical JSON strings that read back as the text they came from."""
