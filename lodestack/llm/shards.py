@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_of, spare_name, write_table
+from .common import spare_name, write_table
 
 #: Largest number that numpy's exact hypergeometric generator takes.
 EXACT = 10**9
@@ -54,7 +54,7 @@ def deal(df: DataFrame, shards: int = 8, seed: int = 0, key_cols: list[str] | No
     df = df.drop("shard", "slot")
     keys = key_cols or df.columns
     part, order, again, rank, share = (spare_name(df, n) for n in ("part", "order", "again", "rank", "share"))
-    parts = 4 * parts_of(spark)
+    parts = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     mixed = (
         df.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(parts)).cast("int"))
         .withColumn(order, F.xxhash64(F.lit(seed + 1), *keys))
