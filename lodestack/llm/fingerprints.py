@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_of, quantile_bounds, range_number
+from .common import parts_of, quantile_bounds, range_number, write_table
 
 SAMPLES = 32
 #: Quantiles that stand for the gamma law: 13 bits of a hash choose one.
@@ -125,29 +125,28 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. Whole texts are shuffled once, by their id.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Rows without an id are spread by their texts.
-    docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    docs = docs.withColumn("lone", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
-    order = next_ids(docs.select("id", F.length("text").alias("size")), "id", "size").withColumn("lone", F.lit(0).cast("long"))
-    placed = docs.join(order, ["id", "lone"], "left")
-    heads = placed.where(F.col("previous_id").isNotNull()).select(F.col("previous_id").alias("id"), F.expr("substring(text, 1, CAST(previous_size div 4 AS int))").alias("head"))
-    heads = heads.groupBy("id").agg(F.min("head").alias("head")).withColumn("lone", F.lit(0).cast("long"))
-    both = placed.select("id", "lone", "text", "next_id").join(heads, ["id", "lone"], "left").withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.when(F.col("head").isNull(), F.col("text")).otherwise(F.expr("concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS int)), substring(head, 1, CAST(n_chars div 4 AS int)))"))
-    both = both.withColumn("edited", edited).withColumn("row", F.monotonically_increasing_id())
+    every = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    docs = every.where(F.col("id").isNotNull())
+    order = write_table(next_ids(docs.select("id", F.length("text").alias("size")), "id", "size"))
+    # Both uses of `placed` shuffle the same columns of the same rows by id, so Spark does it once.
+    placed = docs.join(order, "id")
+    heads = placed.select(F.col("previous_id").alias("id"), F.expr("substring(text, 1, CAST(previous_size div 4 AS int))").alias("head")).groupBy("id").agg(F.min("head").alias("head"))
+    both = placed.select("id", "text", "next_id").join(heads, "id").withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.expr("concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS int)), substring(head, 1, CAST(n_chars div 4 AS int)))")
+    both = both.select("id", "text", "next_id", "n_chars", edited.alias("edited"))
+    alone = every.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("long").alias("next_id"), F.length("text").cast("long").alias("n_chars"), F.col("text").alias("edited"))
+    both = both.union(alone).withColumn("row", F.monotonically_increasing_id())
     sha = F.sha2(F.col("edited"), 256)
     quarters = [F.conv(F.substring(sha, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
     # All that goes along is put in the exploded values: an expression beside them would be evaluated for every term.
-    plain = ["id", "lone", "row", "n_chars", "next_id"]
+    plain = ["id", "row", "n_chars", "next_id"]
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(t).alias("t"), *plain, *quarters) for k, t in enumerate(("text", "edited"))]
     two = both.select(F.explode(F.array(*kinds)).alias("e")).select("e.*")
-    signed = signatures(two, ["id", "lone", "row", "kind"], "t", samples, ["n_chars", "next_id", *(f"sha{k}" for k in range(4))])
-    pair = signed.groupBy("id", "lone", "row").agg(
+    signed = signatures(two, ["id", "row", "kind"], "t", samples, ["n_chars", "next_id", *(f"sha{k}" for k in range(4))])
+    pair = signed.groupBy("id", "row").agg(
         F.max("n_chars").alias("n_chars"), F.max("next_id").alias("next_id"), *(F.max(f"sha{k}").alias(f"sha{k}") for k in range(4)), F.max(F.when(F.col("kind") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("signature"))).alias("other")
     )
-    from .common import write_table
-
-    pair = write_table(pair.drop("row", "lone"))
+    pair = write_table(pair.drop("row"))
     following = pair.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("following_id")).agg(F.min("own").alias("following"))
     out = pair.join(following, pair["next_id"] == following["following_id"], "left")
     return out.select(
