@@ -21,8 +21,10 @@ ignored. encode() is equal to the library's encoding of the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -32,9 +34,14 @@ from .common import map_batches, spare_name, write_table
 
 MARK = "▁"
 #: Characters above which a document is giant, characters of a chunk, entries of a worker's cache.
-GIANT, CHUNK, CACHED = 50_000, 16_384, 300_000
+GIANT, CHUNK, CACHED = 50_000, 16_384, 200_000
 NONE = float("-inf")
 
+#: Letters, digits, signs and blanks of Latin scripts.
+COMMON = re.compile(r"[\n\x20-\x7e\xa1-\xac\xae-ɏ]*")
+#: Units of a text with a blank put before it.
+RAW_UNITS = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -54,6 +61,12 @@ class Encoder:
             raise ValueError("a piece of this vocabulary crosses the units that texts are cut into")
         self.units = re.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.raw: dict[str, bytes] = {}
+        self.bytes_of = {i: p.encode() for p, i in self.id_of.items()} | {i: bytes([int(p[3:5], 16)]) for p, i in self.byte_ids.items()}
+        #: The model leaves common characters as they are: then a text of these needs no look at its normal form.
+        common = "".join(c for c in map(chr, range(1, 0x250)) if COMMON.fullmatch(c))
+        probe = f"  {common}  {common}\n \n{common} "
+        self.leaves_common = self.library.normalize(probe) == self.marked(probe)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -68,7 +81,7 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """Whether the model's normaliser leaves the text as it is, so that units can be encoded apart."""
-        return self.library.normalize(text) == self.marked(text)
+        return bool(self.leaves_common and COMMON.fullmatch(text)) or self.library.normalize(text) == self.marked(text)
 
     def unit_ids(self, units: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each unit. The library puts a mark before a text: a unit's own mark is left to it, or a line feed is put between."""
@@ -83,13 +96,52 @@ class Encoder:
         return self.cache
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if not self.plain(text):
-            return self.library.encode(text, num_threads=1)
-        units = self.units.findall(self.marked(text))
-        found = self.unit_ids(units)
-        return [i for u in units for i in found[u]]
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
+
+    def keys(self, text: str) -> list[str] | None:
+        """Units of a text as keys of the cache: a word stands for itself behind a blank, a line feed goes with what follows it, and
+        other units (more blanks, no blank) come after a NUL. None for a text that the normaliser may alter."""
+        if not text or not self.plain(text):
+            return None
+        if "  " not in text and text[0] != " ":
+            return text.replace("\n", " \n").split(" ")
+        return [u if u == "\n" else u[1:] if u[0] == " " != u[1:2] else "\0" + u for u in RAW_UNITS.findall(" " + text)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, as little-endian 32-bit numbers. Units that the cache lacks are encoded many at a time."""
+        cut, raw = [self.keys(t) for t in texts], self.raw
+        if len(raw) > CACHED:
+            raw.clear()
+        held = [list(map(raw.get, c)) if c else None for c in cut]  # one look at the cache for each unit
+        missed = list({u for c, h in zip(cut, held, strict=True) if h and None in h for u, x in zip(c, h, strict=True) if x is None})
+        line = self.byte_ids["<0x0A>"]
+        feed = array("i", [line]).tobytes()
+        for lo in range(0, len(missed), 256):
+            # A line feed before each unit keeps it apart; the mark that the library puts first stands before all of them.
+            part = missed[lo : lo + 256]
+            given = (u[1:] if u[:1] in ("\n", "\0") else " " + u for u in part)
+            ids = np.array(self.library.encode("\n" + "\n".join(given), num_threads=1), np.int32)
+            at = [*np.flatnonzero(ids == line).tolist(), len(ids)]
+            for u, x, y in zip(part, at[:-1], at[1:], strict=True):
+                raw[u] = (feed if u[:1] == "\n" else b"") + ids[x + 1 : y].tobytes()
+        out = []
+        for t, c, h in zip(texts, cut, held, strict=True):
+            if h is None:
+                out.append(array("i", self.library.encode(t, num_threads=1) if t else []).tobytes())
+            else:
+                out.append(b"".join([raw[u] if x is None else x for u, x in zip(c, h, strict=True)] if None in h else h))
+        return out
+
+    def decode_all(self, ids: list[list[int]]) -> list[str]:
+        """Texts of ids: the pieces' bytes joined, marks as blanks, the first blank left out; broken UTF-8 and rare ids are left to the library."""
+        out, of = [], self.bytes_of.__getitem__
+        for x in ids:
+            try:
+                text = b"".join(map(of, x)).decode().replace(MARK, " ")
+                out.append(text[1:] if text[:1] == " " else text)
+            except (UnicodeDecodeError, KeyError):
+                out.append(self.library.decode(x))
+        return out
 
     # -- the lattice of a cut unit --
 
@@ -258,8 +310,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def small(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = Encoder.get(path)
-        ids = [enc.encode(t or "") for t in batch.column(at).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "token_ids"])
+        ids = enc.encode_all([t or "" for t in batch.column(at).to_pylist()])
+        places = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "token_ids"])
 
     schema = df.limit(0).withColumn("token_ids", F.lit(None).cast("array<int>")).schema
     length = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -332,7 +386,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", to_col: str = "
     at = df.columns.index(ids_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lib = Encoder.get(path).library
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([lib.decode(i) if i else "" for i in batch.column(at).to_pylist()], pa.string())], [*batch.schema.names, to_col])
+        texts = Encoder.get(path).decode_all([i or [] for i in batch.column(at).to_pylist()])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to_col])
 
     return map_batches(df, run, df.limit(0).withColumn(to_col, F.lit(None).cast("string")).schema)
