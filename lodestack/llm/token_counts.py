@@ -11,20 +11,21 @@ Defined results: null counts as empty (0 tokens); repeated rows are counted one
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import map_batches, utf8
 
-#: Fixed value: the byte-level splitting pattern.
-PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Characters whose classes agree between Unicode versions and libraries: ASCII without controls but tab, line feed and return; Latin, Greek, Cyrillic.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я]*")
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я", "0-9²³¹¼-¾"
+#: The byte-level splitting pattern, its letter and number classes written out for plain characters.
+PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Entries of the broadcast table, heavy hitters that one partition reports, entries of a worker's cache.
 FREQUENT, REPORTED, CACHED = 32_768, 4_096, 400_000
 
@@ -53,7 +54,8 @@ def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(PATTERN.findall(text or ""))
+                if text and PLAIN.fullmatch(text):
+                    seen.update(PATTERN.findall(text))
             if len(seen) > 20 * REPORTED:  # lossy counting: light ones go, memory stays bounded
                 seen = Counter(dict(seen.most_common(5 * REPORTED)))
         top = seen.most_common(REPORTED)
