@@ -123,6 +123,15 @@ def q08(spark, sf_dir):
     return snapshot.map_lines(doc_entries(spark, sf_dir))
 
 
+@query("q09_entry_audits", f"SELECT path, 'twice' AS fault FROM ({ENTRIES_SQL}) WHERE doc_id % 8 = 0 UNION ALL SELECT '/' || path, 'invalid' FROM ({ENTRIES_SQL}) WHERE doc_id % 9 = 0")
+def q09(spark, sf_dir):
+    """A snapshot with some paths twice, and some that are absolute."""
+    e = doc_entries(spark, sf_dir)
+    broken = e.where("doc_id % 9 = 0").withColumn("path", F.concat(F.lit("/"), "path"))
+    e = e.union(e.where("doc_id % 8 = 0")).union(broken).select(*ENTRY_COLUMNS)
+    return snapshot.duplicate_paths(e).select("path", F.lit("twice").alias("fault")).union(snapshot.invalid_entries(e).select("path", F.lit("invalid")))
+
+
 # -- lexical ------------------------------------------------------------------------------------------------------
 
 SMALL = LexicalPolicy(chunk_lines=10, overlap_lines=2, max_chunk_chars=1500, max_chunks=1_000_000, max_file_bytes=20_000)
@@ -245,6 +254,14 @@ def q19(spark, sf_dir):
     return lexical.postings_digest(found.where(F.col("term").rlike(r"\A[ -~]*\z")), ["source"])
 
 
+@query("q22_bound_reads", f"SELECT path, sha256(text) AS content_sha256 FROM (SELECT {PATH_SQL} AS path, text FROM documents)")
+def q22(spark, sf_dir):
+    """Contents bound to a snapshot: each one's hash and size are checked as it is read."""
+    e = doc_entries(spark, sf_dir)
+    files = read(spark, sf_dir, "documents").select(doc_path().alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return snapshot.bound_reads(e, files, 1 << 30).select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("q20_orphan_postings", f"SELECT term, count(*) AS n FROM ({TERMS_SQL}) WHERE doc_id % 13 = 0 GROUP BY term")
 def q20(spark, sf_dir):
     """Postings against an index that has lost every thirteenth document."""

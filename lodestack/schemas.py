@@ -79,8 +79,10 @@ class LexicalPolicy:
     max_results: int = 100
 
     def __post_init__(self):
-        if any(isinstance(v, bool) or not isinstance(v, int) or v < (k == "overlap_lines") * -1 + 1 for k, v in asdict(self).items()):
-            raise ContractError("limits are positive whole numbers")
+        for name, value in asdict(self).items():
+            least = 0 if name == "overlap_lines" else 1
+            if isinstance(value, bool) or not isinstance(value, int) or value < least:
+                raise ContractError(f"{name} must be a whole number of {least} or more")
         if self.overlap_lines >= self.chunk_lines:
             raise ContractError("overlap_lines must be less than chunk_lines")
 

@@ -16,6 +16,7 @@ def amount(spark, text, **kw):
 
 def test_money_rounds_up(spark):
     assert amount(spark, "0.0000001") == 1 and amount(spark, "3.25") == 3_250_000 and amount(spark, "0", allow_zero=True) == 0
+    assert str(spark.range(1).select(ledger.from_micros(F.lit(1_234_567))).first()[0]) == "1.234567"
     for bad in ("-1", "0", "10000000000000000"):
         with pytest.raises(Exception, match="not a valid amount"):
             amount(spark, bad)

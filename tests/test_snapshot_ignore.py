@@ -122,3 +122,22 @@ def test_languages_and_classes(spark):
     df = spark.createDataFrame([(bytearray(b),) for b in bodies], "b binary")
     assert {bytes(r[0]): r[1] for r in df.select("b", classify_content(F.octet_length("b"), F.substring("b", 1, 8192))).collect()} == bodies
     assert decode_bytes(b"caf\xe9") == ("caf�", True) and decode_bytes("é".encode("utf-16")) == ("é", False) and decode_bytes(b"\xef\xbb\xbfx") == ("x", False)
+
+
+def test_bound_reads_and_map(spark, tmp_path):
+    write(tmp_path, {"a.py": "x = 1\n", "b.md": "text"})
+    raw = tree.scan(spark, str(tmp_path)).cache()
+    e = snapshot.entries(raw).cache()
+    assert {r["path"]: bytes(r["content"]) for r in snapshot.bound_reads(e, raw, 100).collect()} == {"a.py": b"x = 1\n", "b.md": b"text"}
+    with pytest.raises(Exception, match="differs from its snapshot"):
+        snapshot.bound_reads(e, raw.withColumn("content", F.encode(F.lit("other"), "UTF-8")), 100).collect()
+    with pytest.raises(Exception, match="exceeds the read limit"):
+        snapshot.bound_reads(e, raw, 5).collect()
+    head = snapshot.map_header("r", e).splitlines()
+    assert head[0] == 'repository: "r"' and head[2:] == ["entries: 2", "bytes: 10", "languages: Markdown=1, Python=1", "paths:"]
+    line = {r["path"]: r["line"] for r in snapshot.map_lines(e).collect()}["a.py"]
+    assert line == '"a.py"\tfile\ttext\tPython\t6\t-\t' + hashlib.sha256(b"x = 1\n").hexdigest()[:12]
+    assert snapshot.invalid_entries(e).isEmpty() and snapshot.duplicate_paths(e).isEmpty()
+    for bad in ("", "/a", "a//b", "a/../b", "./a", "a\0"):
+        with pytest.raises(ValueError):
+            snapshot.checked_path(bad)
