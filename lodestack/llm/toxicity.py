@@ -44,6 +44,7 @@ SYMBOL = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {x: or
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters around leet or separators, or a letter three times.
 ODD = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€*._~-]+[^\W\d_]|[\d@$!|+(€]+[^\W\d_]|([^\W\d_])\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
 SPELLED = re.compile(r"(?<![\w@$!])[\w@$!](?:[ .\-_*][\w@$!]){3,}(?![\w@$!])")
 
 
@@ -165,7 +166,11 @@ class ToxicityModel:
     def token_weight(self, token: str) -> float:
         weights = self.weights
         words = restored_words(token, self.costs) if not token.isalpha() or ODD.search(token) else [token]
-        return max((weights.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
+        best = max((weights.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
+        if not best and DOUBLED.search(token):  # a letter twice is common, so such a word counts as it is first
+            again = (v for w in words if DOUBLED.search(w) for v in WORD.findall(restore(w, self.costs)))
+            best = max((weights.get(f, 0.0) for w in again for f in word_features(w)), default=0.0)
+        return best
 
     def evidence(self, text: str, cache: dict[str, float]) -> float:
         total = 0.0

@@ -163,6 +163,7 @@ def test_toxicity_restores_and_holds_out(spark, labelled):
     model = toxicity.fit_toxicity(docs, labels)
     for t, w in (("v0rg@t", "vorgat"), ("s.n.i.l.f.e.r", "snilfer"), ("vorrrgat", "vorgat"), ("sn1lf3r", "snilfer"), ("v o r g a t", "vorgat")):
         assert toxicity.restored_words(t, model.costs) == [w]
+    assert model.token_weight("voorgat") > 0 == model.token_weight("taakka")
     held = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).collect()
     assert len(held) > 100 and sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in held) / len(held) > 0.95
     odd, rows = documents(spark, ODD_TEXTS + ["ta ka v0rgat mi"])
