@@ -593,6 +593,14 @@ def q70(spark, sf_dir):
     return rows.where(F.col("back") == F.col("text")).select("conv_id", "turn", F.length("back").alias("chars"))
 
 
+@query("q71_json_escapes_whole", "SELECT conv_id, turn, length(text)::INT AS chars, CASE WHEN text IS NOT NULL THEN true END AS reads_back FROM conversations")
+def q71(spark, sf_dir):
+    """All texts, whatever their characters, and whether their canonical JSON strings read back (q70 has printable ASCII alone)."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    back = F.from_json(F.concat(F.lit('{"v":'), json_string(F.col("text")), F.lit("}")), "v string")["v"]
+    return c.select("conv_id", "turn", F.length("text").alias("chars"), F.when(F.col("text").isNotNull(), back.eqNullSafe(F.col("text"))).alias("reads_back"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
