@@ -254,6 +254,14 @@ def q19(spark, sf_dir):
     return lexical.postings_digest(found.where(F.col("term").rlike(r"\A[ -~]*\z")), ["source"])
 
 
+@query("q23_postings_digest_whole")
+def q23(spark, sf_dir):
+    """Digest of all postings of each source, whatever the terms' characters (no SQL, which has no escape for them; q19 has ASCII terms alone)."""
+    rows = doc_rows(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    found = lexical.postings(rows.withColumn("key", F.struct("source", "chunk_id")), "key").select("key.*", "col", "offset", "term")
+    return lexical.postings_digest(found, ["source"])
+
+
 @query("q22_bound_reads", f"SELECT path, sha256(text) AS content_sha256 FROM (SELECT {PATH_SQL} AS path, text FROM documents)")
 def q22(spark, sf_dir):
     """Contents bound to a snapshot: each one's hash and size are checked as it is read."""

@@ -1,5 +1,9 @@
 """Queries over all rows of a small fixture, against brute force."""
 
+import hashlib
+import json
+import re
+
 from lodestack import driver_queries
 
 
@@ -8,3 +12,16 @@ def test_json_escapes_of_all_texts(spark, tmp_path):
     spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: (r["chars"], r["reads_back"]) for r in driver_queries.queries()["q71_json_escapes_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: (None, None) if t is None else (len(t), True) for k, t in enumerate(texts)}
+
+
+def test_postings_digest_of_all_terms(spark, tmp_path):
+    texts = ["plain words", "Straße œuvre æon", "λόγος Привет 漢字 x", "𝔘𝔫𝔦 ok", "", None]
+    plain = {1: "straße œuvre æon", 2: "λόγοσ привет 漢字 x"}
+    spark.createDataFrame([(k, t, "xx", f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {"s0": [], "s1": []}
+    for k, t in enumerate(texts):
+        for col, text in (("content", plain.get(k, t) or ""), ("path", f"s{k % 2}/xx/{k}.txt")):
+            lines[f"s{k % 2}"] += [(str(k), col, n, w) for n, w in enumerate(re.findall(r"[^\W_]+", text))]
+    expected = {s: hashlib.sha256("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in sorted(found)).encode()).hexdigest() for s, found in lines.items()}
+    got = {r["source"]: r["digest"] for r in driver_queries.queries()["q23_postings_digest_whole"](spark, str(tmp_path)).collect()}
+    assert got == expected
