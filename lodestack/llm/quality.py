@@ -3,7 +3,7 @@
 Two generative models count hashed byte n-grams (as many buckets for any corpus): the target from labelled good rows, the
 raw one from all documents. A text's log importance weight is the sum of log p_target - log p_raw over its n-grams. A
 logistic curve on the weight per n-gram, fitted on labelled rows, says how likely a text is good; rows below one half are
-rejected. Gumbel top-k on the weights (a text's weight, its noise from its id and text) draws a sample without replacement.
+rejected. Gumbel top-k on the log importance weights (a text's sum, its noise from its id and text) draws a sample without replacement.
 
 Labels are learned from a bounded sample: SAMPLE labelled rows of the smallest hash, outside the held-out fold.
 Defined results: null and empty texts have no n-grams, weight 0, and the score of an average good text; repeated rows are
@@ -111,7 +111,7 @@ def fit_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 
 def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """One row per input row: the id, n_grams, log_weight, score (0 to 1), keep (score of a half or more) and gumbel_key (log weight per n-gram plus noise)."""
+    """One row per input row: the id, n_grams, log_weight, score (0 to 1), keep (score of a half or more) and gumbel_key (log_weight plus noise)."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,8 +126,7 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
     scored = map_batches(slim, run, "id long, n_grams long, log_weight double, score double, keep boolean, noise double")
-    # The importance weight that is sampled by: the odds of being good, never above one.
-    return scored.withColumn("gumbel_key", F.log(F.greatest(F.col("score"), F.lit(1e-12))) + F.col("noise")).drop("noise").withColumnRenamed("id", id_col)
+    return scored.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")).drop("noise").withColumnRenamed("id", id_col)
 
 
 def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key", held: int = 20_000) -> DataFrame:

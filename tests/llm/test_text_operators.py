@@ -194,6 +194,15 @@ def test_quality_separates_and_draws(spark, labelled):
     assert quality.resample(empty(odd), model).count() == 0
 
 
+def test_quality_draws_by_the_importance_weight(spark, labelled):
+    docs, labels = labelled
+    model = quality.fit_quality(docs, labels)
+    noise = quality.QualityModel(model.ratio * 0)  # all weights are 0, so its keys are the noise
+    plain = {r["doc_id"]: r["gumbel_key"] for r in quality.score_quality(docs, noise).collect()}
+    for r in quality.score_quality(docs, model).collect():
+        assert r["gumbel_key"] == pytest.approx(r["log_weight"] + plain[r["doc_id"]])
+
+
 # -- URLs ---------------------------------------------------------------------------------------------------------
 
 
