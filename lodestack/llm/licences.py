@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare licence words.
 
-The index holds, for every licence template, its rarest words (highest inverse document frequency over
-the whole corpus) with their positions in the template. A file's words are looked up in that index; each
-hit votes for "template t begins at word p - q". Alignments that enough rare words agree on are verified
-word by word: all mandatory key words must stand at their places, and a share of the template must match.
+The index holds, for every licence template, its rarest mandatory words (highest inverse document frequency
+over the whole corpus) with their positions in the template. A file's words are looked up in that index; each
+hit votes for "template t begins at word p - q". Alignments that have all of these words are verified word by
+word: all mandatory key words must stand at their places, and a share of the template must match. As only
+mandatory words vote, every alignment that can pass is verified, whatever the frequencies.
 
 Defined results: a null text is empty; an empty text has no words and no matches; repeated rows are scanned
 one by one; other columns are ignored, whatever their names. An empty table gives an empty result.
@@ -60,7 +61,7 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", ((4, 2),)),
 )
 
-#: Rare words that are indexed for a template, and the share of its words that must match.
+#: Rare mandatory words that are indexed for a template, and the share of its words that must match.
 ANCHORS, COVERAGE = 3, 0.6
 
 
@@ -85,11 +86,12 @@ def build_index(frequency: dict[bytes, int], templates: tuple[Template, ...] = T
     needs = []
     for k, t in enumerate(templates):
         words = t.words
-        rare = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[: 1 if t.base else ANCHORS]
-        places = [(w, p) for p, w in enumerate(words) if w in rare]
+        key = [(words[p], p) for a, n in t.key for p in range(a, a + n)]
+        rare = sorted({w for w, _ in key}, key=lambda w: (frequency.get(w, 0), w))[: 1 if t.base else ANCHORS]
+        places = [(w, p) for w, p in key if w in rare]
         for w, p in places:
             postings[w].append((k, p))
-        needs.append(min(2, len(places)))
+        needs.append(len(places))
     return dict(postings), needs
 
 

@@ -60,6 +60,29 @@ def test_licence_templates(spark):
     assert labels[1] == {"mit"} and {"gpl", "gnu-gpl"} <= labels[2] and labels[3] == {"apache-2.0"} and not labels[4]
 
 
+def test_licences_without_rare_words_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["Here it is, the MIT License", "redistribution of it in source and binary code with or without modification are"]
+    for t in licences.TEMPLATES:
+        must = {p for a, n in t.key for p in range(a, a + n)}
+        for share in (0.5, 0.6, 0.7, 0.9):
+            texts.append("q " + " ".join(w.decode() if p in must or rng.random() < share else "x" for p, w in enumerate(t.words)) + " z")
+    # Frequencies that make the words beside the mandatory ones the rarest: they must not decide what is found.
+    frequency = {t.words[p]: 9 for t in licences.TEMPLATES for a, n in t.key for p in range(a, a + n)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for given in (None, frequency, {}):
+        for r in licences.scan_licences(df, frequency=given).collect():
+            ws, expected = WORD.findall(lowered(texts[r["doc_id"]])), []
+            for t in licences.TEMPLATES:
+                tw = [w.decode() for w in t.words]
+                for start in range(-len(tw), len(ws)):
+                    at = [0 <= start + p < len(ws) and ws[start + p] == w for p, w in enumerate(tw)]
+                    if all(at[p] for a, n in t.key for p in range(a, a + n)) and sum(at) >= licences.COVERAGE * len(tw):
+                        expected.append((start, t.label, len(tw)))
+            assert [(m["first"], m["label"], m["words"]) for m in r["matches"]] == sorted(expected), texts[r["doc_id"]]
+    assert "mit" in {m["label"] for m in licences.scan_licences(df.where("doc_id = 0"), frequency={}).first()["matches"]}
+
+
 # -- decontamination ------------------------------------------------------------------------------------------------
 
 
