@@ -3,7 +3,8 @@
 1. A character 4-gram model counts the letters of all documents (accents folded, 27 symbols, so its table is bounded).
 2. Suspicious tokens (letters mixed with leetspeak, separators inside a word, a letter three times running, spelled-out
    words) are restored: a Viterbi search over the lattice of what each character may stand for, under the character
-   model and the channel's costs. A token without any of these has one path through its lattice, itself.
+   model and the channel's costs. A token without any of these has one path through its lattice, itself. Leetspeak at a
+   token's end may be punctuation or a number, so such a token is read both ways, and the larger weight counts.
 3. Words and word beginnings of the restored text carry weights learned from labelled rows: the log-odds of the Wilson
    lower bound of their share of toxic documents. A logistic curve turns a document's sum into a score.
 
@@ -44,6 +45,9 @@ SYMBOL = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {x: or
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters around leet or separators, or a letter three times.
 ODD = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€*._~-]+[^\W\d_]|[\d@$!|+(€]+[^\W\d_]|([^\W\d_])\1\1")
+#: Leet after a letter at the end of a token, and what may follow or precede it.
+TAIL = re.compile(r"[^\W\d_]([\d@$!|+(€._~*-]*[\d@$!|+(€])\Z")
+PLAIN, MARKS = ".,;:?%&#*~-_=/\\\"'()[]{}<>", "!|+"
 DOUBLED = re.compile(r"([^\W\d_])\1")
 SPELLED = re.compile(r"(?<![\w@$!])[\w@$!](?:[ .\-_*][\w@$!]){3,}(?![\w@$!])")
 
@@ -94,8 +98,8 @@ def character_costs(counts: np.ndarray, strength: float = 5.0) -> np.ndarray:
     return -np.log(lower).astype(np.float32)
 
 
-def restore(token: str, costs: np.ndarray) -> str:
-    """The likeliest text behind a token: Viterbi over the lattice; states are the last three letters."""
+def restore(token: str, costs: np.ndarray, letters_from: int | None = None) -> str:
+    """The likeliest text behind a token: Viterbi over the lattice; states are the last three letters. From letters_from on, leet stands for letters."""
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     before = ""
     for k, ch in enumerate(token):
@@ -111,6 +115,8 @@ def restore(token: str, costs: np.ndarray) -> str:
                 arcs.append((-1, "", COST_SEPARATOR))
             if inner and ch == "*":
                 arcs.extend((s, chr(96 + s), COST_MASK) for s in range(1, 27))
+        elif letters_from is not None and k >= letters_from and ch in LEET:
+            arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET[ch])
         else:
             arcs.append((0, ch, COST_END))
             arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET.get(ch, ""))
@@ -139,6 +145,19 @@ def restored_words(token: str, costs: np.ndarray) -> list[str]:
     return WORD.findall(restore(core, costs) if ODD.search(core) else core)
 
 
+def tail_readings(token: str, costs: np.ndarray) -> list[str]:
+    """A lower-cased token with the leet at its end read as letters: all of it, and all but the marks !, | and + that end it."""
+    if " " in token or token.isalpha():
+        return []
+    core = token.lstrip(PLAIN).rstrip(PLAIN.replace("(", ""))
+    found = ((c, TAIL.search(c)) for c in dict.fromkeys((core, core.rstrip(MARKS))))
+    return [restore(c, costs, m.start(1)) for c, m in found if m]
+
+
+def tail_words(token: str, costs: np.ndarray) -> list[str]:
+    return [w for t in tail_readings(token, costs) for w in WORD.findall(t)]
+
+
 def text_tokens(text: str) -> set[str]:
     """Distinct lower-cased tokens of a whole text, and its spelled-out words."""
     low = text.lower()
@@ -166,8 +185,10 @@ class ToxicityModel:
     def token_weight(self, token: str) -> float:
         weights = self.weights
         words = restored_words(token, self.costs) if not token.isalpha() or ODD.search(token) else [token]
+        tail = tail_words(token, self.costs)
+        words = words + tail
         best = max((weights.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
-        if not best and DOUBLED.search(token):  # a letter twice is common, so such a word counts as it is first
+        if not best and (tail or DOUBLED.search(token)):  # a letter twice is common, so such a word counts as it is first
             again = (v for w in words if DOUBLED.search(w) for v in WORD.findall(restore(w, self.costs)))
             best = max((weights.get(f, 0.0) for w in again for f in word_features(w)), default=0.0)
         return best
@@ -247,7 +268,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n: Counter[str] = Counter()
             for text in batch.column(2).to_pylist():
-                own = {f for t in text_tokens(text) for w in restored_words(t, shipped.value) for f in word_features(w)}
+                own = {f for t in text_tokens(text) for w in restored_words(t, shipped.value) + tail_words(t, shipped.value) for f in word_features(w)}
                 n.update(own if known is None else known & own)
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
@@ -318,9 +339,15 @@ def restore_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
     """The id and the restored text: suspicious tokens replaced by what they stand for, blanks between tokens."""
     held, _ = _shipped(df, model)
 
+    def read(token: str) -> str:
+        weights, costs = held.value.weights, held.value.costs
+        plain = restore(token, costs) if ODD.search(token) else token
+        weight = lambda t: max((weights.get(f, 0.0) for w in WORD.findall(t) for f in word_features(w)), default=0.0)
+        return max([plain, *tail_readings(token, costs)], key=weight)
+
     def fixed(text: str) -> str:
         low = SPELLED.sub(lambda m: restore(m[0], held.value.costs), text.lower())
-        return " ".join(restore(t, held.value.costs) if ODD.search(t) else t for t in low.split())
+        return " ".join(map(read, low.split()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([fixed(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["id", "restored"])

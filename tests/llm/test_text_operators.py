@@ -200,6 +200,22 @@ def test_toxicity_restores_and_holds_out(spark, labelled):
     assert toxicity.restore_texts(odd.where(f"doc_id = {len(ODD_TEXTS)}"), model).first()["restored"] == "ta ka vorgat mi"
 
 
+def test_toxicity_reads_leet_at_a_tokens_end(spark):
+    words = [a + b for a in ("ta", "mi", "ro", "len", "sor") for b in ("ka", "dor", "ment", "is", "ula", "ne")]
+    rng, bad, rows, labels = random.Random(9), ["kill", "ass", "idiot", "dumb", "hate", "scums"], [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        rows.append((k, " ".join([rng.choice(words) for _ in range(30)] + ([bad[k // 3 % 6]] if toxic else []))))
+        labels.append((k, 1, int(toxic)))
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    hidden = ["ki11", "a$$", "as5", "idi07", "dum8", "hat3", "scum5", "ki11.", "a$$!", "(a$$)", "dum8!!", "ki1111", "k1ll", "ass!"]
+    assert [t for t in hidden if model.token_weight(t) <= 0] == []
+    assert [t for t in ("taka1", "taka!", "mine.", "rone5", "2024", "ta-5", "$5", "!", "x1") if model.token_weight(t) > 0] == []
+    df = spark.createDataFrame([(k, f"taka {t} mine") for k, t in enumerate(hidden)] + [(99, "taka! mine2 rone.")], "doc_id long, text string")
+    assert [r["doc_id"] for r in toxicity.reject_toxic(df, model).collect()] == [99]
+    assert toxicity.restore_texts(df.where("doc_id IN (0, 99)"), model).orderBy("doc_id").toPandas()["restored"].tolist() == ["taka kill mine", "taka! mine2 rone."]
+
+
 def test_quality_separates_and_draws(spark, labelled):
     docs, labels = labelled
     model = quality.fit_quality(docs, labels)
