@@ -33,8 +33,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Documents with their piece ids, and the text that these decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.decode(pieces.encode(docs, path), path)
 
 
 STAGES = [

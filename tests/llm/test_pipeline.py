@@ -32,3 +32,10 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, before.where("false"), str(tmp_path)).columns == before.columns
         assert stage(spark, before.where("false"), str(tmp_path)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, before.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_last_stage_decodes(spark, tmp_path):
+    texts = ["two words", "é漢😀  x\n", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
+    assert {r["doc_id"]: r["decoded"] for r in out.collect()} == {k: t or "" for k, t in enumerate(texts)}
