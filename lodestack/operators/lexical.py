@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, json_array, json_object, ordered_digest
@@ -203,9 +203,10 @@ def search(rows: DataFrame, text: str, limit: int | None = None, policy: Lexical
 
 
 def within(found: DataFrame, most: int, message: str) -> DataFrame:
-    """All rows, or an error when there are more than `most`; most + 1 rows at most are counted."""
-    some = found.limit(most + 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return some.where(F.when(F.col("_n") > most, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))).drop("_n")
+    """All rows, or an error when there are more than `most`. Tasks count their own rows; only the counts meet in one."""
+    counted = found.agg(F.count("*").alias("_n"))
+    fits = counted.select(F.when(F.col("_n") > most, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)).alias("_fits"))
+    return found.crossJoin(F.broadcast(fits)).where("_fits").drop("_fits")
 
 
 # -- incremental maintenance ----------------------------------------------------------------------------------------

@@ -4,7 +4,10 @@ import hashlib
 import json
 import re
 
+import pytest
+
 from lodestack import driver_queries
+from lodestack.operators import lexical
 
 
 def test_json_escapes_of_all_texts(spark, tmp_path):
@@ -25,3 +28,13 @@ def test_postings_digest_of_all_terms(spark, tmp_path):
     expected = {s: hashlib.sha256("".join(json.dumps(x, separators=(",", ":")) + "\n" for x in sorted(found)).encode()).hexdigest() for s, found in lines.items()}
     got = {r["source"]: r["digest"] for r in driver_queries.queries()["q23_postings_digest_whole"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_guard_keeps_rows_in_their_tasks(spark):
+    df = spark.range(0, 1000, 1, 8)
+    kept = lexical.within(df, 1000, "too many")
+    assert kept.rdd.getNumPartitions() == 8 and kept.count() == 1000
+    assert sum(1 for n in kept.rdd.glom().map(len).collect() if n) == 8
+    assert lexical.within(df.where("id < 0"), 0, "too many").count() == 0
+    with pytest.raises(Exception, match="too many"):
+        lexical.within(df, 999, "too many").collect()
