@@ -13,40 +13,85 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch when the session has no setting of its own; texts can be long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, by which Spark ends it early when texts are long.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a session in one process (tests)
+    gets a temporary folder of its own; on a cluster it has to be set, since no local folder is seen by all executors."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found is None:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-lodestack-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Paths that write_table() wrote, for each scope that is open.
+_SCOPES: list[list[str]] = []
+
+
 def write_table(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and survives the loss of any executor."""
+    """Write to the shared folder and read again: cuts lineage, and survives the loss of any executor. The table goes when the
+    driver ends, or at the end of the innermost scope."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove what write_table() wrote, once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _file_system(df.sparkSession, name)
+        fs.delete(at, True)
+
+
+def written_once(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of make(); all other tables that were written on the way are removed."""
+    _SCOPES.append([])
+    try:
+        out = make()
+        spark = out.sparkSession
+        inner = _SCOPES[-1]
+        _SCOPES.append([])
+        try:
+            kept = write_table(out)
+        finally:
+            own = _SCOPES.pop()
+        for path in inner:
+            fs, at = _file_system(spark, path)
+            fs.delete(at, True)
+    finally:
+        _SCOPES.pop()
+    if _SCOPES:
+        _SCOPES[-1].extend(own)
+    return kept
+
+
+def place_of(df: DataFrame, column: str) -> int:
+    """Place of a column as Spark resolves its name: without regard to letter case."""
+    names = list(df.columns)
+    return names.index(column) if column in names else [c.lower() for c in names].index(column.lower())
 
 
 def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over batches that are small enough for long texts. func: one batch to one batch, or to several."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow over batches that are small enough for long texts. func: one batch to one batch, or to several.
+
+    Batches are bounded by rows and, where Spark knows that bound, by bytes: the session's settings are lowered for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +101,19 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch |
             else:
                 yield from out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows and bytes of the session's Arrow batches, where they are larger than texts allow."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key)
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8, null as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
