@@ -8,9 +8,20 @@
 3. Words and word beginnings of the restored text carry weights learned from labelled rows: the log-odds of the Wilson
    lower bound of their share of toxic documents. A logistic curve turns a document's sum into a score.
 
-Labels are learned from a bounded sample: SAMPLE labelled rows of the smallest hash (near copies count once).
+The work is linear in a token's length. Before it is decoded, a token is brought to the channel's normal form: a mark repeated
+more than four times is a ruled line, which ends words, and a letter or digit repeated more than three times counts as three.
+Characters that stand for no letter end words as well, so what is between them is decoded apart, and a piece of more than LONG
+characters in windows of LONG that overlap by half. Stars are masked letters where a piece has MASKS at most, else they
+separate. A piece is decoded only if it can weigh anything: all readings of a character fall in one class (``skeleton``), and
+one Aho-Corasick automaton tells whether the classes of any weighted feature stand in the piece; where they do not, no path
+through its lattice has a weight.
+
+Labels are learned from a bounded sample: SAMPLE labelled rows of the smallest hash (near copies count once); features are all
+that are met in enough toxic rows of it, from tokens of LONG characters at most.
 Defined results: null and empty texts get the score of a text without any toxic word; repeated rows are scored one by
-one; without labelled rows every score is 0; other columns are ignored (score) or kept as they are (reject).
+one; of paths of equal cost that of the lesser text is taken; very long texts and tokens are read whole; without labelled rows
+every score is 0; an empty table gives an empty result; other columns, whatever their names, are ignored (score) or kept as
+they are (reject).
 """
 
 from __future__ import annotations
@@ -20,16 +31,19 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, write_table
+from .common import bound_batches, drop_table, map_batches, place_of, write_table
 
-#: Bounds of what is learned from: labelled rows, features met in enough toxic documents, and a worker's cached tokens.
-SAMPLE, FEATURES, CACHED = 20_000, 200_000, 400_000
+#: Labelled rows that are learned from, and tokens that a worker's cache holds.
+SAMPLE, CACHED = 20_000, 400_000
+#: Characters of a piece that is decoded at once, and stars in it that may be masked letters.
+LONG, MASKS = 128, 4
 #: Toxic documents that a feature needs, the least lower bound of its share, and the lengths of word beginnings.
 LEAST_DOCS, LEAST_SHARE, PREFIXES = 5, 0.5, (4, 5, 6, 7)
 
@@ -43,13 +57,15 @@ COST_LEET, COST_SEPARATOR, COST_REPEAT, COST_END, COST_MASK = 1.2, 0.4, 0.9, 1.0
 
 SYMBOL = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {x: ord(base) - 96 for base, xs in FOLDS.items() for x in xs}
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters around leet or separators, or a letter three times.
-ODD = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(€*._~-]+[^\W\d_]|[\d@$!|+(€]+[^\W\d_]|([^\W\d_])\1\1")
+#: Leet or a letter three times, and a separator before a letter; the latter is odd behind an earlier letter.
+ODD_LEET, ODD_SEPARATOR, LETTER = re.compile(r"[\d@$!|+(€][^\W\d_]|([^\W\d_])\1\1"), re.compile(r"[*._~-][^\W\d_]"), re.compile(r"[^\W\d_]")
 #: Leet after a letter at the end of a token, and what may follow or precede it.
 TAIL = re.compile(r"[^\W\d_]([\d@$!|+(€._~*-]*[\d@$!|+(€])\Z")
 PLAIN, MARKS = ".,;:?%&#*~-_=/\\\"'()[]{}<>", "!|+"
 DOUBLED = re.compile(r"([^\W\d_])\1")
 SPELLED = re.compile(r"(?<![\w@$!])[\w@$!](?:[ .\-_*][\w@$!]){3,}(?![\w@$!])")
+#: Marks repeated more than four times, letters and digits more than three times.
+RULED, RUN = re.compile(r"([^\w\s]|_)\1{4,}"), re.compile(r"([^\W_])\1{3,}")
 
 
 # -- the character model ---------------------------------------------------------------------------------------
@@ -81,7 +97,7 @@ def character_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
     slim = df.select(F.col(text_col).cast("string").alias("text"))
-    map_batches(slim, lambda b: b, slim.schema)  # sets the batch size
+    bound_batches(df.sparkSession)
     found = slim.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(27**4)
     out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
@@ -98,30 +114,47 @@ def character_costs(counts: np.ndarray, strength: float = 5.0) -> np.ndarray:
     return -np.log(lower).astype(np.float32)
 
 
+def is_odd(token: str) -> bool:
+    """Whether a lower-cased token has to be decoded."""
+    if ODD_LEET.search(token):
+        return True
+    first = LETTER.search(token)
+    return bool(first and ODD_SEPARATOR.search(token, first.end()))
+
+
+def arcs_of(token: str, k: int, letters_from: int | None = None, masks: bool = True) -> list[tuple[int, str, float]]:
+    """What the k-th character may stand for: (symbol, what is written, cost); symbol 0 ends a word, -1 is left out."""
+    ch, before, inner = token[k], token[k - 1] if k else "", 0 < k < len(token) - 1
+    arcs: list[tuple[int, str, float]] = []
+    if ch in SYMBOL:
+        arcs.append((SYMBOL[ch], ch, 0.0))
+        if ch == before:
+            arcs.append((-1, "", COST_REPEAT))
+    elif ch in SEPARATORS:
+        arcs.append((0, " ", COST_END))
+        if inner:
+            arcs.append((-1, "", COST_SEPARATOR))
+            if ch == "*" and masks:
+                arcs.extend((x, chr(96 + x), COST_MASK) for x in range(1, 27))
+    elif letters_from is not None and k >= letters_from and ch in LEET:
+        arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET[ch])
+    else:
+        arcs.append((0, ch, COST_END))
+        arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET.get(ch, ""))
+        if ch == before:
+            arcs.append((-1, "", COST_REPEAT))
+    return arcs
+
+
 def restore(token: str, costs: np.ndarray, letters_from: int | None = None) -> str:
     """The likeliest text behind a token: Viterbi over the lattice; states are the last three letters. From letters_from on, leet stands for letters."""
+    masks = token.count("*") <= MASKS
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    before = ""
-    for k, ch in enumerate(token):
-        inner = 0 < k < len(token) - 1
-        arcs: list[tuple[int, str, float]] = []  # symbol, what is written, cost; symbol -1: left out
-        if ch in SYMBOL:
-            arcs.append((SYMBOL[ch], ch, 0.0))
-            if ch == before:
-                arcs.append((-1, "", COST_REPEAT))
-        elif ch in SEPARATORS:
-            arcs.append((0, " ", COST_END))
-            if inner:
-                arcs.append((-1, "", COST_SEPARATOR))
-            if inner and ch == "*":
-                arcs.extend((s, chr(96 + s), COST_MASK) for s in range(1, 27))
-        elif letters_from is not None and k >= letters_from and ch in LEET:
-            arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET[ch])
-        else:
-            arcs.append((0, ch, COST_END))
-            arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET.get(ch, ""))
-            if ch == before:
-                arcs.append((-1, "", COST_REPEAT))
+    for k in range(len(token)):
+        arcs = arcs_of(token, k, letters_from, masks)
+        if len(arcs) > 26 and len(states) > 200:
+            states = _masked(states, arcs, costs)
+            continue
         best: dict[int, tuple[float, str]] = {}
         for context, (cost, text) in states.items():
             for symbol, written, own in arcs:
@@ -131,18 +164,50 @@ def restore(token: str, costs: np.ndarray, letters_from: int | None = None) -> s
                     to, c = 0, cost + own + (float(costs[context, 0]) if context else 0.0)
                 else:
                     to, c = context % 729 * 27 + symbol, cost + own + float(costs[context, symbol])
-                if to not in best or c < best[to][0]:
+                held = best.get(to)
+                if held is None or c < held[0] or (c == held[0] and text + written < held[1]):
                     best[to] = c, text + written
-        states, before = best, ch
+        states = best
     return min((cost + (float(costs[s, 0]) if s else 0.0), text) for s, (cost, text) in states.items())[1]
 
 
+def _masked(states: dict[int, tuple[float, str]], arcs: list[tuple[int, str, float]], costs: np.ndarray) -> dict[int, tuple[float, str]]:
+    """One step over a masked letter from very many states: all of its 26 letters at once, the other arcs one by one."""
+    at = np.fromiter(states, np.int64, len(states))
+    cost = np.full((27, 729), np.inf)
+    cost[at // 729, at % 729] = [c for c, _ in states.values()]
+    reached = cost[:, :, None] + costs.reshape(27, 729, 27)
+    source = reached.argmin(axis=0)
+    least = np.take_along_axis(reached, source[None], axis=0)[0] + COST_MASK
+    best: dict[int, tuple[float, str]] = {}
+    for low, symbol in zip(*np.nonzero(np.isfinite(least)), strict=True):
+        if symbol:
+            best[int(low) * 27 + int(symbol)] = float(least[low, symbol]), states[int(source[low, symbol]) * 729 + int(low)][1] + chr(96 + int(symbol))
+    for context, (c0, text) in states.items():
+        for symbol, written, own in arcs[:2]:  # the word's end, and nothing
+            to, c = (context, c0 + own) if symbol < 0 else (0, c0 + own + (float(costs[context, 0]) if context else 0.0))
+            held = best.get(to)
+            if held is None or c < held[0] or (c == held[0] and text + written < held[1]):
+                best[to] = c, text + written
+    return best
+
+
+def normal(token: str) -> str:
+    """A token in the channel's normal form: ruled lines are blanks, a letter or digit more than three times is there three times."""
+    return RUN.sub(r"\1\1\1", RULED.sub(" ", token))
+
+
+def words_of(piece: str, costs: np.ndarray) -> list[str]:
+    """Words of a piece of a token, restored where it is suspicious."""
+    core = piece.rstrip(".,;:?!%&#*$|~-_+=/\\\"'()[]{}<>").lstrip(".,;:?%&#*~-_=/\\\"'()[]{}<>") if is_odd(piece) else piece
+    return WORD.findall(restore(core, costs) if is_odd(core) else core)
+
+
 def restored_words(token: str, costs: np.ndarray) -> list[str]:
     """Words of a lower-cased token, restored where it is suspicious."""
     if " " in token:
         return WORD.findall(restore(token, costs))  # spelled out
-    core = token.rstrip(".,;:?!%&#*$|~-_+=/\\\"'()[]{}<>").lstrip(".,;:?%&#*~-_=/\\\"'()[]{}<>") if ODD.search(token) else token
-    return WORD.findall(restore(core, costs) if ODD.search(core) else core)
+    return words_of(token, costs)
 
 
 def tail_readings(token: str, costs: np.ndarray) -> list[str]:
@@ -158,6 +223,37 @@ def tail_words(token: str, costs: np.ndarray) -> list[str]:
     return [w for t in tail_readings(token, costs) for w in WORD.findall(t)]
 
 
+# -- what can weigh anything --------------------------------------------------------------------------------------
+
+
+def _classes() -> dict[int, str | None]:
+    """Translation of characters to the class of all letters that they may stand for; separators go."""
+    head = {c: c for c in "abcdefghijklmnopqrstuvwxyz"}
+
+    def find(c: str) -> str:
+        while head[c] != c:
+            c = head[c]
+        return c
+
+    for letters in LEET.values():
+        for x in letters[1:]:
+            head[find(x)] = find(letters[0])
+    out: dict[int, str | None] = {ord(c): find(chr(96 + n)) for c, n in SYMBOL.items()}
+    out |= {ord(c): find(letters[0]) for c, letters in LEET.items()}
+    return out | {ord(c): None for c in SEPARATORS}
+
+
+CLASSES, AGAIN = _classes(), re.compile(r"(.)\1+", re.DOTALL)
+#: Characters that are no letter and may stand for none: they end words on every path.
+HARD = re.compile("[^\\w" + re.escape(SEPARATORS + "".join(LEET)) + "]+")
+
+
+def skeleton(text: str) -> str:
+    """Classes of a text's characters, without separators, runs of a class once. A word that any path reads from a piece has a skeleton
+    that stands in the piece's: a path leaves out separators and repeats only, and stays in a character's class."""
+    return AGAIN.sub(r"\1", text.translate(CLASSES))
+
+
 def text_tokens(text: str) -> set[str]:
     """Distinct lower-cased tokens of a whole text, and its spelled-out words."""
     low = text.lower()
@@ -166,6 +262,23 @@ def text_tokens(text: str) -> set[str]:
     return tokens
 
 
+def windows(piece: str) -> list[tuple[str, bool, bool]]:
+    """Windows of LONG characters that overlap by half, and whether each one holds the piece's beginning and its end."""
+    half = LONG // 2
+    return [(piece[at : at + LONG], at == 0, at + LONG >= len(piece)) for at in range(0, len(piece) - half, half)]
+
+
+def window_words(window: str, costs: np.ndarray, first: bool, last: bool) -> list[str]:
+    """Words that stand wholly in a window; one that a border cuts stands in the next window."""
+    text = restore(window, costs)
+    words = WORD.findall(text)
+    if words and not first and LETTER.match(text):
+        words = words[1:]
+    if words and not last and LETTER.match(text[-1]):
+        words = words[:-1]
+    return words
+
+
 def word_features(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
 
@@ -181,16 +294,58 @@ class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     offset: float = -20.0
     slope: float = 0.0
+    #: Skeletons of the weighted features; built where it is used.
+    known: object = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
+    def may_weigh(self, piece: str) -> bool:
+        """Whether any reading of a piece can have a weight."""
+        if self.known is None:
+            built = ahocorasick.Automaton()
+            for f in self.weights:
+                if s := skeleton(f.rstrip("$")):
+                    built.add_word(s, True)
+            built.make_automaton()
+            self.known = built
+        if not len(self.known):
+            return False
+        return (1 <= piece.count("*") <= MASKS) or next(self.known.iter(skeleton(piece)), None) is not None
+
+    def weight_of(self, words: list[str]) -> float:
+        weights = self.weights
+        return max((weights.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
+
+    def piece_weight(self, piece: str, tail: bool = True) -> float:
+        """The largest weight of a word of a whole piece; tail: leet at its end may be letters."""
+        words = restored_words(piece, self.costs)
+        more = tail_words(piece, self.costs) if tail else []
+        best = self.weight_of(words + more)
+        if not best and (more or DOUBLED.search(piece)):  # a letter twice is common, so such a word counts as it is first
+            best = self.weight_of([v for w in words + more if DOUBLED.search(w) for v in WORD.findall(restore(w, self.costs))])
+        return best
 
     def token_weight(self, token: str) -> float:
-        weights = self.weights
-        words = restored_words(token, self.costs) if not token.isalpha() or ODD.search(token) else [token]
-        tail = tail_words(token, self.costs)
-        words = words + tail
-        best = max((weights.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
-        if not best and (tail or DOUBLED.search(token)):  # a letter twice is common, so such a word counts as it is first
-            again = (v for w in words if DOUBLED.search(w) for v in WORD.findall(restore(w, self.costs)))
-            best = max((weights.get(f, 0.0) for w in again for f in word_features(w)), default=0.0)
+        """The largest weight of a token's words."""
+        if token.isalpha() and (best := self.weight_of([token])):
+            return best
+        if token.isalpha() and not DOUBLED.search(token):
+            return 0.0
+        best, spelled = 0.0, " " in token
+        for part in [normal(token)] if spelled else normal(token).split(" "):
+            if len(part) <= LONG:
+                if self.may_weigh(part):
+                    best = max(best, self.piece_weight(part))
+                continue
+            for piece in [part] if spelled else HARD.split(part):
+                if len(piece) <= LONG:
+                    if self.may_weigh(piece):
+                        best = max(best, self.piece_weight(piece, part.endswith(piece)))
+                elif not spelled and not is_odd(piece):
+                    best = max(best, self.weight_of(WORD.findall(piece)))
+                else:
+                    best = max(best, max((self.weight_of(window_words(w, self.costs, a, z)) for w, a, z in windows(piece) if self.may_weigh(w)), default=0.0))
         return best
 
     def evidence(self, text: str, cache: dict[str, float]) -> float:
@@ -222,6 +377,14 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, t
     return write_table(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
 
 
+def learned_words(token: str, costs: np.ndarray) -> list[str]:
+    """Words that a token of a labelled text gives: restored ones, or its plain words where it is longer than a word can be."""
+    if len(token) > LONG:
+        return WORD.findall(token)
+    token = normal(token)
+    return restored_words(token, costs) + tail_words(token, costs)
+
+
 def near_copy_key(text: str) -> int:
     """Smallest hash of the text's runs of three words: near copies mostly share it, other texts do not."""
     w = text.split()
@@ -268,14 +431,14 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n: Counter[str] = Counter()
             for text in batch.column(2).to_pylist():
-                own = {f for t in text_tokens(text) for w in restored_words(t, shipped.value) + tail_words(t, shipped.value) for f in word_features(w)}
+                own = {f for t in text_tokens(text) for w in learned_words(t, shipped.value) for f in word_features(w)}
                 n.update(own if known is None else known & own)
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
 
         return run
 
     toxic = map_batches(sample_one.where("label = 1"), counted(None), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    toxic_n = {r[0]: r[1] for r in toxic.orderBy(F.desc("n"), "f").limit(FEATURES).collect()}
+    toxic_n = {r[0]: r[1] for r in toxic.orderBy("f").collect()}  # bounded by the sample's words
     clean = map_batches(sample_one.where("label <> 1"), counted(frozenset(toxic_n)), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
     clean_n = {r[0]: r[1] for r in clean.collect()}
     if toxic_n:
@@ -327,7 +490,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 def reject_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """df without the rows that score the threshold or more; all columns stay as they are."""
     held, key = _shipped(df, model)
-    at = df.columns.index(text_col)
+    at = place_of(df, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array([held.value.score(held.value.evidence(t or "", worker_cache(key))) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
@@ -336,17 +499,19 @@ def reject_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
 
 def restore_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the restored text: suspicious tokens replaced by what they stand for, blanks between tokens."""
+    """The id and the restored text: suspicious tokens replaced by what they stand for, blanks between tokens. Tokens that are longer
+    than LONG in their normal form are no words and stay as they are."""
     held, _ = _shipped(df, model)
 
     def read(token: str) -> str:
-        weights, costs = held.value.weights, held.value.costs
-        plain = restore(token, costs) if ODD.search(token) else token
-        weight = lambda t: max((weights.get(f, 0.0) for w in WORD.findall(t) for f in word_features(w)), default=0.0)
-        return max([plain, *tail_readings(token, costs)], key=weight)
+        model, short = held.value, normal(token)
+        if len(short) > LONG:
+            return token
+        plain = restore(short, model.costs) if is_odd(short) else short
+        return max([plain, *tail_readings(short, model.costs)], key=lambda t: model.weight_of(WORD.findall(t)))
 
     def fixed(text: str) -> str:
-        low = SPELLED.sub(lambda m: restore(m[0], held.value.costs), text.lower())
+        low = SPELLED.sub(lambda m: restore(m[0], held.value.costs) if len(m[0]) <= LONG else m[0], text.lower())
         return " ".join(map(read, low.split()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
