@@ -2,13 +2,15 @@
 
 Two generative models count hashed byte n-grams (as many buckets for any corpus): the target from labelled good rows, the
 raw one from all documents. A text's log importance weight is the sum of log p_target - log p_raw over its n-grams. A
-logistic curve on the weight per n-gram, fitted on labelled rows, says how likely a text is good; rows below one half are
-rejected. Gumbel top-k on the log importance weights (a text's sum, its noise from its id and text) draws a sample without replacement.
+logistic curve on the weight per n-gram, fitted on labelled rows, says how likely a text is good. Gumbel top-k on the log importance
+weights (a text's sum, its noise from its id and text) draws a sample without replacement. To reject poor texts, the weights are taken
+against a raw model that is scaled so that the curve's middle is at zero, and as many rows are drawn as lie above it.
 
 Labels are learned from a bounded sample: SAMPLE labelled rows of the smallest hash, outside the held-out fold.
-Defined results: null and empty texts have no n-grams, weight 0, and the score of an average good text; repeated rows are
-scored one by one, and get the same noise; without labelled rows all rows are kept; other columns are ignored (score) or kept
-as they are (reject).
+Defined results: null and empty texts have no n-grams, weight 0, and the score of an average good text; very long texts are weighed
+whole; repeated rows are scored one by one, and get the same noise; of rows whose keys tie at the border of a draw, as many are taken as
+make the draw exact, in reading order; without labelled rows all rows are kept; an empty table gives an empty result; other columns,
+whatever their names, are ignored (score) or kept as they are (reject).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, map_batches, parts_of, quantile_bounds, range_number, spare_name, utf8, write_table
+from .common import bound_batches, drop_table, map_batches, parts_of, place_of, quantile_bounds, range_number, spare_name, utf8, write_table
 from .toxicity import SAMPLE, fit_curve, fold, labelled_sample
 
 #: Bytes of an n-gram, and buckets (a power of two) of its hash.
@@ -57,7 +59,7 @@ def gram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
     slim = df.select(F.col(text_col).cast("string").alias("text"))
-    map_batches(slim, lambda b: b, slim.schema)  # sets the batch size
+    bound_batches(df.sparkSession)
     found = slim.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
@@ -83,6 +85,13 @@ class QualityModel:
     def per_gram(self, n: int, weight: float) -> float:
         return (weight + PRIOR_GRAMS * self.mean) / (n + PRIOR_GRAMS)
 
+    def margin(self, n: int, weight: float) -> float:
+        """Log importance weight against a raw model that is scaled by as much an n-gram as puts the curve's middle at zero; the n-grams
+        that every text is taken to have are counted in. Without labels it is 1."""
+        if not self.slope:
+            return 1.0
+        return (n + PRIOR_GRAMS) * (self.per_gram(n, weight) + self.offset / self.slope) * (1 if self.slope > 0 else -1)
+
     def score(self, n: int, weight: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.offset + self.slope * self.per_gram(n, weight)))))
 
@@ -129,32 +138,50 @@ def score_quality(df: DataFrame, model: QualityModel, id_col: str = "doc_id", te
     return scored.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")).drop("noise").withColumnRenamed("id", id_col)
 
 
+def kth_largest(values: DataFrame, column: str, k: int, held: int = 20_000) -> tuple[object, int]:
+    """The k-th largest value of a column without nulls, and how many rows of just that value the k largest take in.
+
+    Rows are counted in quantile ranges, which are narrowed until `held` rows at most are left to order; values is read a few times.
+    """
+    left, rank = values.select(F.col(column).alias("x")), k
+    while (n := left.count()) > held:
+        bounds = quantile_bounds(left, "x", parts_of(values.sparkSession))
+        parts = left.groupBy(range_number(F.col("x"), bounds, "double").alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        for r in sorted(parts.collect(), key=lambda r: -r["part"]):  # one row a range
+            if r["n"] >= rank:
+                break
+            rank -= r["n"]
+        if r["n"] == n or r["low"] == r["high"]:  # no border within: the range's largest value is told from the others
+            top = left.where(F.col("x") == F.lit(r["high"])).count()
+            if top >= rank:
+                return r["high"], rank
+            rank, left = rank - top, left.where(F.col("x") < F.lit(r["high"]))
+        else:
+            left = left.where(F.col("x").between(r["low"], r["high"]))
+    border = left.orderBy(F.desc("x")).limit(rank).agg(F.min("x")).first()[0]
+    return border, rank - left.where(F.col("x") > F.lit(border)).count()
+
+
 def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key", held: int = 20_000) -> DataFrame:
-    """scored with `selected`: whether a row has one of the k largest keys. scored should be a table: it is read a few times.
+    """scored with `selected`: whether a row is one of the k of the largest keys; a column of this name in any letter case is replaced.
 
-    The k-th largest key is found by counting rows in quantile ranges, narrowed until `held` rows at most are left to order.
-    Equal keys at the border come in or stay out together.
+    Of rows that tie at the border, as many are taken as make exactly k, in the order in which the table is read. scored should be a
+    table: it is read a few times.
     """
+    scored = scored.drop("selected")
     total = scored.count()
-    name = spare_name(scored, "selected") if "selected" in scored.columns else "selected"
     if k <= 0 or not total:
-        return scored.withColumn(name, F.lit(False))
+        return scored.withColumn("selected", F.lit(False))
     if k >= total:
-        return scored.withColumn(name, F.lit(True))
-    left, rank = scored.select(F.col(key).alias("x")), k
-    while (n := left.count()) > held:
-        bounds = quantile_bounds(left, "x", parts_of(scored.sparkSession))
-        counts = {r[0]: (r[1], r[2], r[3]) for r in left.groupBy(range_number(F.col("x"), bounds, "double").alias("part")).agg(F.count("*"), F.min("x"), F.max("x")).collect()}
-        for part in sorted(counts, reverse=True):
-            if counts[part][0] >= rank:
-                break
-            rank -= counts[part][0]
-        low, high = counts[part][1], counts[part][2]
-        if low == high or counts[part][0] == n:
-            return scored.withColumn(name, F.col(key) >= F.lit(low))
-        left = left.where(F.col("x").between(low, high))
-    border = left.orderBy(F.desc("x")).limit(rank).agg(F.min("x")).first()[0]
-    return scored.withColumn(name, F.col(key) >= F.lit(border))
+        return scored.withColumn("selected", F.lit(True))
+    border, taken = kth_largest(scored, key, k, held)
+    tied = scored.where(F.col(key) == F.lit(border)).count()
+    if tied == taken:
+        return scored.withColumn("selected", F.col(key) >= F.lit(border))
+    row = spare_name(scored, "row")
+    numbered = write_table(scored.withColumn(row, -F.monotonically_increasing_id()))
+    last, _ = kth_largest(numbered.where(F.col(key) == F.lit(border)), row, taken, held)
+    return numbered.withColumn("selected", (F.col(key) > F.lit(border)) | ((F.col(key) == F.lit(border)) & (F.col(row) >= F.lit(last)))).drop(row)
 
 
 def resample(df: DataFrame, model: QualityModel, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,16 +190,31 @@ def resample(df: DataFrame, model: QualityModel, share: float = 0.5, id_col: str
     return gumbel_top_k(scored, int(share * scored.count()))
 
 
-def reject_poor(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """df without the rows that score below the threshold; all columns stay as they are."""
+def with_margin(df: DataFrame, model: QualityModel, margin: str, text_col: str = "text") -> DataFrame:
+    """df with a column: the log importance weight of each text, its raw model scaled so that the curve's middle is zero."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
+    at = place_of(df, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = held.value
-        return batch.filter(pa.array([m.score(*m.weight(t)) >= threshold for t in utf8(batch.column(at))], pa.bool_()))
+        found = [m.margin(*m.weight(t)) for t in utf8(batch.column(at))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, margin])
+
+    return map_batches(df, run, df.limit(0).withColumn(margin, F.lit(None).cast("double")).schema)
 
-    return map_batches(df, run, df.schema)
+
+def reject_poor(df: DataFrame, model: QualityModel, text_col: str = "text", seed: int = 0) -> DataFrame:
+    """df without the rows that importance resampling leaves out; all columns stay as they are.
+
+    As many rows are drawn as are likelier good than not. Each row's key is its log importance weight (``with_margin``), of which a
+    clearly good text has many times the noise's spread, plus Gumbel noise from its own text; the k largest keys stay.
+    """
+    margin, key = spare_name(df, "margin"), spare_name(df, "gumbel_key")
+    weighed = with_margin(df, model, margin, text_col)
+    noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{text_col}`").cast("string")), 11).cast("double") + 0.5) / float(1 << 53)))
+    weighed = write_table(weighed.withColumn(key, F.col(margin) + noise))
+    drawn = gumbel_top_k(weighed, weighed.where(F.col(margin) >= 0).count(), key)
+    return drawn.where("selected").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 __all__ = ["QualityModel", "fit_quality", "fold", "gumbel_top_k", "reject_poor", "resample", "score_quality"]
