@@ -2,43 +2,102 @@
 
 Tier one is a broadcast table of the corpus' frequent pre-tokens with their token counts, of bounded size.
 Tier two is a cache in each Python worker: pre-tokens that miss both are encoded by the library in batches.
-No pre-token is shuffled. A text is cut by the library's own splitting pattern; where Python's character
-classes might differ from the library's (rare scripts, control characters) or a special token's string
-occurs, the library encodes the whole text instead, so counts are the library's in every case.
+No pre-token is shuffled: the table comes from a sample of whole texts, SAMPLED rows by the hash of their text, whose tasks each report
+their heaviest pre-tokens to the driver. It decides on speed only; every count is made from all of a row's text.
 
-Defined results: null counts as empty (0 tokens); repeated rows are counted one by one; other columns are ignored.
+A text is cut by the library's own splitting pattern, written out with the letters and numbers on which Unicode versions agree
+since 3.2. Where a text holds another character (a younger script, a control character) or a special token's string, it is first cut
+at blanks between other characters, which are borders of pre-tokens in any case, and the words with such characters are units that
+the library encodes itself; so counts are the library's in every case, and all texts go through both tiers.
+
+Defined results: null counts as empty (0 tokens, 0 bytes); repeated rows are counted one by one; very long texts are counted whole, and
+pre-tokens of more than LONG characters are encoded without a place in the cache; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_batches, utf8
+from .common import drop_table, map_batches, utf8, write_table
 
-#: Characters whose classes agree between Unicode versions and libraries: ASCII without controls but tab, line feed and return; Latin, Greek, Cyrillic.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я]*")
-LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я", "0-9²³¹¼-¾"
-#: The byte-level splitting pattern, its letter and number classes written out for plain characters.
-PATTERN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
-#: Entries of the broadcast table, heavy hitters that one partition reports, entries of a worker's cache.
-FREQUENT, REPORTED, CACHED = 32_768, 4_096, 400_000
+#: Entries of the broadcast table, rows of the sample that it is counted in, pre-tokens that its tasks report in all, entries of a worker's cache.
+FREQUENT, SAMPLED, REPORTED, CACHED = 32_768, 20_000, 1 << 20, 400_000
+#: Characters of a pre-token beyond which it is not kept in a table.
+LONG = 256
 
 _TOKENIZERS: dict[str, tuple[Tokenizer, tuple[str, ...]]] = {}
 _CACHES: dict[str, dict[str, int]] = {}
 
 
+def _ranges(found: list[int]) -> str:
+    """A character class' inside for sorted code points."""
+    out, lo = [], None
+    for k, c in enumerate(found):
+        lo = c if lo is None else lo
+        if k + 1 == len(found) or found[k + 1] != c + 1:
+            out.append(f"\\U{lo:08x}-\\U{c:08x}" if c > lo else f"\\U{c:08x}")
+            lo = None
+    return "".join(out)
+
+
+@cache
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """The splitting pattern, one unclear character, and the blanks that part words without regard to unclear characters.
+
+    A character is clear if it was a letter (a number, a blank, neither) in Unicode 3.2 and still is, or if it was unassigned then and is
+    no letter, number, blank or control now. A letter or number that came later, or is to come, may be unknown to the library. Letters
+    and numbers beyond the basic plane count as unclear (``astral``), so that classes hold the basic plane alone, which is fast.
+    """
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "?": []}
+    for c in range(0x10000):
+        kind = _kind(chr(c))
+        if kind in kinds:
+            kinds[kind].append(c)
+    letters, numbers, unclear = (_ranges(kinds[k]) for k in "LN?")
+    pattern = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+    return pattern, re.compile(f"[{unclear}]"), re.compile(rf"(?<=[^\s{unclear}])(?= [^\s{unclear}])")
+
+
+def _kind(ch: str) -> str:
+    """L, N, Z or O (none of these) for a clear character, else a question mark."""
+    now, then = unicodedata.category(ch), unicodedata.ucd_3_2_0.category(ch)
+    kind, old = ((c[0] if c[0] in "LNZ" else "O") for c in (now, then))
+    if now in ("Cn", "Cs") or (kind != old and not (then == "Cn" and kind == "O")) or "\x1c" <= ch <= "\x1f":
+        return "?"
+    return kind
+
+
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def astral(ch: str) -> bool:
+    """Whether a character beyond the basic plane is unclear; emoji, the common ones, are not."""
+    return _kind(ch) != "O"
+
+
+def is_unclear(text: str) -> bool:
+    return not text.isascii() and any(map(astral, set(ASTRAL.findall(text)))) or bool(patterns()[1].search(text))
+
+
 def tokenizer(path: str) -> tuple[Tokenizer, tuple[str, ...]]:
     if path not in _TOKENIZERS:
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        _TOKENIZERS[path] = t, tuple(a.content for a in t.get_added_tokens_decoder().values())
+        added = t.get_added_tokens_decoder().values()
+        if t.normalizer is not None or any(a.lstrip or a.rstrip or a.single_word or " " in a.content for a in added):
+            raise ValueError(f"the tokenizer alters texts before it splits them, or has added tokens that take blanks along: {path}")
+        _TOKENIZERS[path] = t, tuple(a.content for a in added)
     return _TOKENIZERS[path]
 
 
@@ -47,31 +106,52 @@ def worker_cache(path: str) -> dict[str, int]:
     return _CACHES.setdefault(path, {})
 
 
-def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the corpus' most frequent pre-tokens. Each partition reports its heaviest ones only, so what is gathered stays small; it affects speed, never counts."""
+def cut(text: str, special: tuple[str, ...]) -> list[str]:
+    """Pre-tokens of a text; words that hold an unclear character or a special token's string stay whole."""
+    split, _, blanks = patterns()
+    if not is_unclear(text) and not any(s in text for s in special):
+        return split.findall(text)
+    out: list[str] = []
+    for word in blanks.split(text):
+        if is_unclear(word) or any(s in word for s in special):
+            out.append(word)
+        else:
+            out.extend(split.findall(word))
+    return out
+
+
+def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT, sampled: int = SAMPLED) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens of a sample of about `sampled` rows: those with the smallest hashes of their texts, where
+    each text counts once. It affects speed, never counts."""
+    text = F.col(text_col).cast("string").alias("text")
+    rows = df.select(text).where("text IS NOT NULL")
+    part = max(1, rows.count() // max(1, sampled))
+    sample = write_table(rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0))
+    reported = max(64, REPORTED // max(1, len(sample.inputFiles())))
 
     def run(batches):
+        _, special = tokenizer(path)
         seen: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and PLAIN.fullmatch(text):
-                    seen.update(PATTERN.findall(text))
-            if len(seen) > 20 * REPORTED:  # lossy counting: light ones go, memory stays bounded
-                seen = Counter(dict(seen.most_common(5 * REPORTED)))
-        top = seen.most_common(REPORTED)
+            for x in set(batch.column(0).to_pylist()):
+                seen.update(t for t in cut(x, special) if len(t) <= LONG)
+            if len(seen) > 20 * reported:  # lossy counting: light ones go, memory stays bounded
+                seen = Counter(dict(seen.most_common(5 * reported)))
+        top = seen.most_common(reported)
         yield pa.RecordBatch.from_pydict({"t": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
-    map_batches(df.limit(0), lambda b: b, df.schema)  # sets the batch size
-    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(most).collect()
-    words = [r["t"] for r in rows]
-    t, special = tokenizer(path)
-    return {w: len(e.ids) for w, e in zip(words, t.encode_batch(words, add_special_tokens=False), strict=True) if not any(s in w for s in special)}
+    seen: Counter[str] = Counter()
+    for r in sample.mapInArrow(run, "t string, n long").toLocalIterator():  # REPORTED rows in all, one task's at a time
+        seen[r["t"]] += r["n"]
+    drop_table(sample)
+    words = sorted(seen, key=lambda w: (-seen[w], w))[:most]
+    t, _ = tokenizer(path)
+    return {w: len(e.ids) for w, e in zip(words, t.encode_batch(words, add_special_tokens=False), strict=True)}
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: dict[str, int] | None = None) -> DataFrame:
     """One row per input row: the id, n_bytes (UTF-8) and n_tokens. path: a byte-level BPE file of the tokenizers library, at the same place on every executor."""
     table = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, path, text_col) if frequent is None else frequent)
-    pattern, plain = PATTERN, PLAIN
 
     def lookup(batch: pa.RecordBatch) -> pa.RecordBatch:
         t, special = tokenizer(path)
@@ -79,15 +159,15 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         texts = [x or "" for x in batch.column(1).to_pylist()]
         counts: list[int] = []
         for lo in range(0, len(texts), 100):
-            part = texts[lo : lo + 100]
-            cut = [pattern.findall(x) if plain.fullmatch(x) and not any(s in x for s in special) else None for x in part]
+            pieces = [cut(x, special) for x in texts[lo : lo + 100]]
             if len(own) > CACHED:
                 own.clear()
-            missed = list(set().union(*(c for c in cut if c is not None)).difference(first).difference(own))
-            own.update(zip(missed, (len(e.ids) for e in t.encode_batch(missed, add_special_tokens=False)), strict=True))
-            both = Tiers(first, own)
-            for x, c in zip(part, cut, strict=True):
-                counts.append(len(t.encode(x, add_special_tokens=False).ids) if c is None else sum(map(both.of, c)))
+            missed = list(set().union(*pieces).difference(first).difference(own))
+            once = dict(zip(missed, (len(e.ids) for e in t.encode_batch(missed, add_special_tokens=False)), strict=True))
+            long = {w: once.pop(w) for w in missed if len(w) > LONG}
+            own.update(once)
+            both = Tiers(first, own, long)
+            counts.extend(sum(map(both.of, p)) for p in pieces)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in utf8(batch.column(1))], pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -95,13 +175,15 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 class Tiers:
-    """The broadcast table first, the worker's cache after it."""
+    """The broadcast table first, the worker's cache after it, then this batch's long pre-tokens."""
 
-    __slots__ = ("first", "own")
+    __slots__ = ("first", "long", "own")
 
-    def __init__(self, first: dict[str, int], own: dict[str, int]):
-        self.first, self.own = first, own
+    def __init__(self, first: dict[str, int], own: dict[str, int], long: dict[str, int]):
+        self.first, self.own, self.long = first, own, long
 
     def of(self, word: str) -> int:
         n = self.first.get(word)
-        return self.own[word] if n is None else n
+        if n is None:
+            n = self.own.get(word)
+        return self.long[word] if n is None else n
