@@ -10,12 +10,15 @@ feed); each distinct unit is encoded once by the library, and a worker's cache g
 A giant document is cut into chunks of any place. A chunk's boundary states are the pieces that lie across or end at its
 borders; its transfer matrix holds the largest score of a path from each state at its start to each at its end (minus infinity
 without one). Inside, from the first border of units to the last, the path is known and adds one number; only the pieces of
-cut units are searched. Matrices combine by max-plus products; a prefix scan of them gives each chunk the states at its
-borders, from which it is traced back apart from all others. Scores are summed in whole numbers, so any order is exact.
-
-Defined results: a null text is empty; an empty text has no pieces; the word mark itself (U+2581) in a text reads as a blank, and
-texts that the model's normaliser alters do not decode to themselves; repeated rows are encoded one by one; other columns are
-ignored. encode() is equal to the library's encoding of the whole text.
+cut units are searched. Matrices combine by max-plus products, neighbour with neighbour in rounds, up a tree to one matrix a document;
+the states at the borders come down the same tree, and each chunk is traced back apart from all others. Scores are summed in whole
+numbers, so any order is exact.
+
+Defined results: a null text is empty; an empty text has no pieces; very long texts are encoded whole, by chunks; the word mark itself
+(U+2581) in a text reads as a blank, and texts that the model's normaliser alters do not decode to themselves; the path is the only one,
+so there are no ties; repeated rows are encoded one by one; an empty table gives an empty result; other columns are kept as they are,
+whatever their names, but one named like the result in any letter case is replaced. encode() is equal to the library's encoding of the
+whole text.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, spare_name, write_table
+from .common import drop_table, map_batches, place_of, spare_name, write_table
 
 MARK = "▁"
 #: Characters above which a document is giant, characters of a chunk, entries of a worker's cache.
 GIANT, CHUNK, CACHED = 50_000, 16_384, 200_000
+#: Neighbouring matrices that one task multiplies in a round of the scan.
+FAN = 16
 NONE = float("-inf")
 
 #: Letters, digits, signs and blanks of Latin scripts.
@@ -289,24 +294,32 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def states_on_path(matrices: list[Matrix]) -> list[State]:
-    """The states of the best path at all borders: forward sums from the start, backward sums from the end."""
-    ahead: list[Matrix] = [{BREAK: {BREAK: 0.0}}]
-    for m in matrices:
-        ahead.append(combine(ahead[-1], m))
-    behind: dict[State, float] = {BREAK: 0.0}
-    out = [BREAK]
-    for k in range(len(matrices) - 1, -1, -1):
-        behind = {e: max(w + behind[s] for s, w in row.items() if s in behind) for e, row in matrices[k].items() if any(s in behind for s in row)}
-        row = ahead[k][BREAK]
-        out.append(max((s for s in row if s in behind), key=lambda s: (row[s] + behind[s], s)))
-    return out[::-1]
+def product(matrices: list[Matrix]) -> Matrix:
+    """Max-plus product of neighbours, pair by pair; any bracketing gives the same."""
+    while len(matrices) > 1:
+        pairs = [combine(a, b) for a, b in zip(matrices[::2], matrices[1::2], strict=False)]
+        matrices = pairs + ([matrices[-1]] if len(matrices) % 2 else [])
+    return matrices[0]
+
+
+def states_between(matrices: list[Matrix], entry: State, leave: State) -> list[State]:
+    """The states at all borders of neighbouring matrices on the best path from entry to leave."""
+    behind: dict[State, float] = {leave: 0.0}
+    later = [behind]
+    for m in matrices[:0:-1]:
+        behind = {e: max(w + behind[s] for s, w in row.items() if s in behind) for e, row in m.items() if any(s in behind for s in row)}
+        later.append(behind)
+    out = [entry]
+    for m, ahead in zip(matrices, later[::-1], strict=True):
+        row = m[out[-1]]
+        out.append(max((s for s in row if s in ahead), key=lambda s: (row[s] + ahead[s], s)))
+    return out
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """df with `token_ids` (array of int), equal to the library's encoding of each whole text; columns of this name are replaced."""
     df = df.drop("token_ids")
-    at = df.columns.index(text_col)
+    at = place_of(df, text_col)
 
     def small(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = Encoder.get(path)
@@ -316,74 +329,108 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "token_ids"])
 
     schema = df.limit(0).withColumn("token_ids", F.lit(None).cast("array<int>")).schema
-    length = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    length = F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     ordinary = map_batches(df.where(length <= giant), small, schema)
-    return ordinary.union(encode_giants(df.where(length > giant), path, text_col, chunk))
+    return ordinary.union(encode_giants(df.where(length > giant), path, text_col, chunk, fan))
 
 
-def encode_giants(df: DataFrame, path: str, text_col: str, chunk: int) -> DataFrame:
-    """Giant documents by chunks: matrices apart, a scan of each document's matrices, traces apart, joined in order.
+def encode_giants(df: DataFrame, path: str, text_col: str, chunk: int, fan: int = FAN) -> DataFrame:
+    """Giant documents by chunks: matrices apart, a parallel scan over each document's matrices, traces apart, joined in order.
 
-    A document has at most 2**31 / chunk chunks, so the scan of one document and the list of its ids stay bounded.
+    The scan is a tree: a task multiplies `fan` neighbouring matrices at most, over rounds that grow with the logarithm of a document's
+    chunks, and then hands the states at the borders down the same tree. A text is brought to the model's normal form before it is cut.
     """
     tag = spare_name(df, "giant_row")
     giants = write_table(df.withColumn(tag, F.monotonically_increasing_id()))
-    at, tag_at = giants.columns.index(text_col), giants.columns.index(tag)
+    at, tag_at = place_of(giants, text_col), place_of(giants, tag)
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Windows of marked text: the chunk and `longest` characters on both sides. A text that the normaliser alters is one chunk without borders."""
+        """Windows of marked text in normal form: the chunk and `longest` characters on both sides."""
         enc = Encoder.get(path)
         step, margin = max(chunk, 2 * enc.longest), 2 * enc.longest
         for tag_value, text in zip(batch.column(tag_at).to_pylist(), batch.column(at).to_pylist(), strict=True):
-            whole = enc.plain(text)
-            marked = enc.marked(text) if whole else text
-            cuts = [*range(0, len(marked), step), len(marked)] if whole else [0, len(marked)]
-            rows = [(tag_value, k, marked[max(0, a - margin) : b + margin], min(a, margin), min(a, margin) + b - a, whole) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["tag", "part", "window", "start", "end", "whole"])
+            marked = enc.marked(text) if enc.plain(text) else enc.library.normalize(text)
+            cuts = [*range(0, len(marked), step), len(marked)] if marked else []
+            rows = [(tag_value, k, marked[max(0, a - margin) : b + margin], min(a, margin), min(a, margin) + b - a) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["tag", "part", "window", "start", "end"])
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = write_table(map_batches(giants, cut, "tag long, part int, window string, start int, end int, whole boolean").repartition(n, "tag", "part"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = write_table(map_batches(giants, cut, "tag long, part int, window string, start int, end int").repartition(n, "tag", "part"))
 
     def matrix(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, out = Encoder.get(path), []
         for r in batch.to_pylist():
-            m = transfer(enc, r["window"], r["start"], r["end"]) if r["whole"] else {BREAK: {BREAK: 0.0}}
+            m = transfer(enc, r["window"], r["start"], r["end"])
             out.extend((r["tag"], r["part"], e[0], e[1], s[0], s[1], w) for e, row in m.items() for s, w in row.items())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 7, _KINDS, strict=True)], _NAMES)
 
-    matrices = map_batches(parts, matrix, "tag long, part int, from_at int, from_piece string, to_at int, to_piece string, weight double")
-
-    def scan(pdf):
-        import pandas as pd
-
-        chunks: dict[int, Matrix] = {}
-        for r in pdf.itertuples(index=False):
-            chunks.setdefault(r.part, {}).setdefault((r.from_at, r.from_piece), {})[(r.to_at, r.to_piece)] = r.weight
-        on = states_on_path([chunks[k] for k in sorted(chunks)])
-        return pd.DataFrame([(pdf["tag"].iloc[0], k, *a, *b) for k, (a, b) in enumerate(zip(on, on[1:], strict=False))], columns=["tag", "part", "from_at", "from_piece", "to_at", "to_piece"])
-
-    borders = matrices.groupBy("tag").applyInPandas(scan, "tag long, part int, from_at int, from_piece string, to_at int, to_piece string")
+    levels = [write_table(map_batches(parts, matrix, _MATRIX))]
+    chunks = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while chunks > 1:  # up: each round multiplies neighbours, so a document of n chunks takes log n rounds
+        chunks = -(-chunks // fan)
+        levels.append(write_table(_grouped(levels[-1], fan).groupBy("tag", "above").applyInPandas(_multiply, _MATRIX)))
+    # Down: the ends of a document are known, and each round gives the states between the neighbours of a level.
+    ends = levels[-1].select("tag", "part", "from_at", "from_piece", "to_at", "to_piece")
+    for below in reversed(levels[:-1]):
+        known = ends.select("tag", F.col("part").alias("above"), *(F.col(c).alias(f"end_{c}") for c in _NAMES[2:6]))
+        ends = write_table(_grouped(below, fan).join(known, ["tag", "above"]).groupBy("tag", "above").applyInPandas(_split, _ENDS))
+    if len(levels) > 1:
+        for t in levels:
+            drop_table(t)
+    borders = ends
     known = parts.join(borders, ["tag", "part"])
 
     def trace(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, rows = Encoder.get(path), batch.to_pylist()
-        ids = [backtrace(enc, r["window"], r["start"], r["end"], (r["from_at"], r["from_piece"]), (r["to_at"], r["to_piece"])) if r["whole"] else enc.library.encode(r["window"], num_threads=1) for r in rows]
+        ids = [backtrace(enc, r["window"], r["start"], r["end"], (r["from_at"], r["from_piece"]), (r["to_at"], r["to_piece"])) for r in rows]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["tag", "part", "ids"])
 
-    names = [F.col(c) for c in ("tag", "part", "window", "start", "end", "whole", "from_at", "from_piece", "to_at", "to_piece")]
+    names = [F.col(c) for c in ("tag", "part", "window", "start", "end", "from_at", "from_piece", "to_at", "to_piece")]
     traced_parts = map_batches(known.select(*names), trace, "tag long, part int, ids array<int>")
     joined = traced_parts.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select(F.col("tag").alias("_joined_tag"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("token_ids"))
-    return giants.join(joined, giants[tag] == joined["_joined_tag"]).select(*(giants[c] for c in df.columns), "token_ids")
+    found = giants.join(joined, giants[tag] == joined["_joined_tag"], "left")
+    return found.select(*(giants[f"`{c}`"] for c in df.columns), F.coalesce("token_ids", F.array().cast("array<int>")).alias("token_ids"))
 
 
 _NAMES = ["tag", "part", "from_at", "from_piece", "to_at", "to_piece", "weight"]
 _KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.float64())
+_ENDS = "tag long, part int, from_at int, from_piece string, to_at int, to_piece string"
+_MATRIX = f"{_ENDS}, weight double"
+
+
+def _grouped(level: DataFrame, fan: int) -> DataFrame:
+    return level.withColumn("above", F.expr(f"part div {fan}").cast("int"))
+
+
+def _matrices(pdf) -> tuple[list[int], list[Matrix]]:
+    """Places and matrices of a group's rows, in order."""
+    found: dict[int, Matrix] = {}
+    for r in pdf.itertuples(index=False):
+        found.setdefault(r.part, {}).setdefault((r.from_at, r.from_piece), {})[(r.to_at, r.to_piece)] = r.weight
+    return sorted(found), [found[k] for k in sorted(found)]
+
+
+def _multiply(key, pdf):
+    import pandas as pd
+
+    m = product(_matrices(pdf)[1])
+    return pd.DataFrame([(key[0], key[1], *e, *s, w) for e, row in m.items() for s, w in row.items()], columns=_NAMES)
+
+
+def _split(key, pdf):
+    import pandas as pd
+
+    places, matrices = _matrices(pdf)
+    first = pdf.iloc[0]
+    on = states_between(matrices, (int(first["end_from_at"]), first["end_from_piece"]), (int(first["end_to_at"]), first["end_to_piece"]))
+    return pd.DataFrame([(key[0], k, *a, *b) for k, a, b in zip(places, on, on[1:], strict=False)], columns=_NAMES[:6])
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "token_ids", to_col: str = "decoded") -> DataFrame:
     """df with the text that its ids stand for; null ids are empty; a column of this name is replaced."""
     df = df.drop(to_col)
-    at = df.columns.index(ids_col)
+    at = place_of(df, ids_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = Encoder.get(path).decode_all([i or [] for i in batch.column(at).to_pylist()])
