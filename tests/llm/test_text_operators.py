@@ -120,8 +120,23 @@ def test_contamination_against_brute_force(spark):
     kept = decontaminate.remove_contaminated(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not (h and 20 * h >= n) for n, h, _ in (brute_contamination(t, items) for _, t in rows))
     assert decontaminate.find_contamination(df, empty(bench)).where("n_hit > 0").count() == 0 == decontaminate.find_contamination(empty(df), bench).count()
-    with pytest.raises(ValueError):
-        decontaminate.benchmark_items(bench, most=3)
+    # A benchmark dealt to many parts gives what one automaton gives.
+    for most in (60, 15):
+        parts = decontaminate.find_contamination(df, bench, most_words=most)
+        assert sorted(map(repr, parts.collect())) == sorted(map(repr, got))
+    assert decontaminate.remove_contaminated(df, bench, most_words=20).exceptAll(kept).count() == 0 == kept.exceptAll(decontaminate.remove_contaminated(df, bench, most_words=20)).count()
+
+
+def test_long_items_are_cut_without_losing_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 20)
+    rng = random.Random(12)
+    long = " ".join(rng.choice("a b c d e f g h".split()) for _ in range(150))
+    items, ws = [(1, long), (2, "x " + long[:60])], long.split()
+    texts = [" ".join(["z", *ws[a : a + n], "z"]) for a, n in [(k, 13) for k in range(0, 137, 5)] + [(3, 12), (20, 60), (0, 150)]]
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (1 << 20, 50):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.find_contamination(df, bench, most_words=most).collect()}
+        assert got == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
 
 
 # -- tokens and pieces ------------------------------------------------------------------------------------------------
