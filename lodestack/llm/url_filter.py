@@ -3,11 +3,14 @@
 A host's labels are reversed and each gets a dot: ``blog.example.com`` is ``com.example.blog.``. All hosts below
 a rule's host then lie in one interval of keys, and intervals of two rules are nested or apart. Rules and URLs are
 dealt to ranges of keys (a rule to every range that its interval meets), sorted, and swept once: a stack holds the
-rules whose interval is open, and a URL takes the longest one of them whose path its own path starts with.
-
-Defined results: a null URL, or one without "://", has an empty host and path and fits no rule; equal URLs are judged
-one by one; empty tables give empty results; of rules with the same host and path the smallest verdict holds; URLs
-that fit no rule get the default verdict. Other columns are ignored.
+hosts whose interval is open. Paths are intervals in the same way: a host's rules come in order of their paths, each one knows
+the next shorter path that it is nested in, and a URL finds its place among them by bisection, then goes outwards to the first
+that its own path starts with. So a URL costs the logarithm of a host's rules, however many there are.
+
+Defined results: a null URL, or one without "://", has an empty host and path and fits no rule; very long URLs are judged whole; equal
+URLs are judged one by one; empty tables give empty results; of rules with the same host and path the smallest verdict holds, of
+equally long ones that fit a URL the greatest in order; rules without a host are left out; URLs that fit no rule get the default
+verdict. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,33 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
+class HostRules:
+    """Rules of one host in order of their paths; nested: the place of the longest other path that a path starts with, or -1."""
+
+    __slots__ = ("host", "key", "nested", "paths", "verdicts")
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host = key, host
+        self.paths: list[str] = []
+        self.verdicts: list[str] = []
+        self.nested: list[int] = []
+
+    def add(self, path: str, verdict: str) -> None:
+        at = len(self.paths) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.nested[at]
+        self.paths.append(path)
+        self.verdicts.append(verdict)
+        self.nested.append(at)
+
+    def best(self, path: str) -> tuple[int, str, str] | None:
+        """(length, rule, verdict) of the longest rule whose path the given one starts with."""
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.nested[at]
+        return None if at < 0 else (len(self.host) + len(self.paths[at]), self.host + self.paths[at], self.verdicts[at])
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per URL: the id, host, path, rule (host and path of the longest that fits, else null) and verdict.
 
@@ -83,13 +113,15 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
             for r in batch.to_pylist():
                 if r["part"] != part:
                     part, stack = r["part"], []
-                while stack and not r["key"].startswith(stack[-1][0]):
+                while stack and not r["key"].startswith(stack[-1].key):
                     stack.pop()
                 if r["kind"] == 0:
-                    stack.append((r["key"], r["path"], r["host"] + r["path"], r["verdict"]))
+                    if not stack or stack[-1].key != r["key"]:
+                        stack.append(HostRules(r["key"], r["host"]))
+                    stack[-1].add(r["path"], r["verdict"])
                     continue
                 # An empty key holds no rule but those for every host; the longest rule wins, then the later in order.
-                fit = [(len(rule), rule, verdict) for key, start, rule, verdict in stack if r["path"].startswith(start) and r["host"]]
+                fit = [b for rules in stack if (b := rules.best(r["path"]))] if r["host"] else []
                 best = max(fit) if fit else None
                 out.append((r["id"], r["host"], r["path"], best[1] if best else None, best[2] if best else default))
             if out:
