@@ -12,9 +12,11 @@ side gives its near codewords where the other gives its wide ones, so a linked p
 verified by their distance, and a spanning forest of the verified links is kept (no pair list), so that
 groups of any size stay linear. Components come from alternating large-star and small-star steps.
 
-Defined results: a null text is empty; a text of no words has fingerprint zero, linked like any other;
-repeated rows are all returned; a null id takes part in links but is never the smallest id (a component of null
-ids only has a null component). Other columns are ignored.
+Defined results: a null text is empty; a text of no words has fingerprint zero, linked like any other; very long texts are read
+whole; a bit that is set in just half of the hashes is 0; repeated rows are all returned; a null id takes part in links but is never
+the smallest id (a component of null ids only has a null component); an empty table gives an empty result. Other columns, whatever
+their names, are ignored (near_duplicates) or kept as they are (keep_first, where of rows that share the smallest id and the least
+text hash one stays, and which of them is not told).
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, map_batches, spare_name, utf8, write_table
 
+#: Distinct fingerprints of one key that a task searches at once, and how often a longer run is split anew.
+LONG_RUN, SPLITS = 1 << 14, 3
 #: Generator polynomial of the Golay code, bits of the three segments, largest distance of a link.
 GENERATOR, SEGMENTS, DISTANCE = 0b101011100011, (22, 21, 21), 3
 SEED, SHINGLE = 42, 3
@@ -142,27 +146,32 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, fp long")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Spanning links (a, b), a < b, of the distinct fingerprints in column fp."""
+def split_keys(keys: np.ndarray, fps: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Four (key, fingerprint) pairs for each one: the key mixed with one of the four 16-bit segments. Of three errors, no more than three
+    segments have one, so any linked pair shares a new key. Segments begin elsewhere at each level."""
+    turned = (fps << np.uint64(5 * level)) | (fps >> np.uint64(64 - 5 * level)) if level else fps
+    out = []
+    for k in range(4):
+        part = (turned >> np.uint64(16 * k) & np.uint64(0xFFFF)) | np.uint64(k << 16)
+        mixed = (keys.view(np.uint64) ^ (part * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(mixed ^ (mixed >> np.uint64(32)))
+    return np.concatenate(out).view(np.int64), np.tile(fps, 4)
 
-    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys, of = segment_keys(fps) if len(fps) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of.view(np.int64), pa.int64())], ["key", "fp"])
 
-    def joined(batches):
-        """Runs of equal keys of a sorted partition; a run may go over many batches. Held: 8 bytes a fingerprint of the run."""
-        key, held = None, []
+def _run_links(limit: int | None):
+    """For sorted partitions of (key, fp): links (a, b) within each run of equal keys, and, of runs longer than the limit, their rows as they
+    are (open: true, a: key, b: fp). A run may go over many batches; held are 8 bytes a fingerprint of a run within the limit."""
+
+    def packed(a: np.ndarray, b: np.ndarray, is_open: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), is_open)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["open", "a", "b"])
+
+    def run(batches):
+        key, held, n, is_open = None, [], 0, False
 
         def close(out: list[tuple[int, int]]) -> None:
-            if sum(map(len, held)) > 1:
+            if n > 1 and not is_open:
                 out.extend(forest(np.concatenate(held)))
 
-        def packed(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            e = np.sort(np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64), axis=1)
-            e = np.unique(e, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy(), pa.int64()), pa.array(e[:, 1].copy(), pa.int64())], ["a", "b"])
-
         for batch in batches:
             out: list[tuple[int, int]] = []
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -171,28 +180,60 @@ def links(distinct: DataFrame) -> DataFrame:
                 continue
             starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
             ends = np.concatenate([starts[1:], [len(keys)]])
-            if keys[0] == key:
-                held.append(fps[: ends[0]].copy())
-            else:
-                close(out)
-                key, held[:] = keys[0], [fps[: ends[0]].copy()]
-            if len(starts) > 1:
-                close(out)
-                for a, b in zip(starts[1:-1], ends[1:-1], strict=True) if len(starts) > 2 else ():
-                    if b - a > 1:
-                        out.extend(forest(fps[a:b]))
-                key, held[:] = keys[-1], [fps[starts[-1] :].copy()]
+            inner = [(a, b) for a, b in zip(starts, ends, strict=True) if b - a > 1 or a == 0 or b == len(keys)]
+            for a, b in inner:
+                if keys[a] != key:
+                    close(out)
+                    key, held, n, is_open = keys[a], [], 0, False
+                held.append(fps[a:b].copy())
+                n += b - a
+                if limit is not None and (is_open or n > limit):
+                    every = np.concatenate(held).view(np.int64)
+                    yield packed(np.full(len(every), key, np.int64), every, True)
+                    held, is_open = [], True
             if out:
-                yield packed(out)
+                e = np.unique(np.sort(np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64), axis=1), axis=0)
+                yield packed(e[:, 0].copy(), e[:, 1].copy(), False)
         out = []
         close(out)
         if out:
-            yield packed(out)
+            e = np.unique(np.sort(np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64), axis=1), axis=0)
+            yield packed(e[:, 0].copy(), e[:, 1].copy(), False)
+
+    return run
+
+
+def links(distinct: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
+    """Spanning links (a, b), a < b, of the distinct fingerprints in column fp.
+
+    A run of more than `long_run` fingerprints under one key is split by segments into four times as many rows with finer keys, three
+    times at most; what is as long even then has fingerprints that are close together, and is searched whole.
+    """
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        keys, of = segment_keys(fps) if len(fps) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of.view(np.int64), pa.int64())], ["key", "fp"])
 
-    spark = distinct.sparkSession
-    pairs = map_batches(distinct.select("fp"), keyed, "key long, fp long")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
+    def finer(level: int):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, fps = split_keys(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), level)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fps.view(np.int64), pa.int64())], ["key", "fp"])
+
+        return run
+
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs, out = map_batches(distinct.select("fp"), keyed, "key long, fp long"), None
+    for level in range(SPLITS + 1):
+        limit = long_run if level < SPLITS else None
+        found = write_table(pairs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_run_links(limit), "open boolean, a long, b long"))
+        edges = found.where("NOT open").select("a", "b")
+        out = edges if out is None else out.union(edges)
+        left = found.where("open").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+        if left.isEmpty():
+            break
+        pairs = map_batches(left, finer(level), "key long, fp long")
+    return out.distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
