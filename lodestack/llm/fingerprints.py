@@ -6,10 +6,12 @@ t = floor(ln S / r + b) and a = c * exp(-r * (t - b + 1)), and the term of the s
 sample. Two texts agree in a sample with a probability equal to the generalised Jaccard similarity of their
 weights, so the share of equal samples estimates it.
 
-Defined results: a null text is empty; a text without words has a fingerprint of its own, equal to that of other
-such texts and unlike any other; repeated rows are all returned; a row without an id has no next document, so its
+Defined results: a null text is empty; very long texts are read whole; of terms whose bids are equal the one of the least hash is the
+sample; a text without words has a fingerprint of its own, equal to that of other
+such texts and unlike any other; an empty table gives an empty result; repeated rows are all returned; a row without an id has no next document, so its
 edited text is its own text and near_next is null; of rows with the same id, the next document's text is the smallest
-(by its needed part) and its fingerprint the smallest. Other columns are ignored.
+(by its needed part) and its fingerprint the smallest. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

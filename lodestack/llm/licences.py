@@ -6,8 +6,9 @@ hit votes for "template t begins at word p - q". Alignments that have all of the
 word: all mandatory key words must stand at their places, and a share of the template must match. As only
 mandatory words vote, every alignment that can pass is verified, whatever the frequencies.
 
-Defined results: a null text is empty; an empty text has no words and no matches; repeated rows are scanned
-one by one; other columns are ignored, whatever their names. An empty table gives an empty result.
+Defined results: a null text is empty; an empty text has no words and no matches; very long texts are scanned whole; of equally
+rare words the lesser in order is indexed first, which changes no result; matches at one place come in order of their labels; repeated
+rows are scanned one by one; other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

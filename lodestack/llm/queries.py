@@ -99,21 +99,16 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 
 def licence_sql() -> str:
-    """Alignments by votes of rare words, verified word by word, in SQL."""
+    """Every place where a template's first mandatory word stands, verified word by word, in SQL: no index and no votes."""
     ts = licences.TEMPLATES
     words = ",".join(f"({k},{p},'{w.decode()}',{any(a <= p < a + n for a, n in t.key)})" for k, t in enumerate(ts) for p, w in enumerate(t.words))
-    names = ",".join(f"({k},'{t.label}',{t.base},{len(t.words)},{1 if t.base else licences.ANCHORS})" for k, t in enumerate(ts))
+    names = ",".join(f"({k},'{t.label}',{t.base},{len(t.words)},{min(a for a, _ in t.key)})" for k, t in enumerate(ts))
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 tw(t, p, word, is_key) AS (VALUES {words}),
-tn(t, label, base, n, a) AS (VALUES {names}),
+tn(t, label, base, n, first_key) AS (VALUES {names}),
 dw AS (SELECT r, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS p FROM d),
-df AS (SELECT word, count(DISTINCT r) AS f FROM dw WHERE word IN (SELECT word FROM tw) GROUP BY word),
-ranked AS (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY coalesce(f, 0), word) AS k FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word)),
-rare AS (SELECT tw.t, tw.p, tw.word FROM tw JOIN tn USING (t) JOIN ranked ON ranked.t = tw.t AND ranked.word = tw.word WHERE k <= a),
-need AS (SELECT t, least(2, count(*)) AS v FROM rare GROUP BY t),
-vote AS (SELECT r, rare.t AS t, dw.p - rare.p AS start, count(*) AS n FROM dw JOIN rare USING (word) GROUP BY ALL),
-hit AS (SELECT r, t, start FROM vote JOIN need USING (t) WHERE n >= v),
+hit AS (SELECT r, tw.t, dw.p - tw.p AS start FROM dw JOIN tw USING (word) JOIN tn ON tn.t = tw.t AND tw.p = first_key),
 checked AS (SELECT hit.r, hit.t, start, sum((dw.word = tw.word)::INT) AS same, bool_and(NOT is_key OR coalesce(dw.word = tw.word, false)) AS keyed
   FROM hit JOIN tw USING (t) LEFT JOIN dw ON dw.r = hit.r AND dw.p = hit.start + tw.p GROUP BY ALL),
 m AS (SELECT r, label, base, start, same / n::DOUBLE AS c FROM checked JOIN tn USING (t) WHERE keyed AND same >= {licences.COVERAGE} * n),
