@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from .common import drop_table, map_batches, utf8, write_table
 
 #: Entries of the broadcast table, rows of the sample that it is counted in, pre-tokens that its tasks report in all, entries of a worker's cache.
-FREQUENT, SAMPLED, REPORTED, CACHED = 32_768, 20_000, 1 << 20, 400_000
+FREQUENT, SAMPLED, REPORTED, CACHED = 32_768, 20_000, 1 << 17, 400_000
 #: Characters of a pre-token beyond which it is not kept in a table.
 LONG = 256
 
@@ -125,7 +125,7 @@ def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int
     each text counts once. It affects speed, never counts."""
     text = F.col(text_col).cast("string").alias("text")
     rows = df.select(text).where("text IS NOT NULL")
-    part = max(1, rows.count() // max(1, sampled))
+    part = max(1, df.count() // max(1, sampled))
     sample = write_table(rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0))
     reported = max(64, REPORTED // max(1, len(sample.inputFiles())))
 
@@ -141,12 +141,17 @@ def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int
         yield pa.RecordBatch.from_pydict({"t": pa.array([t for t, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     seen: Counter[str] = Counter()
-    for r in sample.mapInArrow(run, "t string, n long").toLocalIterator():  # REPORTED rows in all, one task's at a time
-        seen[r["t"]] += r["n"]
+    for part in sample.mapInArrow(run, "t string, n long").toArrow().to_batches():  # REPORTED rows in all
+        for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            seen[word] += n
     drop_table(sample)
     words = sorted(seen, key=lambda w: (-seen[w], w))[:most]
-    t, _ = tokenizer(path)
-    return {w: len(e.ids) for w, e in zip(words, t.encode_batch(words, add_special_tokens=False), strict=True)}
+    return dict(zip(words, encoded_lengths(tokenizer(path)[0], words), strict=True))
+
+
+def encoded_lengths(t: Tokenizer, words: list[str], at_once: int = 4096) -> list[int]:
+    """Token counts by the library; its results are far larger than the words, so not many are held at once."""
+    return [len(e.ids) for lo in range(0, len(words), at_once) for e in t.encode_batch(words[lo : lo + at_once], add_special_tokens=False)]
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: dict[str, int] | None = None) -> DataFrame:
@@ -163,7 +168,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             if len(own) > CACHED:
                 own.clear()
             missed = list(set().union(*pieces).difference(first).difference(own))
-            once = dict(zip(missed, (len(e.ids) for e in t.encode_batch(missed, add_special_tokens=False)), strict=True))
+            once = dict(zip(missed, encoded_lengths(t, missed), strict=True))
             long = {w: once.pop(w) for w in missed if len(w) > LONG}
             own.update(once)
             both = Tiers(first, own, long)
