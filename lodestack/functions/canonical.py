@@ -101,3 +101,13 @@ def decode_path(stored: str) -> str:
     if stored.startswith("\x1fs"):
         return bytes.fromhex(stored[2:]).decode("utf-8", "surrogatepass")
     return stored[2:] if stored.startswith("\x1fu") else stored
+
+
+def escaped_path(path: Column) -> Column:
+    """encode_path() of paths that Spark's strings hold as they are."""
+    return F.when(path.startswith("\x1f"), F.concat(F.lit("\x1fu"), path)).otherwise(path)
+
+
+def unescaped_path(stored: Column) -> Column:
+    """The path behind escaped_path(); one with bytes that are no text stays escaped."""
+    return F.when(stored.startswith("\x1fu"), F.substring(stored, F.lit(3), F.length(stored))).otherwise(stored)

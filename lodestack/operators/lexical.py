@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, json_array, json_object, ordered_digest
-from ..functions.text import score_form, score_forms, tokens
+from ..functions.text import plain_form, score_form, score_forms, tokens
 from ..schemas import LexicalError, LexicalPolicy, LexicalQueryError, checked_limit
 
 
@@ -89,7 +89,17 @@ def postings(rows: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] =
 
 
 def term_counts(found: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return found.groupBy("term").agg(F.countDistinct(key).alias("documents"), F.count("*").alias("occurrences"))
+    """term, documents, occurrences from postings. Occurrences are summed by term and key before the shuffle by term."""
+    each = found.groupBy("term", key).agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+
+
+def text_term_counts(rows: DataFrame, columns: tuple[str, ...] = ("content", "path")) -> DataFrame:
+    """term_counts() of rows that are a document each. A term's first place in its row counts the document, so one shuffle, of counts that are
+    summed before it, is all."""
+    every = F.array_sort(F.flatten(F.array(*(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in columns))))
+    terms = rows.select(every.alias("t")).select(F.posexplode(F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("first")))).alias("at", "e"))
+    return terms.groupBy(F.col("e.term").alias("term")).agg(F.count_if("e.first").alias("documents"), F.count("*").alias("occurrences"))
 
 
 def postings_digest(found: DataFrame, by: list[str], key: str = "chunk_id") -> DataFrame:
@@ -98,6 +108,29 @@ def postings_digest(found: DataFrame, by: list[str], key: str = "chunk_id") -> D
     return ordered_digest(found, by, [key, "col", "offset", "term"], line)
 
 
+def chunk_digests(found: DataFrame, by: list[str], key: str = "chunk_id") -> DataFrame:
+    """SHA-256 of each key's postings as JSON lines by column, offset and term. A chunk's postings are bounded, so this is one shuffle on the
+    JVM's side."""
+    line = F.concat(json_array([(F.col("e.col"), "string"), (F.col("e.offset"), "number"), (F.col("e.term"), "string")]), F.lit("\n"))
+    lines = found.select(*by, key, F.struct("col", "offset", "term").alias("e")).withColumn("line", line)
+    own = F.array_sort(F.collect_list(F.struct("e", "line")))
+    return lines.groupBy(*by, key).agg(F.sha2(F.array_join(F.transform(own, lambda x: x["line"]), ""), 256).alias("digest"))
+
+
+def index_digest(found: DataFrame, by: list[str], key: str = "chunk_id") -> DataFrame:
+    """Digest of all postings of a group: SHA-256 over the JSON lines of its keys and their chunk_digests(), in key order. Only these lines, one a
+    chunk, meet in a group's task."""
+    line = F.concat(json_array([(F.col(key), "string"), (F.col("digest"), "string")]), F.lit("\n"))
+    return ordered_digest(chunk_digests(found, by, key).withColumnRenamed("digest", "_chunk").select(*by, key, F.col("_chunk").alias("digest")), by, [key], line)
+
+
+def retokenised(found: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Audit: postings that the chunks do not give, and those that are missing; both with their side."""
+    again = postings(rows, key)
+    kept = found.select(*again.columns)
+    return kept.exceptAll(again).withColumn("side", F.lit("extra")).unionByName(again.exceptAll(kept).withColumn("side", F.lit("missing")))
+
+
 def orphan_postings(found: DataFrame, known: DataFrame, key: str = "chunk_id") -> DataFrame:
     return found.join(known.select(key), key, "left_anti")
 
@@ -149,29 +182,33 @@ def score_word(word: str) -> str:
 
 
 def matches(query: Query, columns: tuple[str, ...] = ("content", "path")) -> Column:
-    """Every phrase stands, word after word, in one of the columns."""
-    lined = [F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")) for c in columns]
+    """Every phrase stands, word after word, in one of the columns. A phrase's first word as a mere part of the text is looked for before
+    the text is cut to tokens, which most texts are spared by it; short columns come before long ones (content is the first by default)."""
     out = F.lit(True)
     for phrase in query.phrases:
-        wanted = f" {' '.join(phrase)} "
-        here = F.lit(False)
-        for text in lined:
-            here |= text.contains(wanted)
+        wanted, here = f" {' '.join(phrase)} ", F.lit(False)
+        for c in reversed(columns):
+            line = F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" "))
+            here |= plain_form(F.col(c)).contains(phrase[0]) & line.contains(wanted)
         out &= here
     return out
 
 
+def overflows(rows: DataFrame, text: str, policy: LexicalPolicy = LexicalPolicy()) -> DataFrame:
+    """One row: query, and whether a search for it is refused as too broad. No more matches than that takes are counted."""
+    found = rows.where(matches(prepare_query(text, policy))).limit(policy.max_candidates + 1)
+    return found.agg((F.count("*") > policy.max_candidates).alias("refused")).select(F.lit(text).alias("query"), "refused")
+
+
 def match_postings(found: DataFrame, query: Query, key: str = "chunk_id") -> DataFrame:
-    """Keys of an index' postings that have all phrases; reads the query's terms only."""
-    out = None
-    for phrase in query.phrases:
-        hits = None
-        for k, term in enumerate(phrase):
-            at = found.where(F.col("term") == term).select(key, "col", (F.col("offset") - k).alias("start"))
-            hits = at if hits is None else hits.join(at, [key, "col", "start"], "left_semi")
-        keys = hits.select(key).distinct()
-        out = keys if out is None else out.join(keys, key, "left_semi")
-    return out
+    """Keys of an index' postings that have all phrases. The query's terms alone are read, once, by a filter that reaches the scan; a key's
+    places then say by themselves which phrases it has."""
+    terms = sorted({t for phrase in query.phrases for t in phrase})
+    held = found.where(F.col("term").isin(terms)) if terms else found.where("false")
+    starts = F.array(*(F.when(F.col("term") == t, F.struct(F.lit(p).alias("phrase"), F.lit(len(phrase)).alias("n"), F.lit(k).alias("k"), (F.col("offset") - k).alias("start"))) for p, phrase in enumerate(query.phrases) for k, t in enumerate(phrase)))
+    each = held.select(key, "col", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("e")).select(key, "col", "e.*")
+    whole = each.groupBy(key, "col", "phrase", "start").agg(F.countDistinct("k").alias("met"), F.first("n").alias("n")).where("met = n")
+    return whole.groupBy(key).agg(F.countDistinct("phrase").alias("phrases")).where(F.col("phrases") == len(query.phrases)).select(key)
 
 
 def _occurrences(words: Column, term: str) -> Column:
@@ -225,6 +262,11 @@ def index_counts(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     return files.groupBy(*(by or [])).agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "skipped_size").alias("skipped"), F.count_if("lossy").alias("lossy"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 
 
+def coverage_complete(files: DataFrame) -> bool:
+    """Whether a search covers every file wholly."""
+    return coverage(files).isEmpty()
+
+
 def coverage(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows for every path that a search does not cover wholly."""
     return files.where("status = 'skipped_size' OR lossy").select(*(by or []), "path", F.when(F.col("status") == "skipped_size", "skipped").otherwise("lossy").alias("reason"))
@@ -242,6 +284,19 @@ def corrupt_chunks(rows: DataFrame) -> DataFrame:
     return rows.join(again, ["path", "chunk_index"]).where((F.col("content_sha256") != F.col("real_sha256")) | (F.col("chunk_id") != F.col("real_id"))).select("path", "chunk_index")
 
 
+def duplicate_files(files: DataFrame, key: str = "path") -> DataFrame:
+    """Audit: paths that have more than one file row."""
+    return files.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def overlapping_actions(plan: DataFrame, reports: DataFrame) -> DataFrame:
+    """Audit of a sync: paths with more than one action, and paths whose report is missing or has no rebuilt or unchanged action."""
+    acted = plan.groupBy("path").agg(F.count("*").alias("n"), F.first("action").alias("action"))
+    told = reports.select("path", F.lit(True).alias("reported"))
+    wrong = (F.coalesce("n", F.lit(0)) > 1) | (F.coalesce(F.col("action").isin("rebuilt", "unchanged"), F.lit(False)) != F.coalesce("reported", F.lit(False)))
+    return acted.join(told, "path", "full_outer").where(wrong).select("path", "action", F.coalesce("reported", F.lit(False)).alias("reported"))
+
+
 def policy_fingerprint(policy: LexicalPolicy, revision: int = 1) -> str:
     import json
     import unicodedata

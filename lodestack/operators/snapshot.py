@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_object, json_string, ordered_digest
-from ..functions.text import classify_content, detect_language
+from ..functions.text import classify_content, detect_language, stripped
 from ..schemas import ContractError, ScanPolicy
 
 
@@ -68,6 +68,17 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
 
 
+def is_same(before: DataFrame, after: DataFrame) -> bool:
+    """Whether two snapshots differ in nothing."""
+    return compare(before, after).isEmpty()
+
+
+def normal_sha256(text: Column) -> Column:
+    """A SHA-256 in hex as it is stored, stripped and in lower case; anything else raises when it is computed."""
+    low = F.lower(stripped(text))
+    return F.when(low.rlike(r"\A[0-9a-f]{64}\z"), low).otherwise(F.raise_error(F.lit("not a SHA-256 in hex")).cast("string"))
+
+
 def map_line() -> Column:
     language = F.coalesce("language", F.lit("-"))
     return F.concat_ws("\t", json_string(F.col("path")), "kind", "content_kind", language, F.col("size_bytes").cast("string"), F.when(F.col("executable"), "x").otherwise("-"), F.substring("sha256", 1, 12))

@@ -1,152 +1,244 @@
-"""Incremental maintenance of the lexical and structural indexes in a Store."""
+"""Incremental maintenance of the lexical and structural indexes in a Store, and reads that audit what they read.
+
+A generation's state holds the counts and the digest of its tables, taken from what was written. Every read, and a sync that has
+nothing to do, compares the tables with that state: file set, counts of each file, counts of all, rows without a file, digest. An
+index made with ``recheck=False`` does so once for each generation that it meets, which suits a store that nothing else writes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded
-from ..operators import lexical, structure
-from ..schemas import LexicalError, LexicalNotReady, LexicalPolicy, LexicalStale, StructuralNotReady, StructuralPolicy, StructuralStale
-from .store import Store
+from ..operators import lexical, snapshot as snapshots, structure
+from ..schemas import EngineError, LexicalError, LexicalNotReady, LexicalPolicy, LexicalStale, StructuralError, StructuralNotReady, StructuralPolicy, StructuralStale
+from .store import Store, first_fault
 
 
 @dataclass(frozen=True)
 class SyncResult:
+    """counts: sums over the whole index after the sync."""
+
     changed: bool
     rebuilt: int
     removed: int
     unchanged: int
     generation: int
+    counts: dict[str, int]
 
 
 def _counts(plan: DataFrame) -> dict[str, int]:
     return {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
 
 
-class LexicalIndex:
-    """Files, chunks and postings of a snapshot; only new and changed files are read again."""
+class _Index:
+    """What both indexes share: one generation with its state, audited before it is read."""
 
-    def __init__(self, store: Store, policy: LexicalPolicy = LexicalPolicy()):
-        self.store, self.policy, self.policy_fp = store, policy, lexical.policy_fingerprint(policy)
+    error: type[EngineError] = EngineError
+    not_ready: type[EngineError] = EngineError
+    stale: type[EngineError] = EngineError
+    tables: tuple[str, ...] = ()
 
-    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
-        """snapshot: entries; contents: path, content. Equal fingerprints change nothing."""
+    def __init__(self, store: Store, policy, policy_fp: str, recheck: bool):
+        self.store, self.policy, self.policy_fp, self.recheck = store, policy, policy_fp, recheck
+        self._checked: set[int] = set()
+
+    def wanted(self, snapshot: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        raise NotImplementedError
+
+    def seal(self, t: dict[str, DataFrame]) -> dict:
+        raise NotImplementedError
+
+    def _file_audits(self, files: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
+        have, want = self.as_wanted(files), self.as_wanted(wanted)
+        return {"missing files": want.exceptAll(have), "extra files": have.exceptAll(want)}
+
+    @staticmethod
+    def as_wanted(files: DataFrame) -> DataFrame:
+        return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", "status")
+
+    def _open(self, fingerprint: str) -> dict:
+        """The state of the generation that serves a read; another snapshot or policy is stale."""
+        state = self.store.state()
+        if not state["generation"]:
+            raise self.not_ready("the repository has no index")
+        if state.get("fingerprint") != fingerprint or state.get("policy") != self.policy_fp:
+            raise self.stale("the index belongs to another snapshot or policy")
+        return state
+
+    def _tables(self, state: dict) -> dict[str, DataFrame]:
+        return {n: self.store.table(n, state["generation"]) for n in self.tables}
+
+    def verify(self, state: dict, snapshot: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The generation's tables, after all audits. snapshot: entries to compare the file set with; their fingerprint is taken anew."""
+        t = self._tables(state)
+        audits: dict[str, DataFrame] = {}
+        if snapshot is not None:
+            again = snapshots.fingerprints(snapshot.withColumn("_one", F.lit(1)), ["_one"]).first()
+            if (again["fingerprint"] if again else None) != state["fingerprint"]:
+                raise self.error("the snapshot does not hash to its fingerprint")
+            audits |= self._file_audits(t["files"], self.wanted(snapshot))
+        if self.recheck or state["generation"] not in self._checked:
+            audits |= {"duplicate files": lexical.duplicate_files(t["files"]), **self.shape_audits(t)}
+            sealed = self.seal(t)
+            for name in sealed:
+                if sealed[name] != state.get(name):
+                    raise self.error(f"the index is corrupt: its {name} is not what was stored")
+        fault = first_fault(audits)
+        if fault:
+            raise self.error(f"the index is corrupt: {fault}")
+        self._checked.add(state["generation"])
+        return t
+
+    def _sync(self, snapshot: DataFrame, fingerprint: str, make: Callable[[DataFrame], dict[str, DataFrame]], planned: str) -> SyncResult:
+        """make(todo) gives the tables of files to (re)build; those of unchanged files are carried on."""
         now = self.store.state()
-        if now.get("fingerprint") == fingerprint and now.get("policy") == self.policy_fp:
-            return SyncResult(False, 0, 0, self.store.table("files").count(), now["generation"])
-        wanted = lexical.candidates(snapshot).select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", lexical.file_status(self.policy).alias("status"))
-        fresh = not now["generation"] or now.get("policy") != self.policy_fp
-        result: dict[str, int] = {}
+        if now["generation"] and now.get("fingerprint") == fingerprint and now.get("policy") == self.policy_fp:
+            files = self.verify(now, snapshot)["files"]
+            return SyncResult(False, 0, 0, files.count(), now["generation"], now["counts"])
+        wanted, result = self.wanted(snapshot), {}
+        cached: list[DataFrame] = []
 
         def build(state: dict):
+            fresh = not state["generation"] or state.get("policy") != self.policy_fp
             if fresh:
                 plan = wanted.select("path", F.lit("rebuilt").alias("action"))
             else:
-                plan = lexical.sync_plan(self.store.table("files"), wanted)
+                plan = lexical.sync_plan(self.store.table("files", state["generation"]).withColumn("status", F.col(planned)), wanted)
             plan = plan.cache()
+            cached.append(plan)
             result.update(_counts(plan))
-            rebuilt = plan.where("action = 'rebuilt'").select("path")
-            todo = wanted.join(rebuilt, "path", "left_semi")
-            bodies = todo.where("status = 'indexed'").join(contents, "path").withColumn("d", decoded("content"))
-            cut = lexical.chunk_ids(lexical.chunks(bodies.select("path", "file_sha256", F.col("d.text").alias("text")), self.policy))
-            counted = cut.groupBy("path").agg(F.count("*").alias("chunk_count"))
-            files = todo.join(bodies.select("path", F.col("d.lossy").alias("lossy")), "path", "left").join(counted, "path", "left")
-            files = files.select(*wanted.columns, F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-            posted = lexical.postings(cut.select("chunk_id", "content", "path").withColumn("k", F.struct("chunk_id", F.col("path").alias("of"))).drop("chunk_id"), "k").select("k.chunk_id", F.col("k.of").alias("path"), "col", "offset", "term")
-            made = {"files": files, "chunks": cut, "postings": posted}
+            made = make(wanted.join(plan.where("action = 'rebuilt'").select("path"), "path", "left_semi"))
             if not fresh:
                 kept = plan.where("action = 'unchanged'").select("path")
                 made = {n: self.store.table(n, state["generation"]).join(kept, "path", "left_semi").unionByName(df) for n, df in made.items()}
             return made, {"fingerprint": fingerprint, "policy": self.policy_fp}
 
         def audits(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            desired = wanted.select("path", "file_sha256", "size_bytes", "status")
-            have = t["files"].select(*desired.columns)
-            return {
-                "missing files": desired.exceptAll(have),
-                "extra files": have.exceptAll(desired),
-                "chunk counts": lexical.count_mismatches(t["files"].where("status = 'indexed'"), t["chunks"], "chunk_count"),
-                "orphan postings": lexical.orphan_postings(t["postings"], t["chunks"]),
-            }
-
-        g = self.store.commit(build, audits)
-        return SyncResult(True, result.get("rebuilt", 0), result.get("removed", 0), result.get("unchanged", 0), g)
-
-    def search(self, fingerprint: str, query: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Hits, and the paths that the search does not cover. One generation serves the whole query."""
+            reports = lexical.overlapping_actions(cached[0], t["files"])
+            return {**self._file_audits(t["files"], wanted), "duplicate files": lexical.duplicate_files(t["files"]), "reports": reports, **self.shape_audits(t), **self.write_audits(t)}
+
+        try:
+            g = self.store.commit(build, audits, self.seal)
+        finally:
+            for df in cached:
+                df.unpersist()
         state = self.store.state()
-        if not state["generation"]:
-            raise LexicalNotReady("the repository has no index")
-        if state.get("fingerprint") != fingerprint or state.get("policy") != self.policy_fp:
-            raise LexicalStale("the index belongs to another snapshot or policy")
-        g = state["generation"]
+        return SyncResult(True, result.get("rebuilt", 0), result.get("removed", 0), result.get("unchanged", 0), g, state["counts"])
+
+    def write_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {}
+
+
+def _numbers(row) -> dict[str, int]:
+    return {k: int(v or 0) for k, v in row.asDict().items()}
+
+
+class LexicalIndex(_Index):
+    """Files, chunks and postings of a snapshot; only new and changed files are read again."""
+
+    error, not_ready, stale, tables = LexicalError, LexicalNotReady, LexicalStale, ("files", "chunks", "postings")
+
+    def __init__(self, store: Store, policy: LexicalPolicy = LexicalPolicy(), recheck: bool = True):
+        super().__init__(store, policy, lexical.policy_fingerprint(policy), recheck)
+
+    def wanted(self, snapshot: DataFrame) -> DataFrame:
+        return lexical.candidates(snapshot).select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", lexical.file_status(self.policy).alias("status"))
+
+    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
+        """snapshot: entries; contents: path, content. An index of this snapshot already is only audited."""
+
+        def make(todo: DataFrame) -> dict[str, DataFrame]:
+            bodies = todo.where("status = 'indexed'").join(contents, "path").withColumn("d", decoded("content"))
+            cut = lexical.chunk_ids(lexical.chunks(bodies.select("path", "file_sha256", F.col("d.text").alias("text")), self.policy))
+            counted = cut.groupBy("path").agg(F.count("*").alias("chunk_count"))
+            files = todo.join(bodies.select("path", F.col("d.lossy").alias("lossy")), "path", "left").join(counted, "path", "left")
+            files = files.select(*todo.columns, F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+            keyed = cut.select("content", "path", F.struct("chunk_id", F.col("path").alias("of")).alias("k"))
+            posted = lexical.postings(keyed, "k").select("k.chunk_id", F.col("k.of").alias("path"), "col", "offset", "term")
+            # Sorted by term within files, so that a query's filter on terms skips row groups.
+            return {"files": files, "chunks": cut, "postings": posted.sortWithinPartitions("term", "chunk_id")}
+
+        return self._sync(snapshot, fingerprint, make, "status")
+
+    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {
+            "chunk counts": lexical.count_mismatches(t["files"].where("status = 'indexed'"), t["chunks"], "chunk_count"),
+            "orphan postings": lexical.orphan_postings(t["postings"], t["chunks"]),
+        }
+
+    def write_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {"postings of other texts": lexical.retokenised(t["postings"], t["chunks"])}
+
+    def seal(self, t: dict[str, DataFrame]) -> dict:
+        counts = _numbers(lexical.index_counts(t["files"]).first()) | {"chunk_rows": t["chunks"].count(), "postings": t["postings"].count()}
+        found = lexical.index_digest(t["postings"].withColumn("_one", F.lit(1)), ["_one"]).first()
+        return {"counts": counts, "digest": found["digest"] if found else None}
+
+    def search(self, fingerprint: str, query: str, limit: int | None = None, snapshot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Hits, and the paths that the search does not cover. One generation serves the whole query."""
         prepared = lexical.prepare_query(query, self.policy)
-        keys = lexical.match_postings(self.store.table("postings", g), prepared)
-        rows = self.store.table("chunks", g).join(keys, "chunk_id", "left_semi")
-        files = self.store.table("files", g)
+        t = self.verify(self._open(fingerprint), snapshot)
+        rows = t["chunks"].join(lexical.match_postings(t["postings"], prepared), "chunk_id", "left_semi")
         if not lexical.corrupt_chunks(rows).isEmpty():
             raise LexicalError("a chunk does not hash to what is stored")
         hits = lexical.search(rows, query, limit, self.policy)
-        return hits.join(files.select("path", "language", "lossy"), "path").orderBy(F.desc("score"), "path", "chunk_index"), lexical.coverage(files)
+        return hits.join(t["files"].select("path", "language", "lossy"), "path").orderBy(F.desc("score"), "path", "chunk_index"), lexical.coverage(t["files"])
 
 
-class StructuralIndex:
+class StructuralIndex(_Index):
     """Files, symbols and imports of a snapshot's Python sources."""
 
-    def __init__(self, store: Store, policy: StructuralPolicy = StructuralPolicy()):
-        self.store, self.policy, self.policy_fp = store, policy, f"structure-1-{policy}"
+    error, not_ready, stale, tables = StructuralError, StructuralNotReady, StructuralStale, ("files", "symbols", "imports")
 
-    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
-        now = self.store.state()
-        if now.get("fingerprint") == fingerprint and now.get("policy") == self.policy_fp:
-            return SyncResult(False, 0, 0, self.store.table("files").count(), now["generation"])
-        wanted = snapshot.where("kind = 'file'").select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", structure.file_status(self.policy).alias("status"))
-        fresh = not now["generation"] or now.get("policy") != self.policy_fp
-        result: dict[str, int] = {}
+    def __init__(self, store: Store, policy: StructuralPolicy = StructuralPolicy(), recheck: bool = True):
+        super().__init__(store, policy, f"structure-2-{policy}", recheck)
 
-        def build(state: dict):
-            # What a file becomes by parsing is no reason to parse it again.
-            plan = wanted.select("path", F.lit("rebuilt").alias("action")) if fresh else lexical.sync_plan(self.store.table("files").withColumn("status", F.col("planned")), wanted)
-            plan = plan.cache()
-            result.update(_counts(plan))
-            todo = wanted.join(plan.where("action = 'rebuilt'").select("path"), "path", "left_semi")
-            parsed = structure.parse(todo.where("status = 'parse'").join(contents, "path"), self.policy).cache()
+    def wanted(self, snapshot: DataFrame) -> DataFrame:
+        return snapshot.where("kind = 'file'").select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", structure.file_status(self.policy).alias("status"))
+
+    @staticmethod
+    def as_wanted(files: DataFrame) -> DataFrame:
+        """What a file becomes by parsing is no difference."""
+        status = F.col("planned") if "planned" in files.columns else F.col("status")
+        return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", status.alias("status"))
+
+    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
+        def make(todo: DataFrame) -> dict[str, DataFrame]:
+            parsed = structure.parse(todo.where("status = 'parse'").join(contents, "path"), self.policy)
             reports = structure.file_reports(parsed).withColumnRenamed("status", "result")
             files = todo.join(reports, "path", "left").select("path", "file_sha256", "size_bytes", "language", "content_kind", F.col("status").alias("planned"), F.coalesce("result", "status").alias("status"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("import_count", F.lit(0)).alias("import_count"), "error_message")
-            made = {"files": files, "symbols": structure.symbols(parsed), "imports": structure.imports(parsed)}
-            if not fresh:
-                kept = plan.where("action = 'unchanged'").select("path")
-                made = {n: self.store.table(n, state["generation"]).join(kept, "path", "left_semi").unionByName(df) for n, df in made.items()}
-            return made, {"fingerprint": fingerprint, "policy": self.policy_fp}
+            return {"files": files, "symbols": structure.symbols(parsed), "imports": structure.imports(parsed)}
 
-        def audits(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            return {
-                "symbol counts": lexical.count_mismatches(t["files"], t["symbols"], "symbol_count"),
-                "import counts": lexical.count_mismatches(t["files"], t["imports"], "import_count"),
-                "parents": structure.orphan_parents(t["symbols"]),
-                "scopes": structure.orphan_scopes(t["imports"], t["symbols"]),
-                "unindexed": structure.unindexed_rows(t["symbols"], t["files"]),
-            }
-
-        g = self.store.commit(build, audits)
-        return SyncResult(True, result.get("rebuilt", 0), result.get("removed", 0), result.get("unchanged", 0), g)
-
-    def _table(self, name: str, fingerprint: str) -> DataFrame:
-        state = self.store.state()
-        if not state["generation"]:
-            raise StructuralNotReady("the repository has no index")
-        if state.get("fingerprint") != fingerprint or state.get("policy") != self.policy_fp:
-            raise StructuralStale("the index belongs to another snapshot or policy")
-        return self.store.table(name, state["generation"])
+        return self._sync(snapshot, fingerprint, make, "planned")
+
+    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {
+            "symbol counts": lexical.count_mismatches(t["files"], t["symbols"], "symbol_count"),
+            "import counts": lexical.count_mismatches(t["files"], t["imports"], "import_count"),
+            "parents": structure.orphan_parents(t["symbols"]),
+            "scopes": structure.orphan_scopes(t["imports"], t["symbols"]),
+            "symbols without a file": structure.unindexed_rows(t["symbols"], t["files"]),
+            "imports without a file": structure.unindexed_rows(t["imports"], t["files"]),
+        }
+
+    def seal(self, t: dict[str, DataFrame]) -> dict:
+        counts = _numbers(structure.state_counts(t["files"], t["symbols"], t["imports"]).first())
+        found = structure.structure_digests({n: df.withColumn("_one", F.lit(1)) for n, df in t.items()}, ["_one"]).first()
+        return {"counts": counts, "digest": found["digest"] if found else None}
 
-    def symbols(self, fingerprint: str, limit: int | None = None, **equal: str | None) -> DataFrame:
-        return structure.find_symbols(self._table("symbols", fingerprint), limit, self.policy, **equal)
+    def symbols(self, fingerprint: str, limit: int | None = None, snapshot: DataFrame | None = None, **equal: str | None) -> DataFrame:
+        return structure.find_symbols(self.verify(self._open(fingerprint), snapshot)["symbols"], limit, self.policy, **equal)
 
-    def imports(self, fingerprint: str, limit: int | None = None, **equal: str | None) -> DataFrame:
-        return structure.find_imports(self._table("imports", fingerprint), limit, self.policy, **equal)
+    def imports(self, fingerprint: str, limit: int | None = None, snapshot: DataFrame | None = None, **equal: str | None) -> DataFrame:
+        return structure.find_imports(self.verify(self._open(fingerprint), snapshot)["imports"], limit, self.policy, **equal)
 
-    def files(self, fingerprint: str) -> DataFrame:
-        return self._table("files", fingerprint).select("path", "status", "symbol_count", "import_count", "error_message").orderBy("path")
+    def files(self, fingerprint: str, snapshot: DataFrame | None = None) -> DataFrame:
+        return self.verify(self._open(fingerprint), snapshot)["files"].select("path", "status", "symbol_count", "import_count", "error_message").orderBy("path")

@@ -57,6 +57,9 @@ class ContractError(EngineError, ValueError):
     """A value breaks a record's contract."""
 
 
+# The defaults of the three policies.
+
+
 @dataclass(frozen=True)
 class ScanPolicy:
     excluded_names: tuple[str, ...] = (".git", ".hg", ".svn", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "node_modules", "venv")
