@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, json_string
+from . import ledger
 
 #: Steps that a call may take.
 STEPS = (("prepared", "dispatching"), ("dispatching", "completed"), ("dispatching", "not_sent"), ("dispatching", "uncertain"))
@@ -38,16 +39,88 @@ def bad_steps(history: DataFrame) -> DataFrame:
     return history.withColumn("before", before).where(~step.isin(allowed)).select("key", "seq", "before", "status")
 
 
+def paid(attempts: DataFrame, limit: int) -> DataFrame:
+    """The whole life of paid calls: each attempt, in the order of seq, is quoted, reserved, recorded, dispatched, settled and finished.
+
+    attempts: period, seq, key, provider, model, task, quoted_provider, quoted_model, amount (the quote), request_fingerprint, outcome,
+    actual. outcome: response (settled with actual, or breached where that is more than the quote), not_sent, error, mismatch, null (it
+    broke off while dispatching) or prepared (it broke off before). Result columns: decision (quote, a refusal of the ledger, contract:
+    the key is bound to another request, replay: its call is past prepared, or dispatched), call_status and reservation_status of the
+    key after the attempt (null where none exists), active_micros and spent_micros of the period.
+    """
+
+    def step(state: dict, row: dict) -> tuple:
+        calls, key = state.setdefault("calls", {}), row["key"]
+        decision = None
+        if (row["quoted_provider"], row["quoted_model"]) != (row["provider"], row["model"]):
+            decision = "quote"
+        elif (held := ledger.reserve(state, row, limit)) not in ("accepted", "existing"):
+            decision = held
+        else:
+            call = calls.setdefault(key, {"fingerprint": row["request_fingerprint"], "status": "prepared"})
+            if call["fingerprint"] != row["request_fingerprint"]:
+                decision = "contract"
+            elif call["status"] != "prepared":
+                decision = "replay"
+        if decision is None:
+            decision, call = "dispatched", calls[key]
+            if row["outcome"] == "prepared":
+                decision = "prepared"
+            elif row["outcome"] is None:
+                call["status"] = "dispatching"
+            elif row["outcome"] == "response":
+                ledger.settle(state, key, row["actual"])
+                call["status"] = "completed"
+            elif row["outcome"] == "not_sent":
+                ledger.cancel(state, key)
+                call["status"] = "not_sent"
+            else:
+                call["status"] = "uncertain"
+        call, entry = calls.get(key), state["known"].get(key)
+        return decision, call and call["status"], entry and entry["status"], state["active"], state["spent"]
+
+    slim = attempts.select("period", "seq", "key", "provider", "model", "quoted_provider", "quoted_model", "amount", F.to_json(F.struct("provider", "model", "task")).alias("identity"), "request_fingerprint", "outcome", "actual", F.lit("reserve").alias("op"))
+
+    def fold(rows: DataFrame) -> DataFrame:
+        columns = [*slim.columns, "foreign"]
+        out = ledger._fold(rows, columns, ["seq"], "decision string, call_status string, reservation_status string, active_micros long, spent_micros long", ledger.opened, step)
+        kept = F.col("decision").isin("dispatched", "prepared", "contract", "replay")
+        return out.withColumn("outcome", F.when(kept, "accepted").otherwise("refused"))
+
+    found = ledger.across_periods(slim, fold, "accepted")
+    return found.select("period", "seq", "key", "decision", "call_status", "reservation_status", "active_micros", "spent_micros")
+
+
 def incoherent(calls: DataFrame, reservations: DataFrame) -> DataFrame:
-    """Audit: calls without a reservation of the same key and provider, or whose reservation's status does not go with theirs."""
-    held = reservations.select("reservation_id", F.col("key").alias("held_key"), F.col("provider").alias("held_provider"), F.col("status").alias("held_status"))
-    goes = F.lit(False)
+    """Audit: calls without a reservation of the same key, provider and model (where both have that column), or whose reservation's status
+    does not go with theirs."""
+    same = [c for c in ("key", "provider", "model") if c in calls.columns and c in reservations.columns]
+    held = reservations.select("reservation_id", *(F.col(c).alias(f"held_{c}") for c in same), F.col("status").alias("held_status"))
+    goes, differs = F.lit(False), F.lit(False)
     for status, fits in HELD.items():
         goes |= (F.col("status") == status) & F.col("held_status").isin(*fits)
-    why = F.when(F.col("held_status").isNull(), "missing").when((F.col("key") != F.col("held_key")) | (F.col("provider") != F.col("held_provider")), "identity").when(~goes, "status")
+    for c in same:
+        differs |= F.col(c) != F.col(f"held_{c}")
+    why = F.when(F.col("held_status").isNull(), "missing").when(differs, "identity").when(~goes, "status")
     return calls.join(held, "reservation_id", "left").select("call_id", "reservation_id", "status", "held_status", why.alias("reason")).where("reason IS NOT NULL")
 
 
+def unbound(inserted: DataFrame, reservations: DataFrame) -> DataFrame:
+    """Audit of calls as they are inserted: those without an active reservation of the same id, key, provider and model."""
+    active = reservations.where("status = 'active'").select("reservation_id", "key", "provider", "model")
+    return inserted.join(active, ["reservation_id", "key", "provider", "model"], "left_anti")
+
+
+def unsent_closings(closings: DataFrame, history: DataFrame) -> DataFrame:
+    """Audit: reservations (reservation_id, seq, status) that became settled, cancelled or breached while their call, if they have one, was
+    not dispatching. history: reservation_id, seq, status of calls, in one order with the closings."""
+    both = history.select("reservation_id", "seq", F.lit(0).alias("side"), F.col("status").alias("call_status"), F.lit(None).cast("string").alias("status"))
+    ends = closings.where(F.col("status").isin("settled", "cancelled", "breached")).select("reservation_id", "seq", F.lit(1).alias("side"), F.lit(None).cast("string").alias("call_status"), "status")
+    before = F.last("call_status", True).over(Window.partitionBy("reservation_id").orderBy("seq", "side").rowsBetween(Window.unboundedPreceding, -1))
+    seen = both.union(ends).withColumn("before", before)
+    return seen.where("side = 1 AND before IS NOT NULL AND before <> 'dispatching'").select("reservation_id", "seq", "status", F.col("before").alias("call_status"))
+
+
 def request_fingerprint(fields: dict[str, Column]) -> Column:
     """SHA-256 of canonical JSON whose strings keep their characters: quotes, backslashes and controls alone are escaped."""
     parts = []

@@ -23,6 +23,13 @@ def blank(text: Column) -> Column:
     return text.isNull() | text.rlike(r"\A[\s\p{Z}\x1c-\x1f\x85]*\z")
 
 
+def checked_uuid(text: Column) -> Column:
+    """A UUID in its usual form, in lower case; anything else raises when it is computed."""
+    low = F.lower(text)
+    good = low.rlike(r"\A[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z")
+    return F.when(good, low).otherwise(F.raise_error(F.lit("not a UUID")).cast("string"))
+
+
 def invalid_requests(requests: DataFrame) -> DataFrame:
     """Requests (prompt, max_output_tokens, temperature, metadata) that break their contract, with the reason."""
     keys = F.coalesce(F.exists(F.map_keys("metadata"), blank), F.lit(False))

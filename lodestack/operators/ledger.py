@@ -29,9 +29,21 @@ def from_micros(amount: Column) -> Column:
     return (amount.cast("decimal(19,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(25,6)")
 
 
+def utc(ts: Column) -> Column:
+    """A timestamp's wall clock in UTC, whatever the session's time zone; dates and timestamps without a zone are UTC as they are."""
+    return F.when(F.typeof(ts) == "timestamp", F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")).otherwise(ts.cast("timestamp_ntz"))
+
+
 def period(ts: Column) -> Column:
-    """UTC month; the session's time zone is to be UTC."""
-    return F.date_format(ts, "yyyy-MM")
+    """UTC month."""
+    return F.date_format(utc(ts), "yyyy-MM")
+
+
+def iso_timestamp(ts: Column) -> Column:
+    """UTC in ISO form with a zone of +00:00; the fraction, of six digits, only where there is one."""
+    at = utc(ts)
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
 
 
 def totals(reservations: DataFrame, by: list[str]) -> DataFrame:
@@ -42,8 +54,12 @@ def totals(reservations: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def balances(reservations: DataFrame, limits: DataFrame) -> DataFrame:
-    """period, limit, spent, active and what is available; a period without reservations has all of its limit."""
+def balances(reservations: DataFrame, limits: DataFrame, configured: int | None = None) -> DataFrame:
+    """period, limit, spent, active and what is available; a period without reservations has all of its limit. configured: the limit that is set
+    now; a period that holds another one raises when the result is computed."""
+    if configured is not None:
+        differs = F.raise_error(F.concat(F.lit("the limit of a period is not the configured one: "), F.col("period"))).cast("long")
+        limits = limits.withColumn("limit_micros", F.when(F.col("limit_micros") == configured, F.col("limit_micros")).otherwise(differs))
     out = limits.join(totals(reservations, ["period"]), "period", "left")
     spent, active = F.coalesce("spent_micros", F.lit(0)), F.coalesce("active_micros", F.lit(0))
     return out.select("period", "limit_micros", spent.alias("spent_micros"), active.alias("active_micros"), (F.col("limit_micros") - spent - active).alias("available_micros"))
@@ -86,47 +102,108 @@ def admit(requests: DataFrame, limit: int) -> DataFrame:
     return _fold(requests, ["period", "seq", "amount"], ["seq"], "accepted boolean, held long", lambda: {"held": 0}, step)
 
 
-def replay(events: DataFrame, limit: int) -> DataFrame:
+def reserve(state: dict, row: dict, limit: int) -> str:
+    """Outcome of one reservation, and what it does to a period's state.
+
+    A known key: conflict where its identity or period differs, then policy (another limit than the period's), then conflict where it is
+    terminal, else existing. A new key: policy, locked after a breach, exceeded, else accepted; the first that is accepted fixes the limit.
+    """
+    key, amount, entry = row["key"], row["amount"], state["known"].get(row["key"])
+    asked = row.get("limit_micros")
+    asked = limit if asked is None else asked
+    identity = (amount, row.get("identity"))
+    if row.get("foreign") or (entry and entry["identity"] != identity):
+        return "conflict"
+    if state["limit"] is not None and state["limit"] != asked:
+        return "policy"
+    if entry:
+        return "existing" if entry["status"] == "active" else "conflict"
+    if state["locked"]:
+        return "locked"
+    if state["spent"] + state["active"] + amount > asked:
+        return "exceeded"
+    state["limit"] = asked
+    state["known"][key] = {"status": "active", "identity": identity, "actual": None}
+    state["active"] += amount
+    return "accepted"
+
+
+def cancel(state: dict, key: str) -> str:
+    entry = state["known"].get(key)
+    if not entry:
+        return "unknown"
+    outcome = {"active": "cancelled", "cancelled": "existing"}.get(entry["status"], "conflict")
+    if outcome == "cancelled":
+        entry["status"] = "cancelled"
+        state["active"] -= entry["identity"][0]
+    return outcome
+
+
+def settle(state: dict, key: str, actual: int) -> str:
+    entry = state["known"].get(key)
+    if not entry:
+        return "unknown"
+    if entry["status"] == "active":
+        held = entry["identity"][0]
+        entry["status"], entry["actual"] = ("breached" if actual > held else "settled"), actual
+        state["active"] -= held
+        state["spent"] += actual
+        state["locked"] |= actual > held
+        return entry["status"]
+    same = entry["actual"] == actual
+    return {"settled": "existing", "breached": "invariant"}.get(entry["status"], "conflict") if same else "conflict"
+
+
+def opened() -> dict:
+    """A period's state before its first event."""
+    return {"known": {}, "active": 0, "spent": 0, "locked": False, "limit": None}
+
+
+def across_periods(events: DataFrame, fold, accepted: str) -> DataFrame:
+    """fold(events with column foreign) where a key belongs to the period that first accepted it: in others it is foreign from then on.
+
+    Keys of one period, as nearly all are, need no second look. For the others the fold is repeated until their owners stay the same; each
+    round settles at least the earliest event that was wrong, and only those keys are joined.
+    """
+    shared = events.where("op = 'reserve'").groupBy("key").agg(F.count_distinct("period").alias("n")).where("n > 1").select("key")
+    out = fold(events.withColumn("foreign", F.lit(False)))
+    if shared.isEmpty():
+        return out
+    owners = None
+    while True:
+        first = out.join(shared, "key", "left_semi").where(F.col("outcome").isin(*accepted.split())).groupBy("key").agg(F.min_by(F.struct("period", "seq"), "seq").alias("owner"))
+        found = {r["key"]: (r["owner"]["period"], r["owner"]["seq"]) for r in first.collect()}
+        if found == owners:
+            return out
+        owners = found
+        known = events.sparkSession.createDataFrame([(k, p, n) for k, (p, n) in found.items()], "key string, _period string, _seq long")
+        mark = F.coalesce((F.col("_period") != F.col("period")) & (F.col("seq") > F.col("_seq")), F.lit(False))
+        out = fold(events.join(known, "key", "left").withColumn("foreign", mark).drop("_period", "_seq"))
+
+
+def replay(events: DataFrame, limit: int, identity: list[str] | None = None) -> DataFrame:
     """Outcome of each event (period, seq, op, key, amount) under the ledger's rules; op: reserve, settle or cancel.
 
-    reserve: accepted, existing, conflict, locked (the period has a breach) or exceeded. settle: settled, breached, existing, conflict,
-    invariant (a breach repeated) or unknown. cancel: cancelled, existing, conflict or unknown. Held: one small record a reservation of the period.
+    reserve: accepted, existing, conflict, policy, locked or exceeded (see reserve()). settle: settled, breached, existing, conflict,
+    invariant (a breach repeated) or unknown. cancel: cancelled, existing, conflict or unknown. identity: further columns that a key is
+    bound to, such as provider, model and task; a column limit_micros, if there, is the limit that an event was made under. A key is one
+    reservation over all periods: seq orders the events of all. Held: one small record a reservation of the period.
     """
+    given = F.to_json(F.struct(*identity)) if identity else F.lit(None).cast("string")
+    asked = F.col("limit_micros").cast("long") if "limit_micros" in events.columns else F.lit(None).cast("long")
+    slim = events.select("period", "seq", "op", "key", "amount", given.alias("identity"), asked.alias("limit_micros"))
 
     def step(state: dict, row: dict) -> tuple:
-        known, key, amount = state["known"], row["key"], row["amount"]
-        entry = known.get(key)
         if row["op"] == "reserve":
-            if entry:
-                return ("existing" if entry[0] == "active" and entry[1] == amount else "conflict", state["active"], state["spent"])
-            if state["locked"]:
-                outcome = "locked"
-            elif state["spent"] + state["active"] + amount > limit:
-                outcome = "exceeded"
-            else:
-                known[key] = ["active", amount, None]
-                state["active"] += amount
-                outcome = "accepted"
-        elif not entry:
-            outcome = "unknown"
-        elif row["op"] == "cancel":
-            outcome = {"active": "cancelled", "cancelled": "existing"}.get(entry[0], "conflict")
-            if outcome == "cancelled":
-                entry[0] = "cancelled"
-                state["active"] -= entry[1]
-        elif entry[0] == "active":
-            outcome = entry[0] = "breached" if amount > entry[1] else "settled"
-            entry[2] = amount
-            state["active"] -= entry[1]
-            state["spent"] += amount
-            state["locked"] |= outcome == "breached"
-        elif entry[0] == "settled":
-            outcome = "existing" if entry[2] == amount else "conflict"
+            outcome = reserve(state, row, limit)
         else:
-            outcome = "invariant" if entry[0] == "breached" and entry[2] == amount else "conflict"
+            outcome = cancel(state, row["key"]) if row["op"] == "cancel" else settle(state, row["key"], row["amount"])
         return outcome, state["active"], state["spent"]
 
-    return _fold(events, ["period", "seq", "op", "key", "amount"], ["seq"], "outcome string, active_micros long, spent_micros long", lambda: {"known": {}, "active": 0, "spent": 0, "locked": False}, step)
+    def fold(rows: DataFrame) -> DataFrame:
+        return _fold(rows, ["period", "seq", "op", "key", "amount", "identity", "limit_micros", "foreign"], ["seq"], "outcome string, active_micros long, spent_micros long", opened, step)
+
+    return across_periods(slim, fold, "accepted").drop("identity", "limit_micros", "foreign")
 
 
 def settle_status(reserved: Column, actual: Column) -> Column:

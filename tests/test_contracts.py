@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from lodestack.operators import contracts
 
 
@@ -10,3 +13,11 @@ def test_audits(spark):
     assert contracts.invalid_health(health).count() == 4
     requests = spark.createDataFrame([("x", 1, 0.0, {"a": "b"}), (" ", 1, 0.0, {}), ("x", 0, 0.0, {}), ("x", 1, 2.1, {}), ("x", 1, float("nan"), {}), ("x", 1, 1.0, {" ": "b"})], "prompt string, max_output_tokens int, temperature double, metadata map<string,string>")
     assert [r["reason"] for r in contracts.invalid_requests(requests).collect()] == ["prompt", "max_output_tokens", "temperature", "temperature", "metadata"]
+
+
+def test_uuid_guard(spark):
+    good = "0B2F7a10-1111-2222-3333-444455556666"
+    assert spark.range(1).select(contracts.checked_uuid(F.lit(good))).first()[0] == good.lower()
+    for bad in ("", "0b2f7a10111122223333444455556666", good + "0", "x" + good[1:]):
+        with pytest.raises(Exception, match="not a UUID"):
+            spark.range(1).select(contracts.checked_uuid(F.lit(bad))).collect()

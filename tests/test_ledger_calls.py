@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import calls, ledger, migrations, models
-from lodestack.schemas import ContractError
+from lodestack.plans.store import Store
+from lodestack.schemas import ContractError, EngineError
 from lodestack.streaming.ledger import admit_stream
 
 
@@ -99,3 +100,138 @@ def test_migrations(spark):
     assert {r["version"]: r["state"] for r in migrations.reconcile(a, b).collect()} == {1: "applied", 2: "changed", 3: "backfilled", 4: "renamed", 5: "missing", 6: "pending"}
     with pytest.raises(Exception, match="invalid migration name"):
         migrations.discover(spark.createDataFrame([("x.sql", "")], "filename string, text string")).collect()
+
+
+def test_a_key_is_one_reservation_over_all_periods(spark):
+    """The state of every key is that of a ledger which takes all events one by one."""
+    rng = random.Random(11)
+    events = [(f"2026-{1 + k // 40:02}", k, rng.choice(["reserve", "reserve", "settle", "cancel"]), f"k{rng.randrange(25)}", rng.randrange(1, 6), rng.choice("ab")) for k in range(160)]
+    events += [("2026-02", 300 + k, "reserve", f"k{k}", 1, "a") for k in range(12)]  # late events of an early period
+    seen, state, expected = {}, {}, {}
+    for p, seq, op, key, amount, provider in sorted(events, key=lambda e: e[1]):
+        s = state.setdefault(p, {"active": 0, "spent": 0, "locked": False})
+        entry, own = seen.get(key), None
+        if entry and entry["period"] == p:
+            own = entry
+        if op == "reserve":
+            if entry:
+                same = (entry["period"], entry["amount"], entry["provider"]) == (p, amount, provider)
+                out = "existing" if same and entry["status"] == "active" else "conflict"
+            elif s["locked"]:
+                out = "locked"
+            elif s["active"] + s["spent"] + amount > 20:
+                out = "exceeded"
+            else:
+                out, seen[key] = "accepted", {"period": p, "amount": amount, "provider": provider, "status": "active", "actual": None}
+                s["active"] += amount
+        elif not own:
+            out = "unknown"
+        elif op == "cancel":
+            out = {"active": "cancelled", "cancelled": "existing"}.get(own["status"], "conflict")
+            if out == "cancelled":
+                own["status"] = "cancelled"
+                s["active"] -= own["amount"]
+        elif own["status"] == "active":
+            out = own["status"] = "breached" if amount > own["amount"] else "settled"
+            own["actual"] = amount
+            s["active"] -= own["amount"]
+            s["spent"] += amount
+            s["locked"] |= out == "breached"
+        elif own["actual"] == amount:
+            out = {"settled": "existing", "breached": "invariant"}[own["status"]]
+        else:
+            out = "conflict"
+        expected[seq] = (out, s["active"], s["spent"])
+    df = spark.createDataFrame(events, "period string, seq long, op string, key string, amount long, provider string")
+    assert {r["seq"]: (r["outcome"], r["active_micros"], r["spent_micros"]) for r in ledger.replay(df, 20, ["provider"]).collect()} == expected
+    assert {"conflict", "locked", "existing", "accepted", "unknown"} <= {o for o, _, _ in expected.values()}
+
+
+def test_period_policy_is_fixed_by_the_first_accepted(spark):
+    rows = [("p", 1, "reserve", "a", 9, 5), ("p", 2, "reserve", "b", 3, 10), ("p", 3, "reserve", "c", 1, 5), ("p", 4, "reserve", "b", 3, 5), ("p", 5, "reserve", "b", 3, 10)]
+    df = spark.createDataFrame(rows, "period string, seq long, op string, key string, amount long, limit_micros long")
+    assert [r["outcome"] for r in ledger.replay(df, 0).orderBy("seq").collect()] == ["exceeded", "accepted", "policy", "policy", "existing"]
+    limits = spark.createDataFrame([("p", 10), ("q", 12)], "period string, limit_micros long")
+    none = df.limit(0).select("period", F.lit("active").alias("status"), F.col("amount").alias("reserved_micros"), F.col("amount").alias("actual_micros"))
+    assert ledger.balances(none, limits.where("period = 'p'"), 10).first()["available_micros"] == 10
+    with pytest.raises(Exception, match="not the configured one: q"):
+        ledger.balances(none, limits, 10).collect()
+
+
+def test_paid_calls(spark):
+    rows = [
+        ("p", 1, "a", "x", 5, "f1", "prepared", None),
+        ("p", 2, "a", "x", 5, "f1", "response", 4),  # resumes
+        ("p", 3, "a", "x", 5, "f1", "response", 4),  # its reservation is closed
+        ("p", 4, "b", "x", 5, "f2", None, None),
+        ("p", 5, "b", "x", 5, "f2", "response", 1),  # a replay
+        ("p", 6, "b", "x", 5, "f3", "response", 1),  # another request
+        ("p", 7, "b", "x", 6, "f2", "response", 1),  # another amount
+        ("p", 8, "c", "other", 5, "f4", "response", 1),  # quoted by another
+        ("p", 9, "d", "x", 50, "f5", "response", 1),
+        ("p", 10, "e", "x", 2, "f6", "not_sent", None),
+        ("p", 11, "g", "x", 2, "f7", "error", None),
+        ("p", 12, "h", "x", 2, "f8", "response", 3),  # a breach
+        ("p", 13, "i", "x", 1, "f9", "response", 1),
+        ("q", 14, "a", "x", 5, "f1", "response", 1),  # the key is another period's
+        ("q", 15, "i", "x", 1, "f9", "response", 1),
+    ]
+    df = spark.createDataFrame([(p, n, k, "x", "m", "t", q, "m", a, f, o, c) for p, n, k, q, a, f, o, c in rows], "period string, seq long, key string, provider string, model string, task string, quoted_provider string, quoted_model string, amount long, request_fingerprint string, outcome string, actual long")
+    got = [(r["decision"], r["call_status"], r["reservation_status"], r["active_micros"], r["spent_micros"]) for r in calls.paid(df, 20).orderBy("seq").collect()]
+    assert got == [
+        ("prepared", "prepared", "active", 5, 0),
+        ("dispatched", "completed", "settled", 0, 4),
+        ("conflict", "completed", "settled", 0, 4),
+        ("dispatched", "dispatching", "active", 5, 4),
+        ("replay", "dispatching", "active", 5, 4),
+        ("contract", "dispatching", "active", 5, 4),
+        ("conflict", "dispatching", "active", 5, 4),
+        ("quote", None, None, 5, 4),
+        ("exceeded", None, None, 5, 4),
+        ("dispatched", "not_sent", "cancelled", 5, 4),
+        ("dispatched", "uncertain", "active", 7, 4),
+        ("dispatched", "completed", "breached", 7, 7),
+        ("locked", None, None, 7, 7),
+        ("conflict", None, None, 0, 0),
+        ("dispatched", "completed", "settled", 0, 1),
+    ]
+
+
+def test_call_audits(spark):
+    r = spark.createDataFrame([(1, "a", "x", "m", "active"), (2, "b", "x", "m", "settled"), (3, "c", "x", "n", "active")], "reservation_id long, key string, provider string, model string, status string")
+    c = spark.createDataFrame([(n, n, k, "x", "m", "prepared") for n, k in enumerate("abcd", 1)], "call_id long, reservation_id long, key string, provider string, model string, status string")
+    assert sorted(x["call_id"] for x in calls.unbound(c, r).collect()) == [2, 3, 4]
+    assert {(x["call_id"], x["reason"]) for x in calls.incoherent(c, r).collect()} == {(2, "status"), (3, "identity"), (4, "missing")}
+    closings = spark.createDataFrame([(1, 5, "settled"), (2, 5, "cancelled"), (3, 1, "settled"), (4, 5, "active"), (5, 5, "settled")], "reservation_id long, seq long, status string")
+    history = spark.createDataFrame([(1, 1, "prepared"), (1, 2, "dispatching"), (2, 1, "prepared"), (3, 2, "prepared"), (5, 1, "dispatching"), (5, 3, "uncertain")], "reservation_id long, seq long, status string")
+    assert {(x["reservation_id"], x["call_status"]) for x in calls.unsent_closings(closings, history).collect()} == {(2, "prepared"), (5, "uncertain")}
+
+
+def test_time_is_utc_whatever_the_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        df = spark.createDataFrame([(1769903999, 0), (1769903999, 5)], "s long, m long").select(F.timestamp_micros(F.col("s") * 1_000_000 + F.col("m")).alias("t"))
+        for zone in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = df.select(ledger.period(F.col("t")), ledger.iso_timestamp(F.col("t")), ledger.period(F.lit("2026-03-01").cast("date"))).collect()
+            assert [tuple(r) for r in got] == [("2026-01", "2026-01-31T23:59:59+00:00", "2026-03"), ("2026-01", "2026-01-31T23:59:59.000005+00:00", "2026-03")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_migrations_are_applied_once(spark, tmp_path):
+    store, ran = Store(spark, str(tmp_path / "m")), []
+    files = [("001_a.sql", "1"), ("002_b.sql", "2"), ("003_c.sql", "3")]
+    found = lambda n: migrations.discover(spark.createDataFrame(files[:n], "filename string, text string"))
+    assert migrations.apply_pending(store, found(2), lambda v, f: ran.append((v, f))) == [1, 2]
+    assert migrations.apply_pending(store, found(3), lambda v, f: ran.append((v, f))) == [3] and migrations.apply_pending(store, found(3), None) == []
+    assert ran == [(1, "001_a.sql"), (2, "002_b.sql"), (3, "003_c.sql")] and store.table("migrations").count() == 3
+    with pytest.raises(EngineError, match="missing"):
+        migrations.apply_pending(store, found(2), None)
+
+    def broken(v, f):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        migrations.apply_pending(store, migrations.discover(spark.createDataFrame([*files, ("004_d.sql", "4")], "filename string, text string")), broken)
+    assert store.table("migrations").count() == 3
