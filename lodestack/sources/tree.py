@@ -7,12 +7,15 @@ driver and executors share.
 
 from __future__ import annotations
 
+import contextlib
+import json
 import os
 import stat
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.canonical import encode_path
@@ -100,21 +103,44 @@ class TreeReader(DataSourceReader):
         return [Part(x) for x in out]
 
     def read(self, partition: Part) -> Iterator[tuple]:
-        for name, kind, mode, device, inode, size, mtime in partition.rows:
-            full = os.path.join(os.fsencode(self.root), name)
-            if kind == "file":
-                fd = os.open(full, os.O_RDONLY | os.O_NOFOLLOW | os.O_CLOEXEC)
-                with os.fdopen(fd, "rb") as f:
-                    body, status = f.read(), os.fstat(fd)
-                if (status.st_ino, status.st_size, status.st_mtime_ns) != (inode, size, mtime) or len(body) != size:
-                    raise ScanRaceError(f"file changed while it was read: {os.fsdecode(name)!r}")
-            else:
-                body = os.readlink(full) if kind == "symlink" else None
-            yield encode_path(os.fsdecode(name)), kind, body, mode, device, inode, size, mtime
+        with _opened(os.fsencode(self.root), os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW) as root:
+            for name, kind, mode, device, inode, size, mtime in partition.rows:
+                with _parent(root, name) as (at, last):
+                    if kind == "file":
+                        with _opened(last, os.O_RDONLY | os.O_NOFOLLOW, at) as fd, os.fdopen(fd, "rb", closefd=False) as f:
+                            body, status = f.read(), os.fstat(fd)
+                        if (status.st_ino, status.st_size, status.st_mtime_ns) != (inode, size, mtime) or len(body) != size:
+                            raise ScanRaceError(f"file changed while it was read: {os.fsdecode(name)!r}")
+                    else:
+                        body = os.readlink(last, dir_fd=at) if kind == "symlink" else None
+                yield encode_path(os.fsdecode(name)), kind, body, mode, device, inode, size, mtime
+
+
+@contextlib.contextmanager
+def _opened(name: bytes, flags: int, at: int | None = None) -> Iterator[int]:
+    try:
+        fd = os.open(name, flags | os.O_CLOEXEC, dir_fd=at)
+    except OSError as e:
+        raise ScanRaceError(f"cannot be opened as it was listed: {os.fsdecode(name)!r}") from e
+    try:
+        yield fd
+    finally:
+        os.close(fd)
+
+
+@contextlib.contextmanager
+def _parent(root: int, name: bytes) -> Iterator[tuple[int, bytes]]:
+    """The directory of a path below root, opened part by part without following a link anywhere, and the path's last part."""
+    with contextlib.ExitStack() as held:
+        *above, last = name.split(b"/")
+        at = root
+        for part in above:
+            at = held.enter_context(_opened(part, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW, at))
+        yield at, last
 
 
 class TreeSource(DataSource):
-    """Options: path (an absolute, real directory), partitions."""
+    """Options: path (an absolute, real directory), partitions, policy (JSON of a ScanPolicy's fields)."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,7 +150,10 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(checked_root(self.options["path"]), int(self.options.get("partitions", "8")), ScanPolicy())
+        given = json.loads(self.options.get("policy", "{}"))
+        if "excluded_names" in given:
+            given["excluded_names"] = tuple(given["excluded_names"])
+        return TreeReader(checked_root(self.options["path"]), int(self.options.get("partitions", "8")), ScanPolicy(**given))
 
 
 def checked_root(path: str) -> str:
@@ -133,17 +162,25 @@ def checked_root(path: str) -> str:
     return os.path.normpath(path)
 
 
-def scan(spark: SparkSession, root: str, partitions: int = 8) -> DataFrame:
+def scan(spark: SparkSession, root: str, partitions: int = 8, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
     """Raw rows of a tree. A tree that differs between a listing before and one after the read raises in checked_scan()."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("lodestack_tree").option("path", root).option("partitions", str(partitions)).load()
+    return spark.read.format("lodestack_tree").option("path", root).option("partitions", str(partitions)).option("policy", json.dumps(asdict(policy))).load()
 
 
-def checked_scan(spark: SparkSession, root: str, to: str, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
-    """The tree's rows, written to a folder and read again; the tree must look the same before and after."""
+def contents(rows: DataFrame) -> DataFrame:
+    """What two scans of one tree have to agree in."""
+    return rows.select("path", "kind", "mode", "device", "inode", "size", "mtime", F.sha2("content", 256).alias("sha256"))
+
+
+def checked_scan(spark: SparkSession, root: str, to: str, policy: ScanPolicy = ScanPolicy(), partitions: int = 8) -> DataFrame:
+    """The tree's rows, written to a folder and read again. The tree is listed and read once more, and must be the same in its names, kinds,
+    modes, times and contents; the second read stays on executors, which compare hashes."""
     root = checked_root(root)
     before = Walk(root, policy).run().signature()
-    scan(spark, root).write.mode("overwrite").parquet(to)
-    if Walk(root, policy).run().signature() != before:
+    scan(spark, root, partitions, policy).write.mode("overwrite").parquet(to)
+    first, again = contents(spark.read.parquet(to)), contents(scan(spark, root, partitions, policy))
+    changed = not first.exceptAll(again).isEmpty() or not again.exceptAll(first).isEmpty()
+    if changed or Walk(root, policy).run().signature() != before:
         raise ScanRaceError("the tree changed while it was scanned")
     return spark.read.parquet(to)

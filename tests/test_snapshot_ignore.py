@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions.canonical import decode_path, encode_path, json_string
-from lodestack.functions.text import classify_content, decode_bytes, detect_language
+from lodestack.functions.text import required, classify_content, decode_bytes, detect_language
 from lodestack.operators import ignore, snapshot
 from lodestack.schemas import ScanError, ScanRaceError
 from lodestack.sources import tree
@@ -141,3 +141,49 @@ def test_bound_reads_and_map(spark, tmp_path):
     for bad in ("", "/a", "a//b", "a/../b", "./a", "a\0"):
         with pytest.raises(ValueError):
             snapshot.checked_path(bad)
+
+
+def test_scan_follows_its_policy(spark, tmp_path):
+    write(tmp_path, {"r/keep/a": "1", "r/skip/b": "2", "r/.git/c": "3"})
+    policy = tree.ScanPolicy(excluded_names=("skip",))
+    rows = tree.checked_scan(spark, str(tmp_path / "r"), str(tmp_path / "out"), policy)
+    assert {r["path"] for r in rows.collect()} == {"keep/a", ".git/c"}
+    assert {r["path"] for r in tree.scan(spark, str(tmp_path / "r")).collect()} == {"keep/a", "skip/b"}
+
+
+def test_a_link_above_a_file_is_not_followed(spark, tmp_path):
+    write(tmp_path, {"r/d/a": "1", "other/a": "2"})
+    reader = tree.TreeReader(str(tmp_path / "r"), 1, tree.ScanPolicy())
+    (part,) = reader.partitions()
+    os.rename(tmp_path / "r/d", tmp_path / "away")
+    os.symlink(tmp_path / "away", tmp_path / "r/d")
+    with pytest.raises(ScanRaceError):
+        list(reader.read(part))
+
+
+def test_contents_that_change_in_place_are_a_race(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"r/a": "first"})
+    at, plain, calls = os.stat(tmp_path / "r/a"), tree.scan, []
+
+    def scan(*args, **kw):
+        if calls:  # the second read: other bytes of the same size at the same time
+            (tmp_path / "r/a").write_text("other")
+            os.utime(tmp_path / "r/a", ns=(at.st_atime_ns, at.st_mtime_ns))
+        calls.append(1)
+        return plain(*args, **kw)
+
+    monkeypatch.setattr(tree, "scan", scan)
+    with pytest.raises(ScanRaceError):
+        tree.checked_scan(spark, str(tmp_path / "r"), str(tmp_path / "out"))
+
+
+def test_normal_forms(spark):
+    df = spark.createDataFrame([(f"\u00a0 {'AB' * 32}\n",)], "s string")
+    assert df.select(snapshot.normal_sha256(F.col("s"))).first()[0] == "ab" * 32
+    with pytest.raises(Exception, match="not a SHA-256"):
+        df.select(snapshot.normal_sha256(F.lit("xyz"))).collect()
+    assert df.select(required(F.lit("\u2003 a b\x1c"), "name")).first()[0] == "a b"
+    with pytest.raises(Exception, match="name must not be empty"):
+        df.select(required(F.lit(" \u00a0"), "name")).collect()
+    e = spark.createDataFrame([("a", "file", 1, "0", False, "text", None)], "path string, kind string, size_bytes long, sha256 string, executable boolean, content_kind string, language string")
+    assert snapshot.is_same(e, e) and not snapshot.is_same(e, e.withColumn("executable", F.lit(True)))
