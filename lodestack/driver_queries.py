@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,7 +181,7 @@ def q12(spark, sf_dir):
 
 @query("q13_term_counts", f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM ({TERMS_SQL}) GROUP BY term")
 def q13(spark, sf_dir):
-    return lexical.term_counts(lexical.postings(doc_rows(spark, sf_dir), "doc_id"), "doc_id")
+    return lexical.text_term_counts(doc_rows(spark, sf_dir))
 
 
 _CONTENT_LINE = "' ' || array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') || ' '"
@@ -242,21 +245,34 @@ def q18(spark, sf_dir):
     return lexical.index_counts(counted, ["source"])
 
 
+def _escape_sql(text: str) -> str:
+    """The inside of an ASCII JSON string in SQL, character by character."""
+    short = "WHEN c = '\"' THEN '\\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' WHEN c = chr(8) THEN '\\b' WHEN c = chr(12) THEN '\\f'"
+    unit = "'\\u' || lpad(lower(to_hex(unicode(c))), 4, '0')"
+    pair = "'\\u' || lower(to_hex(55296 + ((unicode(c) - 65536) >> 10))) || '\\u' || lower(to_hex(56320 + ((unicode(c) - 65536) & 1023)))"
+    return f"CASE WHEN regexp_matches({text}, '^[ !#-\\[\\]-~]*$') THEN {text} ELSE array_to_string(list_transform(range(1, length({text}) + 1), lambda i: (list_transform([substr({text}, i, 1)], lambda c: CASE {short} WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) > 65535 THEN {pair} ELSE {unit} END))[1]), '') END"
+
+
 @query(
     "q19_postings_digest",
-    f"""SELECT source, sha256(string_agg('["' || doc_id || '","' || col || '",' || "offset" || ',"' || term || '"]' || chr(10), '' ORDER BY doc_id::VARCHAR, col, "offset", term)) AS digest
-FROM ({TERMS_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE regexp_matches(term, '^[ -~]*$') GROUP BY source""",
+    f"""WITH lines AS (SELECT doc_id, col, "offset", term, '["' || col || '",' || "offset" || ',"' || {_escape_sql("term")} || '"]' || chr(10) AS line FROM ({TERMS_SQL})),
+own AS (SELECT doc_id::VARCHAR AS doc_id, sha256(string_agg(line, '' ORDER BY col, "offset", term)) AS digest FROM lines GROUP BY doc_id)
+SELECT source, sha256(string_agg('["' || doc_id || '","' || digest || '"]' || chr(10), '' ORDER BY doc_id)) AS digest FROM own JOIN (SELECT doc_id::VARCHAR AS doc_id, source FROM documents) USING (doc_id) GROUP BY source""",
 )
 def q19(spark, sf_dir):
-    """Digest of the postings of ASCII terms for each source (SQL has no escape for the others; tests cover them)."""
+    """Digest of all postings of each source, document by document."""
     rows = doc_rows(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
     found = lexical.postings(rows.withColumn("key", F.struct("source", "chunk_id")), "key").select("key.*", "col", "offset", "term")
-    return lexical.postings_digest(found.where(F.col("term").rlike(r"\A[ -~]*\z")), ["source"])
+    return lexical.index_digest(found, ["source"])
 
 
-@query("q23_postings_digest_whole")
+@query(
+    "q23_postings_digest_whole",
+    f"""SELECT source, sha256(string_agg('["' || doc_id || '","' || col || '",' || "offset" || ',"' || {_escape_sql("term")} || '"]' || chr(10), '' ORDER BY doc_id::VARCHAR, col, "offset", term)) AS digest
+FROM ({TERMS_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source""",
+)
 def q23(spark, sf_dir):
-    """Digest of all postings of each source, whatever the terms' characters (no SQL, which has no escape for them; q19 has ASCII terms alone)."""
+    """Digest of all postings of each source in one order, which one task a source hashes as they stream by (q19 has no such task)."""
     rows = doc_rows(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
     found = lexical.postings(rows.withColumn("key", F.struct("source", "chunk_id")), "key").select("key.*", "col", "offset", "term")
     return lexical.postings_digest(found, ["source"])
@@ -279,7 +295,7 @@ def q20(spark, sf_dir):
 
 @query("q21_candidate_cap", f"SELECT term, count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) > 300 AS too_broad FROM ({TERMS_SQL}) GROUP BY term")
 def q21(spark, sf_dir):
-    counts = lexical.term_counts(lexical.postings(doc_rows(spark, sf_dir), "doc_id"), "doc_id")
+    counts = lexical.text_term_counts(doc_rows(spark, sf_dir))
     return counts.select("term", "documents", (F.col("documents") > 300).alias("too_broad"))
 
 
@@ -299,6 +315,27 @@ def nation_sources(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; where that is unset (tests), a session of one process has a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-lodestack-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/queries-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def parsed_once(spark: SparkSession, parsed: DataFrame) -> DataFrame:
+    """Parsed modules as a written table, where a query reads them more than once."""
+    path = scratch(spark)
+    parsed.write.parquet(path)
+    return spark.read.schema(parsed.schema).parquet(path)
+
+
 _PART_SYMBOLS = """SELECT p_partkey, 'parts/' || p_partkey || '.py' AS path, kind, name, qualified_name, parent_qualified_name, start_line::INT AS start_line, start_col::INT AS start_col, end_line::INT AS end_line, end_col::INT AS end_col, signature FROM (
 SELECT p_partkey, 'variable' AS kind, 'VALUE' AS name, 'VALUE' AS qualified_name, NULL AS parent_qualified_name, 1 AS start_line, 0 AS start_col, 1 AS end_line, 5 AS end_col, NULL AS signature FROM part
 UNION ALL SELECT p_partkey, 'class', 'Part' || p_partkey, 'Part' || p_partkey, NULL, 4, 0, 9, 16, 'Part' || p_partkey || '(Base)' FROM part
@@ -341,7 +378,7 @@ def q33(spark, sf_dir):
 @query("q34_parent_coherence", "SELECT 'parts/' || p_partkey || '.py' AS path, k.* FROM part, (VALUES ('size'), ('m')) AS k(part_name) WHERE p_partkey % 3 = 0")
 def q34(spark, sf_dir):
     """Symbols of modules that have lost their class row, in every third module."""
-    rows = structure.symbols(structure.parse(part_sources(spark, sf_dir)))
+    rows = structure.symbols(parsed_once(spark, structure.parse(part_sources(spark, sf_dir))))
     lost = (F.col("kind") == "class") & (F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0)
     return structure.orphan_parents(rows.where(~lost)).select("path", F.regexp_replace("name", r"\d+", "").alias("part_name"))
 
@@ -358,9 +395,31 @@ def q36(spark, sf_dir):
     return structure.file_reports(structure.parse(part_sources(spark, sf_dir)))
 
 
-@query("q37_structure_digest")
+_SYMBOL_ID_SQL = """sha256('{"end_col":' || end_col || ',"end_line":' || end_line || ',"file_sha256":"' || file_sha256 || '","kind":"' || kind || '","ordinal":' || ordinal || ',"path":"' || path || '","qualified_name":"' || qualified_name || '","start_col":' || start_col || ',"start_line":' || start_line || ',"type":"symbol"}')"""
+_SOURCE_SQL = """'VALUE = ' || p_size || chr(10) || chr(10) || chr(10) || 'class Part' || p_partkey || '(Base):' || chr(10) || '    size: int = ' || p_size || chr(10) || chr(10) || '    def m' || p_size || '(self, x: int = ' || p_size || ') -> int:' || chr(10) || '        import sys' || chr(10) || '        return x' || chr(10) || chr(10) || chr(10) || 'def f' || p_partkey || '():' || chr(10) || '    local = 1' || chr(10) || '    return local' || chr(10)"""
+_STRUCTURE_SQL = f"""src AS (SELECT p_partkey, 'parts/' || p_partkey || '.py' AS path, sha256({_SOURCE_SQL}) AS file_sha256, octet_length(encode({_SOURCE_SQL})) AS size_bytes, 'm' || p_size AS method FROM part),
+s0 AS (SELECT s.*, src.file_sha256, row_number() OVER (PARTITION BY s.p_partkey ORDER BY start_line, start_col) AS ordinal FROM ({_PART_SYMBOLS}) s JOIN src USING (p_partkey)),
+s1 AS (SELECT *, {_SYMBOL_ID_SQL} AS symbol_id FROM s0),
+s2 AS (SELECT s1.*, c.symbol_id AS parent_symbol_id FROM s1 LEFT JOIN s1 c ON c.p_partkey = s1.p_partkey AND c.kind = 'class' AND s1.parent_qualified_name IS NOT NULL),
+i0 AS (SELECT src.path, src.file_sha256, m.symbol_id AS scope_symbol_id, m.qualified_name AS scope FROM src JOIN s1 m ON m.p_partkey = src.p_partkey AND m.kind = 'method'),
+i1 AS (SELECT *, sha256('{{"alias":null,"col":8,"file_sha256":"' || file_sha256 || '","kind":"import","level":0,"line":8,"module":"sys","name":"sys","ordinal":1,"path":"' || path || '","scope_qualified_name":"' || scope || '","type":"import"}}') AS import_id FROM i0)"""
+
+
+@query(
+    "q37_structure_digest",
+    f"""WITH {_STRUCTURE_SQL},
+sd AS (SELECT path, sha256('symbols' || chr(10) || string_agg('["' || path || '","' || symbol_id || '","' || file_sha256 || '","' || kind || '","' || name || '","' || qualified_name || '",' || coalesce('"' || parent_symbol_id || '"', 'null') || ',' || coalesce('"' || parent_qualified_name || '"', 'null') || ',' || start_line || ',' || start_col || ',' || end_line || ',' || end_col || ',' || coalesce('"' || signature || '"', 'null') || ',"[]"]' || chr(10), '' ORDER BY start_line, start_col)) AS d FROM s2 GROUP BY path),
+id AS (SELECT path, sha256('imports' || chr(10) || '["' || path || '","' || import_id || '","' || file_sha256 || '","import","sys","sys",null,0,"' || scope_symbol_id || '","' || scope || '",8,8,1]' || chr(10)) AS d FROM i1),
+fd AS (SELECT path, sha256('files' || chr(10) || '["' || path || '","' || file_sha256 || '",' || size_bytes || ',"Python","text","indexed",5,1,null]' || chr(10)) AS d FROM src),
+up AS (SELECT fd.path, sha256('files' || chr(10) || '["' || path || '","' || fd.d || '"]' || chr(10)) AS files_digest, sha256('imports' || chr(10) || '["' || path || '","' || id.d || '"]' || chr(10)) AS imports_digest, sha256('symbols' || chr(10) || '["' || path || '","' || sd.d || '"]' || chr(10)) AS symbols_digest FROM fd JOIN id USING (path) JOIN sd USING (path))
+SELECT *, sha256(files_digest || imports_digest || symbols_digest) AS digest FROM up""",
+)
 def q37(spark, sf_dir):
-    return structure.structure_digests(structure.symbols(structure.parse(part_sources(spark, sf_dir))), ["path"])
+    """Digests of the three sections, of each module apart."""
+    sources = part_sources(spark, sf_dir)
+    parsed = parsed_once(spark, structure.parse(sources))
+    files = sources.select("path", "file_sha256", F.octet_length("content").cast("long").alias("size_bytes"), F.lit("Python").alias("language"), F.lit("text").alias("content_kind")).join(structure.file_reports(parsed), "path")
+    return structure.structure_digests({"files": files, "symbols": structure.symbols(parsed), "imports": structure.imports(parsed)}, ["path"])
 
 
 # -- ledger -------------------------------------------------------------------------------------------------------
@@ -594,16 +653,15 @@ def q66(spark, sf_dir):
     return contracts.invalid_requests(r).select("conv_id", "turn", "reason")
 
 
-@query("q70_json_escapes", "SELECT conv_id, turn, length(text)::INT AS chars FROM conversations WHERE regexp_matches(text, '^[ -~]*$')")
+@query("q70_json_escapes", f"""SELECT conv_id, turn, sha256('"' || {_escape_sql("text")} || '"') AS json_sha256 FROM conversations""")
 def q70(spark, sf_dir):
-    """Canonical JSON strings that read back as the text they came from."""
-    rows = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[ -~]*\z")).withColumn("back", F.from_json(F.concat(F.lit('{"v":'), json_string(F.col("text")), F.lit("}")), "v string")["v"])
-    return rows.where(F.col("back") == F.col("text")).select("conv_id", "turn", F.length("back").alias("chars"))
+    """Canonical JSON strings of all texts."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(json_string(F.col("text")), 256).alias("json_sha256"))
 
 
 @query("q71_json_escapes_whole", "SELECT conv_id, turn, length(text)::INT AS chars, CASE WHEN text IS NOT NULL THEN true END AS reads_back FROM conversations")
 def q71(spark, sf_dir):
-    """All texts, whatever their characters, and whether their canonical JSON strings read back (q70 has printable ASCII alone)."""
+    """Whether the canonical JSON strings of all texts read back."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     back = F.from_json(F.concat(F.lit('{"v":'), json_string(F.col("text")), F.lit("}")), "v string")["v"]
     return c.select("conv_id", "turn", F.length("text").alias("chars"), F.when(F.col("text").isNotNull(), back.eqNullSafe(F.col("text"))).alias("reads_back"))
