@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids, their pieces, and decoded, the text that these stand for. Null and empty texts have no pieces and decode to
     an empty text; columns of these two names are replaced."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, path), path)
+    return pieces.encode(docs, path, decoded_to="decoded")
 
 
 STAGES = [

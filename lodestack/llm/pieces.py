@@ -37,7 +37,7 @@ from .common import drop_table, map_batches, place_of, spare_name, write_table
 
 MARK = "▁"
 #: Characters above which a document is giant, characters of a chunk, entries of a worker's cache.
-GIANT, CHUNK, CACHED = 50_000, 16_384, 200_000
+GIANT, CHUNK, CACHED = 50_000, 16_384, 150_000
 #: Neighbouring matrices that one task multiplies in a round of the scan.
 FAN = 16
 NONE = float("-inf")
@@ -170,7 +170,7 @@ class Encoder:
     def compatible(self, a: str, b: str) -> bool:
         key = (a, b)
         if key not in self.pairs:
-            if len(self.pairs) > 4 * CACHED:
+            if len(self.pairs) > CACHED:
                 self.pairs.clear()
             self.pairs[key] = self.merge(a + b) == [a, b]
         return self.pairs[key]
@@ -316,9 +316,12 @@ def states_between(matrices: list[Matrix], entry: State, leave: State) -> list[S
     return out
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """df with `token_ids` (array of int), equal to the library's encoding of each whole text; columns of this name are replaced."""
-    df = df.drop("token_ids")
+def encode(df: DataFrame, path: str, text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN, decoded_to: str | None = None) -> DataFrame:
+    """df with `token_ids` (array of int), equal to the library's encoding of each whole text; columns of this name are replaced.
+
+    decoded_to: also a column of this name with the text that the ids stand for, as decode() gives it, from the same pass over the rows.
+    """
+    df = df.drop("token_ids", *([decoded_to] if decoded_to else []))
     at = place_of(df, text_col)
 
     def small(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -326,12 +329,18 @@ def encode(df: DataFrame, path: str, text_col: str = "text", giant: int = GIANT,
         ids = enc.encode_all([t or "" for t in batch.column(at).to_pylist()])
         places = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-        return pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "token_ids"])
-
-    schema = df.limit(0).withColumn("token_ids", F.lit(None).cast("array<int>")).schema
+        out, names = [*batch.columns, lists], [*batch.schema.names, "token_ids"]
+        if decoded_to:
+            out.append(pa.array(enc.decode_all([np.frombuffer(x, np.int32).tolist() for x in ids]), pa.string()))
+            names.append(decoded_to)
+        return pa.RecordBatch.from_arrays(out, names)
+
+    shape = df.limit(0).withColumn("token_ids", F.lit(None).cast("array<int>"))
+    schema = (shape.withColumn(decoded_to, F.lit(None).cast("string")) if decoded_to else shape).schema
     length = F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     ordinary = map_batches(df.where(length <= giant), small, schema)
-    return ordinary.union(encode_giants(df.where(length > giant), path, text_col, chunk, fan))
+    giants = encode_giants(df.where(length > giant), path, text_col, chunk, fan)
+    return ordinary.union(decode(giants, path, to_col=decoded_to) if decoded_to else giants)
 
 
 def encode_giants(df: DataFrame, path: str, text_col: str, chunk: int, fan: int = FAN) -> DataFrame:

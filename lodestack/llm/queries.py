@@ -78,7 +78,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(PIECES)
-    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    both = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_to="decoded")
     return both.select(
         "doc_id",
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, drop_table, map_batches, place_of, write_table
 
 #: Labelled rows that are learned from, and tokens that a worker's cache holds.
-SAMPLE, CACHED = 20_000, 400_000
+SAMPLE, CACHED = 20_000, 150_000
 #: Characters of a piece that is decoded at once, and stars in it that may be masked letters.
 LONG, MASKS = 128, 4
 #: Toxic documents that a feature needs, the least lower bound of its share, and the lengths of word beginnings.

@@ -161,6 +161,9 @@ def test_pieces_equal_the_library_in_chunks(spark):
     key = lambda i: -1 if i is None else i
     out = pieces.decode(pieces.encode(df, SP, giant=100, chunk=40), SP)
     assert sorted((key(r["doc_id"]), tuple(r["token_ids"])) for r in out.collect()) == sorted((key(i), tuple(lib.encode(t or ""))) for i, t in rows)
+    for fan in (2, 3):
+        again = pieces.encode(df, SP, giant=100, chunk=40, fan=fan, decoded_to="decoded")
+        assert sorted(map(repr, again.collect())) == sorted(map(repr, out.collect()))
     texts = dict(rows)
     for r in out.collect():
         if r["doc_id"] is not None and "▁" not in (texts[r["doc_id"]] or ""):
