@@ -668,8 +668,12 @@ def q71(spark, sf_dir):
 
 
 def queries() -> dict:
+    from . import contract_queries  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import contract_queries  # noqa: F401
+
     return dict(SQL)
