@@ -162,26 +162,26 @@ def kth_largest(values: DataFrame, column: str, k: int, held: int = 20_000) -> t
     return border, rank - left.where(F.col("x") > F.lit(border)).count()
 
 
-def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key", held: int = 20_000) -> DataFrame:
-    """scored with `selected`: whether a row is one of the k of the largest keys; a column of this name in any letter case is replaced.
+def gumbel_top_k(scored: DataFrame, k: int, key: str = "gumbel_key", held: int = 20_000, to: str = "selected") -> DataFrame:
+    """scored with a column `to`: whether a row is one of the k of the largest keys; one of this name in any letter case is replaced.
 
     Of rows that tie at the border, as many are taken as make exactly k, in the order in which the table is read. scored should be a
     table: it is read a few times.
     """
-    scored = scored.drop("selected")
+    scored = scored.drop(to)
     total = scored.count()
     if k <= 0 or not total:
-        return scored.withColumn("selected", F.lit(False))
+        return scored.withColumn(to, F.lit(False))
     if k >= total:
-        return scored.withColumn("selected", F.lit(True))
+        return scored.withColumn(to, F.lit(True))
     border, taken = kth_largest(scored, key, k, held)
     tied = scored.where(F.col(key) == F.lit(border)).count()
     if tied == taken:
-        return scored.withColumn("selected", F.col(key) >= F.lit(border))
+        return scored.withColumn(to, F.col(key) >= F.lit(border))
     row = spare_name(scored, "row")
     numbered = write_table(scored.withColumn(row, -F.monotonically_increasing_id()))
     last, _ = kth_largest(numbered.where(F.col(key) == F.lit(border)), row, taken, held)
-    return numbered.withColumn("selected", (F.col(key) > F.lit(border)) | ((F.col(key) == F.lit(border)) & (F.col(row) >= F.lit(last)))).drop(row)
+    return numbered.withColumn(to, (F.col(key) > F.lit(border)) | ((F.col(key) == F.lit(border)) & (F.col(row) >= F.lit(last)))).drop(row)
 
 
 def resample(df: DataFrame, model: QualityModel, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,12 +209,12 @@ def reject_poor(df: DataFrame, model: QualityModel, text_col: str = "text", seed
     As many rows are drawn as are likelier good than not. Each row's key is its log importance weight (``with_margin``), of which a
     clearly good text has many times the noise's spread, plus Gumbel noise from its own text; the k largest keys stay.
     """
-    margin, key = spare_name(df, "margin"), spare_name(df, "gumbel_key")
+    margin, key, drawn = (spare_name(df, n) for n in ("margin", "gumbel_key", "drawn"))
     weighed = with_margin(df, model, margin, text_col)
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{text_col}`").cast("string")), 11).cast("double") + 0.5) / float(1 << 53)))
     weighed = write_table(weighed.withColumn(key, F.col(margin) + noise))
-    drawn = gumbel_top_k(weighed, weighed.where(F.col(margin) >= 0).count(), key)
-    return drawn.where("selected").select(*(F.col(f"`{c}`") for c in df.columns))
+    kept = gumbel_top_k(weighed, weighed.where(F.col(margin) >= 0).count(), key, to=drawn)
+    return kept.where(F.col(drawn)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 __all__ = ["QualityModel", "fit_quality", "fold", "gumbel_top_k", "reject_poor", "resample", "score_quality"]

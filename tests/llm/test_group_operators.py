@@ -3,9 +3,10 @@
 import hashlib
 import random
 from collections import Counter
+from math import comb
 
 import numpy as np
-import xxhash
+from brute import brute_fingerprint, brute_roots
 from pyspark.sql import functions as F
 
 from lodestack.llm import fingerprints, shards, simhash
@@ -78,31 +79,6 @@ def test_next_ids(spark):
 # -- SimHash ----------------------------------------------------------------------------------------------------------
 
 
-def brute_fingerprint(text):
-    import re
-
-    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
-    sh = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else [" ".join(ws)] if ws else []
-    hs = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def brute_roots(fps):
-    parent = list(range(len(fps)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]
-
-
 def test_fingerprints_and_components(spark):
     df, rows = frame(spark, ODD_TEXTS)
     for r in simhash.near_duplicates(df).collect():
@@ -197,3 +173,69 @@ def test_a_shuffle_is_about_uniform(spark):
         for r in shards.deal(df, 4, seed=seed).collect():
             cells[r["doc_id"] // 100, r["shard"]] += 1
     assert all(abs(n - 150) < 45 for n in cells.values())
+
+
+def test_draws_follow_the_hypergeometric_law():
+    rng = np.random.default_rng(5)
+    for good, bad, drawn in ((30, 20, 17), (3, 40, 10), (5, 5, 9)):
+        n = 20_000
+        seen = np.bincount([shards.hypergeometric(rng, good, bad, drawn) for _ in range(n)], minlength=drawn + 1)
+        law = np.array([comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn) if drawn - k <= bad else 0.0 for k in range(drawn + 1)])
+        assert (seen[law == 0] == 0).all()
+        met = law * n > 5
+        assert ((seen - law * n)[met] ** 2 / (law * n)[met]).sum() < 3 * met.sum() + 10
+    # Beyond the range of numpy's generator: mean and deviation of the exact law.
+    good, bad, drawn = 3 * 10**9, 9 * 10**9, 10**8
+    x = np.array([shards.hypergeometric(rng, good, bad, drawn) for _ in range(200)], float)
+    sd = (drawn * 0.25 * 0.75 * (1 - drawn / (good + bad))) ** 0.5
+    assert abs(x.mean() - drawn / 4) < 5 * sd / 200**0.5 and 0.75 < x.std() / sd < 1.3
+    assert shards.hypergeometric(rng, 0, 10, 5) == 0 and shards.hypergeometric(rng, 10, 0, 5) == 5 and shards.hypergeometric(rng, 3, 3, 6) == 3
+
+
+def test_a_matrix_entry_follows_its_law():
+    counts, first = [6, 9, 5], Counter(int(shards.draw_matrix([6, 9, 5], 4, seed)[0, 0]) for seed in range(4000))
+    law = {k: comb(5, k) * comb(15, 6 - k) / comb(20, 6) for k in range(6)}
+    assert sum(counts) == 20 and all(abs(first[k] - 4000 * p) < 5 * (4000 * p) ** 0.5 + 5 for k, p in law.items())
+
+
+def test_equal_rows_are_shuffled_like_others(spark):
+    rows = [(1, "same")] * 80 + [(k, f"t{k}") for k in range(2000)]
+    out = shards.deal(spark.createDataFrame(rows, "doc_id long, text string"), 8, seed=3).where("text = 'same'").collect()
+    per_shard = Counter(r["shard"] for r in out)
+    assert len(out) == 80 and len(per_shard) == 8 and max(per_shard.values()) <= 24
+    places = sorted((r["shard"], r["slot"]) for r in out)
+    assert sum((b[0], b[1] - 1) == a for a, b in zip(places, places[1:], strict=False)) < 15, "equal rows stand apart"
+
+
+def test_a_value_in_nine_of_ten_rows_is_split(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("doc_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small a table ends in one task
+    try:
+        sizes = [len(p) for p in shards.deal(df, 8).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.6 * sum(sizes) and Counter(r["shard"] for r in shards.deal(df, 8).collect()) == {k: 500 for k in range(8)}
+
+
+def test_long_runs_of_a_key_lose_no_link(spark):
+    rng = random.Random(13)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(24, 64), rng.randrange(9))) for _ in range(300)}  # one segment is the same in all
+    fps |= {f ^ sum(1 << b for b in rng.sample(range(64), 3)) for f in list(fps)[:60]}
+    fps = sorted(fps)
+    roots = brute_roots(fps)
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for most in (40, 5):
+        got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, long_run=most)).collect()}
+        mine = [got.get(signed(f), signed(f)) for f in fps]
+        assert len(set(zip(mine, roots, strict=True))) == len(set(mine)) == len(set(roots))
+
+
+def test_very_long_texts_and_ties(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "a b"), (3, "a b"), (3, "b a")], "doc_id long, Text string")
+    by_id = {r["doc_id"]: r for r in simhash.near_duplicates(df, text_col="text").collect()}
+    assert by_id[1]["fingerprint"] == f"{brute_fingerprint(long):016x}" and by_id[2]["component_id"] == 1
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df, text_col="text").collect()) == [1, 3]
+    prints = fingerprints.fingerprint_edits(df, text_col="text", samples=4).where("doc_id = 1").first()
+    assert prints["n_chars"] == len(long) and shards.deal(df, 2).count() == 5

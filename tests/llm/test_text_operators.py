@@ -1,12 +1,18 @@
 """Operators on texts against brute force, the libraries, and odd inputs."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from brute import brute_contamination, lowered
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -30,10 +36,6 @@ def empty(df):
     return df.where("false")
 
 
-def lowered(text):
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
-
-
 # -- licences -----------------------------------------------------------------------------------------------------
 
 
@@ -86,22 +88,6 @@ def test_licences_without_rare_words_against_brute_force(spark):
 # -- decontamination ------------------------------------------------------------------------------------------------
 
 
-def brute_contamination(text, items):
-    ws = WORD.findall(lowered(text))
-    hit, met = set(), set()
-    for i, t in items:
-        iw = WORD.findall(lowered(t))
-        if not iw:
-            continue
-        n = min(13, len(iw))
-        for a in range(len(iw) - n + 1):
-            for p in range(len(ws) - n + 1):
-                if ws[p : p + n] == iw[a : a + n]:
-                    hit.update(range(p, p + n))
-                    met.add(str(i))
-    return len(ws), len(hit), sorted(met)
-
-
 def test_contamination_against_brute_force(spark):
     rng = random.Random(2)
     letters = "a b c".split()
@@ -292,3 +278,201 @@ def test_digest_columns(spark, tmp_path):
     rows = {r["doc_id"]: r for r in queries.op6_decontamination(spark, str(tmp_path)).collect()}
     assert rows[1]["contaminated"] and rows[1]["items_sha256"] == hashlib.sha256(b"7").hexdigest()
     assert not rows[2]["contaminated"] and rows[2]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+# -- toxicity: the decoder ----------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def letters():
+    """A character model of a few words, counted one by one."""
+    counts = np.zeros(27**4)
+    for w in "the and this number water fuck shit hello never kill idiot hate people nowhere would could".split():
+        symbols = [0, 0, 0, *(toxicity.SYMBOL[c] for c in w), 0]
+        for k in range(3, len(symbols)):
+            a, b, c = symbols[k - 3 : k]
+            b *= c > 0
+            a *= b > 0
+            counts[((a * 27 + b) * 27 + c) * 27 + symbols[k]] += 50
+    return toxicity.character_costs(counts)
+
+
+def all_paths(token, costs, letters_from=None):
+    """Texts of the least cost over all paths of a token's lattice."""
+    least, texts = math.inf, set()
+    masks = token.count("*") <= toxicity.MASKS
+    for path in itertools.product(*(toxicity.arcs_of(token, k, letters_from, masks) for k in range(len(token)))):
+        context, cost = 0, 0.0
+        for symbol, _, own in path:
+            cost += own
+            if symbol == 0:
+                cost, context = cost + (float(costs[context, 0]) if context else 0.0), 0
+            elif symbol > 0:
+                cost, context = cost + float(costs[context, symbol]), context % 729 * 27 + symbol
+        cost += float(costs[context, 0]) if context else 0.0
+        text = "".join(w for _, w, _ in path)
+        if cost < least - 1e-6:
+            least, texts = cost, {text}
+        elif cost < least + 1e-6:
+            texts.add(text)
+    return texts
+
+
+def test_decoder_finds_the_least_of_all_paths(letters):
+    rng, tried = random.Random(1), 0
+    for _ in range(300):
+        token = "".join(rng.choice("abehiklostu0134$!.-_*sse") for _ in range(rng.randrange(1, 9)))
+        if token.count("*") <= 2:
+            tried += 1
+            assert toxicity.restore(token, letters) in all_paths(token, letters), token
+            assert toxicity.restore(token, letters, 1) in all_paths(token, letters, 1), token
+    assert tried > 200
+    # Many masks take the step over all states at once, and must come out like few.
+    states = {0: (0.0, "")}
+    token = "f***k"
+    for k in range(len(token)):
+        arcs, best = toxicity.arcs_of(token, k), {}
+        for context, (cost, text) in states.items():
+            for symbol, written, own in arcs:
+                to, c = (context, cost + own) if symbol < 0 else (0, cost + own + (float(letters[context, 0]) if context else 0.0)) if symbol == 0 else (context % 729 * 27 + symbol, cost + own + float(letters[context, symbol]))
+                if to not in best or (c, text + written) < best[to]:
+                    best[to] = c, text + written
+        states = best
+    least = min((c + (float(letters[x, 0]) if x else 0.0), t) for x, (c, t) in states.items())
+    assert toxicity.restore(token, letters) == least[1]
+
+
+def test_weights_are_found_by_classes_alone(letters):
+    """What the classes rule out has no weight under any reading."""
+    model = toxicity.ToxicityModel(letters, {"fuck$": 3.0, "shit$": 2.0, "idio": 2.0, "kill$": 1.0})
+    rng = random.Random(2)
+    for _ in range(400):
+        token = "".join(rng.choice("abcdfhiklotu0137$!.-_s") for _ in range(rng.randrange(1, 12)))
+        if not model.may_weigh(toxicity.normal(token).replace(" ", "")):
+            assert model.piece_weight(token) == 0.0, token
+    for token, w in (("f.u.c.k", 3), ("f*ck", 3), ("sh1t", 2), ("5h!t", 2), ("ki11", 1), ("fuuuuuuck", 3), ("f.....u", 0), ("1" * 300 + "fuck", 3), ("a1" * 500 + ",fuck," + "b2" * 400, 3), ("x" * 200 + "-" * 9 + "sh1t", 2), ("number", 0)):
+        assert model.token_weight(token) == w, token
+
+
+def test_decoding_is_linear_in_a_tokens_length(letters):
+    model = toxicity.ToxicityModel(letters, {"fuck$": 3.0, "shit$": 2.0, "idio": 2.0})
+    rng = random.Random(3)
+    n = 100_000
+    cases = {"stars": "*" * n, "starred": "word" + "*" * n + "word", "dashes": "a" + "-" * n + "b", "digits": "1" * n, "counting": "1234567890" * (n // 10), "turns": "a***b***" * (n // 8), "signs": "f*u-" * (n // 4), "spelled": "a " * (n // 2), "dots": "a." * (n // 2), "letters": "fu" * (n // 2), "commas": "a1,b2;" * (n // 6), "blob": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))}
+    for name, text in cases.items():
+        began = time.process_time()
+        model.evidence(text, {})
+        assert time.process_time() - began < (60 if name == "blob" else 5), name
+
+
+# -- quality: by plain counts -------------------------------------------------------------------------------------
+
+
+def test_quality_models_against_plain_counts(spark, labelled):
+    docs, labels = labelled
+    model = quality.fit_quality(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    good = {r["doc_id"] for r in labels.where("quality = 1").join(docs, "doc_id").where(quality.fold(F.col("doc_id")) != 0).collect()}
+    bucket = lambda g: (int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 16
+    grams = lambda t: [bucket(t[k : k + 4]) for k in range(len(t) - 3)]
+    target, raw = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    size, a, b = quality.BUCKETS, sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+    assert size == len(model.ratio)
+    for g in list(raw)[:500]:
+        assert model.ratio[g] == pytest.approx(math.log((target[g] + 1) / a) - math.log((raw[g] + 1) / b), abs=1e-4)
+    scored = quality.score_quality(docs, model).collect()
+    for r in scored[:100]:
+        weight = sum(float(model.ratio[g]) for g in grams(texts[r["doc_id"]]))
+        assert r["log_weight"] == pytest.approx(weight, abs=1e-3) and r["n_grams"] == len(grams(texts[r["doc_id"]]))
+    drawn = quality.gumbel_top_k(quality.score_quality(docs, model), 100, held=30).where("selected").collect()
+    assert {r["doc_id"] for r in drawn} == {r["doc_id"] for r in sorted(scored, key=lambda r: -r["gumbel_key"])[:100]}
+
+
+def test_gumbel_top_k_is_exact_under_ties(spark):
+    df = spark.createDataFrame([(k, 1.0) for k in range(2000)] + [(5000, 0.5), (5001, 2.0)], "doc_id long, Gumbel_Key double")
+    for k, low in ((10, 1.0), (2001, 1.0), (2002, 0.5), (1, 2.0)):
+        picked = quality.gumbel_top_k(df, k, held=20).where("selected").collect()
+        assert len(picked) == k and min(r[1] for r in picked) == low
+    assert quality.gumbel_top_k(df.where("doc_id < 50"), 20, held=5).where("selected").count() == 20
+    same = df.withColumn("Selected", F.lit("x"))
+    assert quality.gumbel_top_k(same, 3).columns == ["doc_id", "Gumbel_Key", "selected"]
+
+
+def test_poor_rows_go_by_the_draw(spark, labelled):
+    docs, labels = labelled
+    model = quality.fit_quality(docs, labels)
+    weighed = quality.with_margin(docs, model, "m").collect()
+    kept = {r["doc_id"] for r in quality.reject_poor(docs, model).collect()}
+    assert len(kept) == sum(r["m"] >= 0 for r in weighed)
+    noise = {r["text"]: r["g"] for r in docs.select("text", (-F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(0), F.col("text")), 11).cast("double") + 0.5) / float(1 << 53)))).alias("g")).collect()}
+    assert kept == {r["doc_id"] for r in sorted(weighed, key=lambda r: -(r["m"] + noise[r["text"]]))[: len(kept)]}
+    for r in weighed:
+        assert (r["m"] >= 0) == (model.score(*model.weight(r["text"].encode())) >= 0.5)
+
+
+# -- all of them: names, long texts -------------------------------------------------------------------------------
+
+
+def test_names_in_another_case_and_very_long_texts(spark, labelled):
+    docs, labels = labelled
+    long = "released under the mit license " + " ".join(f"w{k % 3000}" for k in range(150_000)) + " v0rgat all rights reserved " + "ｘ" * 50_000
+    df = spark.createDataFrame([(1, long), (2, "ta ka")], "doc_id long, Text string").withColumn("TOKEN_IDS", F.lit("x")).withColumn("Margin", F.lit(1))
+    bad, good = toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels)
+    bench = spark.createDataFrame([(9, " ".join(f"w{k}" for k in range(500, 540)))], "item_id long, Text string")
+    assert [r["doc_id"] for r in toxicity.reject_toxic(df, bad).collect()] == [2]
+    assert quality.reject_poor(df, good).columns == df.columns
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()] == [1, 2]
+    hit = decontaminate.find_contamination(df, bench).where("doc_id = 1").first()
+    assert hit["n_hit"] == 40 * 50 and len(hit["spans"]) == 50 and long[hit["spans"][49]["start"] :].startswith("w500 ")
+    found = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in licences.scan_licences(df).collect()}
+    assert found == {1: {"mit", "reserved"}, 2: set()}
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, BPE).collect()}
+    assert counted[1] == len(Tokenizer.from_file(BPE).encode(long, add_special_tokens=False).ids)
+    out = pieces.encode(df, SP, decoded_to="Margin")
+    ids = {r["doc_id"]: (r["token_ids"], r["Margin"]) for r in out.collect()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=SP)
+    assert out.columns == ["doc_id", "Text", "token_ids", "Margin"] and ids[1] == (lib.encode(long), long)
+
+
+# -- token counts: all scripts, no exchange -----------------------------------------------------------------------
+
+
+def test_token_counts_of_all_scripts(spark):
+    rng = random.Random(14)
+    pool = [*"ab 1'\n\t  ", "'s", "\u00a0", "\x1c", "\x85", "\u3000", "\u180e", "漢", "か", "ا", "ש", "é", "😀", "\u200d", "\ufe0f", "Ⅷ", "१", "𝔘", "𐍈", "\U0001e900", "<|endoftext|>", "—", "’", "\ue000", "\u0378", "\u1c8a", "\x00"]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.85 else chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    lib = Tokenizer.from_file(BPE)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, BPE).collect()}
+    assert got == {k: len(lib.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert "Exchange" not in token_counts.count_tokens(df, BPE, frequent={})._jdf.queryExecution().toString()
+    table = token_counts.frequent_lengths(spark.createDataFrame([(k, f"the word {k}") for k in range(300)], "doc_id long, text string"), BPE, most=2)
+    assert set(table) == {"the", " word"} and token_counts.frequent_lengths(df.limit(0), BPE) == {}
+    curly = ["“" + "it’s — fine " * 20 + "漢字 😀”"] * 50
+    _, special = token_counts.tokenizer(BPE)
+    assert max(len(p) for p in token_counts.cut(curly[0], special)) < 10, "characters beyond Latin do not send a text to the library whole"
+
+
+# -- URLs: many paths of one host ---------------------------------------------------------------------------------
+
+
+def test_very_many_path_rules_of_one_host(spark):
+    rng = random.Random(15)
+    rules = [("h.com", "/" + "/".join(rng.choice("abcde") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 6))), rng.choice(["allow", "block"])) for _ in range(400)] + [("h.com", "", "block"), ("com", "/a", "block")]
+    urls = [f"http://{rng.choice(['h.com', 'x.h.com', 'o.com'])}/" + "/".join(rng.choice("abcde") * rng.randrange(1, 4) for _ in range(rng.randrange(6))) for _ in range(400)]
+    df, r = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    least = {}
+    for h, p, v in rules:
+        least[h, p] = min(v, least.get((h, p), v))
+    for row in url_filter.judge_urls(df, r).collect():
+        assert tuple(row)[1:] == brute_url(urls[row["page_id"]], [(h, p, v) for (h, p), v in least.items()])
+    many = url_filter.HostRules("com.h.", "h.com")
+    for p in sorted(f"/{k}/" for k in range(100_000)):
+        many.add(p, "block")
+    began = time.process_time()
+    assert sum(many.best(f"/{k}/x") is not None for k in range(0, 200_000, 10)) == 10_000
+    assert time.process_time() - began < 5
