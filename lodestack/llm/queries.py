@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, licences, pieces, quality, shards, simhash, token_counts, toxicity, url_filter
+from . import decontaminate, filter_audit, fingerprints, licences, max_score, pieces, quality, runs, shards, simhash, token_counts, toxicity, url_filter
 
 #: Fixed values of the URL rules: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -50,7 +50,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shards.deal(docs, shards=8).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return shards.deal(docs, shards=8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20, scale=64)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text: in a tenth of the documents, by the crc32 of the id, the words from one of them on go round in a period. A null id plants
+    nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split(F.regexp_replace("text", r"[\x09-\x0D]", " "), " "), "")
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    some = some.withColumn("a", F.expr("g % greatest(n, 1)").cast("int")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    round_trip = F.expr("concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), CAST((n - a) div p + 1 AS int))), 1, n - a))")
+    return some.select("doc_id", F.when(F.col("w").isNotNull() & (F.col("n") > 0), F.array_join(round_trip, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted_periods(table(spark, sf_dir, "documents")), length=6, exponent=4)
+    steeper = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = lambda x, y: F.when(steeper(x, y) != 0, F.signum(steeper(x, y))).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int")
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.get(F.array_sort("runs", order), F.lit(0)).alias("b"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -141,6 +169,31 @@ r AS (SELECT *, (host = 'net' OR ends_with(host, '.net')) AND starts_with(path,
 SELECT page_id, host, path, CASE WHEN en THEN 'example.net/en/' WHEN de THEN 'example.com/de/' WHEN fr THEN 'org/fr/' WHEN net THEN 'net/' END AS rule,
   CASE WHEN en OR fr THEN 'allow' WHEN de OR net THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
+_MAX_SCORE_SQL = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+
+#: Every order is walked through document by document group: no subsets, no CUBE.
+_FILTER_SQL = """
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+m AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
+  (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(doc_id > least, false)::INT AS e
+  FROM w JOIN m USING (text) LEFT JOIN l USING (doc_id)),
+x AS (SELECT part, good, toxic, [a, b, c, d, e] AS fails, count(*) AS n FROM f GROUP BY ALL),
+i(k) AS (VALUES (1), (2), (3), (4), (5)),
+p AS (SELECT [p.k, q.k, r.k, s.k, u.k] AS o FROM i p, i q, i r, i s, i u WHERE len(list_distinct([p.k, q.k, r.k, s.k, u.k])) = 5),
+st AS (SELECT array_to_string([substr('ABCDE', y, 1) for y in o], '') AS filter_order, k AS step, o[k] AS own, o[1:k-1] AS earlier FROM p, i),
+g AS (SELECT part, filter_order, step, own, sum(n * (own_fails = 0 AND before = 0)::INT) AS kept, sum(n * (own_fails = 1 AND before = 0)::INT) AS removed, sum(n * (own_fails = 1 AND before > 0)::INT) AS redundant,
+  sum(n * (own_fails = 1 AND every = 1)::INT) AS unique_fails, sum(n * (good AND own_fails = 1 AND before = 0)::INT) AS good_lost, sum(n * (toxic AND own_fails = 1 AND before = 0)::INT) AS toxic_lost
+  FROM (SELECT *, fails[own] AS own_fails, coalesce(list_sum([fails[z] for z in earlier]), 0) AS before, list_sum(fails) AS every FROM x, st) GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g"""
+
 
 def queries() -> dict:
     return {
@@ -154,8 +207,11 @@ def queries() -> dict:
         "op8_url_rules": op8_url_rules,
         "op9_pieces": op9_pieces,
         "op10_token_counts": op10_token_counts,
+        "op11_max_score": op11_max_score,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_runs": op13_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licences": licence_sql(), "op6_decontamination": _DECONTAMINATION_SQL, "op8_url_rules": _URL_SQL}
+    return {"op1_licences": licence_sql(), "op6_decontamination": _DECONTAMINATION_SQL, "op8_url_rules": _URL_SQL, "op11_max_score": _MAX_SCORE_SQL, "op12_filter_audit": _FILTER_SQL}
