@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, json_array, json_object, ordered_digest
@@ -226,24 +226,50 @@ def score(query: Query, path: Column, content: Column) -> Column:
     return out + F.when(path.contains(whole), 250).otherwise(0) + F.when(content.contains(whole), 25).otherwise(0)
 
 
+TOO_MANY = "too many candidates: refine the query"
+
+
+def scored(hits: DataFrame, query: Query) -> DataFrame:
+    """Matches with their score; only they are put in score form."""
+    formed = hits.withColumn("path_form", score_forms("path")).withColumn("content_form", score_forms("content"))
+    return formed.withColumn("score", score(query, F.col("path_form"), F.col("content_form"))).drop("path_form", "content_form")
+
+
 def ranked(rows: DataFrame, query: Query) -> DataFrame:
-    """Matching rows with their score; matching is native, and only matches are put in score form."""
-    hit = rows.where(matches(query)).withColumn("path_form", score_forms("path")).withColumn("content_form", score_forms("content"))
-    return hit.withColumn("score", score(query, F.col("path_form"), F.col("content_form"))).drop("path_form", "content_form")
+    """Matching rows with their score; matching is native."""
+    return scored(rows.where(matches(query)), query)
+
+
+def best(hits: DataFrame, query: Query, limit: int | None = None, policy: LexicalPolicy = LexicalPolicy()) -> DataFrame:
+    """The best of rows that are known to match, by score, path and chunk."""
+    limit = checked_limit(limit, policy.default_limit, policy.max_results, LexicalQueryError)
+    return scored(hits, query).orderBy(F.desc("score"), "path", "chunk_index").limit(limit)
 
 
 def search(rows: DataFrame, text: str, limit: int | None = None, policy: LexicalPolicy = LexicalPolicy()) -> DataFrame:
     """The best matches by score, path and chunk. More candidates than the policy holds raise when the result is computed."""
     limit = checked_limit(limit, policy.default_limit, policy.max_results, LexicalQueryError)
-    found = within(ranked(rows, prepare_query(text, policy)), policy.max_candidates, "too many candidates: refine the query")
+    query = prepare_query(text, policy)
+    found = scored(within(rows.where(matches(query)), policy.max_candidates, TOO_MANY, ["path", "chunk_index"]), query)
     return found.orderBy(F.desc("score"), "path", "chunk_index").limit(limit)
 
 
-def within(found: DataFrame, most: int, message: str) -> DataFrame:
-    """All rows, or an error when there are more than `most`. Tasks count their own rows; only the counts meet in one."""
+#: Up to this limit the rows that an ordered guard looks at are gathered; beyond it they stay in their tasks, and are counted apart.
+GATHERED = 1 << 16
+
+
+def within(found: DataFrame, most: int, message: str, order: list | None = None) -> DataFrame:
+    """All rows, in an order where one is given, or an error when there are more than `most`.
+
+    With an order, and up to GATHERED, the first most + 1 rows are taken, which reads the input once, and the one too many raises. Else tasks count
+    their own rows and only the counts meet in one, at the price of a second evaluation."""
+    if order and most <= GATHERED:
+        first = found.orderBy(*order).limit(most + 1).withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+        return first.where(F.when(F.col("_at") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))).drop("_at").orderBy(*order)
     counted = found.agg(F.count("*").alias("_n"))
     fits = counted.select(F.when(F.col("_n") > most, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)).alias("_fits"))
-    return found.crossJoin(F.broadcast(fits)).where("_fits").drop("_fits")
+    kept = found.crossJoin(F.broadcast(fits)).where("_fits").drop("_fits")
+    return kept.orderBy(*order) if order else kept
 
 
 # -- incremental maintenance ----------------------------------------------------------------------------------------
@@ -258,6 +284,13 @@ def sync_plan(existing: DataFrame, desired: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", action.alias("action"))
 
 
+def file_differences(have: DataFrame, want: DataFrame) -> DataFrame:
+    """Audit: paths that are missing, not wanted, there twice, or whose file differs in hash, size, language, content kind or status."""
+    names = ["file_sha256", "size_bytes", "language", "content_kind", "status"]
+    side = lambda df, name: df.groupBy("path").agg(F.count("*").alias(f"{name}_rows"), F.first(F.struct(*names)).alias(name))
+    return side(have, "have").join(side(want, "want"), "path", "full_outer").where("NOT (have <=> want AND have_rows = 1 AND want_rows = 1)").select("path")
+
+
 def index_counts(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     return files.groupBy(*(by or [])).agg(F.count_if(F.col("status") == "indexed").alias("indexed"), F.count_if(F.col("status") == "skipped_size").alias("skipped"), F.count_if("lossy").alias("lossy"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
 
@@ -278,10 +311,12 @@ def count_mismatches(files: DataFrame, detail: DataFrame, declared: str, key: st
     return files.select(key, F.col(declared).cast("long").alias("declared")).join(seen, key, "full_outer").select(key, "declared", F.coalesce("observed", F.lit(0)).alias("observed"), F.col("declared").isNull().alias("orphan")).where("orphan OR declared <> observed")
 
 
-def corrupt_chunks(rows: DataFrame) -> DataFrame:
-    """Audit: chunks whose content or id does not hash to what is stored."""
-    again = chunk_ids(rows.drop("content_sha256", "chunk_id")).select("path", "chunk_index", F.col("content_sha256").alias("real_sha256"), F.col("chunk_id").alias("real_id"))
-    return rows.join(again, ["path", "chunk_index"]).where((F.col("content_sha256") != F.col("real_sha256")) | (F.col("chunk_id") != F.col("real_id"))).select("path", "chunk_index")
+def corrupt_chunks(rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """Audit: chunks whose content or id does not hash to what is stored, and rows for which `also` holds. Both are functions of the row, so each
+    row tells for itself."""
+    stored = rows.withColumnsRenamed({"content_sha256": "_sha256", "chunk_id": "_id"})
+    wrong = F.expr("NOT (content_sha256 <=> _sha256 AND chunk_id <=> _id)")
+    return chunk_ids(stored).where(wrong if also is None else wrong | also).select("path", "chunk_index")
 
 
 def duplicate_files(files: DataFrame, key: str = "path") -> DataFrame:

@@ -1,16 +1,23 @@
 """Incremental maintenance of the lexical and structural indexes in a Store, and reads that audit what they read.
 
-A generation's state holds the counts and the digest of its tables, taken from what was written. Every read, and a sync that has
-nothing to do, compares the tables with that state: file set, counts of each file, counts of all, rows without a file, digest. An
-index made with ``recheck=False`` does so once for each generation that it meets, which suits a store that nothing else writes.
+Tables are laid out in buckets by path, and within a bucket in slots: of a posting's term, of a symbol's or import's name. A sync writes
+the buckets that have new, changed or removed files; the others stay in the folders of earlier generations. Every slot of a written bucket is
+hashed from what was written, a bucket's leaf is the hash of its slots' lines, and the index' digest that of all leaves: a Merkle tree that
+is carried on as it is where nothing changed. The lines are a table, the leaves and counts of each bucket are in the state.
+
+What a read compares with them is told by `recheck`: ``"met"`` (the default) hashes the slots, of the buckets, that the read meets; True hashes
+the whole index each time; False hashes it once for each generation, which suits a store that nothing else writes. A sync that has nothing to
+do, and verify(), hash the whole index. A slot's rows of one bucket are all that meets in a task, as one hash a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded
@@ -21,7 +28,7 @@ from .store import Store, first_fault
 
 @dataclass(frozen=True)
 class SyncResult:
-    """counts: sums over the whole index after the sync."""
+    """counts: sums over the whole index after the sync; written: the buckets that it wrote."""
 
     changed: bool
     rebuilt: int
@@ -29,10 +36,32 @@ class SyncResult:
     unchanged: int
     generation: int
     counts: dict[str, int]
+    written: tuple[int, ...] = ()
 
 
-def _counts(plan: DataFrame) -> dict[str, int]:
-    return {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+def hashed(value: Column, n: int) -> Column:
+    """A number below n for each value; buckets and slots are dealt by it."""
+    return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def leaves(lines: DataFrame) -> dict[str, str]:
+    """The leaf of each bucket, from the lines of its slots: one row a bucket comes to the driver."""
+    line = F.to_json(F.struct("of", "slot", "rows", "items", "digest"))
+    return {str(r["bucket"]): r["leaf"] for r in lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("leaf")).collect()}
+
+
+def root_of(parts: dict) -> str:
+    return hashlib.sha256("\n".join(f"{b}:{parts[b]['leaf']}" for b in sorted(parts, key=int)).encode()).hexdigest()
+
+
+def line_differences(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Audit: slots whose rows do not hash to their line, or that have one without the other."""
+    a, b = (df.select("bucket", "slot", "of", F.struct("rows", "items", "digest").alias(side)) for df, side in ((found, "found"), (stored, "stored")))
+    return a.join(b, ["bucket", "slot", "of"], "full_outer").where("NOT found <=> stored")
 
 
 class _Index:
@@ -41,28 +70,59 @@ class _Index:
     error: type[EngineError] = EngineError
     not_ready: type[EngineError] = EngineError
     stale: type[EngineError] = EngineError
-    tables: tuple[str, ...] = ()
+    #: Names of the tables, with the columns that their buckets are sorted by.
+    tables: dict[str, list[str]] = {}
+    planned = "status"
 
-    def __init__(self, store: Store, policy, policy_fp: str, recheck: bool):
+    def __init__(self, store: Store, policy, policy_fp: str, recheck: bool | str, buckets: int, slots: int):
+        if recheck not in ("met", True, False):
+            raise EngineError("recheck is 'met', True or False")
         self.store, self.policy, self.policy_fp, self.recheck = store, policy, policy_fp, recheck
+        self.layout = {"buckets": buckets, "slots": slots}
         self._checked: set[int] = set()
 
     def wanted(self, snapshot: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> None:
+        """Write all tables of a generation: put(name, df) writes one and returns what was written, carried(name) is what stays of touched buckets."""
         raise NotImplementedError
 
-    def seal(self, t: dict[str, DataFrame]) -> dict:
+    def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
         raise NotImplementedError
 
-    def _file_audits(self, files: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
-        have, want = self.as_wanted(files), self.as_wanted(wanted)
-        return {"missing files": want.exceptAll(have), "extra files": have.exceptAll(want)}
+    def counts(self, t: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
+        """bucket and its counts, which are summed for the whole index."""
+        raise NotImplementedError
 
-    @staticmethod
-    def as_wanted(files: DataFrame) -> DataFrame:
-        return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", "status")
+    def row_line(self, name: str, df: DataFrame) -> tuple[Column, Column]:
+        """(what is hashed of a row, its number of items)."""
+        return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), F.lit(1)
+
+    # -- the Merkle tree --------------------------------------------------------------------------------------------
+
+    def slot_lines(self, t: dict[str, DataFrame]) -> DataFrame:
+        """The lines of all slots of some tables, from their rows."""
+        out = []
+        for name, df in t.items():
+            line, items = self.row_line(name, df)
+            rows = df.select("bucket", "slot", F.sha2(line, 256).alias("h"), items.cast("long").alias("i")).groupBy("bucket", "slot")
+            out.append(rows.agg(F.count("*").alias("rows"), F.sum("i").alias("items"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest")).select("bucket", "slot", F.lit(name).alias("of"), "rows", "items", "digest"))
+        return reduce(DataFrame.unionByName, out)
+
+    def _check_leaves(self, state: dict) -> DataFrame:
+        """The stored lines, after a comparison with the leaves in the state."""
+        lines = self.store.bucketed("slots", state)
+        if leaves(lines) != {b: p["leaf"] for b, p in state["parts"].items()} or root_of(state["parts"]) != state["digest"]:
+            raise self.error("the index is corrupt: its slots are not those that were stored")
+        return lines
+
+    def _fail(self, audits: dict[str, DataFrame]) -> None:
+        fault = first_fault(audits)
+        if fault:
+            raise self.error(f"the index is corrupt: {fault}")
+
+    # -- reads --------------------------------------------------------------------------------------------------------
 
     def _open(self, fingerprint: str) -> dict:
         """The state of the generation that serves a read; another snapshot or policy is stale."""
@@ -73,133 +133,208 @@ class _Index:
             raise self.stale("the index belongs to another snapshot or policy")
         return state
 
-    def _tables(self, state: dict) -> dict[str, DataFrame]:
-        return {n: self.store.table(n, state["generation"]) for n in self.tables}
+    def _check_snapshot(self, state: dict, snapshot: DataFrame) -> dict[str, DataFrame]:
+        """Audits of the file set against a snapshot, whose fingerprint is taken anew."""
+        again = snapshots.fingerprints(snapshot.withColumn("_one", F.lit(1)), ["_one"]).first()
+        if (again["fingerprint"] if again else None) != state["fingerprint"]:
+            raise self.error("the snapshot does not hash to its fingerprint")
+        return {"another file set": lexical.file_differences(self.as_wanted(self.store.bucketed("files", state)), self.as_wanted(self.wanted(snapshot)))}
 
-    def verify(self, state: dict, snapshot: DataFrame | None = None) -> dict[str, DataFrame]:
-        """The generation's tables, after all audits. snapshot: entries to compare the file set with; their fingerprint is taken anew."""
-        t = self._tables(state)
-        audits: dict[str, DataFrame] = {}
-        if snapshot is not None:
-            again = snapshots.fingerprints(snapshot.withColumn("_one", F.lit(1)), ["_one"]).first()
-            if (again["fingerprint"] if again else None) != state["fingerprint"]:
-                raise self.error("the snapshot does not hash to its fingerprint")
-            audits |= self._file_audits(t["files"], self.wanted(snapshot))
-        if self.recheck or state["generation"] not in self._checked:
-            audits |= {"duplicate files": lexical.duplicate_files(t["files"]), **self.shape_audits(t)}
-            sealed = self.seal(t)
-            for name in sealed:
-                if sealed[name] != state.get(name):
-                    raise self.error(f"the index is corrupt: its {name} is not what was stored")
-        fault = first_fault(audits)
-        if fault:
-            raise self.error(f"the index is corrupt: {fault}")
+    def verify(self, state: dict | None = None, snapshot: DataFrame | None = None) -> None:
+        """Hash the whole index, and compare its file set with a snapshot's entries where they are given."""
+        state = state or self.store.state()
+        if not state["generation"]:
+            raise self.not_ready("the repository has no index")
+        audits = self._check_snapshot(state, snapshot) if snapshot is not None else {}
+        t = {n: self.store.bucketed(n, state) for n in self.tables}
+        self._fail({**audits, "rows are not what was stored": line_differences(self.slot_lines(t), self._check_leaves(state)), **self.content_audits(t)})
         self._checked.add(state["generation"])
-        return t
 
-    def _sync(self, snapshot: DataFrame, fingerprint: str, make: Callable[[DataFrame], dict[str, DataFrame]], planned: str) -> SyncResult:
-        """make(todo) gives the tables of files to (re)build; those of unchanged files are carried on."""
+    def content_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {}
+
+    def _begin(self, state: dict, snapshot: DataFrame | None) -> bool:
+        """Audits of a read before it knows what it meets; whether it has to audit that."""
+        if self.recheck is True or self.recheck is False and state["generation"] not in self._checked:
+            self.verify(state, snapshot)
+            return False
+        if snapshot is not None:
+            self._fail(self._check_snapshot(state, snapshot))
+        return self.recheck == "met"
+
+    def _met(self, state: dict, name: str, only: set[int] | None = None, slots: list[Column] | None = None, check: bool = True) -> DataFrame:
+        """A table's rows in some buckets and slots (None: all), hashed before they are read."""
+        inside = any_of([F.col("slot") == s for s in slots]) if slots else F.lit(True)
+        rows = self.store.bucketed(name, state, only).where(inside)
+        if check:
+            lines = self._check_leaves(state).where(F.col("of") == name).where(inside)
+            lines = lines if only is None else lines.where(F.col("bucket").isin(sorted(only)))
+            self._fail({f"{name} are not what was stored": line_differences(self.slot_lines({name: rows}), lines)})
+        return rows
+
+    @staticmethod
+    def as_wanted(files: DataFrame) -> DataFrame:
+        return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", "status")
+
+    # -- sync ---------------------------------------------------------------------------------------------------------
+
+    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
+        """snapshot: entries; contents: path, content. An index of this snapshot already is only audited."""
         now = self.store.state()
         if now["generation"] and now.get("fingerprint") == fingerprint and now.get("policy") == self.policy_fp:
-            files = self.verify(now, snapshot)["files"]
-            return SyncResult(False, 0, 0, files.count(), now["generation"], now["counts"])
-        wanted, result = self.wanted(snapshot), {}
-        cached: list[DataFrame] = []
-
-        def build(state: dict):
-            fresh = not state["generation"] or state.get("policy") != self.policy_fp
-            if fresh:
-                plan = wanted.select("path", F.lit("rebuilt").alias("action"))
-            else:
-                plan = lexical.sync_plan(self.store.table("files", state["generation"]).withColumn("status", F.col(planned)), wanted)
-            plan = plan.cache()
-            cached.append(plan)
-            result.update(_counts(plan))
-            made = make(wanted.join(plan.where("action = 'rebuilt'").select("path"), "path", "left_semi"))
-            if not fresh:
-                kept = plan.where("action = 'unchanged'").select("path")
-                made = {n: self.store.table(n, state["generation"]).join(kept, "path", "left_semi").unionByName(df) for n, df in made.items()}
-            return made, {"fingerprint": fingerprint, "policy": self.policy_fp}
-
-        def audits(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-            reports = lexical.overlapping_actions(cached[0], t["files"])
-            return {**self._file_audits(t["files"], wanted), "duplicate files": lexical.duplicate_files(t["files"]), "reports": reports, **self.shape_audits(t), **self.write_audits(t)}
-
-        try:
-            g = self.store.commit(build, audits, self.seal)
-        finally:
-            for df in cached:
-                df.unpersist()
-        state = self.store.state()
-        return SyncResult(True, result.get("rebuilt", 0), result.get("removed", 0), result.get("unchanged", 0), g, state["counts"])
-
-    def write_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return {}
+            self.verify(now, snapshot)
+            return SyncResult(False, 0, 0, sum(p["files"] for p in now["parts"].values()), now["generation"], now["counts"])
+        with self.store.lock():
+            state = self.store.state()
+            g = state["generation"] + 1
+            try:
+                return self._write(state, g, snapshot, fingerprint, contents)
+            finally:
+                self.store.drop_work()
+
+    def _write(self, state: dict, g: int, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
+        fresh = not state["generation"] or state.get("policy") != self.policy_fp
+        layout = self.layout if fresh else state["layout"]
+        wanted = self.wanted(snapshot).withColumn("bucket", hashed(F.col("path"), layout["buckets"]))
+        if fresh:
+            plan = wanted.select("path", F.lit("rebuilt").alias("action"))
+        else:
+            # Lines of the file table are hashed before what they say is carried on.
+            plan = lexical.sync_plan(self._met(state, "files").withColumn("status", F.col(self.planned)), wanted)
+        plan = self.store.work("plan", plan.withColumn("bucket", hashed(F.col("path"), layout["buckets"])))
+        acts = plan.groupBy("bucket", "action").count().collect()  # three rows a bucket at most
+        total = {a: sum(r["count"] for r in acts if r["action"] == a) for a in ("rebuilt", "removed", "unchanged")}
+        touched = sorted({r["bucket"] for r in acts if r["action"] != "unchanged"})
+        here = F.col("bucket").isin(touched)
+        todo = wanted.join(plan.where("action = 'rebuilt'").select("path"), "path", "left_semi")
+        stay = plan.where(here & (F.col("action") == "unchanged")).select("path")
+        schemas, tables = dict(state.get("schemas", {})), {str(b): {} for b in touched}
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            names = sorted(df.columns)
+            schemas[name] = json.loads(df.select(*names).schema.json())
+            for b in self.store.write_buckets(name, df.select(*names), g, layout["buckets"], self.tables.get(name, ["of", "slot"])):
+                tables[str(b)][name] = g
+            return self.store.bucketed(name, {"schemas": schemas, "parts": {b: {"tables": x} for b, x in tables.items()}})
+
+        def carried(name: str) -> DataFrame | None:
+            return None if fresh else self.store.bucketed(name, state, touched).join(stay, "path", "left_semi")
+
+        t = self.make(todo, contents, layout, put, carried)
+        audits = {
+            "another file set": lexical.file_differences(self.as_wanted(t["files"]), self.as_wanted(wanted.where(here))),
+            "reports": lexical.overlapping_actions(plan.where(here), t["files"]),
+            **self.write_audits(t, todo, layout),
+        }
+        fault = first_fault(audits)
+        if fault:
+            raise self.error(f"audit failed, nothing was committed: {fault}")
+        lines = put("slots", self.slot_lines(t))
+        found, leaf = {str(r["bucket"]): r.asDict() for r in self.counts(t, lines).collect()}, leaves(lines)
+        parts = {} if fresh else {b: p for b, p in state["parts"].items() if int(b) not in touched}
+        for b in (b for b in tables if tables[b]):
+            counts = {k: int(v or 0) for k, v in found[b].items() if k not in ("bucket", "_files")}
+            parts[b] = {"tables": tables[b], "leaf": leaf[b], "files": int(found[b]["_files"]), "counts": counts}
+        names = self.counts(t, lines).columns[2:]
+        counts = {k: sum(p["counts"][k] for p in parts.values()) for k in names}
+        self.store.point(g, {"fingerprint": fingerprint, "policy": self.policy_fp, "layout": layout, "schemas": schemas, "parts": parts, "counts": counts, "digest": root_of(parts)})
+        return SyncResult(True, total["rebuilt"], total["removed"], total["unchanged"], g, counts, tuple(touched))
 
 
-def _numbers(row) -> dict[str, int]:
-    return {k: int(v or 0) for k, v in row.asDict().items()}
+def _with(new: DataFrame, old: DataFrame | None) -> DataFrame:
+    return new if old is None else new.unionByName(old)
 
 
 class LexicalIndex(_Index):
-    """Files, chunks and postings of a snapshot; only new and changed files are read again."""
+    """Files, chunks and postings of a snapshot; only new and changed files are read again.
 
-    error, not_ready, stale, tables = LexicalError, LexicalNotReady, LexicalStale, ("files", "chunks", "postings")
+    A row of postings holds what a chunk has in one slot: its entries (term, in_path, offset), sorted."""
 
-    def __init__(self, store: Store, policy: LexicalPolicy = LexicalPolicy(), recheck: bool = True):
-        super().__init__(store, policy, lexical.policy_fingerprint(policy), recheck)
+    error, not_ready, stale = LexicalError, LexicalNotReady, LexicalStale
+    tables = {"files": ["path"], "chunks": ["path", "chunk_index"], "postings": ["slot", "chunk_id"]}
+
+    def __init__(self, store: Store, policy: LexicalPolicy = LexicalPolicy(), recheck: bool | str = "met", buckets: int = 32, slots: int = 32):
+        super().__init__(store, policy, lexical.policy_fingerprint(policy), recheck, buckets, slots)
 
     def wanted(self, snapshot: DataFrame) -> DataFrame:
         return lexical.candidates(snapshot).select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", lexical.file_status(self.policy).alias("status"))
 
-    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
-        """snapshot: entries; contents: path, content. An index of this snapshot already is only audited."""
-
-        def make(todo: DataFrame) -> dict[str, DataFrame]:
-            bodies = todo.where("status = 'indexed'").join(contents, "path").withColumn("d", decoded("content"))
-            cut = lexical.chunk_ids(lexical.chunks(bodies.select("path", "file_sha256", F.col("d.text").alias("text")), self.policy))
-            counted = cut.groupBy("path").agg(F.count("*").alias("chunk_count"))
-            files = todo.join(bodies.select("path", F.col("d.lossy").alias("lossy")), "path", "left").join(counted, "path", "left")
-            files = files.select(*todo.columns, F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-            keyed = cut.select("content", "path", F.struct("chunk_id", F.col("path").alias("of")).alias("k"))
-            posted = lexical.postings(keyed, "k").select("k.chunk_id", F.col("k.of").alias("path"), "col", "offset", "term")
-            # Sorted by term within files, so that a query's filter on terms skips row groups.
-            return {"files": files, "chunks": cut, "postings": posted.sortWithinPartitions("term", "chunk_id")}
+    def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> dict[str, DataFrame]:
+        bodies = todo.where("status = 'indexed'").join(contents, "path").withColumn("d", decoded("content"))
+        cut = lexical.chunk_ids(lexical.chunks(bodies.select("path", "file_sha256", "bucket", F.col("d.lossy").alias("lossy"), F.col("d.text").alias("text")), self.policy, ("path", "file_sha256", "bucket", "lossy")))
+        chunks = put("chunks", _with(cut.withColumn("slot", F.lit(0)), carried("chunks")))
+        fresh = chunks.join(todo.select("path"), "path", "left_semi")
+        postings = put("postings", _with(self.posting_rows(fresh, layout["slots"]), carried("postings")))
+        counted = fresh.groupBy("path").agg(F.bool_or("lossy").alias("lossy"), F.count("*").alias("chunk_count"))
+        files = todo.join(counted, "path", "left").select(*todo.columns, F.lit(0).alias("slot"), F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+        return {"files": put("files", _with(files, carried("files"))), "chunks": chunks, "postings": postings}
 
-        return self._sync(snapshot, fingerprint, make, "status")
+    @staticmethod
+    def posting_rows(chunks: DataFrame, slots: int) -> DataFrame:
+        each = lexical.postings(chunks.withColumn("k", F.struct("bucket", "chunk_id", F.col("path").alias("of"))), "k")
+        entry = F.struct("term", (F.col("col") == "path").alias("in_path"), "offset")
+        return each.groupBy(F.col("k.bucket").alias("bucket"), hashed(F.col("term"), slots).alias("slot"), F.col("k.chunk_id").alias("chunk_id"), F.col("k.of").alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
-    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    @staticmethod
+    def each_posting(rows: DataFrame, *keys: str) -> DataFrame:
+        """keys, col, offset, term of the rows' entries."""
+        return rows.select(*keys, F.explode("entries").alias("e")).select(*keys, F.when(F.col("e.in_path"), "path").otherwise("content").alias("col"), "e.offset", "e.term")
+
+    def row_line(self, name: str, df: DataFrame) -> tuple[Column, Column]:
+        if name == "postings":  # terms are letters and digits, so the marks between them are none of theirs
+            entry = F.transform("entries", lambda e: F.concat_ws(",", e["term"], e["in_path"].cast("string"), e["offset"].cast("string")))
+            return F.concat_ws("\n", "chunk_id", F.array_join(entry, ";"), "path"), F.size("entries")
+        return super().row_line(name, df.drop("content"))  # a chunk has its content's hash
+
+    def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
+        # Of each new chunk the number and the exclusive or of its postings' hashes, from its text and from what was stored. A posting stands once.
+        posting = F.xxhash64("col", "offset", "term")
+        told = lambda df, side: df.groupBy("chunk_id").agg(F.struct(F.count("*"), F.bit_xor(posting)).alias(side))
+        mine = todo.select("path")
+        new = told(lexical.postings(t["chunks"].join(mine, "path", "left_semi")), "again")
+        kept = told(self.each_posting(t["postings"].join(mine, "path", "left_semi"), "chunk_id"), "stored")
         return {
             "chunk counts": lexical.count_mismatches(t["files"].where("status = 'indexed'"), t["chunks"], "chunk_count"),
             "orphan postings": lexical.orphan_postings(t["postings"], t["chunks"]),
+            "postings of other texts": new.join(kept, "chunk_id", "full_outer").where("NOT again <=> stored"),
         }
 
-    def write_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        return {"postings of other texts": lexical.retokenised(t["postings"], t["chunks"])}
+    def content_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return {"a chunk does not hash to what is stored": lexical.corrupt_chunks(t["chunks"])}
 
-    def seal(self, t: dict[str, DataFrame]) -> dict:
-        counts = _numbers(lexical.index_counts(t["files"]).first()) | {"chunk_rows": t["chunks"].count(), "postings": t["postings"].count()}
-        found = lexical.index_digest(t["postings"].withColumn("_one", F.lit(1)), ["_one"]).first()
-        return {"counts": counts, "digest": found["digest"] if found else None}
+    def counts(self, t: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
+        sums = lines.groupBy("bucket").agg(*(F.coalesce(F.sum(F.when(F.col("of") == of, F.col(c))), F.lit(0)).alias(name) for name, of, c in (("_files", "files", "rows"), ("chunk_rows", "chunks", "rows"), ("postings", "postings", "items"))))
+        return sums.join(lexical.index_counts(t["files"], ["bucket"]), "bucket", "left")
 
     def search(self, fingerprint: str, query: str, limit: int | None = None, snapshot: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Hits, and the paths that the search does not cover. One generation serves the whole query."""
+        """Hits, and the paths that the search does not cover. One generation serves the whole query, which reads the slots of its terms, the chunks
+        that have all of them, and the files of their buckets."""
         prepared = lexical.prepare_query(query, self.policy)
-        t = self.verify(self._open(fingerprint), snapshot)
-        rows = t["chunks"].join(lexical.match_postings(t["postings"], prepared), "chunk_id", "left_semi")
-        if not lexical.corrupt_chunks(rows).isEmpty():
-            raise LexicalError("a chunk does not hash to what is stored")
-        hits = lexical.search(rows, query, limit, self.policy)
-        return hits.join(t["files"].select("path", "language", "lossy"), "path").orderBy(F.desc("score"), "path", "chunk_index"), lexical.coverage(t["files"])
+        state = self._open(fingerprint)
+        met = self._begin(state, snapshot)
+        terms = sorted({t for phrase in prepared.phrases for t in phrase})
+        postings = self._met(state, "postings", slots=[hashed(F.lit(t), state["layout"]["slots"]) for t in terms] or [F.lit(-1)], check=met)
+        hits = lexical.match_postings(self.each_posting(postings.withColumn("chunk", F.struct("bucket", "chunk_id")), "chunk"), prepared, "chunk").select("chunk.bucket", "chunk.chunk_id")
+        hits = lexical.within(hits, self.policy.max_candidates, lexical.TOO_MANY, ["bucket", "chunk_id"])
+        at = {r["bucket"] for r in hits.select("bucket").distinct().collect()}  # one row a bucket
+        rows = hits.join(self.store.bucketed("chunks", state, at).drop("bucket", "lossy"), "chunk_id", "left")
+        if not lexical.corrupt_chunks(rows, F.col("path").isNull()).isEmpty():
+            raise LexicalError("a chunk is missing or does not hash to what is stored")
+        gaps = {int(b) for b, p in state["parts"].items() if p["counts"]["skipped"] + p["counts"]["lossy"]}
+        files = self._met(state, "files", at | gaps, check=met)
+        found = lexical.best(rows.drop("bucket", "slot"), prepared, limit, self.policy)
+        return found.join(files.select("path", "language", "lossy"), "path").orderBy(F.desc("score"), "path", "chunk_index"), lexical.coverage(files.where(F.col("bucket").isin(sorted(gaps))))
 
 
 class StructuralIndex(_Index):
     """Files, symbols and imports of a snapshot's Python sources."""
 
-    error, not_ready, stale, tables = StructuralError, StructuralNotReady, StructuralStale, ("files", "symbols", "imports")
+    error, not_ready, stale = StructuralError, StructuralNotReady, StructuralStale
+    tables = {"files": ["path"], "symbols": ["slot", "name", "path"], "imports": ["slot", "name", "path"]}
+    planned = "planned"
 
-    def __init__(self, store: Store, policy: StructuralPolicy = StructuralPolicy(), recheck: bool = True):
-        super().__init__(store, policy, f"structure-2-{policy}", recheck)
+    def __init__(self, store: Store, policy: StructuralPolicy = StructuralPolicy(), recheck: bool | str = "met", buckets: int = 32, slots: int = 32):
+        super().__init__(store, policy, structure.policy_fingerprint(policy), recheck, buckets, slots)
 
     def wanted(self, snapshot: DataFrame) -> DataFrame:
         return snapshot.where("kind = 'file'").select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", structure.file_status(self.policy).alias("status"))
@@ -210,16 +345,17 @@ class StructuralIndex(_Index):
         status = F.col("planned") if "planned" in files.columns else F.col("status")
         return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", status.alias("status"))
 
-    def sync(self, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
-        def make(todo: DataFrame) -> dict[str, DataFrame]:
-            parsed = structure.parse(todo.where("status = 'parse'").join(contents, "path"), self.policy)
-            reports = structure.file_reports(parsed).withColumnRenamed("status", "result")
-            files = todo.join(reports, "path", "left").select("path", "file_sha256", "size_bytes", "language", "content_kind", F.col("status").alias("planned"), F.coalesce("result", "status").alias("status"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("import_count", F.lit(0)).alias("import_count"), "error_message")
-            return {"files": files, "symbols": structure.symbols(parsed), "imports": structure.imports(parsed)}
-
-        return self._sync(snapshot, fingerprint, make, "planned")
-
-    def shape_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> dict[str, DataFrame]:
+        parsed = self.store.work("parsed", structure.parse(todo.where("status = 'parse'").join(contents, "path"), self.policy))
+        reports = structure.file_reports(parsed).withColumnRenamed("status", "result")
+        files = todo.join(reports, "path", "left").select("path", "bucket", F.lit(0).alias("slot"), "file_sha256", "size_bytes", "language", "content_kind", F.col("status").alias("planned"), F.coalesce("result", "status").alias("status"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("import_count", F.lit(0)).alias("import_count"), "error_message")
+        placed = lambda df: df.withColumn("bucket", hashed(F.col("path"), layout["buckets"])).withColumn("slot", hashed(F.col("name"), layout["slots"]))
+        out = {"files": put("files", _with(files, carried("files")))}
+        for name, rows in (("symbols", structure.symbols(parsed)), ("imports", structure.imports(parsed))):
+            out[name] = put(name, _with(placed(rows), carried(name)))
+        return out
+
+    def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
         return {
             "symbol counts": lexical.count_mismatches(t["files"], t["symbols"], "symbol_count"),
             "import counts": lexical.count_mismatches(t["files"], t["imports"], "import_count"),
@@ -229,16 +365,26 @@ class StructuralIndex(_Index):
             "imports without a file": structure.unindexed_rows(t["imports"], t["files"]),
         }
 
-    def seal(self, t: dict[str, DataFrame]) -> dict:
-        counts = _numbers(structure.state_counts(t["files"], t["symbols"], t["imports"]).first())
-        found = structure.structure_digests({n: df.withColumn("_one", F.lit(1)) for n, df in t.items()}, ["_one"]).first()
-        return {"counts": counts, "digest": found["digest"] if found else None}
+    def counts(self, t: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
+        of = lambda name, alias: F.coalesce(F.sum(F.when(F.col("of") == name, F.col("rows"))), F.lit(0)).alias(alias)
+        return lines.groupBy("bucket").agg(of("files", "_files"), of("files", "file_count"), of("symbols", "symbol_count"), of("imports", "import_count"))
+
+    def _rows(self, name: str, fingerprint: str, snapshot: DataFrame | None, equal: dict) -> DataFrame:
+        """The slots and buckets that a lookup has to read: those of a name, and of a path."""
+        state = self._open(fingerprint)
+        met = self._begin(state, snapshot)
+        only, slots = None, None
+        if equal.get("path") is not None:
+            only = {self.store.spark.range(1).select(hashed(F.lit(equal["path"]), state["layout"]["buckets"])).first()[0]}
+        if equal.get("name") is not None:
+            slots = [hashed(F.lit(equal["name"]), state["layout"]["slots"])]
+        return self._met(state, name, only, slots, met).drop("bucket", "slot")
 
     def symbols(self, fingerprint: str, limit: int | None = None, snapshot: DataFrame | None = None, **equal: str | None) -> DataFrame:
-        return structure.find_symbols(self.verify(self._open(fingerprint), snapshot)["symbols"], limit, self.policy, **equal)
+        return structure.find_symbols(self._rows("symbols", fingerprint, snapshot, equal), limit, self.policy, **equal)
 
     def imports(self, fingerprint: str, limit: int | None = None, snapshot: DataFrame | None = None, **equal: str | None) -> DataFrame:
-        return structure.find_imports(self.verify(self._open(fingerprint), snapshot)["imports"], limit, self.policy, **equal)
+        return structure.find_imports(self._rows("imports", fingerprint, snapshot, equal), limit, self.policy, **equal)
 
     def files(self, fingerprint: str, snapshot: DataFrame | None = None) -> DataFrame:
-        return self.verify(self._open(fingerprint), snapshot)["files"].select("path", "status", "symbol_count", "import_count", "error_message").orderBy("path")
+        return self._rows("files", fingerprint, snapshot, {}).select("path", "status", "symbol_count", "import_count", "error_message").orderBy("path")

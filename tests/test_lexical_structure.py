@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
 from lodestack.operators import lexical, snapshot, structure
-from lodestack.plans.index_sync import LexicalIndex, StructuralIndex
+from lodestack.plans.index_sync import LexicalIndex, StructuralIndex, hashed
 from lodestack.plans.store import Store, StoreBusy
 from lodestack.schemas import ContractError, EngineError, LexicalError, LexicalNotReady, LexicalPolicy, LexicalQueryError, LexicalStale, StructuralError, StructuralPolicy, StructuralQueryError
 
@@ -95,7 +95,7 @@ def with_names(spark, files):
 
 
 def test_lexical_sync(spark, tmp_path):
-    index = LexicalIndex(Store(spark, str(tmp_path / "s")), LexicalPolicy(max_file_bytes=60))
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), LexicalPolicy(max_file_bytes=60), buckets=4)
     with pytest.raises(LexicalNotReady):
         index.search("x", "a")
     first = with_names(spark, {"a.py": "alpha needle", "b.py": "beta", "big.txt": "needle " * 20, "bad.txt": b"ma\xf1ana needle", "blank_notes.ini": ""})
@@ -112,7 +112,7 @@ def test_lexical_sync(spark, tmp_path):
     assert {r["path"]: r["chunk_id"] for r in index.store.table("chunks").collect()}["a.py"] == ids["a.py"]
     with pytest.raises(LexicalStale):
         index.search(first[1], "needle")
-    whole = LexicalIndex(Store(spark, str(tmp_path / "w")), LexicalPolicy(max_file_bytes=60))
+    whole = LexicalIndex(Store(spark, str(tmp_path / "w")), LexicalPolicy(max_file_bytes=60), buckets=4)
     whole.sync(*second)
     for t in ("files", "chunks", "postings"):
         a, b = index.store.table(t), whole.store.table(t)
@@ -120,7 +120,7 @@ def test_lexical_sync(spark, tmp_path):
 
 
 def test_failed_sync_leaves_the_old_generation(spark, tmp_path):
-    index = LexicalIndex(Store(spark, str(tmp_path)), SMALL)
+    index = LexicalIndex(Store(spark, str(tmp_path)), SMALL, buckets=4)
     first = with_names(spark, {"a.txt": "alpha"})
     index.sync(*first)
     with pytest.raises(Exception, match="more than 50 chunks"):
@@ -181,7 +181,7 @@ def test_structure_failures():
 
 
 def test_structural_sync(spark, tmp_path):
-    index = StructuralIndex(Store(spark, str(tmp_path)), StructuralPolicy(max_file_bytes=100))
+    index = StructuralIndex(Store(spark, str(tmp_path)), StructuralPolicy(max_file_bytes=100), buckets=4)
     first = with_names(spark, {"a.py": "class C:\n    def m(self): pass\n", "bad.py": "return 1", "n.txt": "x", "big.py": "x = 1\n" * 50})
     index.sync(*first)
     status = {r["path"]: r["status"] for r in index.files(first[1]).collect()}
@@ -206,18 +206,29 @@ def copied(index, to):
 
 
 def rewritten(index, table, change):
-    """Tamper with a table of the current generation, behind the index' back."""
-    g = index.store.generation()
-    kept = change(index.store.table(table)).collect()
-    schema = index.store.table(table).schema
-    index.store.spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{index.store.root}/{table}/gen={g}")
+    """Tamper with a table of the current generation, behind the index' back: every bucket is written again as it is changed."""
+    state = index.store.state()
+    for b, part in state["parts"].items():
+        if table in part["tables"]:
+            held = index.store.bucketed(table, state, [int(b)])
+            kept, schema = change(held).collect(), held.schema
+            index.store.spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{index.store.root}/{table}/gen={part['tables'][table]}/part={b}")
+
+
+def without(term, in_path=False):
+    """Postings of a term are gone."""
+    return lambda t: t.withColumn("entries", F.filter("entries", lambda e: (e["term"] != term) | (e["in_path"] != in_path)))
+
+
+def moved(term):
+    return lambda t: t.withColumn("entries", F.transform("entries", lambda e: e.withField("offset", F.when(e["term"] == term, 7).otherwise(e["offset"]))))
 
 
 def test_lexical_reads_audit_what_they_read(spark, tmp_path):
     first = with_names(spark, {"a.py": "alpha needle", "b.py": "beta needle", "c.py": "gamma"})
     damage = {
-        "a posting is gone": ("postings", lambda t: t.where("NOT (term = 'gamma' AND col = 'content')")),
-        "a posting moved": ("postings", lambda t: t.withColumn("offset", F.when(F.col("term") == "gamma", 7).otherwise(F.col("offset")))),
+        "a posting is gone": ("postings", without("gamma")),
+        "a posting moved": ("postings", moved("gamma")),
         "a posting of no chunk": ("postings", lambda t: t.union(t.limit(1).withColumn("chunk_id", F.lit("x")))),
         "a file is gone": ("files", lambda t: t.where("path <> 'c.py'")),
         "a file twice": ("files", lambda t: t.union(t.where("path = 'c.py'"))),
@@ -225,7 +236,7 @@ def test_lexical_reads_audit_what_they_read(spark, tmp_path):
         "a count is wrong": ("files", lambda t: t.withColumn("lossy", F.lit(True))),
         "a chunk's text is another": ("chunks", lambda t: t.withColumn("content", F.concat("content", F.lit("!")))),
     }
-    index = LexicalIndex(Store(spark, str(tmp_path / "s")))
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), recheck=True, buckets=4)
     done = index.sync(*first)
     assert done.counts["indexed"] == 3 and done.counts["chunks"] == done.counts["chunk_rows"] == 3
     assert index.search(first[1], "needle", snapshot=first[0])[0].count() == 2
@@ -241,9 +252,9 @@ def test_lexical_reads_audit_what_they_read(spark, tmp_path):
     other = with_names(spark, {"a.py": "alpha needle"})
     with pytest.raises(LexicalError, match="fingerprint"):
         index.search(first[1], "needle", snapshot=other[0])
-    cut = index.store.table("chunks")
-    assert lexical.retokenised(index.store.table("postings"), cut).isEmpty()
-    assert lexical.retokenised(index.store.table("postings"), cut.withColumn("content", F.lit("alpha"))).count() > 0
+    cut, posted = index.store.table("chunks"), index.each_posting(index.store.table("postings"), "chunk_id")
+    assert lexical.retokenised(posted, cut).isEmpty()
+    assert lexical.retokenised(posted, cut.withColumn("content", F.lit("alpha"))).count() > 0
 
 
 def test_structural_reads_audit_what_they_read(spark, tmp_path):
@@ -256,7 +267,7 @@ def test_structural_reads_audit_what_they_read(spark, tmp_path):
         "a status is another": ("files", lambda t: t.withColumn("error_message", F.lit("!"))),
         "a file is gone": ("files", lambda t: t.where("path <> 'n.txt'")),
     }
-    index = StructuralIndex(Store(spark, str(tmp_path / "s")))
+    index = StructuralIndex(Store(spark, str(tmp_path / "s")), recheck=True, buckets=4)
     done = index.sync(*first)
     assert done.counts == {"file_count": 3, "symbol_count": 3, "import_count": 2}
     assert index.symbols(first[1], snapshot=first[0]).count() == 3 and index.imports(first[1]).count() == 2
@@ -271,13 +282,119 @@ def test_structural_reads_audit_what_they_read(spark, tmp_path):
 
 def test_an_index_that_rechecks_not_audits_a_generation_once(spark, tmp_path):
     first = with_names(spark, {"a.py": "alpha"})
-    index = LexicalIndex(Store(spark, str(tmp_path)), recheck=False)
+    index = LexicalIndex(Store(spark, str(tmp_path)), recheck=False, buckets=4)
     index.sync(*first)
     index.search(first[1], "alpha")
-    rewritten(index, "postings", lambda t: t.where("col = 'content'"))
+    rewritten(index, "postings", without("py", in_path=True))
     assert index.search(first[1], "alpha")[0].count() == 1
     with pytest.raises(LexicalError):
-        LexicalIndex(index.store).search(first[1], "alpha")
+        LexicalIndex(index.store, recheck=True).search(first[1], "alpha")
+
+
+def rows_scanned(df):
+    """Rows that the plan's file scans gave, once it has run."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            plans.append(p.finalPhysicalPlan())
+        elif "QueryStage" in p.nodeName():
+            plans.append(p.plan())
+        else:
+            if p.nodeName().startswith("Scan parquet"):
+                total += p.metrics().apply("numOutputRows").value()
+            children = p.children()
+            plans += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_reads_hash_what_they_meet(spark, tmp_path):
+    """Damage in a slot or bucket that a read does not meet is left to verify(); what it meets is told."""
+    first = with_names(spark, {"a.py": "alpha needle", "b.py": "beta needle", "c.py": "gamma"})
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), buckets=8, slots=64)
+    index.sync(*first)
+    index.verify(snapshot=first[0])
+    for n, (change, met) in enumerate(((without("gamma"), "gamma"), (moved("alpha"), "alpha"), (lambda t: t.where("false"), "beta"))):
+        other = copied(index, tmp_path / str(n))
+        rewritten(other, "postings", change)
+        with pytest.raises(LexicalError, match="postings"):
+            other.search(first[1], met)
+        with pytest.raises(LexicalError, match="not what was stored"):
+            other.verify()
+        if n < 2:
+            assert other.search(first[1], "needle")[0].count() == 2
+    other = copied(index, tmp_path / "chunk")
+    rewritten(other, "chunks", lambda t: t.where("path <> 'a.py'"))
+    assert other.search(first[1], "gamma")[0].count() == 1
+    with pytest.raises(LexicalError, match="missing"):
+        other.search(first[1], "alpha")
+    other = copied(index, tmp_path / "slots")
+    rewritten(other, "slots", lambda t: t.where("of <> 'chunks'"))
+    with pytest.raises(LexicalError, match="slots"):
+        other.search(first[1], "gamma")
+    with pytest.raises(EngineError):
+        LexicalIndex(index.store, recheck="sometimes")
+
+
+def test_a_sync_writes_the_buckets_that_changed(spark, tmp_path):
+    files = {f"d/f{n}.txt": f"common word{n} text{n % 7}" for n in range(200)}
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), buckets=16, slots=8)
+    assert len(index.sync(*with_names(spark, files)).written) == 16
+    before = index.store.state()
+    second = with_names(spark, files | {"d/f5.txt": "changed needle"})
+    done = index.sync(*second)
+    assert (done.rebuilt, done.removed, done.unchanged, len(done.written)) == (1, 0, 199, 1)
+    after = index.store.state()
+    assert [b for b in after["parts"] if after["parts"][b] != before["parts"][b]] == [str(done.written[0])] and after["digest"] != before["digest"]
+    assert sorted(p.name for p in (tmp_path / "s" / "postings" / "gen=2").glob("part=*")) == [f"part={done.written[0]}"]
+    assert [r["path"] for r in index.search(second[1], "needle")[0].collect()] == ["d/f5.txt"] and index.search(second[1], "word5")[0].count() == 0
+    index.verify(snapshot=second[0])
+    assert after["counts"]["chunk_rows"] == 200 and index.store.table("postings").count() > 0
+    # The buckets that the second generation still names stay when the first one goes.
+    assert index.store.expire(1) == [1] and index.search(second[1], "common", 100)[0].count() == 100
+    index.verify(snapshot=second[0])
+    third = with_names(spark, {k: v for k, v in files.items() if k != "d/f7.txt"})
+    done = index.sync(*third)
+    assert (done.rebuilt, done.removed, done.unchanged) == (1, 1, 198) and len(done.written) <= 2
+    whole = LexicalIndex(Store(spark, str(tmp_path / "w")), buckets=16, slots=8)
+    whole.sync(*third)
+    assert whole.store.state()["digest"] == index.store.state()["digest"] and whole.store.state()["counts"] == index.store.state()["counts"]
+
+
+def test_a_search_reads_the_slots_of_its_terms(spark, tmp_path):
+    files = {f"f{n}.txt": " ".join(f"w{n}x{k}" for k in range(60)) + (" needle" if n == 3 else "") for n in range(120)}
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), buckets=2, slots=512)
+    first = with_names(spark, files)
+    index.sync(*first)
+    state = index.store.state()
+    met = index._met(state, "postings", slots=[hashed(F.lit("needle"), 512)], check=False)
+    assert 0 < met.count() < 60 and rows_scanned(met) < index.store.table("postings").count() / 4
+
+
+def test_lookups_read_a_name_or_a_path(spark, tmp_path):
+    first = with_names(spark, {"a.py": "import q\nclass C:\n    pass\n", "b.py": "class D:\n    pass\n", "c.py": "x = 1\n"})
+    index = StructuralIndex(Store(spark, str(tmp_path / "s")), buckets=16, slots=64)
+    index.sync(*first)
+    assert [r["path"] for r in index.symbols(first[1], name="C").collect()] == ["a.py"] and index.symbols(first[1], path="b.py").count() == 1
+    assert index.symbols(first[1], name="absent").count() == 0
+    rewritten(index, "symbols", lambda t: t.withColumn("signature", F.when(F.col("name") != "D", F.col("signature")).otherwise("other")))
+    assert index.symbols(first[1], name="C").count() == 1 and index.symbols(first[1], path="c.py").count() == 1
+    for equal in ({"name": "D"}, {"path": "b.py"}, {"kind": "class"}):
+        with pytest.raises(StructuralError):
+            index.symbols(first[1], **equal)
+    with pytest.raises(StructuralError):
+        index.verify()
+
+
+def test_guards_read_their_input_once(spark):
+    df = spark.range(100).withColumn("v", F.col("id") % 3)
+    got = lexical.within(df.where("v = 1"), 40, "too many", ["id"])
+    assert [r["id"] for r in got.collect()] == list(range(1, 100, 3))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    with pytest.raises(Exception, match="too many"):
+        lexical.within(df.where("v = 1"), 32, "too many", ["id"]).collect()
+    assert lexical.within(df, 1 << 30, "too many", [F.desc("id")]).first()["id"] == 99
 
 
 def test_store_upkeep(spark, tmp_path):
