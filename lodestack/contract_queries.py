@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .driver_queries import _EVENT_SQL, _PART_SYMBOLS, _STRUCTURE_SQL, _SYMBOL_COLUMNS, CHUNKS_SQL, ENTRIES_SQL, FILES_SQL, PATH_SQL, SMALL, _CONTENT_LINE, _PATH_LINE, _score_sql
-from .driver_queries import doc_entries, doc_files, doc_path, doc_rows, doc_texts, event_reservations, order_requests, part_sources, parsed_once, query, read, scratch
+from .driver_queries import doc_entries, doc_files, doc_path, doc_rows, doc_texts, event_reservations, order_requests, part_sources, parsed_once, query, read
 from .functions.canonical import escaped_path, unescaped_path
+from .functions.shared import scratch
 from .functions.text import decoded, required
 from .operators import calls, contracts, ledger, lexical, models, snapshot, structure
 from .plans.index_sync import LexicalIndex, StructuralIndex

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as text_functions
 from .functions.canonical import json_string
+from .functions.shared import kept
 from .operators import calls, contracts, ignore, ledger, lexical, migrations, models, snapshot, structure
 from .schemas import LexicalPolicy
 
@@ -315,25 +313,9 @@ def nation_sources(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; where that is unset (tests), a session of one process has a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not (spark.sparkContext.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="spark-lodestack-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/queries-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 def parsed_once(spark: SparkSession, parsed: DataFrame) -> DataFrame:
     """Parsed modules as a written table, where a query reads them more than once."""
-    path = scratch(spark)
-    parsed.write.parquet(path)
-    return spark.read.schema(parsed.schema).parquet(path)
+    return kept(parsed)
 
 
 _PART_SYMBOLS = """SELECT p_partkey, 'parts/' || p_partkey || '.py' AS path, kind, name, qualified_name, parent_qualified_name, start_line::INT AS start_line, start_col::INT AS start_col, end_line::INT AS end_line, end_col::INT AS end_col, signature FROM (

@@ -1,7 +1,8 @@
 """Exact-money ledger: reservations, settlements, admission and balances.
 
 Amounts are whole millionths. Decisions that hang on earlier ones are folded in order: rows are sorted by period and
-sequence within partitions and stream through a running state, so no period is gathered in memory.
+sequence within partitions and stream through a running state, so no period is gathered in memory. Admission to a period of more than
+DIRECT requests is split over tasks by blocks.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.shared import kept
+
 #: Largest amount that a long holds.
 MOST = (1 << 63) - 1
+#: Requests of a period that one task admits one after the other; a larger period is admitted in blocks of BLOCK requests.
+DIRECT, BLOCK = 1 << 18, 1 << 14
 
 
 def micros(amount: Column, allow_zero: bool = False) -> Column:
@@ -93,6 +98,15 @@ def _fold(df: DataFrame, columns: list[str], order: list[str], added: str, start
 
 def admit(requests: DataFrame, limit: int) -> DataFrame:
     """period, seq, amount, accepted, held: in order, a request is accepted if what is held and it stay within the limit; equality is allowed."""
+    slim = requests.select("period", "seq", "amount")
+    large = kept(slim.groupBy("period").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("amount") < 0, F.lit(True))).alias("odd")).where((F.col("n") > DIRECT) & (F.col("odd") == 0)).select("period"))
+    if large.isEmpty():
+        return admit_in_order(slim, limit)
+    return admit_in_order(slim.join(large, "period", "left_anti"), limit).unionByName(admit_in_blocks(slim.join(large, "period", "left_semi"), limit))
+
+
+def admit_in_order(requests: DataFrame, limit: int) -> DataFrame:
+    """admit() by one task a period."""
 
     def step(state: dict, row: dict) -> tuple:
         fits = state["held"] + row["amount"] <= limit
@@ -102,6 +116,66 @@ def admit(requests: DataFrame, limit: int) -> DataFrame:
     return _fold(requests, ["period", "seq", "amount"], ["seq"], "accepted boolean, held long", lambda: {"held": 0}, step)
 
 
+def admit_in_blocks(requests: DataFrame, limit: int, block: int | None = None) -> DataFrame:
+    """admit() of amounts that are not negative, with a period's requests split over all tasks.
+
+    Requests are sorted into blocks. Room only shrinks, so what is larger than the room is refused wherever it stands; of the rest, all blocks
+    before the one in which the sum passes the room are accepted by their sums alone, that one is folded request by request, and the next round
+    starts behind it with the room that it left. The room has then fallen below a request that fitted before, so few rounds are left,
+    and none reads what is decided. Rounds end in intervals of places, each with the largest amount that it accepts: verdicts
+    are a join with these, and what is held at each request is a sum over blocks and one within its block.
+    """
+    spark = requests.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = block or BLOCK
+    ordered = requests.repartitionByRange(parts, "period", "seq").sortWithinPartitions("period", "seq", "amount")
+    # The numbers grow with the order, and belong to what was written.
+    rows = kept(ordered.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("block", F.expr(f"(at >> 33) * {(1 << 33) // size + 1} + (at & {(1 << 33) - 1}) div {size}"))
+    big = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    state = requests.select("period").distinct().select("period", F.lit(-1).cast("long").alias("after"), F.lit(limit).cast("decimal(38,0)").alias("room"))
+    intervals, singles = [], []
+    before = Window.partitionBy("period").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        state = kept(state)
+        live = rows.join(state, "period").where("at > after AND amount <= room")
+        sums = live.groupBy("period", "block").agg(big("amount").alias("s"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("room").alias("room"))
+        upto = sums.withColumn("b", F.coalesce(F.sum("s").over(before), F.lit(0).cast("decimal(38,0)")))
+        crossing = kept(upto.where("b + s > room").groupBy("period").agg(F.min_by(F.struct("block", "first", "last", "b", "room"), "block").alias("c")).select("period", "c.*"))
+        # All that fits up to the crossing block, or to the period's end.
+        intervals.append(state.join(crossing.select("period", "first"), "period", "left").select("period", "after", F.coalesce(F.col("first") - 1, F.lit(MOST)).alias("upto"), F.col("room").alias("most")))
+        if crossing.isEmpty():
+            break
+        there = rows.join(crossing, ["period", "block"]).where("at >= first AND amount <= room").select("period", "at", "amount", F.col("b").cast("long").alias("b"), F.col("room").cast("long").alias("room"))
+
+        def step(held: dict, row: dict) -> tuple:
+            left = held.setdefault("left", row["room"] - row["b"])
+            fits = row["amount"] <= left
+            held["left"] -= row["amount"] * fits
+            return fits, held["left"]
+
+        folded = kept(_fold(there, ["period", "at", "amount", "b", "room"], ["at"], "fits boolean, left_over long", dict, step))
+        singles.append(folded.where("fits").select("period", "at"))
+        ends = folded.groupBy("period").agg(F.min("left_over").cast("decimal(38,0)").alias("room"))
+        state = crossing.select("period", F.col("last").alias("after")).join(ends, "period")
+    spans = intervals[0]
+    for more in intervals[1:]:
+        spans = spans.unionByName(more)
+    spans = kept(spans.groupBy("period").agg(F.collect_list(F.struct("after", "upto", "most")).alias("spans")))
+    inside = F.exists("spans", lambda s: (F.col("at") > s["after"]) & (F.col("at") <= s["upto"]) & (F.col("amount") <= s["most"]))
+    judged = rows.join(spans, "period").select("period", "seq", "amount", "at", "block", inside.alias("accepted"))
+    if singles:
+        one = singles[0]
+        for more in singles[1:]:
+            one = one.unionByName(more)
+        judged = judged.join(one.withColumn("single", F.lit(True)), ["period", "at"], "left").withColumn("accepted", F.col("accepted") | F.coalesce("single", F.lit(False))).drop("single")
+    judged = kept(judged)
+    took = F.when(F.col("accepted"), F.col("amount")).otherwise(F.lit(0))
+    held = judged.groupBy("period", "block").agg(F.sum(took).alias("s")).select("period", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("b"))
+    within = Window.partitionBy("period", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return judged.withColumn("w", F.sum(took).over(within)).join(held, ["period", "block"]).select("period", "seq", "amount", "accepted", (F.col("b") + F.col("w")).alias("held"))
+
+
 def reserve(state: dict, row: dict, limit: int) -> str:
     """Outcome of one reservation, and what it does to a period's state.
 
@@ -162,23 +236,28 @@ def opened() -> dict:
 def across_periods(events: DataFrame, fold, accepted: str) -> DataFrame:
     """fold(events with column foreign) where a key belongs to the period that first accepted it: in others it is foreign from then on.
 
-    Keys of one period, as nearly all are, need no second look. For the others the fold is repeated until their owners stay the same; each
-    round settles at least the earliest event that was wrong, and only those keys are joined.
+    Keys of one period, as nearly all are, need no second look. For the others owners are a written table, and in each round only those periods are
+    folded again in which an event becomes foreign, or ceases to be, by the owners that the last round gave; each round settles at least
+    the earliest event that was wrong. Nothing of this comes to the driver.
     """
     shared = events.where("op = 'reserve'").groupBy("key").agg(F.count_distinct("period").alias("n")).where("n > 1").select("key")
     out = fold(events.withColumn("foreign", F.lit(False)))
     if shared.isEmpty():
         return out
-    owners = None
+    events, shared, out = kept(events), kept(shared), kept(out)
+    mine, marks = events.join(shared, "key", "left_semi"), None
     while True:
-        first = out.join(shared, "key", "left_semi").where(F.col("outcome").isin(*accepted.split())).groupBy("key").agg(F.min_by(F.struct("period", "seq"), "seq").alias("owner"))
-        found = {r["key"]: (r["owner"]["period"], r["owner"]["seq"]) for r in first.collect()}
-        if found == owners:
+        owner = out.where(F.col("outcome").isin(*accepted.split())).join(shared, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("period", "seq"), "seq").alias("owner"))
+        foreign = (F.col("owner.period") != F.col("period")) & (F.col("seq") > F.col("owner.seq"))
+        now = kept(mine.join(owner, "key").where(foreign).select("period", "seq", "key").distinct())
+        changed = now if marks is None else now.exceptAll(marks).union(marks.exceptAll(now))
+        periods = kept(changed.select("period").distinct())
+        if periods.isEmpty():
             return out
-        owners = found
-        known = events.sparkSession.createDataFrame([(k, p, n) for k, (p, n) in found.items()], "key string, _period string, _seq long")
-        mark = F.coalesce((F.col("_period") != F.col("period")) & (F.col("seq") > F.col("_seq")), F.lit(False))
-        out = fold(events.join(known, "key", "left").withColumn("foreign", mark).drop("_period", "_seq"))
+        marks = now
+        some = events.join(periods, "period", "left_semi").join(marks.withColumn("marked", F.lit(True)), ["period", "seq", "key"], "left")
+        again = fold(some.withColumn("foreign", F.coalesce("marked", F.lit(False))).drop("marked"))
+        out = kept(out.join(periods, "period", "left_anti").unionByName(again))
 
 
 def replay(events: DataFrame, limit: int, identity: list[str] | None = None) -> DataFrame:

@@ -235,3 +235,56 @@ def test_migrations_are_applied_once(spark, tmp_path):
     with pytest.raises(RuntimeError):
         migrations.apply_pending(store, migrations.discover(spark.createDataFrame([*files, ("004_d.sql", "4")], "filename string, text string")), broken)
     assert store.table("migrations").count() == 3
+
+
+def plain_admission(rows, limit):
+    held, out = {}, []
+    for period, seq, amount in sorted(rows):
+        fits = held.get(period, 0) + amount <= limit
+        held[period] = held.get(period, 0) + amount * fits
+        out.append((period, seq, amount, fits, held[period]))
+    return sorted(out)
+
+
+def test_admission_in_blocks_equals_the_plain_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    for round_ in range(6):
+        high = rng.choice([3, 40, 1000])
+        rows = [(f"p{rng.randrange(3)}", n, rng.randrange(1, high)) for n in range(400)]
+        if round_ == 4:  # every other request is larger than the room, which shrinks by one
+            rows = [("p", n, 1 if n % 2 == 0 else 100 - n // 2) for n in range(150)]
+        df = spark.createDataFrame(rows, "period string, seq long, amount long")
+        for limit in (rng.randrange(1, 200), 100, 10**6):
+            got = sorted(map(tuple, ledger.admit_in_blocks(df, limit, block=rng.choice([7, 64])).collect()))
+            assert got == plain_admission(rows, limit)
+
+
+def test_large_periods_are_admitted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "DIRECT", 50)
+    monkeypatch.setattr(ledger, "BLOCK", 16)
+    rows = [("big", n, n % 9 + 1) for n in range(200)] + [("small", n, 5) for n in range(20)]
+    df = spark.createDataFrame(rows, "period string, seq long, amount long")
+    assert sorted(map(tuple, ledger.admit(df, 300).collect())) == plain_admission(rows, 300)
+    assert ledger.admit(df.where("false"), 300).count() == 0
+
+
+def test_a_chain_of_periods_folds_only_what_changed(spark, monkeypatch):
+    """Each period's key is also asked for in the next one, so owners settle one after the other."""
+    n = 12
+    events = []
+    for p in range(n):
+        events.append((f"2024-{p:02d}", 10 * p, "reserve", f"k{p}", 60, None))
+        events.append((f"2024-{p:02d}", 10 * p + 1, "reserve", f"k{p - 1}", 60, None))
+    events += [(f"2030-{p:02d}", 1000 + p, "reserve", f"own{p}", 5, None) for p in range(40)]
+    seen = []
+    plain = ledger._fold
+    monkeypatch.setattr(ledger, "_fold", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    df = spark.createDataFrame(events, "period string, seq long, op string, key string, amount long, limit_micros long")
+    out = {r["seq"]: r["outcome"] for r in ledger.replay(df, 100).collect()}
+    assert out[0] == "accepted" and out[1] == "exceeded"
+    for p in range(1, n):
+        assert out[10 * p] == "accepted" and out[10 * p + 1] == "conflict"
+    assert all(out[1000 + p] == "accepted" for p in range(40))
+    assert seen[0] == len(events) and all(k <= 2 * n for k in seen[1:]) and len(seen) >= 2
