@@ -307,10 +307,10 @@ def part_sources(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.concat(F.lit("parts/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
 
 
-def nation_sources(spark, sf_dir) -> DataFrame:
-    k = F.col("n_nationkey").cast("string")
+def supplier_sources(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
     source = F.concat(F.lit("import n"), k, F.lit(".sub as s\nfrom .. import x, y as z\n\n\ndef g():\n    from mod import a\n"))
-    return read(spark, sf_dir, "nation").select(F.concat(F.lit("nations/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("suppliers/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
 
 
 def parsed_once(spark: SparkSession, parsed: DataFrame) -> DataFrame:
@@ -342,11 +342,11 @@ def q31(spark, sf_dir):
 
 @query(
     "q32_imports",
-    """SELECT 'nations/' || n_nationkey || '.py' AS path, i.* REPLACE (CASE WHEN kind = 'import' THEN 'n' || n_nationkey || '.sub' ELSE module END AS module, CASE WHEN kind = 'import' THEN 'n' || n_nationkey || '.sub' ELSE name END AS name) FROM nation,
+    """SELECT 'suppliers/' || s_suppkey || '.py' AS path, i.* REPLACE (CASE WHEN kind = 'import' THEN 'n' || s_suppkey || '.sub' ELSE module END AS module, CASE WHEN kind = 'import' THEN 'n' || s_suppkey || '.sub' ELSE name END AS name) FROM supplier,
 (VALUES ('import', '', '', 's', 0, NULL, 1, 0, 1), ('from_import', NULL, 'x', NULL, 2, NULL, 2, 0, 2), ('from_import', NULL, 'y', 'z', 2, NULL, 2, 0, 3), ('from_import', 'mod', 'a', NULL, 0, 'g', 6, 4, 4)) AS i(kind, module, name, alias, level, scope_qualified_name, line, col, ordinal)""",
 )
 def q32(spark, sf_dir):
-    return structure.imports(structure.parse(nation_sources(spark, sf_dir))).select("path", "kind", "module", "name", "alias", "level", "scope_qualified_name", "line", "col", "ordinal")
+    return structure.imports(structure.parse(supplier_sources(spark, sf_dir))).select("path", "kind", "module", "name", "alias", "level", "scope_qualified_name", "line", "col", "ordinal")
 
 
 @query("q33_symbol_lookup", f"SELECT * EXCLUDE (p_partkey) FROM ({_PART_SYMBOLS}) WHERE kind = 'method' AND name = 'm7'")
@@ -365,9 +365,9 @@ def q34(spark, sf_dir):
     return structure.orphan_parents(rows.where(~lost)).select("path", F.regexp_replace("name", r"\d+", "").alias("part_name"))
 
 
-@query("q35_import_scope_coherence", "SELECT 'nations/' || n_nationkey || '.py' AS path, 'mod' AS module FROM nation WHERE n_nationkey % 2 = 0")
+@query("q35_import_scope_coherence", "SELECT 'suppliers/' || s_suppkey || '.py' AS path, 'mod' AS module FROM supplier WHERE s_suppkey % 2 = 0")
 def q35(spark, sf_dir):
-    parsed = structure.parse(nation_sources(spark, sf_dir))
+    parsed = structure.parse(supplier_sources(spark, sf_dir))
     rows = structure.symbols(parsed).where(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 2 != 0)
     return structure.orphan_scopes(structure.imports(parsed), rows).select("path", "module")
 
@@ -583,14 +583,14 @@ def q61(spark, sf_dir):
 
 @query(
     "q62_model_list",
-    """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN NULL WHEN n_nationkey % 4 = 2 THEN '' ELSE n_name || ',' || 'm' || n_nationkey END AS ids, CASE WHEN n_nationkey % 4 >= 2 THEN 'degraded' ELSE 'ready' END AS health FROM nation""",
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN NULL WHEN c_custkey % 4 = 2 THEN '' ELSE c_name || ',' || 'm' || c_custkey END AS ids, CASE WHEN c_custkey % 4 >= 2 THEN 'degraded' ELSE 'ready' END AS health FROM customer""",
 )
 def q62(spark, sf_dir):
-    k = F.col("n_nationkey")
-    ids = F.when(k % 4 == 3, F.array(F.col("n_name"), F.col("n_name"))).when(k % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(" "), F.col("n_name")), F.concat(F.lit("m"), k.cast("string"))))
+    k = F.col("c_custkey")
+    ids = F.when(k % 4 == 3, F.array(F.col("c_name"), F.col("c_name"))).when(k % 4 == 2, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(" "), F.col("c_name")), F.concat(F.lit("m"), k.cast("string"))))
     body = F.to_json(F.struct(F.transform(ids, lambda i: F.struct(i.alias("id"))).alias("data")))
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", models.model_ids(body).alias("found"))
-    return rows.select("n_nationkey", F.array_join("found", ",").alias("ids"), models.health(F.lit(True), F.col("found")).alias("health"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", models.model_ids(body).alias("found"))
+    return rows.select("c_custkey", F.array_join("found", ",").alias("ids"), models.health(F.lit(True), F.col("found")).alias("health"))
 
 
 @query(

@@ -250,7 +250,7 @@ def search(rows: DataFrame, text: str, limit: int | None = None, policy: Lexical
     """The best matches by score, path and chunk. More candidates than the policy holds raise when the result is computed."""
     limit = checked_limit(limit, policy.default_limit, policy.max_results, LexicalQueryError)
     query = prepare_query(text, policy)
-    found = scored(within(rows.where(matches(query)), policy.max_candidates, TOO_MANY, ["path", "chunk_index"]), query)
+    found = scored(within(rows.where(matches(query)), policy.max_candidates, TOO_MANY, ["path", "chunk_index"] if policy.max_candidates <= GATHERED else None), query)
     return found.orderBy(F.desc("score"), "path", "chunk_index").limit(limit)
 
 
@@ -288,7 +288,8 @@ def file_differences(have: DataFrame, want: DataFrame) -> DataFrame:
     """Audit: paths that are missing, not wanted, there twice, or whose file differs in hash, size, language, content kind or status."""
     names = ["file_sha256", "size_bytes", "language", "content_kind", "status"]
     side = lambda df, name: df.groupBy("path").agg(F.count("*").alias(f"{name}_rows"), F.first(F.struct(*names)).alias(name))
-    return side(have, "have").join(side(want, "want"), "path", "full_outer").where("NOT (have <=> want AND have_rows = 1 AND want_rows = 1)").select("path")
+    fault = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "extra").when((F.col("have_rows") > 1) | (F.col("want_rows") > 1), "twice").when(~F.col("have").eqNullSafe(F.col("want")), "changed")
+    return side(have, "have").join(side(want, "want"), "path", "full_outer").select("path", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def index_counts(files: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -53,6 +53,50 @@ class BudgetError(EngineError):
     """A ledger operation is refused."""
 
 
+class BudgetExceeded(BudgetError):
+    """A reservation does not fit into what its period has left."""
+
+
+class BudgetLocked(BudgetError):
+    """A period has a breach and takes no more reservations."""
+
+
+class BudgetConflict(BudgetError):
+    """A key, or its period's limit, is bound to something else."""
+
+
+class BudgetInvariant(BudgetError):
+    """The ledger says what must not be."""
+
+
+class CallError(EngineError):
+    """A paid call is refused or did not end."""
+
+
+class CallReplayBlocked(CallError):
+    """A call of this key has been dispatched before."""
+
+
+class CallUncertain(CallError):
+    """A call was dispatched and nobody knows how it ended."""
+
+
+class RuntimeUnavailable(EngineError):
+    """A model's runtime does not answer."""
+
+
+#: The error of an outcome that a caller cannot go on with; all others are results.
+OUTCOME_ERRORS = {"exceeded": BudgetExceeded, "locked": BudgetLocked, "policy": BudgetConflict, "conflict": BudgetConflict, "contract": BudgetConflict, "quote": BudgetConflict, "invariant": BudgetInvariant, "unknown": BudgetError, "replay": CallReplayBlocked, "uncertain": CallUncertain, "degraded": RuntimeUnavailable, "unavailable": RuntimeUnavailable}
+
+
+def demanded(outcome: str) -> str:
+    """The outcome of a single event of the ledger, the call journal or a runtime's health; one that a caller cannot go on with raises its error."""
+    error = OUTCOME_ERRORS.get(outcome)
+    if error:
+        raise error(outcome)
+    return outcome
+
+
 class ContractError(EngineError, ValueError):
     """A value breaks a record's contract."""
 

@@ -21,3 +21,14 @@ def test_uuid_guard(spark):
     for bad in ("", "0b2f7a10111122223333444455556666", good + "0", "x" + good[1:]):
         with pytest.raises(Exception, match="not a UUID"):
             spark.range(1).select(contracts.checked_uuid(F.lit(bad))).collect()
+
+
+def test_entry_without_a_package_that_some_operators_need():
+    """A missing package costs the operators that need it, not the other queries."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'q15_ranked_search' in q and len(q) > 70, len(q); assert not any(n.startswith('op') for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -426,3 +426,25 @@ def test_term_counts_agree(spark):
     df = rows(spark, ("a/x.txt", "the quick the brown"), ("b/the.txt", "quick red"), ("c", ""), ("d", None)).withColumn("chunk_id", F.col("path"))
     key = lambda t: sorted(map(tuple, t.select("term", "documents", "occurrences").collect()))
     assert key(lexical.text_term_counts(df)) == key(lexical.term_counts(lexical.postings(df)))
+
+
+def test_table_functions_give_the_rows_of_parse(spark):
+    from lodestack.operators import structure
+
+    sources = spark.createDataFrame([(f"m{n}.py", bytearray(f"import a{n} as b\nclass C{n}:\n    @d\n    def m(self): pass\n".encode()), str(n)) for n in range(5)] + [("bad.py", bytearray(b"return 1"), "x"), ("none.py", None, "y")], "path string, content binary, file_sha256 string")
+    structure.register(spark)
+    sources.createOrReplaceTempView("modules_of_test")
+    parsed = structure.parse(sources)
+    for section, rows in (("symbols", structure.symbols(parsed)), ("imports", structure.imports(parsed))):
+        got = spark.sql(f"SELECT f.* FROM modules_of_test m, LATERAL parse_{section}(m.path, m.content, m.file_sha256) f")
+        assert got.columns == rows.columns and sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_outcomes_as_errors():
+    from lodestack import schemas
+
+    assert schemas.demanded("accepted") == "accepted" and schemas.demanded("existing") == "existing"
+    for outcome, error in (("exceeded", schemas.BudgetExceeded), ("replay", schemas.CallReplayBlocked), ("uncertain", schemas.CallUncertain), ("invariant", schemas.BudgetInvariant), ("unavailable", schemas.RuntimeUnavailable)):
+        with pytest.raises(error):
+            schemas.demanded(outcome)
+    assert issubclass(schemas.BudgetLocked, schemas.BudgetError)
