@@ -9,15 +9,15 @@
    lower bound of their share of toxic documents. A logistic curve turns a document's sum into a score.
 
 The work is linear in a token's length. Before it is decoded, a token is brought to the channel's normal form: a mark repeated
-more than four times is a ruled line, which ends words, and a letter or digit repeated more than three times counts as three.
-Characters that stand for no letter end words as well, so what is between them is decoded apart, and a piece of more than LONG
-characters in windows of LONG that overlap by half. Stars are masked letters where a piece has MASKS at most, else they
-separate. A piece is decoded only if it can weigh anything: all readings of a character fall in one class (``skeleton``), and
-one Aho-Corasick automaton tells whether the classes of any weighted feature stand in the piece; where they do not, no path
-through its lattice has a weight.
+more than four times counts as four, since each further one adds the cost of leaving it out to every path alike (separators twice and
+more are also read as a line between words, and the larger weight counts), and a letter or digit repeated more than three times as three. Characters that stand for no letter end words, so what is between them is
+decoded apart, and a piece of more than LONG characters in windows of LONG that overlap by half; the last one is read with its tail like any
+piece. Any number of stars may be masked letters. A piece is decoded only if it can weigh anything: all readings of a character fall in
+one class (``skeleton``), a star may be in any, and one Aho-Corasick automaton (with stars, a bit-parallel one) tells whether the classes of
+any weighted feature stand in the piece; where they do not, no path through its lattice has a weight.
 
 Labels are learned from a bounded sample: SAMPLE labelled rows of the smallest hash (near copies count once); features are all
-that are met in enough toxic rows of it, from tokens of LONG characters at most.
+that are met in enough toxic rows of it.
 Defined results: null and empty texts get the score of a text without any toxic word; repeated rows are scored one by
 one; of paths of equal cost that of the lesser text is taken; very long texts and tokens are read whole; without labelled rows
 every score is 0; an empty table gives an empty result; other columns, whatever their names, are ignored (score) or kept as
@@ -42,8 +42,8 @@ from .common import bound_batches, drop_table, map_batches, place_of, write_tabl
 
 #: Labelled rows that are learned from, and tokens that a worker's cache holds.
 SAMPLE, CACHED = 20_000, 150_000
-#: Characters of a piece that is decoded at once, and stars in it that may be masked letters.
-LONG, MASKS = 128, 4
+#: Characters of a piece that is decoded at once; a longer one is decoded in windows of as many.
+LONG = 128
 #: Toxic documents that a feature needs, the least lower bound of its share, and the lengths of word beginnings.
 LEAST_DOCS, LEAST_SHARE, PREFIXES = 5, 0.5, (4, 5, 6, 7)
 
@@ -64,6 +64,8 @@ TAIL = re.compile(r"[^\W\d_]([\d@$!|+(€._~*-]*[\d@$!|+(€])\Z")
 PLAIN, MARKS = ".,;:?%&#*~-_=/\\\"'()[]{}<>", "!|+"
 DOUBLED = re.compile(r"([^\W\d_])\1")
 SPELLED = re.compile(r"(?<![\w@$!])[\w@$!](?:[ .\-_*][\w@$!]){3,}(?![\w@$!])")
+#: A separator twice and more.
+LINE = re.compile(r"(?:\.\.+|--+|__+|~~+|\*\*+)")
 #: Marks repeated more than four times, letters and digits more than three times.
 RULED, RUN = re.compile(r"([^\w\s]|_)\1{4,}"), re.compile(r"([^\W_])\1{3,}")
 
@@ -122,7 +124,7 @@ def is_odd(token: str) -> bool:
     return bool(first and ODD_SEPARATOR.search(token, first.end()))
 
 
-def arcs_of(token: str, k: int, letters_from: int | None = None, masks: bool = True) -> list[tuple[int, str, float]]:
+def arcs_of(token: str, k: int, letters_from: int | None = None) -> list[tuple[int, str, float]]:
     """What the k-th character may stand for: (symbol, what is written, cost); symbol 0 ends a word, -1 is left out."""
     ch, before, inner = token[k], token[k - 1] if k else "", 0 < k < len(token) - 1
     arcs: list[tuple[int, str, float]] = []
@@ -134,7 +136,7 @@ def arcs_of(token: str, k: int, letters_from: int | None = None, masks: bool = T
         arcs.append((0, " ", COST_END))
         if inner:
             arcs.append((-1, "", COST_SEPARATOR))
-            if ch == "*" and masks:
+            if ch == "*":
                 arcs.extend((x, chr(96 + x), COST_MASK) for x in range(1, 27))
     elif letters_from is not None and k >= letters_from and ch in LEET:
         arcs.extend((SYMBOL[x], x, COST_LEET) for x in LEET[ch])
@@ -146,17 +148,28 @@ def arcs_of(token: str, k: int, letters_from: int | None = None, masks: bool = T
     return arcs
 
 
+#: A path: (the path before, what it writes), None at its start.
+Path = tuple | None
+
+
+def written_by(path: Path) -> str:
+    out = []
+    while path is not None:
+        path, written = path
+        out.append(written)
+    return "".join(reversed(out))
+
+
 def restore(token: str, costs: np.ndarray, letters_from: int | None = None) -> str:
     """The likeliest text behind a token: Viterbi over the lattice; states are the last three letters. From letters_from on, leet stands for letters."""
-    masks = token.count("*") <= MASKS
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    states: dict[int, tuple[float, Path]] = {0: (0.0, None)}
     for k in range(len(token)):
-        arcs = arcs_of(token, k, letters_from, masks)
-        if len(arcs) > 26 and len(states) > 200:
+        arcs = arcs_of(token, k, letters_from)
+        if len(arcs) > 26 and len(states) > 20:
             states = _masked(states, arcs, costs)
             continue
-        best: dict[int, tuple[float, str]] = {}
-        for context, (cost, text) in states.items():
+        best: dict[int, tuple[float, Path]] = {}
+        for context, (cost, path) in states.items():
             for symbol, written, own in arcs:
                 if symbol < 0:
                     to, c = context, cost + own
@@ -164,37 +177,51 @@ def restore(token: str, costs: np.ndarray, letters_from: int | None = None) -> s
                     to, c = 0, cost + own + (float(costs[context, 0]) if context else 0.0)
                 else:
                     to, c = context % 729 * 27 + symbol, cost + own + float(costs[context, symbol])
-                held = best.get(to)
-                if held is None or c < held[0] or (c == held[0] and text + written < held[1]):
-                    best[to] = c, text + written
+                _keep(best, to, c, path, written)
         states = best
-    return min((cost + (float(costs[s, 0]) if s else 0.0), text) for s, (cost, text) in states.items())[1]
+    ends = [(cost + (float(costs[s, 0]) if s else 0.0), path) for s, (cost, path) in states.items()]
+    least = min(c for c, _ in ends)
+    return min(written_by(path) for c, path in ends if c == least)
 
 
-def _masked(states: dict[int, tuple[float, str]], arcs: list[tuple[int, str, float]], costs: np.ndarray) -> dict[int, tuple[float, str]]:
-    """One step over a masked letter from very many states: all of its 26 letters at once, the other arcs one by one."""
+def _keep(best: dict[int, tuple[float, Path]], to: int, cost: float, path: Path, written: str) -> None:
+    """Keep the path if it is the cheapest to its state; of equal ones that of the lesser text."""
+    held = best.get(to)
+    if held is None or cost < held[0]:
+        best[to] = cost, (path, written) if written else path
+    elif cost == held[0]:
+        new = (path, written) if written else path
+        if written_by(new) < written_by(held[1]):
+            best[to] = cost, new
+
+
+def _masked(states: dict[int, tuple[float, Path]], arcs: list[tuple[int, str, float]], costs: np.ndarray) -> dict[int, tuple[float, Path]]:
+    """One step over a masked letter from many states: all of its 26 letters at once, the other arcs one by one. Only what the states' last two
+    letters tell apart is looked at."""
     at = np.fromiter(states, np.int64, len(states))
-    cost = np.full((27, 729), np.inf)
-    cost[at // 729, at % 729] = [c for c, _ in states.values()]
-    reached = cost[:, :, None] + costs.reshape(27, 729, 27)
+    lows, of = np.unique(at % 729, return_inverse=True)
+    cost = np.full((27, len(lows)), np.inf)
+    cost[at // 729, of] = [c for c, _ in states.values()]
+    reached = cost[:, :, None] + costs.reshape(27, 729, 27)[:, lows]
     source = reached.argmin(axis=0)
     least = np.take_along_axis(reached, source[None], axis=0)[0] + COST_MASK
-    best: dict[int, tuple[float, str]] = {}
-    for low, symbol in zip(*np.nonzero(np.isfinite(least)), strict=True):
-        if symbol:
-            best[int(low) * 27 + int(symbol)] = float(least[low, symbol]), states[int(source[low, symbol]) * 729 + int(low)][1] + chr(96 + int(symbol))
-    for context, (c0, text) in states.items():
+    best: dict[int, tuple[float, Path]] = {}
+    finite = np.isfinite(least)
+    finite[:, 0] = False
+    rows, symbols = np.nonzero(finite)
+    came = (source[rows, symbols] * 729 + lows[rows]).tolist()
+    for to, c, origin, symbol in zip((lows[rows] * 27 + symbols).tolist(), least[rows, symbols].tolist(), came, symbols.tolist(), strict=True):
+        best[to] = c, (states[origin][1], chr(96 + symbol))
+    for context, (c0, path) in states.items():
         for symbol, written, own in arcs[:2]:  # the word's end, and nothing
             to, c = (context, c0 + own) if symbol < 0 else (0, c0 + own + (float(costs[context, 0]) if context else 0.0))
-            held = best.get(to)
-            if held is None or c < held[0] or (c == held[0] and text + written < held[1]):
-                best[to] = c, text + written
+            _keep(best, to, c, path, written)
     return best
 
 
 def normal(token: str) -> str:
-    """A token in the channel's normal form: ruled lines are blanks, a letter or digit more than three times is there three times."""
-    return RUN.sub(r"\1\1\1", RULED.sub(" ", token))
+    """A token in the channel's normal form: a mark more than four times is there four times, a letter or digit more than three times three times."""
+    return RUN.sub(r"\1\1\1", RULED.sub(r"\1\1\1\1", token))
 
 
 def words_of(piece: str, costs: np.ndarray) -> list[str]:
@@ -244,6 +271,7 @@ def _classes() -> dict[int, str | None]:
 
 
 CLASSES, AGAIN = _classes(), re.compile(r"(.)\1+", re.DOTALL)
+STARRED_CLASSES = {k: v for k, v in CLASSES.items() if k != ord("*")}
 #: Characters that are no letter and may stand for none: they end words on every path.
 HARD = re.compile("[^\\w" + re.escape(SEPARATORS + "".join(LEET)) + "]+")
 
@@ -254,6 +282,35 @@ def skeleton(text: str) -> str:
     return AGAIN.sub(r"\1", text.translate(CLASSES))
 
 
+class _Wildcards:
+    """Skeletons, searched for in a piece whose stars may be any letter: one bit for each of their places, all moved on at once."""
+
+    def __init__(self, skeletons: list[str]):
+        self.first = self.last = self.inside = 0
+        self.of: dict[str, int] = {}
+        at = 0
+        for s in skeletons:
+            self.first |= 1 << at
+            for k, c in enumerate(s):
+                self.of[c] = self.of.get(c, 0) | 1 << at + k
+            at += len(s)
+            self.last |= 1 << at - 1
+        self.inside = ((1 << at) - 1) & ~self.first
+
+    def stand_in(self, piece: str) -> bool:
+        held, letters = 0, False
+        for c in piece.translate(STARRED_CLASSES):
+            moved = (held << 1 & self.inside) | self.first
+            if c == "*":
+                held |= moved
+            else:
+                held = (moved | held) & self.of.get(c, 0)  # on, or a run of the same class
+                letters = True
+            if held & self.last and letters:
+                return True
+        return bool(held & self.last) and letters
+
+
 def text_tokens(text: str) -> set[str]:
     """Distinct lower-cased tokens of a whole text, and its spelled-out words."""
     low = text.lower()
@@ -308,10 +365,13 @@ class ToxicityModel:
                 if s := skeleton(f.rstrip("$")):
                     built.add_word(s, True)
             built.make_automaton()
-            self.known = built
-        if not len(self.known):
+            self.known = built, _Wildcards(sorted(built.keys()))
+        words, wildcards = self.known
+        if not len(words):
             return False
-        return (1 <= piece.count("*") <= MASKS) or next(self.known.iter(skeleton(piece)), None) is not None
+        if "*" in piece:
+            return wildcards.stand_in(piece)
+        return next(words.iter(skeleton(piece)), None) is not None
 
     def weight_of(self, words: list[str]) -> float:
         weights = self.weights
@@ -332,20 +392,37 @@ class ToxicityModel:
             return best
         if token.isalpha() and not DOUBLED.search(token):
             return 0.0
-        best, spelled = 0.0, " " in token
-        for part in [normal(token)] if spelled else normal(token).split(" "):
-            if len(part) <= LONG:
-                if self.may_weigh(part):
-                    best = max(best, self.piece_weight(part))
+        short = normal(token)
+        best = self.normal_weight(short)
+        if " " not in short and LINE.search(short):  # a mark twice and more may be a line between words
+            best = max(best, *(self.normal_weight(part) for part in LINE.split(short)))
+        return best
+
+    def normal_weight(self, short: str) -> float:
+        """The largest weight of the words of a token in normal form."""
+        best, spelled = 0.0, " " in short
+        if len(short) <= LONG:
+            return self.piece_weight(short) if self.may_weigh(short) else 0.0
+        for piece in [short] if spelled else HARD.split(short):
+            ends = not spelled and short.endswith(piece)
+            if len(piece) <= LONG:
+                if self.may_weigh(piece):
+                    best = max(best, self.piece_weight(piece, ends))
                 continue
-            for piece in [part] if spelled else HARD.split(part):
-                if len(piece) <= LONG:
-                    if self.may_weigh(piece):
-                        best = max(best, self.piece_weight(piece, part.endswith(piece)))
-                elif not spelled and not is_odd(piece):
-                    best = max(best, self.weight_of(WORD.findall(piece)))
-                else:
-                    best = max(best, max((self.weight_of(window_words(w, self.costs, a, z)) for w, a, z in windows(piece) if self.may_weigh(w)), default=0.0))
+            if not spelled and not is_odd(piece):
+                best = max(best, self.weight_of(WORD.findall(piece)))
+            for window, first, last in windows(piece):
+                if self.may_weigh(window) and (spelled or last or is_odd(window)):
+                    best = max(best, self.window_weight(window, first, last, last and ends))
+        return best
+
+    def window_weight(self, window: str, first: bool, last: bool, tail: bool) -> float:
+        """piece_weight() of a window: words that one of its borders cuts count in the window that has them whole."""
+        words = window_words(window, self.costs, first, last)
+        more = tail_words(window, self.costs)[-1:] if tail else []
+        best = self.weight_of(words + more)
+        if not best:
+            best = self.weight_of([v for w in words + more if DOUBLED.search(w) for v in WORD.findall(restore(w, self.costs))])
         return best
 
     def evidence(self, text: str, cache: dict[str, float]) -> float:
@@ -378,11 +455,19 @@ def labelled_sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, t
 
 
 def learned_words(token: str, costs: np.ndarray) -> list[str]:
-    """Words that a token of a labelled text gives: restored ones, or its plain words where it is longer than a word can be."""
-    if len(token) > LONG:
-        return WORD.findall(token)
-    token = normal(token)
-    return restored_words(token, costs) + tail_words(token, costs)
+    """Words that a token of a labelled text gives, restored where they are suspicious."""
+    short = normal(token)
+    if len(short) <= LONG:
+        return restored_words(short, costs) + tail_words(short, costs)
+    out = []
+    for piece in [short] if " " in short else HARD.split(short):
+        if len(piece) <= LONG:
+            out += words_of(piece, costs) if " " not in short else []
+        elif is_odd(piece):
+            out += [w for window, first, last in windows(piece) for w in window_words(window, costs, first, last)]
+        else:
+            out += WORD.findall(piece)
+    return out
 
 
 def near_copy_key(text: str) -> int:
@@ -499,19 +584,16 @@ def reject_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", th
 
 
 def restore_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and the restored text: suspicious tokens replaced by what they stand for, blanks between tokens. Tokens that are longer
-    than LONG in their normal form are no words and stay as they are."""
+    """The id and the restored text: suspicious tokens replaced by what they stand for, blanks between tokens."""
     held, _ = _shipped(df, model)
 
     def read(token: str) -> str:
         model, short = held.value, normal(token)
-        if len(short) > LONG:
-            return token
         plain = restore(short, model.costs) if is_odd(short) else short
         return max([plain, *tail_readings(short, model.costs)], key=lambda t: model.weight_of(WORD.findall(t)))
 
     def fixed(text: str) -> str:
-        low = SPELLED.sub(lambda m: restore(m[0], held.value.costs) if len(m[0]) <= LONG else m[0], text.lower())
+        low = SPELLED.sub(lambda m: restore(m[0], held.value.costs), text.lower())
         return " ".join(map(read, low.split()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -300,8 +300,7 @@ def letters():
 def all_paths(token, costs, letters_from=None):
     """Texts of the least cost over all paths of a token's lattice."""
     least, texts = math.inf, set()
-    masks = token.count("*") <= toxicity.MASKS
-    for path in itertools.product(*(toxicity.arcs_of(token, k, letters_from, masks) for k in range(len(token)))):
+    for path in itertools.product(*(toxicity.arcs_of(token, k, letters_from) for k in range(len(token)))):
         context, cost = 0, 0.0
         for symbol, _, own in path:
             cost += own
@@ -350,15 +349,42 @@ def test_weights_are_found_by_classes_alone(letters):
         token = "".join(rng.choice("abcdfhiklotu0137$!.-_s") for _ in range(rng.randrange(1, 12)))
         if not model.may_weigh(toxicity.normal(token).replace(" ", "")):
             assert model.piece_weight(token) == 0.0, token
-    for token, w in (("f.u.c.k", 3), ("f*ck", 3), ("sh1t", 2), ("5h!t", 2), ("ki11", 1), ("fuuuuuuck", 3), ("f.....u", 0), ("1" * 300 + "fuck", 3), ("a1" * 500 + ",fuck," + "b2" * 400, 3), ("x" * 200 + "-" * 9 + "sh1t", 2), ("number", 0)):
+    for token, w in (("f.u.c.k", 3), ("f*ck", 3), ("sh1t", 2), ("5h!t", 2), ("ki11", 1), ("fuuuuuuck", 3), ("f.....u", 0), ("f.....u.....c.....k", 3), ("f----u----c----k", 3), ("1" * 300 + "fuck", 3), ("a1" * 500 + ",fuck," + "b2" * 400, 3), ("x" * 200 + "-" * 9 + "sh1t", 2), ("number", 0)):
         assert model.token_weight(token) == w, token
 
 
+def test_counts_in_a_token_change_no_weight(letters):
+    """Stars, characters and repeated marks beside a word: one more is no border."""
+    model = toxicity.ToxicityModel(letters, {"fuck$": 3.0, "idiot$": 3.0})
+    weigh = model.token_weight
+    for n in (1, 2, 3, 4, 5, 6, 9):
+        assert weigh("/".join(["f*ck"] * n)) == weigh("-".join(["f*ck", *["wa*er"] * (n - 1)])) == 3.0, n
+        assert weigh(("." * n).join("fuck")) == weigh(("-" * n).join("idiot")) == 3.0, n
+    for mark in "_.~":
+        for n in range(110, 150):
+            filler = f"8{mark}" * n
+            assert weigh(filler[: n - 5] + mark + "fuck"[:2] + "ck") == weigh(filler[:40] + mark + "fuck"), (mark, n)
+            assert weigh((filler[: n - 6] + mark + "fucK0").lower()) == weigh((filler[:20] + mark + "fucK0").lower()), (mark, n)
+    long = "water" * 40
+    assert weigh(long + "/f*ck") == weigh(long + ".f.u.c.k") == weigh("f*ck/" + long) == 3.0
+    assert toxicity.learned_words(long + "/f*ck", letters)[-1] == "fuck"
+
+
+def test_stars_are_any_letter_for_the_classes(letters):
+    model = toxicity.ToxicityModel(letters, {"fuck$": 3.0, "shit$": 2.0, "kill$": 1.0})
+    rng = random.Random(5)
+    for _ in range(300):
+        token = "".join(rng.choice("fuckshilt*-.1ae*") for _ in range(rng.randrange(3, 9)))
+        if token.count("*") <= 3 and not model.may_weigh(token):
+            assert model.piece_weight(token) == 0.0, token
+    assert model.may_weigh("f**k") and model.may_weigh("*uc*") and not model.may_weigh("w*ter") and not model.may_weigh("****")
+
+
 def test_decoding_is_linear_in_a_tokens_length(letters):
     model = toxicity.ToxicityModel(letters, {"fuck$": 3.0, "shit$": 2.0, "idio": 2.0})
     rng = random.Random(3)
     n = 100_000
-    cases = {"stars": "*" * n, "starred": "word" + "*" * n + "word", "dashes": "a" + "-" * n + "b", "digits": "1" * n, "counting": "1234567890" * (n // 10), "turns": "a***b***" * (n // 8), "signs": "f*u-" * (n // 4), "spelled": "a " * (n // 2), "dots": "a." * (n // 2), "letters": "fu" * (n // 2), "commas": "a1,b2;" * (n // 6), "blob": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))}
+    cases = {"stars": "*" * n, "starred": "word" + "*" * n + "word", "dashes": "a" + "-" * n + "b", "digits": "1" * n, "counting": "1234567890" * (n // 10), "turns": "a***b***" * (n // 8), "masked": "w*t" * (n // 3), "signs": "f*u-" * (n // 4), "spelled": "a " * (n // 2), "dots": "a." * (n // 2), "letters": "fu" * (n // 2), "commas": "a1,b2;" * (n // 6), "blob": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))}
     for name, text in cases.items():
         began = time.process_time()
         model.evidence(text, {})
