@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import parts_of, quantile_bounds, range_number, write_table
 
 SAMPLES = 32
-#: Quantiles that stand for the gamma law: 13 bits of a hash choose one.
+#: Quantiles that stand for the gamma law: 13 bits of a hash choose one; the outermost level has as many within it, so that shares of 2**-26 are told apart.
 LEVELS = 1 << 13
 _LOW31, _LOW32 = (1 << 31) - 1, (1 << 32) - 1
 
@@ -48,11 +48,10 @@ def _run_starts(hashes: Column) -> Column:
     return F.filter(places, lambda i: (i == 0) | (F.get(hashes, i) != F.get(hashes, i - 1)))
 
 
-def gamma_quantiles(n: int = LEVELS) -> list[float]:
-    """Quantiles (k + 1/2) / n of the Gamma(2, 1) law, by Newton steps on 1 - (1 + x) e**-x."""
+def gamma_quantiles(shares: list[float]) -> list[float]:
+    """Quantiles of the Gamma(2, 1) law at rising shares, by Newton steps on 1 - (1 + x) e**-x."""
     out, x = [], 0.0
-    for k in range(n):
-        u = (k + 0.5) / n
+    for u in shares:
         x = max(x, math.sqrt(2 * u) * 0.9)
         for _ in range(60):
             step = (1 - (1 + x) * math.exp(-x) - u) / (x * math.exp(-x))
@@ -63,11 +62,23 @@ def gamma_quantiles(n: int = LEVELS) -> list[float]:
     return out
 
 
+def quantile_tables() -> tuple[list[float], list[float]]:
+    """(r, ln c): LEVELS quantiles each, and behind them LEVELS quantiles within the level of the largest r and of the smallest c."""
+    even = [(k + 0.5) / LEVELS for k in range(LEVELS)]
+    plain = gamma_quantiles(even)
+    small, large = gamma_quantiles([u / LEVELS for u in even]), gamma_quantiles([1 - (1 - u) / LEVELS for u in even])
+    return plain + large, [math.log(x) for x in plain + small]
+
+
 def sample(term: Column, log_weight: Column, number: int) -> Column:
     """One term's bid for one sample: ln a in the upper 32 bits, 31 bits of a hash of (term, t) below. One hash gives r, c and b."""
     x = F.xxhash64(term, F.lit(number))
-    r = F.get("_gamma", x.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-    log_c = F.get("_log_gamma", F.shiftrightunsigned(x, 13).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
+    at_r, at_c = x.bitwiseAND(F.lit(LEVELS - 1)).cast("int"), F.shiftrightunsigned(x, 13).bitwiseAND(F.lit(LEVELS - 1)).cast("int")
+    # Long texts are decided in the tails, large r and small c: there 13 bits of a further hash choose a quantile within the level.
+    more = F.xxhash64(term, F.lit(number), F.lit(1))
+    within = lambda bits: F.shiftrightunsigned(more, bits).bitwiseAND(F.lit(LEVELS - 1)).cast("int") + LEVELS
+    r = F.get("_gamma", F.when(at_r == LEVELS - 1, within(0)).otherwise(at_r))
+    log_c = F.get("_log_gamma", F.when(at_c == 0, within(13)).otherwise(at_c))
     b = (F.shiftrightunsigned(x, 26).cast("double") + 0.5) / float(1 << 38)
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1.0)
@@ -78,9 +89,9 @@ def signatures(df: DataFrame, keys: list[str], text_col: str, samples: int = SAM
     """One row for each value of keys: the keys, signature (array of `samples` numbers of 31 bits; -1 where the text has no words)
     and the largest value of each carried numeric column. Needs no shuffle of terms where df is dealt by some of its keys; the last key
     must be 0 or 1. The gamma law comes as a table of quantiles, a broadcast of two rows whatever the data."""
-    quantiles = gamma_quantiles()
+    of_r, of_c = quantile_tables()
     last, carried = keys[-1], carried or []
-    law = df.sparkSession.createDataFrame([(k, quantiles, [math.log(x) for x in quantiles]) for k in (0, 1)], T.StructType([T.StructField("_k", T.IntegerType(), False), *(T.StructField(c, T.ArrayType(T.DoubleType(), False), False) for c in ("_gamma", "_log_gamma"))]))
+    law = df.sparkSession.createDataFrame([(k, of_r, of_c) for k in (0, 1)], T.StructType([T.StructField("_k", T.IntegerType(), False), *(T.StructField(c, T.ArrayType(T.DoubleType(), False), False) for c in ("_gamma", "_log_gamma"))]))
     rows = df.select(*keys, *carried, F.explode_outer(term_weights(F.col(text_col))).alias("_e"))
     rows = rows.select(*keys, *carried, F.col("_e.term").alias("_term"), F.log(F.col("_e.weight").cast("double")).alias("_log_weight"))
     rows = rows.join(F.broadcast(law), F.col(last) == F.col("_k"))  # after the explosion: its rows would carry copies of the table
@@ -127,17 +138,18 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. Whole texts are shuffled once, by their id.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    every = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    # A row's number follows the order in which the table is read, and is carried: rows that are equal keep apart on every retry.
+    every = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     docs = every.where(F.col("id").isNotNull())
     order = write_table(next_ids(docs.select("id", F.length("text").alias("size")), "id", "size"))
     # Both uses of `placed` shuffle the same columns of the same rows by id, so Spark does it once.
     placed = docs.join(order, "id")
-    heads = placed.select(F.col("previous_id").alias("id"), F.expr("substring(text, 1, CAST(previous_size div 4 AS int))").alias("head")).groupBy("id").agg(F.min("head").alias("head"))
-    both = placed.select("id", "text", "next_id").join(heads, "id").withColumn("n_chars", F.length("text").cast("long"))
+    heads = placed.select(F.col("previous_id").alias("id"), F.struct(F.expr("substring(text, 1, CAST(previous_size div 4 AS int))").alias("head"), "row").alias("first")).groupBy("id").agg(F.min("first")["head"].alias("head"))
+    both = placed.select("id", "row", "text", "next_id").join(heads, "id").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, CAST(n_chars - n_chars div 4 AS int)), substring(head, 1, CAST(n_chars div 4 AS int)))")
-    both = both.select("id", "text", "next_id", "n_chars", edited.alias("edited"))
-    alone = every.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("long").alias("next_id"), F.length("text").cast("long").alias("n_chars"), F.col("text").alias("edited"))
-    both = both.union(alone).withColumn("row", F.monotonically_increasing_id())
+    both = both.select("id", "row", "text", "next_id", "n_chars", edited.alias("edited"))
+    alone = every.where(F.col("id").isNull()).select("id", "row", "text", F.lit(None).cast("long").alias("next_id"), F.length("text").cast("long").alias("n_chars"), F.col("text").alias("edited"))
+    both = both.union(alone)
     sha = F.sha2(F.col("edited"), 256)
     quarters = [F.conv(F.substring(sha, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
     # All that goes along is put in the exploded values: an expression beside them would be evaluated for every term.

@@ -121,12 +121,11 @@ def cut(text: str, special: tuple[str, ...]) -> list[str]:
 
 
 def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT, sampled: int = SAMPLED) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a sample of about `sampled` rows: those with the smallest hashes of their texts, where
-    each text counts once. It affects speed, never counts."""
-    text = F.col(text_col).cast("string").alias("text")
-    rows = df.select(text).where("text IS NOT NULL")
+    """Token counts of the most frequent pre-tokens of a sample of about `sampled` rows, chosen by a hash of their number, so that copies of a text
+    are no more likely than others; equal texts of a batch count once. It affects speed, never counts."""
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     part = max(1, df.count() // max(1, sampled))
-    sample = write_table(rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0))
+    sample = write_table(rows.where((F.pmod(F.xxhash64("row"), F.lit(part)) == 0) & F.col("text").isNotNull()).select("text"))
     reported = max(64, REPORTED // max(1, len(sample.inputFiles())))
 
     def run(batches):

@@ -47,6 +47,25 @@ def test_edits_and_native_plan(spark):
     assert fingerprints.fingerprint_edits(df.where("false"), samples=8).count() == 0
 
 
+def test_law_holds_for_texts_of_many_words():
+    """Draws as the operator's tables make them, 50,000 words that weigh 1 in one text and 1 or 3 in the other: similarity 0.5."""
+    of_r, of_c = map(np.array, fingerprints.quantile_tables())
+    levels, rng, n, tries, equal = fingerprints.LEVELS, np.random.default_rng(11), 50_000, 1200, 0
+    assert len(of_r) == len(of_c) == 2 * levels and (np.diff(of_r[:levels]) > 0).all() and of_r[levels:].min() > of_r[levels - 2] and of_c[levels:].max() < of_c[1]
+    weights = (np.ones(n), np.where(np.arange(n) % 2, 3, 1))
+    for _ in range(tries):
+        at_r, at_c, b = rng.integers(0, levels, n), rng.integers(0, levels, n), rng.random(n)
+        r = of_r[np.where(at_r == levels - 1, levels + rng.integers(0, levels, n), at_r)]
+        log_c = of_c[np.where(at_c == 0, levels + rng.integers(0, levels, n), at_c)]
+        met = []
+        for w in weights:
+            t = np.floor(np.log(w) / r + b)
+            k = (log_c - r * (t - b + 1)).argmin()
+            met.append((k, t[k]))
+        equal += met[0] == met[1]
+    assert abs(equal / tries - 0.5) < 3 * (0.25 / tries) ** 0.5
+
+
 def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     rng = random.Random(1)
     pairs = []
