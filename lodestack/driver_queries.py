@@ -119,6 +119,24 @@ def q07(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(doc_path().alias("path")).select("path", ignore.is_ignored(rules, F.col("path")).alias("ignored"))
 
 
+def many_ignore_sources() -> dict[str, str]:
+    """65 ignore files with 10,192 rules: names at the root, and for each of 64 folders one pattern, one exception and one folder."""
+    own = {f"src{i}/.gitignore": f"*{i % 10}?.txt\n!1*.txt\n/{'en' if i % 4 == 0 else 'none'}/\n" for i in range(64)}
+    return {".gitignore": "".join(f"{n}.txt\n" for n in range(0, 70_000, 7)), **own}
+
+
+@query(
+    "q82_many_ignore_rules",
+    f"""WITH p AS (SELECT {PATH_SQL} AS path, lang, doc_id, doc_id::VARCHAR || '.txt' AS name, CASE WHEN regexp_matches(source, '^src([0-9]|[1-5][0-9]|6[0-3])$') THEN substr(source, 4)::INT END AS i FROM documents)
+SELECT path, coalesce(i % 4 = 0 AND lang = 'en', false) OR CASE WHEN i IS NOT NULL AND name LIKE '1%.txt' THEN false WHEN i IS NOT NULL AND doc_id > 9 AND doc_id // 10 % 10 = i % 10 THEN true
+  ELSE doc_id % 7 = 0 AND doc_id < 70000 END AS ignored FROM p""",
+)
+def q82(spark, sf_dir):
+    """All documents' paths under some 10,000 rules, led through the tree of their folders."""
+    rules = ignore.compile_rules(many_ignore_sources())
+    return read(spark, sf_dir, "documents").select(doc_path().alias("path")).select("path", ignore.is_ignored(rules, F.col("path")).alias("ignored"))
+
+
 @query("q08_repo_map_lines", f"""SELECT path, '"' || path || '"' || chr(9) || 'file' || chr(9) || content_kind || chr(9) || language || chr(9) || size_bytes || chr(9) || CASE WHEN executable THEN 'x' ELSE '-' END || chr(9) || substr(sha256, 1, 12) AS line FROM ({ENTRIES_SQL})""")
 def q08(spark, sf_dir):
     return snapshot.map_lines(doc_entries(spark, sf_dir))

@@ -1,4 +1,5 @@
-"""Ignore rules: compiled on the driver (rules are few), applied to path columns by Spark's regular expressions."""
+"""Ignore rules: compiled on the driver, applied to path columns. A few rules become one expression of Spark's regular expressions; more of them
+a tree by the directories of their files, which Arrow batches of paths are led through."""
 
 from __future__ import annotations
 
@@ -6,11 +7,16 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import decode_path
 from ..schemas import ContractError, ScanPolicy
 
+#: Up to as many rules are one expression, which repeats all of them for each directory of a path. Both ways give the same rows.
+FEW_RULES = 16
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -97,13 +103,113 @@ def decision(rules: list[Rule], path: Column, is_dir: Column) -> Column:
 
 
 def is_ignored(rules: list[Rule], path: Column, is_dir: Column | None = None) -> Column:
-    """A path is ignored by its own decision, or if any directory above it is: no rule below brings it back."""
+    """A path is ignored by its own decision, or if any directory above it is: no rule below brings it back. A null path is not."""
+    if len(rules) > FEW_RULES:
+        return ignored_by_tree(rules, path, is_dir)
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
     return F.exists(above, lambda p: decision(rules, p, F.lit(True))) | decision(rules, path, F.lit(False) if is_dir is None else is_dir)
 
 
+class _Matcher:
+    """The rules of one directory for one kind of target. The last that matches counts: a literal by its text, patterns by one alternation in
+    reverse order, of which a match names the first branch. Compiled when first used."""
+
+    def __init__(self):
+        self.literals: dict[str, tuple[int, bool]] = {}
+        self.patterns: list[tuple[int, bool, str]] = []
+        self.compiled: re.Pattern | None = None
+
+    def add(self, n: int, rule: Rule) -> None:
+        plain = re.sub(r"\\(.)", r"\1", rule.pattern, flags=re.DOTALL)
+        if glob_literal(rule.pattern):
+            self.literals[plain] = (n, not rule.negated)
+        else:
+            self.patterns.append((n, not rule.negated, rule.pattern))
+            self.compiled = None
+
+    def last(self, target: str) -> tuple[int, bool]:
+        found = self.literals.get(target, (-1, False))
+        if self.patterns:
+            if self.compiled is None:
+                self.compiled = re.compile("|".join(f"({p})" for _, _, p in reversed(self.patterns)), re.DOTALL)
+            m = self.compiled.fullmatch(target)
+            if m:
+                found = max(found, self.patterns[-m.lastindex][:2])
+        return found
+
+
+def glob_literal(pattern: str) -> bool:
+    """Whether a pattern of glob_regex() stands for one text."""
+    return re.fullmatch(r"(?:\\.|[^\\\[\].*?()^])*", pattern, re.DOTALL) is not None
+
+
+class RuleTree:
+    """Rules by the directory of their ignore file. A path is led through its directories from the top; each adds its own rules to those that hold
+    above, so that rules of other directories cost nothing. A directory's state is held for the paths that follow, 65,536 of them at most."""
+
+    STATES = 1 << 16
+
+    def __init__(self, rules: list[Rule] = ()):
+        self.size = 0
+        self.bases: dict[str, dict[tuple[bool, bool], _Matcher]] = {}
+        self.states: dict[str, tuple] = {}
+        self.add(rules)
+
+    def add(self, rules: list[Rule]) -> None:
+        """More rules, which come after those that it has."""
+        for r in rules:
+            at = self.bases.setdefault(r.base, {})
+            for is_dir in (True,) if r.directories else (True, False):
+                at.setdefault((r.name_only, is_dir), _Matcher()).add(self.size, r)
+            self.size += 1
+        self.states.clear()
+
+    def decides(self, active: tuple[str, ...], path: str, is_dir: bool) -> bool:
+        name, found = path.rpartition("/")[2], (-1, False)
+        for base in active:
+            inside = path[len(base) + 1 :] if base else path
+            for (name_only, for_dir), matcher in self.bases[base].items():
+                if for_dir == is_dir:
+                    found = max(found, matcher.last(name if name_only else inside))
+        return found[1]
+
+    def _state(self, path: str) -> tuple[str, ...] | None:
+        """Directories with rules above a path; None if one of the directories is ignored."""
+        end = path.rfind("/")
+        if end >= 0 and path[:end] in self.states:
+            return self.states[path[:end]]
+        active = ("",) if "" in self.bases else ()
+        end = path.find("/")
+        while end >= 0 and active is not None:
+            at = path[:end]
+            if at in self.states:
+                active = self.states[at]
+            else:
+                active = None if self.decides(active, at, True) else (*active, at) if at and at in self.bases else active
+                if len(self.states) >= self.STATES:
+                    self.states.clear()
+                self.states[at] = active
+            end = path.find("/", end + 1)
+        return active
+
+    def ignored(self, path: str, is_dir: bool) -> bool:
+        active = self._state(path)
+        return active is None or self.decides(active, path, is_dir)
+
+
+def ignored_by_tree(rules: list[Rule], path: Column, is_dir: Column | None = None) -> Column:
+    """is_ignored() for any number of rules, in Arrow batches."""
+    tree = RuleTree(rules)
+
+    @F.arrow_udf("boolean")
+    def ignored(paths: pa.Array, kinds: pa.Array) -> pa.Array:
+        return pa.array([p is not None and tree.ignored(p, bool(d)) for p, d in zip(paths.to_pylist(), kinds.to_pylist())], pa.bool_())
+
+    return ignored(path, F.lit(False) if is_dir is None else is_dir)
+
+
 def is_excluded(path: Column, policy: ScanPolicy = ScanPolicy()) -> Column:
     """A component of the path has one of the excluded names."""
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, policy.excluded_names)))
@@ -113,25 +219,13 @@ def select_paths(files: DataFrame, sources: dict[str, str], policy: ScanPolicy =
     """Rows that a scan keeps. An active ignore file stays even if a rule ignores it; under an ignored directory it is not active."""
     rules: list[Rule] = []
     active: list[str] = []
-    from ..functions.canonical import decode_path
-
+    tree = RuleTree()
     for path in sorted(sources, key=lambda p: (p.count("/"), p)):
-        if not python_ignored(rules, decode_path(path).rpartition("/")[0]):
+        above = decode_path(path).rpartition("/")[0]
+        if not above or not tree.ignored(above, True):
             active.append(path)
-            rules += compile_rules({path: sources[path]})
+            found = compile_rules({path: sources[path]})
+            rules += found
+            tree.add(found)
     kept = ~is_ignored(rules, F.col("path")) | F.col("path").isin(active) if active else ~is_ignored(rules, F.col("path"))
     return files.where(~is_excluded(F.col("path"), policy) & kept)
-
-
-def python_ignored(rules: list[Rule], directory: str) -> bool:
-    """Whether a directory, or one above it, is ignored; for the walk of a tree."""
-    parts = directory.split("/") if directory else []
-    for n in range(1, len(parts) + 1):
-        path, found = "/".join(parts[:n]), False
-        for r in rules:
-            inside = path if not r.base else path[len(r.base) + 1 :] if path.startswith(r.base + "/") else None
-            if inside is not None and re.fullmatch(r.pattern, inside.rpartition("/")[2] if r.name_only else inside, re.DOTALL):
-                found = not r.negated
-        if found:
-            return True
-    return False

@@ -11,18 +11,21 @@ from ..schemas import ContractError, ScanPolicy
 
 
 def entries(files: DataFrame, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
-    """Entry rows from raw ones (path, kind, content, mode, device). Links are named by their target's bytes, special files by type and device."""
+    """Entry rows from raw ones (path, kind, content, mode, device) or hashed ones (sha256, head and size for content). Links are named by their
+    target's bytes, special files by type and device."""
     special = F.encode(F.format_string("special:%d:%d", F.col("mode").bitwiseAND(0o170000), F.col("device")), "UTF-8")
-    body = F.when(F.col("kind") == "special", special).otherwise(F.col("content"))
-    size = F.when(F.col("kind") == "special", F.lit(0)).otherwise(F.octet_length("content")).cast("long")
-    is_file = F.col("kind") == "file"
+    is_special, is_file = F.col("kind") == "special", F.col("kind") == "file"
+    is_hashed = "content" not in files.columns
+    length = F.col("size") if is_hashed else F.octet_length("content")
+    sha = F.col("sha256") if is_hashed else F.sha2("content", 256)
+    size = F.when(is_special, F.lit(0)).otherwise(length).cast("long")
     return files.select(
         "path",
         "kind",
         size.alias("size_bytes"),
-        F.sha2(body, 256).alias("sha256"),
+        F.when(is_special, F.sha2(special, 256)).otherwise(sha).alias("sha256"),
         (is_file & (F.col("mode").bitwiseAND(0o111) != 0)).alias("executable"),
-        F.when(is_file, classify_content(size, F.substring("content", 1, policy.sample_bytes))).otherwise("not_applicable").alias("content_kind"),
+        F.when(is_file, classify_content(size, F.substring("head" if is_hashed else "content", 1, policy.sample_bytes))).otherwise("not_applicable").alias("content_kind"),
         F.when(is_file, detect_language(F.col("path"))).alias("language"),
     )
 
