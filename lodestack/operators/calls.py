@@ -39,6 +39,47 @@ def bad_steps(history: DataFrame) -> DataFrame:
     return history.withColumn("before", before).where(~step.isin(allowed)).select("key", "seq", "before", "status")
 
 
+#: What attempt() adds to a row.
+ATTEMPT = "decision string, call_status string, reservation_status string, active_micros long, spent_micros long"
+
+
+def attempt(state: dict, row: dict, limit: int) -> tuple:
+    """One attempt at a paid call on a period's state: decision, the key's call_status and reservation_status, active and spent."""
+    calls, key = state.setdefault("calls", {}), row["key"]
+    decision = None
+    if (row["quoted_provider"], row["quoted_model"]) != (row["provider"], row["model"]):
+        decision = "quote"
+    elif (held := ledger.reserve(state, row, limit)) not in ("accepted", "existing"):
+        decision = held
+    else:
+        call = calls.setdefault(key, {"fingerprint": row["request_fingerprint"], "status": "prepared"})
+        if call["fingerprint"] != row["request_fingerprint"]:
+            decision = "contract"
+        elif call["status"] != "prepared":
+            decision = "replay"
+    if decision is None:
+        decision, call = "dispatched", calls[key]
+        if row["outcome"] == "prepared":
+            decision = "prepared"
+        elif row["outcome"] is None:
+            call["status"] = "dispatching"
+        elif row["outcome"] == "response":
+            ledger.settle(state, key, row["actual"])
+            call["status"] = "completed"
+        elif row["outcome"] == "not_sent":
+            ledger.cancel(state, key)
+            call["status"] = "not_sent"
+        else:
+            call["status"] = "uncertain"
+    call, entry = calls.get(key), state["known"].get(key)
+    return decision, call and call["status"], entry and entry["status"], state["active"], state["spent"]
+
+
+def slim_attempts(attempts: DataFrame) -> DataFrame:
+    """What attempt() reads of attempts."""
+    return attempts.select("period", "seq", "key", "provider", "model", "quoted_provider", "quoted_model", "amount", F.to_json(F.struct("provider", "model", "task")).alias("identity"), "request_fingerprint", "outcome", "actual", F.lit("reserve").alias("op"))
+
+
 def paid(attempts: DataFrame, limit: int) -> DataFrame:
     """The whole life of paid calls: each attempt, in the order of seq, is quoted, reserved, recorded, dispatched, settled and finished.
 
@@ -49,41 +90,11 @@ def paid(attempts: DataFrame, limit: int) -> DataFrame:
     key after the attempt (null where none exists), active_micros and spent_micros of the period.
     """
 
-    def step(state: dict, row: dict) -> tuple:
-        calls, key = state.setdefault("calls", {}), row["key"]
-        decision = None
-        if (row["quoted_provider"], row["quoted_model"]) != (row["provider"], row["model"]):
-            decision = "quote"
-        elif (held := ledger.reserve(state, row, limit)) not in ("accepted", "existing"):
-            decision = held
-        else:
-            call = calls.setdefault(key, {"fingerprint": row["request_fingerprint"], "status": "prepared"})
-            if call["fingerprint"] != row["request_fingerprint"]:
-                decision = "contract"
-            elif call["status"] != "prepared":
-                decision = "replay"
-        if decision is None:
-            decision, call = "dispatched", calls[key]
-            if row["outcome"] == "prepared":
-                decision = "prepared"
-            elif row["outcome"] is None:
-                call["status"] = "dispatching"
-            elif row["outcome"] == "response":
-                ledger.settle(state, key, row["actual"])
-                call["status"] = "completed"
-            elif row["outcome"] == "not_sent":
-                ledger.cancel(state, key)
-                call["status"] = "not_sent"
-            else:
-                call["status"] = "uncertain"
-        call, entry = calls.get(key), state["known"].get(key)
-        return decision, call and call["status"], entry and entry["status"], state["active"], state["spent"]
-
-    slim = attempts.select("period", "seq", "key", "provider", "model", "quoted_provider", "quoted_model", "amount", F.to_json(F.struct("provider", "model", "task")).alias("identity"), "request_fingerprint", "outcome", "actual", F.lit("reserve").alias("op"))
+    slim = slim_attempts(attempts)
 
     def fold(rows: DataFrame) -> DataFrame:
         columns = [*slim.columns, "foreign"]
-        out = ledger._fold(rows, columns, ["seq"], "decision string, call_status string, reservation_status string, active_micros long, spent_micros long", ledger.opened, step)
+        out = ledger._fold(rows, columns, ["seq"], ATTEMPT, ledger.opened, lambda state, row: attempt(state, row, limit))
         kept = F.col("decision").isin("dispatched", "prepared", "contract", "replay")
         return out.withColumn("outcome", F.when(kept, "accepted").otherwise("refused"))
 

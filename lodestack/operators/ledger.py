@@ -233,6 +233,19 @@ def opened() -> dict:
     return {"known": {}, "active": 0, "spent": 0, "locked": False, "limit": None}
 
 
+#: What event() adds to a row.
+EVENT = "outcome string, active_micros long, spent_micros long"
+
+
+def event(state: dict, row: dict, limit: int) -> tuple:
+    """One event (op: reserve, settle or cancel) on a period's state."""
+    if row["op"] == "reserve":
+        outcome = reserve(state, row, limit)
+    else:
+        outcome = cancel(state, row["key"]) if row["op"] == "cancel" else settle(state, row["key"], row["amount"])
+    return outcome, state["active"], state["spent"]
+
+
 def across_periods(events: DataFrame, fold, accepted: str) -> DataFrame:
     """fold(events with column foreign) where a key belongs to the period that first accepted it: in others it is foreign from then on.
 
@@ -260,6 +273,13 @@ def across_periods(events: DataFrame, fold, accepted: str) -> DataFrame:
         out = kept(out.join(periods, "period", "left_anti").unionByName(again))
 
 
+def slim_events(events: DataFrame, identity: list[str] | None = None) -> DataFrame:
+    """What event() reads of events."""
+    given = F.to_json(F.struct(*identity)) if identity else F.lit(None).cast("string")
+    asked = F.col("limit_micros").cast("long") if "limit_micros" in events.columns else F.lit(None).cast("long")
+    return events.select("period", "seq", "op", "key", "amount", given.alias("identity"), asked.alias("limit_micros"))
+
+
 def replay(events: DataFrame, limit: int, identity: list[str] | None = None) -> DataFrame:
     """Outcome of each event (period, seq, op, key, amount) under the ledger's rules; op: reserve, settle or cancel.
 
@@ -268,19 +288,10 @@ def replay(events: DataFrame, limit: int, identity: list[str] | None = None) ->
     bound to, such as provider, model and task; a column limit_micros, if there, is the limit that an event was made under. A key is one
     reservation over all periods: seq orders the events of all. Held: one small record a reservation of the period.
     """
-    given = F.to_json(F.struct(*identity)) if identity else F.lit(None).cast("string")
-    asked = F.col("limit_micros").cast("long") if "limit_micros" in events.columns else F.lit(None).cast("long")
-    slim = events.select("period", "seq", "op", "key", "amount", given.alias("identity"), asked.alias("limit_micros"))
-
-    def step(state: dict, row: dict) -> tuple:
-        if row["op"] == "reserve":
-            outcome = reserve(state, row, limit)
-        else:
-            outcome = cancel(state, row["key"]) if row["op"] == "cancel" else settle(state, row["key"], row["amount"])
-        return outcome, state["active"], state["spent"]
+    slim = slim_events(events, identity)
 
     def fold(rows: DataFrame) -> DataFrame:
-        return _fold(rows, ["period", "seq", "op", "key", "amount", "identity", "limit_micros", "foreign"], ["seq"], "outcome string, active_micros long, spent_micros long", opened, step)
+        return _fold(rows, ["period", "seq", "op", "key", "amount", "identity", "limit_micros", "foreign"], ["seq"], EVENT, opened, lambda state, row: event(state, row, limit))
 
     return across_periods(slim, fold, "accepted").drop("identity", "limit_micros", "foreign")
 
