@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .driver_queries import _EVENT_SQL, _PART_SYMBOLS, _STRUCTURE_SQL, _SYMBOL_COLUMNS, CHUNKS_SQL, ENTRIES_SQL, FILES_SQL, PATH_SQL, SMALL, _CONTENT_LINE, _PATH_LINE, _score_sql
+from .driver_queries import SQL, _EVENT_SQL, _PART_SYMBOLS, _STRUCTURE_SQL, _SYMBOL_COLUMNS, CHUNKS_SQL, ENTRIES_SQL, FILES_SQL, PATH_SQL, SMALL, _CONTENT_LINE, _PATH_LINE, _score_sql
 from .driver_queries import doc_entries, doc_files, doc_path, doc_rows, doc_texts, event_reservations, order_requests, part_sources, parsed_once, query, read
 from .functions.canonical import escaped_path, unescaped_path
 from .functions.shared import scratch
@@ -14,6 +14,7 @@ from .operators import calls, contracts, ledger, lexical, models, snapshot, stru
 from .plans.index_sync import LexicalIndex, StructuralIndex
 from .plans.store import Store
 from .schemas import LexicalPolicy, StructuralPolicy
+from .streaming.calls import PROVIDER, paid_stream
 
 # -- texts and paths ----------------------------------------------------------------------------------------------
 
@@ -254,11 +255,29 @@ SELECT seq, key, CASE WHEN first IS NULL OR seq < first THEN 'prepared' WHEN seq
 )
 def q54(spark, sf_dir):
     """Attempts at paid calls, several for each key: the first that gets past preparing decides, later ones are refused."""
-    e = read(spark, sf_dir, "events")
+    return calls.paid(_attempts(read(spark, sf_dir, "events")), 1 << 62).select("seq", "key", "decision", "call_status", "reservation_status")
+
+
+def _attempts(e: DataFrame) -> DataFrame:
     period = ledger.period(F.col("ts"))
     outcome = F.get(F.array(*map(F.lit, ("prepared", "response", "not_sent", "error"))), (F.col("event_id") % 5).cast("int"))
-    a = e.select(period.alias("period"), F.col("event_id").alias("seq"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", period).alias("key"), *(F.lit(v).alias(c) for c, v in (("provider", "x"), ("model", "m"), ("task", "t"), ("quoted_provider", "x"), ("quoted_model", "m"))), F.lit(5).cast("long").alias("amount"), F.lit("f").alias("request_fingerprint"), outcome.alias("outcome"), F.lit(4).cast("long").alias("actual"))
-    return calls.paid(a, 1 << 62).select("seq", "key", "decision", "call_status", "reservation_status")
+    return e.select(period.alias("period"), F.col("event_id").alias("seq"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", period).alias("key"), *(F.lit(v).alias(c) for c, v in (("provider", "x"), ("model", "m"), ("task", "t"), ("quoted_provider", "x"), ("quoted_model", "m"))), F.lit(5).cast("long").alias("amount"), F.lit("f").alias("request_fingerprint"), outcome.alias("outcome"), F.lit(4).cast("long").alias("actual"))
+
+
+@query("q83_paid_call_stream", SQL["q54_paid_calls"])
+def q83(spark, sf_dir):
+    """The attempts of q54 as a stream, to its end: the same outcomes from keyed state."""
+    source, before = read(spark, sf_dir, "events"), spark.conf.get(PROVIDER[0], None)
+    folder = scratch(spark)
+    # A pattern, as a stream's source may be a folder or a pattern but no file.
+    events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
+    spark.conf.set(*PROVIDER)
+    try:
+        found = paid_stream(_attempts(events), 1 << 62).select("seq", "key", "decision", "call_status", "reservation_status")
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
 
 
 @query(
