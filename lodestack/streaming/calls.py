@@ -3,8 +3,9 @@
 A period's totals are one value, each reservation and its call one entry of a map, so a trigger reads and writes the keys that it meets,
 whatever else the period holds. The rules are those of the batch functions, ``ledger.event`` and ``calls.attempt``.
 
-Rows of a trigger are taken by seq, triggers as they come. A key belongs to one period here: only the batch functions see all periods
-at once. Null amounts or keys raise, as they do there.
+Rows of a trigger are taken by seq, triggers as they come; a period's rows of one trigger are held for that, which the source's rows or
+files a trigger bound, and are one task's work, as each decision hangs on those before. A key belongs to one period here: only the batch
+functions see all periods at once. A null key raises, and a null amount does where it would be reserved.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ class _Period(StatefulProcessor):
         for row in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
             if len(state["met"]) >= HELD:
                 self._store(state)
+            if row["key"] is None:
+                raise ValueError("a key is null")
             self._load(state, row["key"])
             found = self.step(state, row)
             if due is not None and found[:2] == ("dispatched", "dispatching"):

@@ -72,6 +72,14 @@ def test_an_unanswered_dispatch_becomes_uncertain(rocks, tmp_path):
     assert sum(f[1] == "unanswered" and f[0] == 1 for f in found) == 1 and not any(f[1] == "unanswered" and f[0] == 2 for f in found)
 
 
+def test_null_keys_and_amounts_raise(rocks, tmp_path):
+    base = ("x", "m", "t", "x", "m")
+    for name, row, error in (("key", ("p", 1, None, *base, 5, "f", None, None), "a key is null"), ("amount", ("p", 1, "a", *base, None, "f", None, None), "NoneType")):
+        (tmp_path / name).mkdir()
+        with pytest.raises(Exception, match=error):
+            run(rocks, [row], ATTEMPTS, lambda a: paid_stream(a, 50), tmp_path / name, 1)
+
+
 def test_needs_rocksdb(spark):
     rows = spark.createDataFrame([], ATTEMPTS)
     with pytest.raises(ValueError, match="keyed state needs"):
