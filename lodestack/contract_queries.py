@@ -266,14 +266,14 @@ def _attempts(e: DataFrame) -> DataFrame:
 
 @query("q83_paid_call_stream", SQL["q54_paid_calls"])
 def q83(spark, sf_dir):
-    """The attempts of q54 as a stream, to its end: the same outcomes from keyed state."""
+    """The attempts of q54 as a stream, to its end: the same outcomes from keyed state, a period's keys in shards."""
     source, before = read(spark, sf_dir, "events"), spark.conf.get(PROVIDER[0], None)
     folder = scratch(spark)
     # A pattern, as a stream's source may be a folder or a pattern but no file.
     events = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")
     spark.conf.set(*PROVIDER)
     try:
-        found = paid_stream(_attempts(events), 1 << 62).select("seq", "key", "decision", "call_status", "reservation_status")
+        found = paid_stream(_attempts(events), 1 << 62, shards=1024).select("seq", "key", "decision", "call_status", "reservation_status")
         found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators import calls, ledger
@@ -89,7 +90,8 @@ class _Period(StatefulProcessor):
             call = state["calls"][name]
             if call["status"] == "dispatching":
                 call["status"] = "uncertain"
-                found = ("unanswered", "uncertain", state["known"][name]["status"], state["active"], state["spent"])
+                sums = (state["active"], state["spent"]) if "active_micros" in self.names else (0, 0)
+                found = ("unanswered", "uncertain", state["known"][name]["status"], *sums)
                 yield Row(period=key[0], seq=seq, key=name, **dict(zip(self.names, found, strict=True)))
             if len(state["met"]) >= HELD:
                 self._store(state)
@@ -105,20 +107,38 @@ def _names(added: str) -> list[str]:
     return [c.split()[0] for c in added.split(",")]
 
 
-def replay_stream(events: DataFrame, limit: int, identity: list[str] | None = None) -> DataFrame:
-    """``ledger.replay`` of a stream of events (period, seq, op, key, amount): period, seq, key, outcome, active_micros, spent_micros."""
-    _needs_rocks(events.sparkSession)
-    keyed = ledger.slim_events(events, identity).groupBy("period")
-    return keyed.transformWithState(_Period(lambda state, row: ledger.event(state, row, limit), _names(ledger.EVENT)), f"period string, seq long, key string, {ledger.EVENT}", "append", "None")
+def _apart(step: Callable, limit: int, shards: int) -> Callable:
+    """step() of a state that has one of the shards of a period's keys: the totals become changes, and what other keys could decide raises."""
 
+    def one(state: dict, row: dict) -> tuple:
+        active, spent = state["active"], state["spent"]
+        found = step(state, row)
+        if row.get("limit_micros") not in (None, limit) or state["locked"] or found[0] == "exceeded" or state["active"] + state["spent"] > limit // shards:
+            raise ValueError(f"period {row['period']} comes near its limit, is locked or has several limits, so its keys cannot be decided apart: use shards=1")
+        return (*found[:-2], state["active"] - active, state["spent"] - spent)
 
-def paid_stream(attempts: DataFrame, limit: int, patience: int | None = None) -> DataFrame:
-    """``calls.paid`` of a stream of attempts: the same columns.
+    return one
+
+
+def _stream(slim: DataFrame, step: Callable, limit: int, added: str, patience: int | None, shards: int) -> DataFrame:
+    _needs_rocks(slim.sparkSession)
+    by = ["period"]
+    if shards > 1:
+        step, added = _apart(step, limit, shards), added.replace("_micros", "_change")
+        by, slim = ["period", "shard"], slim.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return slim.groupBy(*by).transformWithState(_Period(step, _names(added), patience), f"period string, seq long, key string, {added}", "append", "None" if patience is None else "ProcessingTime")
+
+
+def replay_stream(events: DataFrame, limit: int, identity: list[str] | None = None, shards: int = 1) -> DataFrame:
+    """``ledger.replay`` of a stream of events (period, seq, op, key, amount): period, seq, key, outcome, active_micros, spent_micros (with
+    shards: active_change, spent_change)."""
+    return _stream(ledger.slim_events(events, identity), lambda state, row: ledger.event(state, row, limit), limit, ledger.EVENT, None, shards)
+
+
+def paid_stream(attempts: DataFrame, limit: int, patience: int | None = None, shards: int = 1) -> DataFrame:
+    """``calls.paid`` of a stream of attempts: the same columns (with shards: active_change, spent_change).
 
     patience: milliseconds after which a dispatch without an answer is uncertain for good; the trigger that finds this adds a row of decision
     ``unanswered``, with the seq of the attempt. Without it such a call stays dispatching.
     """
-    _needs_rocks(attempts.sparkSession)
-    step = _Period(lambda state, row: calls.attempt(state, row, limit), _names(calls.ATTEMPT), patience)
-    keyed = calls.slim_attempts(attempts).groupBy("period")
-    return keyed.transformWithState(step, f"period string, seq long, key string, {calls.ATTEMPT}", "append", "None" if patience is None else "ProcessingTime")
+    return _stream(calls.slim_attempts(attempts), lambda state, row: calls.attempt(state, row, limit), limit, calls.ATTEMPT, patience, shards)

@@ -84,3 +84,24 @@ def test_needs_rocksdb(spark):
     rows = spark.createDataFrame([], ATTEMPTS)
     with pytest.raises(ValueError, match="keyed state needs"):
         paid_stream(rows, 5)
+
+
+def test_shards_of_a_period_are_decided_apart(rocks, tmp_path):
+    """The decisions are those of one state, by many tasks; changes sum to the totals; what other keys could decide raises."""
+    rng = random.Random(3)
+    rows = [r for r in (attempt(rng, k) for k in range(300)) if r[-1] <= r[8]]
+    want = calls.paid(rocks.createDataFrame(rows, ATTEMPTS), 1 << 40)
+    got = run(rocks, rows, ATTEMPTS, lambda a: paid_stream(a, 1 << 40, shards=16), tmp_path, 2)
+    columns = ["period", "seq", "key", "decision", "call_status", "reservation_status"]
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, want.select(columns).collect()), key=str)
+    active, spent = {}, {}
+    changes = {r["seq"]: r for r in got.collect()}
+    for r in want.orderBy("seq").collect():
+        p = r["period"]
+        active[p], spent[p] = active.get(p, 0) + changes[r["seq"]]["active_change"], spent.get(p, 0) + changes[r["seq"]]["spent_change"]
+        assert (active[p], spent[p]) == (r["active_micros"], r["spent_micros"])
+    base = ("x", "m", "t", "x", "m")
+    for name, row in (("limit", ("p", 1, "a", *base, 50, "f", None, None)), ("breach", ("p", 1, "a", *base, 5, "f", "response", 6))):
+        (tmp_path / name).mkdir()
+        with pytest.raises(Exception, match="use shards=1"):
+            run(rocks, [row], ATTEMPTS, lambda a: paid_stream(a, 160, shards=16), tmp_path / name, 1)
