@@ -80,17 +80,22 @@ def slim_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.select("period", "seq", "key", "provider", "model", "quoted_provider", "quoted_model", "amount", F.to_json(F.struct("provider", "model", "task")).alias("identity"), "request_fingerprint", "outcome", "actual", F.lit("reserve").alias("op"))
 
 
-def paid(attempts: DataFrame, limit: int) -> DataFrame:
+def paid(attempts: DataFrame, limit: int, totals: bool = True) -> DataFrame:
     """The whole life of paid calls: each attempt, in the order of seq, is quoted, reserved, recorded, dispatched, settled and finished.
 
     attempts: period, seq, key, provider, model, task, quoted_provider, quoted_model, amount (the quote), request_fingerprint, outcome,
     actual. outcome: response (settled with actual, or breached where that is more than the quote), not_sent, error, mismatch, null (it
     broke off while dispatching) or prepared (it broke off before). Result columns: decision (quote, a refusal of the ledger, contract:
     the key is bound to another request, replay: its call is past prepared, or dispatched), call_status and reservation_status of the
-    key after the attempt (null where none exists), active_micros and spent_micros of the period.
+    key after the attempt (null where none exists), active_micros and spent_micros of the period (totals).
     """
 
     slim = slim_attempts(attempts)
+    shown = ["period", "seq", "key", *(c.split()[0] for c in ATTEMPT.split(",") if totals or "_micros" not in c)]
+    breached = (F.col("decision") == "dispatched") & (F.col("reservation_status") == "breached")
+    found = ledger.apart(slim, limit, ATTEMPT, lambda state, row: attempt(state, row, limit), F.when(F.col("outcome") == "response", F.col("actual")), breached)
+    if found is not None:
+        return (ledger.with_totals(found) if totals else found).select(*shown)
 
     def fold(rows: DataFrame) -> DataFrame:
         columns = [*slim.columns, "foreign"]
@@ -99,7 +104,7 @@ def paid(attempts: DataFrame, limit: int) -> DataFrame:
         return out.withColumn("outcome", F.when(kept, "accepted").otherwise("refused"))
 
     found = ledger.across_periods(slim, fold, "accepted")
-    return found.select("period", "seq", "key", "decision", "call_status", "reservation_status", "active_micros", "spent_micros")
+    return found.select(*shown)
 
 
 def incoherent(calls: DataFrame, reservations: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact-money ledger: reservations, settlements, admission and balances.
 
 Amounts are whole millionths. Decisions that hang on earlier ones are folded in order: rows are sorted by period and
-sequence within partitions and stream through a running state, so no period is gathered in memory. Admission to a period of more than
+sequence within partitions and stream through a running state, so no period is gathered in memory. Keys of periods that cannot come to their limits
+hang on their own events alone, and are folded by key. Admission to a period of more than
 DIRECT requests is split over tasks by blocks.
 """
 
@@ -273,6 +274,86 @@ def across_periods(events: DataFrame, fold, accepted: str) -> DataFrame:
         out = kept(out.join(periods, "period", "left_anti").unionByName(again))
 
 
+def _unlimited(events: DataFrame, limit: int, actual: Column) -> tuple[bool, bool]:
+    """Whether no period can come to its limit, whatever the order of its events, and whether any period can be breached. A key is held once at most
+    in a period, so the largest amounts of its keys bound what it holds. actual: what an event may settle with, else null."""
+    asked = F.coalesce(F.col("limit_micros"), F.lit(limit)) if "limit_micros" in events.columns else F.lit(limit)
+    asks, amount = F.col("op") == "reserve", F.col("amount")
+    keys = events.groupBy("period", "key").agg(
+        F.max(F.when(asks, amount)).alias("most"), F.min(F.when(asks, amount)).alias("least"), F.count_if(asks & amount.isNull()).alias("odd"),
+        F.max(actual).alias("actual"), F.min(F.when(asks, asked)).alias("low"), F.max(F.when(asks, asked)).alias("high"),
+    )
+    periods = keys.groupBy("period").agg(
+        F.sum(F.col("most").cast("decimal(38,0)")).alias("most"), F.min("least").alias("least"), F.sum("odd").alias("odd"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.bool_or(F.col("actual") > F.col("least")).alias("breach"),
+    )
+    tight = (F.col("most") > F.col("low")) | (F.col("low") != F.col("high")) | (F.col("least") < 0) | (F.col("odd") > 0)
+    found = periods.agg(F.coalesce(F.bool_or(tight), F.lit(False)).alias("tight"), F.coalesce(F.bool_or("breach"), F.lit(False)).alias("breach")).first()
+    return not found["tight"], found["breach"]
+
+
+def _by_key(events: DataFrame, added: str, step) -> DataFrame:
+    """Events with what step(state, row) returns, where no period comes to its limit: keys are folded apart from each other, over all periods, and
+    the last two of what it returns, sums of a period, are changes. A key belongs to the period that accepts it; events with late come after their
+    period's breach. One key's record is held."""
+
+    def one(held: dict, row: dict) -> tuple:
+        owned = bool(held) and bool(held["state"]["known"])
+        if not owned or row["period"] == held["period"]:
+            if not owned:
+                held["state"], held["period"] = opened(), row["period"]
+            state, row["foreign"] = held["state"], False
+        else:
+            state, row["foreign"] = opened(), True
+        state["locked"] = row["late"]
+        active, spent = state["active"], state["spent"]
+        found = step(state, row)
+        return (*found[:-2], state["active"] - active, state["spent"] - spent)
+
+    # A null key is one of its period only.
+    keyed = events.withColumn("_key", F.coalesce(F.concat(F.lit("k"), F.col("key").cast("string")), F.concat(F.lit("p"), "period"), F.lit("")))
+    return _fold(keyed, ["_key", *events.columns], ["seq"], added, dict, one).drop("_key")
+
+
+def apart(events: DataFrame, limit: int, added: str, step, actual: Column, breached: Column) -> DataFrame | None:
+    """Events with the outcomes of step(), keys apart from each other, or None where a period could come to its limit: then they hang on each other.
+
+    A breach refuses what is new in its period from then on. Where there can be any, folds are repeated with the first breach of each period in the
+    last one, until these stay the same; each round settles at least the earliest one that was wrong."""
+    free, breach = _unlimited(events, limit, actual)
+    if not free:
+        return None
+    if not breach:
+        return _by_key(events.withColumn("late", F.lit(False)), added, step).drop("late")
+    events, locks = kept(events), None
+    while True:
+        if locks is None:
+            late = events.withColumn("late", F.lit(False))
+        else:
+            late = events.join(F.broadcast(locks.withColumnRenamed("period", "_period")), F.col("period").eqNullSafe(F.col("_period")), "left").withColumn("late", F.coalesce(F.col("seq") > F.col("breach"), F.lit(False))).select(*events.columns, "late")
+        out = kept(_by_key(late, added, step).drop("late"))
+        now = kept(out.where(breached).groupBy("period").agg(F.min("seq").alias("breach")))
+        if now.isEmpty() if locks is None else now.exceptAll(locks).union(locks.exceptAll(now)).isEmpty():
+            return out
+        locks = now
+
+
+def with_totals(changed: DataFrame) -> DataFrame:
+    """Rows (period, seq) whose active_micros and spent_micros are changes, with the sums up to each row; a large period is split into blocks."""
+    n = int(changed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The numbers grow with the order, and belong to what was written.
+    rows = kept(changed.repartitionByRange(n, "period", "seq").sortWithinPartitions("period", "seq").withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_block", F.expr(f"(_at >> 33) * {(1 << 33) // BLOCK + 1} + (_at & {(1 << 33) - 1}) div {BLOCK}"))
+    names = ["active_micros", "spent_micros"]
+    before = Window.partitionBy("period").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("period", "_block").agg(*(F.sum(c).alias(c) for c in names))
+    sums = sums.select(F.col("period").alias("_period"), F.col("_block").alias("_of"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in names))
+    within = Window.partitionBy("period", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({c: F.sum(c).over(within) for c in names})
+    out = out.join(sums, (F.col("_block") == F.col("_of")) & F.col("period").eqNullSafe(F.col("_period")))
+    return out.select(*(F.col(c) + F.col(f"_{c}") if c in names else F.col(c) for c in changed.columns)).toDF(*changed.columns)
+
+
 def slim_events(events: DataFrame, identity: list[str] | None = None) -> DataFrame:
     """What event() reads of events."""
     given = F.to_json(F.struct(*identity)) if identity else F.lit(None).cast("string")
@@ -280,20 +361,26 @@ def slim_events(events: DataFrame, identity: list[str] | None = None) -> DataFra
     return events.select("period", "seq", "op", "key", "amount", given.alias("identity"), asked.alias("limit_micros"))
 
 
-def replay(events: DataFrame, limit: int, identity: list[str] | None = None) -> DataFrame:
+def replay(events: DataFrame, limit: int, identity: list[str] | None = None, totals: bool = True) -> DataFrame:
     """Outcome of each event (period, seq, op, key, amount) under the ledger's rules; op: reserve, settle or cancel.
 
     reserve: accepted, existing, conflict, policy, locked or exceeded (see reserve()). settle: settled, breached, existing, conflict,
     invariant (a breach repeated) or unknown. cancel: cancelled, existing, conflict or unknown. identity: further columns that a key is
     bound to, such as provider, model and task; a column limit_micros, if there, is the limit that an event was made under. A key is one
-    reservation over all periods: seq orders the events of all. Held: one small record a reservation of the period.
+    reservation over all periods: seq orders the events of all. Where no period can come to its limit, keys are folded apart from each other. Else
+    periods are, in order, and one small record a reservation of the period is held. totals: with active_micros and spent_micros.
     """
     slim = slim_events(events, identity)
+    names = [c for c in slim.columns if c not in ("identity", "limit_micros")]
+    shown = [*names, *(c.split()[0] for c in EVENT.split(",") if totals or "_micros" not in c)]
+    found = apart(slim, limit, EVENT, lambda state, row: event(state, row, limit), F.when(F.col("op") == "settle", F.col("amount")), F.col("outcome") == "breached")
+    if found is not None:
+        return (with_totals(found) if totals else found).select(*shown)
 
     def fold(rows: DataFrame) -> DataFrame:
         return _fold(rows, ["period", "seq", "op", "key", "amount", "identity", "limit_micros", "foreign"], ["seq"], EVENT, opened, lambda state, row: event(state, row, limit))
 
-    return across_periods(slim, fold, "accepted").drop("identity", "limit_micros", "foreign")
+    return across_periods(slim, fold, "accepted").select(*shown)
 
 
 def settle_status(reserved: Column, actual: Column) -> Column:

@@ -288,3 +288,31 @@ def test_a_chain_of_periods_folds_only_what_changed(spark, monkeypatch):
         assert out[10 * p] == "accepted" and out[10 * p + 1] == "conflict"
     assert all(out[1000 + p] == "accepted" for p in range(40))
     assert seen[0] == len(events) and all(k <= 2 * n for k in seen[1:]) and len(seen) >= 2
+
+
+def test_keys_of_periods_without_a_binding_limit_are_folded_apart(spark, monkeypatch):
+    """Outcomes and totals are those of the fold by period, also after breaches and for keys of several periods, and no period is one group."""
+    import random
+
+    rng, groups = random.Random(9), []
+    plain = ledger._fold
+    monkeypatch.setattr(ledger, "_fold", lambda df, columns, *rest: (groups.append(columns[0]), plain(df, columns, *rest))[1])
+    monkeypatch.setattr(ledger, "BLOCK", 16)
+    for most in (5, 6):  # without breaches, and with
+        rows = [(f"p{rng.randrange(3)}", n, rng.choice(["reserve", "reserve", "settle", "cancel"]), rng.choice([None, *(f"k{rng.randrange(60)}" for _ in range(20)), *[f"new{n}"] * 5]), n, None) for n in range(400)]
+        rows = [(p, n, op, k, rng.choice([3, 5, 5, most]) if op == "settle" else 5, None) for p, n, op, k, *_ in rows]
+        df = spark.createDataFrame(rows, "period string, seq long, op string, key string, amount long, limit_micros long")
+        groups.clear()
+        got = sorted(map(tuple, ledger.replay(df, 1 << 40).collect()), key=str)
+        assert set(groups) == {"_key"}
+        with monkeypatch.context() as m:
+            m.setattr(ledger, "apart", lambda *_: None)
+            want = sorted(map(tuple, ledger.replay(df, 1 << 40).collect()), key=str)
+        assert got == want and (most == 5 or any("locked" in r for r in want))
+        tries = [(p, n, k, "x", "m", "t", rng.choice(["x"] * 9 + ["y"]), "m", 5, rng.choice(["f"] * 9 + ["g"]), rng.choice(["response", "not_sent", "error", "prepared", None]), rng.choice([4, most if rng.random() < 0.1 else 5])) for p, n, _, k, *_ in rows]
+        a = spark.createDataFrame(tries, "period string, seq long, key string, provider string, model string, task string, quoted_provider string, quoted_model string, amount long, request_fingerprint string, outcome string, actual long")
+        got = sorted(map(tuple, calls.paid(a, 1 << 40).collect()), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(ledger, "apart", lambda *_: None)
+            want = sorted(map(tuple, calls.paid(a, 1 << 40).collect()), key=str)
+        assert got == want
