@@ -28,3 +28,15 @@ def kept(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch with texts in it, by which Spark ends it early.
+BATCH_BYTES = 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, since a batch of long texts is held in a worker several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = int(spark.conf.get(name).removesuffix("b"))
+    if found <= 0 or found > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest, json_array, json_object, ordered_digest
+from ..functions.shared import kept, short_batches
 from ..functions.text import plain_form, score_form, score_forms, tokens
 from ..schemas import LexicalError, LexicalPolicy, LexicalQueryError, checked_limit
 
@@ -49,24 +50,40 @@ def line_spans(text: str, policy: LexicalPolicy) -> Iterator[tuple[int, int, str
         first = max(first + 1, stop - policy.overlap_lines)
 
 
+#: Characters of chunks that a task hands on at once.
+HANDED = 1 << 20
+
+
 def chunks(texts: DataFrame, policy: LexicalPolicy = LexicalPolicy(), keys: tuple[str, ...] = ("path", "file_sha256")) -> DataFrame:
-    """keys, chunk_index, start_line, end_line and content of each text (column text). Files are cut apart from each other; too many chunks raise."""
+    """keys, chunk_index, start_line, end_line and content of each text (column text). Files are cut apart from each other; too many chunks raise.
+    A worker holds a short batch, a text of it at a time, and HANDED characters of chunks beside them."""
+    short_batches(texts.sparkSession)
     slim = texts.select(*keys, "text")
     schema = texts.select(*keys).schema.add("chunk_index", "integer").add("start_line", "integer").add("end_line", "integer").add("content", "string")
 
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, of = [], []
-            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
-                for n, span in enumerate(line_spans(text or "", policy)):
+            rows, of, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                take = pa.array(of, pa.int64())
+                out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                return pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *out], [*keys, "chunk_index", "start_line", "end_line", "content"])
+
+            for k, text in enumerate(batch.column(len(keys))):
+                for n, span in enumerate(line_spans(text.as_py() or "", policy)):
                     if n >= policy.max_chunks:
                         raise LexicalError(f"a file has more than {policy.max_chunks} chunks: {batch.column(0)[k]}")
                     rows.append((n, *span))
                     of.append(k)
-            take = pa.array(of, pa.int64())
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keys))), *made], [*keys, "chunk_index", "start_line", "end_line", "content"])
+                    held += len(span[2])
+                    if held >= HANDED:
+                        yield made()
+                        rows, of, held = [], [], 0
+            if rows:
+                yield made()
 
     return slim.mapInArrow(cut, schema)
 

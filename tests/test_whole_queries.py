@@ -38,3 +38,16 @@ def test_guard_keeps_rows_in_their_tasks(spark):
     assert lexical.within(df.where("id < 0"), 0, "too many").count() == 0
     with pytest.raises(Exception, match="too many"):
         lexical.within(df, 999, "too many").collect()
+
+
+def test_chunks_of_long_texts_in_short_batches(spark):
+    """A worker's batch is bounded by bytes, and chunks are handed on in pieces that lose and repeat none."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    texts = [(f"p{k}", "".join(f"{k} {n}\n" for n in range(size))) for k, size in enumerate((0, 3, 150_000, 1, 200_000, 0))]
+    df = spark.createDataFrame(texts, "path string, text string").coalesce(1)
+    policy = lexical.LexicalPolicy(chunk_lines=100, overlap_lines=0, max_chunks=1 << 20)
+    got = lexical.chunks(df, policy, ("path",)).collect()
+    assert int(spark.conf.get(name)) <= 4 << 20
+    want = [(p, n, *span) for p, text in texts for n, span in enumerate(lexical.line_spans(text, policy))]
+    assert [tuple(r) for r in got] == want
