@@ -278,8 +278,7 @@ SELECT source, sha256(string_agg('["' || doc_id || '","' || digest || '"]' || ch
 def q19(spark, sf_dir):
     """Digest of all postings of each source, document by document."""
     rows = doc_rows(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
-    found = lexical.postings(rows.withColumn("key", F.struct("source", "chunk_id")), "key").select("key.*", "col", "offset", "term")
-    return lexical.index_digest(found, ["source"])
+    return lexical.text_index_digest(rows, ["source"])
 
 
 @query(
@@ -288,10 +287,9 @@ def q19(spark, sf_dir):
 FROM ({TERMS_SQL}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source""",
 )
 def q23(spark, sf_dir):
-    """Digest of all postings of each source in one order, which one task a source hashes as they stream by (q19 has no such task)."""
+    """Digest of all postings of each source in one order, which one task a source makes from its texts' terms and hashes as they stream by (q19 has no such task)."""
     rows = doc_rows(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
-    found = lexical.postings(rows.withColumn("key", F.struct("source", "chunk_id")), "key").select("key.*", "col", "offset", "term")
-    return lexical.postings_digest(found, ["source"])
+    return lexical.text_postings_digest(rows, ["source"])
 
 
 @query("q22_bound_reads", f"SELECT path, sha256(text) AS content_sha256 FROM (SELECT {PATH_SQL} AS path, text FROM documents)")

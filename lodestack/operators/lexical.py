@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canonical import digest, json_array, json_object, ordered_digest
+from ..functions.canonical import digest, json_array, json_object, json_string, ordered_digest
 from ..functions.shared import kept, short_batches
 from ..functions.text import plain_form, score_form, score_forms, tokens
 from ..schemas import LexicalError, LexicalPolicy, LexicalQueryError, checked_limit
@@ -141,6 +144,71 @@ def index_digest(found: DataFrame, by: list[str], key: str = "chunk_id") -> Data
     return ordered_digest(chunk_digests(found, by, key).withColumnRenamed("digest", "_chunk").select(*by, key, F.col("_chunk").alias("digest")), by, [key], line)
 
 
+def text_postings_digest(rows: DataFrame, by: list[str], key: str = "chunk_id", columns: tuple[str, ...] = ("content", "path")) -> DataFrame:
+    """postings_digest() of the postings of rows. A row's terms go to the group's task as one text, and become lines as they are hashed, so that
+    the task reads no more than the texts."""
+    short_batches(rows.sparkSession)
+    both = F.array(*(F.struct(F.lit(c).alias("_col"), F.array_join(tokens(F.col(c)), " ").alias("_terms")) for c in columns))
+    slim = rows.select(*by, F.col(key).cast("string").alias(key), F.explode(both).alias("_e")).select(*by, key, "_e.*").where("_terms <> ''")
+    schema, width = rows.select(*by).schema.add("digest", "string"), len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quoted = json.encoder.encode_basestring_ascii
+        place, texts, hasher, kinds = None, [], None, None
+
+        def write() -> None:
+            *_, of, col = place
+            head = f"[{'null' if of is None else quoted(of)},{quoted(col)},"
+            # Rows of one key are one list of postings.
+            entries = enumerate(texts[0].split(" ")) if len(texts) == 1 else iter(sorted(e for t in texts for e in enumerate(t.split(" "))))
+            while lines := "".join(f"{head}{n},{quoted(w)}]\n" for n, w in islice(entries, 1 << 16)):
+                hasher.update(lines.encode())
+
+        def told(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*kinds, pa.string()], strict=True)], [*by, "digest"])
+
+        for batch in batches:
+            kinds, out = [f.type for f in batch.schema][:width], []
+            for *at, terms in zip(*(map(lambda v: v.as_py(), batch.column(k)) for k in range(width + 3)), strict=True):
+                if at != place:
+                    if place is not None:
+                        write()
+                    if place is None or at[:width] != place[:width]:
+                        if place is not None:
+                            out.append((*place[:width], hasher.hexdigest()))
+                        hasher = hashlib.sha256()
+                    place, texts = at, []
+                texts.append(terms)
+            if out:
+                yield told(out)
+        if place is not None:
+            write()
+            yield told([(*place[:width], hasher.hexdigest())])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(n, *by).sortWithinPartitions(*by, key, "_col").mapInArrow(run, schema)
+
+
+def text_index_digest(rows: DataFrame, by: list[str], key: str = "chunk_id", columns: tuple[str, ...] = ("content", "path")) -> DataFrame:
+    """index_digest() of the postings of rows. A row's digest is made where the row is, so no posting is shuffled; only keys of several rows have
+    their postings brought together."""
+
+    def lines(c: str) -> Column:
+        line = lambda term, n: F.concat(F.lit(f'["{c}",'), n.cast("string"), F.lit(","), json_string(term), F.lit("]\n"))
+        return F.array_join(F.transform(F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")), line), "")
+
+    own = rows.select(*by, key, F.sha2(F.concat(*map(lines, sorted(columns))), 256).alias("_digest"))
+    own = kept(own.where(F.col("_digest") != hashlib.sha256(b"").hexdigest()))
+    twice = kept(own.groupBy(*by, key).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if not twice.isEmpty():
+        same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*by, key)))
+        several = rows.alias("r").join(twice.alias("t"), same, "left_semi")
+        found = postings(several.withColumn("_k", F.struct(*by, key)), "_k", columns).select("_k.*", "col", "offset", "term")
+        own = own.alias("r").join(twice.alias("t"), same, "left_anti").unionByName(chunk_digests(found, by, key).withColumnRenamed("digest", "_digest"))
+    line = F.concat(json_array([(F.col(key), "string"), (F.col("digest"), "string")]), F.lit("\n"))
+    return ordered_digest(own.withColumnRenamed("_digest", "digest"), by, [key], line)
+
+
 def retokenised(found: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Audit: postings that the chunks do not give, and those that are missing; both with their side."""
     again = postings(rows, key)
@@ -351,7 +419,6 @@ def overlapping_actions(plan: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def policy_fingerprint(policy: LexicalPolicy, revision: int = 1) -> str:
-    import json
     import unicodedata
     from dataclasses import asdict
 

@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestack import driver_queries
 from lodestack.operators import lexical
 
@@ -51,3 +53,15 @@ def test_chunks_of_long_texts_in_short_batches(spark):
     assert int(spark.conf.get(name)) <= 4 << 20
     want = [(p, n, *span) for p, text in texts for n, span in enumerate(lexical.line_spans(text, policy))]
     assert [tuple(r) for r in got] == want
+
+
+def test_digests_of_texts_are_those_of_their_postings_without_shuffling_them(spark):
+    """Also for keys of several rows, keys that are null and texts without terms; what is dealt to tasks are texts or digests."""
+    rows = [("s", "a", "Straße 漢字 ok", "p/1"), ("s", "a", "two one", "p/2"), ("s", None, "x", ""), (None, "b", None, "only"), ("t", "b", "y y", None), ("u", "c", "", None), ("t", "a", "\U0001d518 z", "p")]
+    df = spark.createDataFrame(rows, "source string, chunk_id string, content string, path string")
+    found = lexical.postings(df.withColumn("k", F.struct("source", "chunk_id")), "k").select("k.*", "col", "offset", "term")
+    for ours, plain in ((lexical.text_postings_digest, lexical.postings_digest), (lexical.text_index_digest, lexical.index_digest)):
+        assert sorted(map(tuple, ours(df, ["source"]).collect()), key=str) == sorted(map(tuple, plain(found, ["source"]).collect()), key=str)
+    for name in ("q19_postings_digest", "q23_postings_digest_whole"):
+        plan = driver_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode" not in plan
