@@ -181,11 +181,10 @@ WIDE = LexicalPolicy(chunk_lines=1 << 30, overlap_lines=0, max_chunk_chars=1 <<
 
 
 def _snapshot_of(spark, docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
-    """Entries of documents as a table, their fingerprint, and their contents."""
-    e = parsed_once(spark, docs)
-    entries = e.select("path", "kind", "size_bytes", "sha256", "executable", "content_kind", "language")
+    """Entries of documents as a table, their fingerprint, and their contents, which are read where they are."""
+    entries = parsed_once(spark, docs.select("path", "kind", "size_bytes", "sha256", "executable", "content_kind", "language"))
     fp = snapshot.fingerprints(entries.withColumn("_one", F.lit(1)), ["_one"]).first()
-    return entries, fp["fingerprint"] if fp else "", e.select("path", F.encode("text", "UTF-8").alias("content"))
+    return entries, fp["fingerprint"] if fp else "", docs.select("path", F.encode("text", "UTF-8").alias("content"))
 
 
 @query("q80_indexed_search", f"SELECT {PATH_SQL} AS path, ({_score_sql(('and', 'src1'), 'and src1')})::INT AS score FROM documents WHERE doc_id % 7 <> 0 AND contains({_CONTENT_LINE}, ' and ') AND contains({_PATH_LINE}, ' src1 ') ORDER BY score DESC, path LIMIT 100")

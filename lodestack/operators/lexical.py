@@ -291,7 +291,8 @@ def match_postings(found: DataFrame, query: Query, key: str = "chunk_id") -> Dat
     terms = sorted({t for phrase in query.phrases for t in phrase})
     held = found.where(F.col("term").isin(terms)) if terms else found.where("false")
     starts = F.array(*(F.when(F.col("term") == t, F.struct(F.lit(p).alias("phrase"), F.lit(len(phrase)).alias("n"), F.lit(k).alias("k"), (F.col("offset") - k).alias("start"))) for p, phrase in enumerate(query.phrases) for k, t in enumerate(phrase)))
-    each = held.select(key, "col", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("e")).select(key, "col", "e.*")
+    # A key's places are brought together once; both aggregates then find theirs in one task.
+    each = held.select(key, "col", F.explode(F.filter(starts, lambda x: x.isNotNull())).alias("e")).select(key, "col", "e.*").repartition(key)
     whole = each.groupBy(key, "col", "phrase", "start").agg(F.countDistinct("k").alias("met"), F.first("n").alias("n")).where("met = n")
     return whole.groupBy(key).agg(F.countDistinct("phrase").alias("phrases")).where(F.col("phrases") == len(query.phrases)).select(key)
 

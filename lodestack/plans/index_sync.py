@@ -5,27 +5,36 @@ the buckets that have new, changed or removed files; the others stay in the fold
 hashed from what was written, a bucket's leaf is the hash of its slots' lines, and the index' digest that of all leaves: a Merkle tree that
 is carried on as it is where nothing changed. The lines are a table, the leaves and counts of each bucket are in the state.
 
+Rows are dealt by path once, for the join that finds them and the write alike: a bucket is that of Spark's own hash, so a task that joins by path
+has one bucket to write. Postings are made from the chunks that were written, bucket by bucket, and are not dealt at all.
+
 What a read compares with them is told by `recheck`: ``"met"`` (the default) hashes the slots, of the buckets, that the read meets; True hashes
 the whole index each time; False hashes it once for each generation, which suits a store that nothing else writes. A sync that has nothing to
-do, and verify(), hash the whole index. A slot's rows of one bucket are all that meets in a task, as one hash a row.
+do, and verify(), hash the whole index. A slot's digest is that of the sums of its rows' hashes, word by word, so tasks add up what they read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import decoded
+from ..functions.shared import kept
+from ..functions.text import decoded, tokens
 from ..operators import lexical, snapshot as snapshots, structure
 from ..schemas import EngineError, LexicalError, LexicalNotReady, LexicalPolicy, LexicalStale, StructuralError, StructuralNotReady, StructuralPolicy, StructuralStale
 from .store import Store, first_fault
 
 
+#: How tables are laid out and hashed; an index of another format is written anew.
+FORMAT = 2
+
+
 @dataclass(frozen=True)
 class SyncResult:
     """counts: sums over the whole index after the sync; written: the buckets that it wrote."""
@@ -40,10 +49,20 @@ class SyncResult:
 
 
 def hashed(value: Column, n: int) -> Column:
-    """A number below n for each value; buckets and slots are dealt by it."""
+    """A number below n for each value; slots are dealt by it."""
     return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
 
 
+def bucket_of(path: Column, n: int) -> Column:
+    """The bucket of a path: the partition that dealt() puts it in."""
+    return F.pmod(F.hash(path), F.lit(n)).cast("int")
+
+
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """df in n tasks by path, each of one bucket."""
+    return df.repartition(n, "path")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -77,7 +96,7 @@ class _Index:
     def __init__(self, store: Store, policy, policy_fp: str, recheck: bool | str, buckets: int, slots: int):
         if recheck not in ("met", True, False):
             raise EngineError("recheck is 'met', True or False")
-        self.store, self.policy, self.policy_fp, self.recheck = store, policy, policy_fp, recheck
+        self.store, self.policy, self.policy_fp, self.recheck = store, policy, f"{policy_fp}:{FORMAT}", recheck
         self.layout = {"buckets": buckets, "slots": slots}
         self._checked: set[int] = set()
 
@@ -85,7 +104,8 @@ class _Index:
         raise NotImplementedError
 
     def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> None:
-        """Write all tables of a generation: put(name, df) writes one and returns what was written, carried(name) is what stays of touched buckets."""
+        """Write all tables of a generation: put(name, df, old) writes one and returns what was written, carried(name) is what stays of touched
+        buckets. Both are dealt by path."""
         raise NotImplementedError
 
     def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
@@ -106,8 +126,10 @@ class _Index:
         out = []
         for name, df in t.items():
             line, items = self.row_line(name, df)
-            rows = df.select("bucket", "slot", F.sha2(line, 256).alias("h"), items.cast("long").alias("i")).groupBy("bucket", "slot")
-            out.append(rows.agg(F.count("*").alias("rows"), F.sum("i").alias("items"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest")).select("bucket", "slot", F.lit(name).alias("of"), "rows", "items", "digest"))
+            rows = df.select("bucket", "slot", F.sha2(line, 256).alias("h"), items.cast("long").alias("i"))
+            words = {f"w{k}": F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long") for k in range(8)}
+            sums = rows.select("bucket", "slot", "i", *(c.alias(w) for w, c in words.items())).groupBy("bucket", "slot").agg(F.count("*").alias("rows"), F.sum("i").alias("items"), *(F.sum(w).alias(w) for w in words))
+            out.append(sums.select("bucket", "slot", F.lit(name).alias("of"), "rows", "items", F.sha2(F.concat_ws(",", *(F.col(w).cast("string") for w in words)), 256).alias("digest")))
         return reduce(DataFrame.unionByName, out)
 
     def _check_leaves(self, state: dict) -> DataFrame:
@@ -195,30 +217,31 @@ class _Index:
     def _write(self, state: dict, g: int, snapshot: DataFrame, fingerprint: str, contents: DataFrame) -> SyncResult:
         fresh = not state["generation"] or state.get("policy") != self.policy_fp
         layout = self.layout if fresh else state["layout"]
-        wanted = self.wanted(snapshot).withColumn("bucket", hashed(F.col("path"), layout["buckets"]))
+        n = layout["buckets"]
+        wanted = self.wanted(snapshot).withColumn("bucket", bucket_of(F.col("path"), n))
         if fresh:
             plan = wanted.select("path", F.lit("rebuilt").alias("action"))
         else:
             # Lines of the file table are hashed before what they say is carried on.
             plan = lexical.sync_plan(self._met(state, "files").withColumn("status", F.col(self.planned)), wanted)
-        plan = self.store.work("plan", plan.withColumn("bucket", hashed(F.col("path"), layout["buckets"])))
+        plan = self.store.work("plan", plan.withColumn("bucket", bucket_of(F.col("path"), n)))
         acts = plan.groupBy("bucket", "action").count().collect()  # three rows a bucket at most
         total = {a: sum(r["count"] for r in acts if r["action"] == a) for a in ("rebuilt", "removed", "unchanged")}
         touched = sorted({r["bucket"] for r in acts if r["action"] != "unchanged"})
         here = F.col("bucket").isin(touched)
-        todo = wanted.join(plan.where("action = 'rebuilt'").select("path"), "path", "left_semi")
+        todo = wanted if fresh else dealt(wanted, n).join(dealt(plan.where("action = 'rebuilt'").select("path"), n), "path", "left_semi")
         stay = plan.where(here & (F.col("action") == "unchanged")).select("path")
         schemas, tables = dict(state.get("schemas", {})), {str(b): {} for b in touched}
 
-        def put(name: str, df: DataFrame) -> DataFrame:
-            names = sorted(df.columns)
-            schemas[name] = json.loads(df.select(*names).schema.json())
-            for b in self.store.write_buckets(name, df.select(*names), g, layout["buckets"], self.tables.get(name, ["of", "slot"])):
+        def put(name: str, df: DataFrame, old: DataFrame | None = None, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            written, schema = self.store.write_buckets(name, df if old is None else df.unionByName(old), g, self.tables.get(name, ["of", "slot"]), finish)
+            schemas[name] = schema
+            for b in written:
                 tables[str(b)][name] = g
             return self.store.bucketed(name, {"schemas": schemas, "parts": {b: {"tables": x} for b, x in tables.items()}})
 
         def carried(name: str) -> DataFrame | None:
-            return None if fresh else self.store.bucketed(name, state, touched).join(stay, "path", "left_semi")
+            return None if fresh else dealt(self.store.bucketed(name, state, touched), n).join(dealt(stay, n), "path", "left_semi")
 
         t = self.make(todo, contents, layout, put, carried)
         audits = {
@@ -229,7 +252,7 @@ class _Index:
         fault = first_fault(audits)
         if fault:
             raise self.error(f"audit failed, nothing was committed: {fault}")
-        lines = put("slots", self.slot_lines(t))
+        lines = put("slots", self.slot_lines(t).repartition(1))
         found, leaf = {str(r["bucket"]): r.asDict() for r in self.counts(t, lines).collect()}, leaves(lines)
         parts = {} if fresh else {b: p for b, p in state["parts"].items() if int(b) not in touched}
         for b in (b for b in tables if tables[b]):
@@ -241,17 +264,13 @@ class _Index:
         return SyncResult(True, total["rebuilt"], total["removed"], total["unchanged"], g, counts, tuple(touched))
 
 
-def _with(new: DataFrame, old: DataFrame | None) -> DataFrame:
-    return new if old is None else new.unionByName(old)
-
-
 class LexicalIndex(_Index):
     """Files, chunks and postings of a snapshot; only new and changed files are read again.
 
     A row of postings holds what a chunk has in one slot: its entries (term, in_path, offset), sorted."""
 
     error, not_ready, stale = LexicalError, LexicalNotReady, LexicalStale
-    tables = {"files": ["path"], "chunks": ["path", "chunk_index"], "postings": ["slot", "chunk_id"]}
+    tables = {"files": ["path"], "chunks": ["path", "chunk_index"], "postings": ["slot", "path", "chunk_id"]}
 
     def __init__(self, store: Store, policy: LexicalPolicy = LexicalPolicy(), recheck: bool | str = "met", buckets: int = 32, slots: int = 32):
         super().__init__(store, policy, lexical.policy_fingerprint(policy), recheck, buckets, slots)
@@ -260,20 +279,34 @@ class LexicalIndex(_Index):
         return lexical.candidates(snapshot).select("path", F.col("sha256").alias("file_sha256"), "size_bytes", "language", "content_kind", lexical.file_status(self.policy).alias("status"))
 
     def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> dict[str, DataFrame]:
-        bodies = todo.where("status = 'indexed'").join(contents, "path").withColumn("d", decoded("content"))
+        n = layout["buckets"]
+        bodies = dealt(todo.where("status = 'indexed'"), n).join(dealt(contents, n), "path").withColumn("d", decoded("content"))
         cut = lexical.chunk_ids(lexical.chunks(bodies.select("path", "file_sha256", "bucket", F.col("d.lossy").alias("lossy"), F.col("d.text").alias("text")), self.policy, ("path", "file_sha256", "bucket", "lossy")))
-        chunks = put("chunks", _with(cut.withColumn("slot", F.lit(0)), carried("chunks")))
-        fresh = chunks.join(todo.select("path"), "path", "left_semi")
-        postings = put("postings", _with(self.posting_rows(fresh, layout["slots"]), carried("postings")))
-        counted = fresh.groupBy("path").agg(F.bool_or("lossy").alias("lossy"), F.count("*").alias("chunk_count"))
-        files = todo.join(counted, "path", "left").select(*todo.columns, F.lit(0).alias("slot"), F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-        return {"files": put("files", _with(files, carried("files"))), "chunks": chunks, "postings": postings}
+        chunks = put("chunks", cut.withColumn("slot", F.lit(0)), carried("chunks"))
+        postings = put("postings", self.posting_rows(chunks, layout["slots"]), finish=self.with_entries)
+        counted = dealt(chunks.groupBy("path").agg(F.bool_or("lossy").alias("lossy"), F.count("*").alias("chunk_count")), n)
+        files = dealt(todo, n).join(counted, "path", "left").select(*todo.columns, F.lit(0).alias("slot"), F.coalesce("lossy", F.lit(False)).alias("lossy"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+        return {"files": put("files", files, carried("files")), "chunks": chunks, "postings": postings}
 
     @staticmethod
     def posting_rows(chunks: DataFrame, slots: int) -> DataFrame:
-        each = lexical.postings(chunks.withColumn("k", F.struct("bucket", "chunk_id", F.col("path").alias("of"))), "k")
-        entry = F.struct("term", (F.col("col") == "path").alias("in_path"), "offset")
-        return each.groupBy(F.col("k.bucket").alias("bucket"), hashed(F.col("term"), slots).alias("slot"), F.col("k.chunk_id").alias("chunk_id"), F.col("k.of").alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        """What each chunk has in each slot, made within its row: terms, joined, with in_path and offset of each, in the entries' order."""
+
+        def placed(c: str) -> Column:
+            return F.transform(tokens(F.col(c)), lambda t, k: F.struct(hashed(t, slots).alias("slot"), t.alias("term"), F.lit(c == "path").alias("in_path"), k.alias("offset")))
+
+        every = chunks.select("bucket", "chunk_id", "path", F.sort_array(F.concat(placed("content"), placed("path"))).alias("e"))
+        starts = F.transform("e", lambda x, k: F.when((k == 0) | (F.get("e", k - 1)["slot"] != x["slot"]), k))
+        every = every.withColumn("at", F.filter(starts, lambda k: k.isNotNull()))
+        own = F.transform("at", lambda k, j: F.slice("e", k + 1, F.coalesce(F.get("at", j + 1), F.size("e")) - k))
+        each = every.select("bucket", "chunk_id", "path", F.explode(own).alias("own"))
+        return each.select("bucket", F.get("own", F.lit(0))["slot"].alias("slot"), "chunk_id", "path", F.array_join("own.term", ",").alias("terms"), F.col("own.in_path").alias("in_path"), F.col("own.offset").alias("offset"))
+
+    @staticmethod
+    def with_entries(rows: DataFrame) -> DataFrame:
+        """posting_rows() with their entries as they are stored; joined terms are a fraction of them, so these are what is sorted."""
+        entries = F.arrays_zip(F.split("terms", ",").alias("term"), "in_path", "offset").cast("array<struct<term:string,in_path:boolean,offset:int>>")
+        return rows.select("bucket", "slot", "chunk_id", "path", entries.alias("entries"))
 
     @staticmethod
     def each_posting(rows: DataFrame, *keys: str) -> DataFrame:
@@ -282,21 +315,19 @@ class LexicalIndex(_Index):
 
     def row_line(self, name: str, df: DataFrame) -> tuple[Column, Column]:
         if name == "postings":  # terms are letters and digits, so the marks between them are none of theirs
-            entry = F.transform("entries", lambda e: F.concat_ws(",", e["term"], e["in_path"].cast("string"), e["offset"].cast("string")))
-            return F.concat_ws("\n", "chunk_id", F.array_join(entry, ";"), "path"), F.size("entries")
+            held = (F.array_join(F.col(f"entries.{c}").cast("array<string>"), ",") for c in ("term", "in_path", "offset"))
+            return F.concat_ws("\n", "chunk_id", "path", *held), F.size("entries")
         return super().row_line(name, df.drop("content"))  # a chunk has its content's hash
 
     def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
-        # Of each new chunk the number and the exclusive or of its postings' hashes, from its text and from what was stored. A posting stands once.
+        # Of each chunk the number and the exclusive or of its postings' hashes, from its text and from what was stored. A posting stands once.
         posting = F.xxhash64("col", "offset", "term")
-        told = lambda df, side: df.groupBy("chunk_id").agg(F.struct(F.count("*"), F.bit_xor(posting)).alias(side))
-        mine = todo.select("path")
-        new = told(lexical.postings(t["chunks"].join(mine, "path", "left_semi")), "again")
-        kept = told(self.each_posting(t["postings"].join(mine, "path", "left_semi"), "chunk_id"), "stored")
+        told = lambda df, side: df.groupBy("chunk_id").agg(F.count("*").alias("n"), F.bit_xor(posting).alias("x")).select("chunk_id", F.struct("n", "x").alias(side))
+        again, stored = told(lexical.postings(t["chunks"]), "again"), told(self.each_posting(t["postings"], "chunk_id"), "stored")
         return {
             "chunk counts": lexical.count_mismatches(t["files"].where("status = 'indexed'"), t["chunks"], "chunk_count"),
-            "orphan postings": lexical.orphan_postings(t["postings"], t["chunks"]),
-            "postings of other texts": new.join(kept, "chunk_id", "full_outer").where("NOT again <=> stored"),
+            "orphan postings": lexical.orphan_postings(t["postings"].select("chunk_id").distinct(), t["chunks"]),
+            "postings of other texts": again.join(stored, "chunk_id", "full_outer").where("NOT again <=> stored"),
         }
 
     def content_audits(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -314,11 +345,16 @@ class LexicalIndex(_Index):
         met = self._begin(state, snapshot)
         terms = sorted({t for phrase in prepared.phrases for t in phrase})
         postings = self._met(state, "postings", slots=[hashed(F.lit(t), state["layout"]["slots"]) for t in terms] or [F.lit(-1)], check=met)
-        hits = lexical.match_postings(self.each_posting(postings.withColumn("chunk", F.struct("bucket", "chunk_id")), "chunk"), prepared, "chunk").select("chunk.bucket", "chunk.chunk_id")
-        hits = lexical.within(hits, self.policy.max_candidates, lexical.TOO_MANY, ["bucket", "chunk_id"])
-        at = {r["bucket"] for r in hits.select("bucket").distinct().collect()}  # one row a bucket
-        rows = hits.join(self.store.bucketed("chunks", state, at).drop("bucket", "lossy"), "chunk_id", "left")
-        if not lexical.corrupt_chunks(rows, F.col("path").isNull()).isEmpty():
+        # The keys that match are written: they are counted, their buckets are asked for, and their chunks are read.
+        held = self.each_posting(postings.where(F.arrays_overlap("entries.term", F.lit(terms or [""]))).withColumn("chunk", F.struct("bucket", "chunk_id")), "chunk")
+        hits = kept(lexical.match_postings(held, prepared, "chunk").select("chunk.bucket", "chunk.chunk_id"))
+        per = {r["bucket"]: r["count"] for r in hits.groupBy("bucket").count().collect()}  # one row a bucket
+        at, many = set(per), sum(per.values())
+        if many > self.policy.max_candidates:
+            raise LexicalError(lexical.TOO_MANY)
+        few = F.broadcast(hits) if many <= lexical.GATHERED else hits
+        rows = self.store.bucketed("chunks", state, at).drop("bucket", "lossy").join(few, "chunk_id")
+        if rows.count() != many or not lexical.corrupt_chunks(rows).isEmpty():
             raise LexicalError("a chunk is missing or does not hash to what is stored")
         gaps = {int(b) for b, p in state["parts"].items() if p["counts"]["skipped"] + p["counts"]["lossy"]}
         files = self._met(state, "files", at | gaps, check=met)
@@ -346,13 +382,14 @@ class StructuralIndex(_Index):
         return files.select("path", "file_sha256", "size_bytes", "language", "content_kind", status.alias("status"))
 
     def make(self, todo: DataFrame, contents: DataFrame, layout: dict, put, carried) -> dict[str, DataFrame]:
-        parsed = self.store.work("parsed", structure.parse(todo.where("status = 'parse'").join(contents, "path"), self.policy))
+        n = layout["buckets"]
+        parsed = self.store.work("parsed", structure.parse(dealt(todo.where("status = 'parse'"), n).join(dealt(contents, n), "path"), self.policy))
         reports = structure.file_reports(parsed).withColumnRenamed("status", "result")
-        files = todo.join(reports, "path", "left").select("path", "bucket", F.lit(0).alias("slot"), "file_sha256", "size_bytes", "language", "content_kind", F.col("status").alias("planned"), F.coalesce("result", "status").alias("status"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("import_count", F.lit(0)).alias("import_count"), "error_message")
-        placed = lambda df: df.withColumn("bucket", hashed(F.col("path"), layout["buckets"])).withColumn("slot", hashed(F.col("name"), layout["slots"]))
-        out = {"files": put("files", _with(files, carried("files")))}
+        files = dealt(todo, n).join(dealt(reports, n), "path", "left").select("path", "bucket", F.lit(0).alias("slot"), "file_sha256", "size_bytes", "language", "content_kind", F.col("status").alias("planned"), F.coalesce("result", "status").alias("status"), F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("import_count", F.lit(0)).alias("import_count"), "error_message")
+        placed = lambda df: dealt(df, n).withColumn("bucket", bucket_of(F.col("path"), n)).withColumn("slot", hashed(F.col("name"), layout["slots"]))
+        out = {"files": put("files", files, carried("files"))}
         for name, rows in (("symbols", structure.symbols(parsed)), ("imports", structure.imports(parsed))):
-            out[name] = put(name, _with(placed(rows), carried(name)))
+            out[name] = put(name, placed(rows), carried(name))
         return out
 
     def write_audits(self, t: dict[str, DataFrame], todo: DataFrame, layout: dict) -> dict[str, DataFrame]:
@@ -375,7 +412,7 @@ class StructuralIndex(_Index):
         met = self._begin(state, snapshot)
         only, slots = None, None
         if equal.get("path") is not None:
-            only = {self.store.spark.range(1).select(hashed(F.lit(equal["path"]), state["layout"]["buckets"])).first()[0]}
+            only = {self.store.spark.range(1).select(bucket_of(F.lit(equal["path"]), state["layout"]["buckets"])).first()[0]}
         if equal.get("name") is not None:
             slots = [hashed(F.lit(equal["name"]), state["layout"]["slots"])]
         return self._met(state, name, only, slots, met).drop("bucket", "slot")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import tokens
+from lodestack.functions.text import classify_content, tokens
 from lodestack.operators import lexical, snapshot, structure
 from lodestack.plans.index_sync import LexicalIndex, StructuralIndex, hashed
 from lodestack.plans.store import Store, StoreBusy
@@ -372,6 +372,46 @@ def test_a_search_reads_the_slots_of_its_terms(spark, tmp_path):
     assert 0 < met.count() < 60 and rows_scanned(met) < index.store.table("postings").count() / 4
 
 
+def moved_bytes(spark):
+    """Bytes that all stages so far shuffled and spilled."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, quantiles, None)
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in (stages.apply(k) for k in range(stages.size())))
+
+
+def test_a_sync_shuffles_texts_and_no_postings(spark, tmp_path):
+    files = {f"f{n}.txt": " ".join(hashlib.sha256(f"{n} {k}".encode()).hexdigest()[:5] for k in range(600)) for n in range(300)}
+    size = sum(map(len, files.values()))
+    first = with_names(spark, files)
+    second = with_names(spark, {k: v for k, v in files.items() if k != "f7.txt"} | {f"f{n}.txt": f"needle {n}" for n in range(20)})
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), buckets=4)
+    before = moved_bytes(spark)
+    index.sync(*first)
+    synced = moved_bytes(spark)
+    index.sync(*second)
+    again = moved_bytes(spark)
+    assert index.search(second[1], "needle", 100, second[0])[0].count() == 20
+    assert synced - before < 2 * size and again - synced < 3 * size and moved_bytes(spark) - again < size / 2
+
+
+def test_postings_are_those_of_the_chunks(spark, tmp_path):
+    files = {"a b.txt": "b a B \u00e9 a_b 1 \U00010400", "empty.txt": "", "marks.txt": "?! --", "n.txt": "one two one"}
+    index = LexicalIndex(Store(spark, str(tmp_path / "s")), buckets=4, slots=3)
+    index.sync(*with_names(spark, files))
+    stored, chunks = index.store.table("postings"), index.store.table("chunks")
+    assert lexical.retokenised(index.each_posting(stored, "chunk_id"), chunks).isEmpty()
+    assert stored.where(F.exists("entries", lambda e: hashed(e["term"], 3) != F.col("slot"))).isEmpty()
+    assert stored.where(F.col("entries") != F.array_sort("entries")).isEmpty() and stored.groupBy("chunk_id", "slot").count().where("count > 1").isEmpty()
+    assert max(sum(1 for _ in p.glob("*.parquet")) for p in (tmp_path / "s" / "chunks" / "gen=1").glob("part=*")) == 1
+
+
+def test_control_characters_are_counted(spark):
+    df = spark.createDataFrame([(bytearray(b"a" * 94 + b"\x01\x7f\x0b\x1b\x02\x03"),), (bytearray(b"a" * 95 + b"\x01\x7f\x0b\x1b\x02"),), (bytearray("\n\t\x85".encode("latin-1")),)], "b binary")
+    assert [r[0] for r in df.select(classify_content(F.octet_length("b"), F.col("b"))).collect()] == ["binary", "text", "text"]
+
+
 def test_lookups_read_a_name_or_a_path(spark, tmp_path):
     first = with_names(spark, {"a.py": "import q\nclass C:\n    pass\n", "b.py": "class D:\n    pass\n", "c.py": "x = 1\n"})
     index = StructuralIndex(Store(spark, str(tmp_path / "s")), buckets=16, slots=64)
