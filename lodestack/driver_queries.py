@@ -320,7 +320,9 @@ def part_sources(spark, sf_dir) -> DataFrame:
     """A Python module for each part."""
     k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     source = F.concat(F.lit("VALUE = "), size, F.lit("\n\n\nclass Part"), k, F.lit("(Base):\n    size: int = "), size, F.lit("\n\n    def m"), size, F.lit("(self, x: int = "), size, F.lit(") -> int:\n        import sys\n        return x\n\n\ndef f"), k, F.lit("():\n    local = 1\n    return local\n"))
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("parts/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
+    # Modules are made and hashed in many tasks, as the table's few files would leave them to few.
+    parts = structure.spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select(F.concat(F.lit("parts/"), k, F.lit(".py")).alias("path"), F.encode(source, "UTF-8").alias("content")).withColumn("file_sha256", F.sha2("content", 256))
 
 
 def supplier_sources(spark, sf_dir) -> DataFrame:

@@ -71,6 +71,11 @@ def ordered_digest(df: DataFrame, group: list[str], order: list[str], line: Colu
         kinds = None
         for batch in batches:
             kinds, out = [f.type for f in batch.schema][:n_group], []
+            ends = [tuple(batch.column(k)[at_row].as_py() for k in range(n_group)) for at_row in (0, -1)] if batch.num_rows else [0, 1]
+            if hasher is not None and ends == [key, key]:
+                # Rows are sorted, so all of this batch belong to the open group.
+                hasher.update((between + between.join(v or "" for v in batch.column(at).to_pylist())).encode())
+                continue
             for row in zip(*(batch.column(k).to_pylist() for k in (*range(n_group), at)), strict=True):
                 if hasher is None or row[:-1] != key:
                     if hasher is not None:

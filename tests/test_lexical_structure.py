@@ -180,6 +180,36 @@ def test_structure_failures():
         parsed("a = 1\n", StructuralPolicy(max_nodes=2))
 
 
+def test_short_modules_are_not_counted(monkeypatch):
+    densest = ["a\n" * 500, "-a;" * 300, "a.b\n" * 300, "f'{a}'\n" * 200, "lambda:0\n" * 200, "a<b<c\n" * 200, "def f():0\n" * 100, "a:b\n" * 300, "*a,=b\n" * 200, "[*a]\n" * 200, "(a:=b)\n" * 200, "type A[T]=T\n" * 100, "match a:\n case _:0\n" * 100, "~-+a\n" * 200]
+    for text in densest:
+        assert sum(1 for _ in structure.ast.walk(structure.ast.parse(text))) < structure.NODES_A_CHARACTER * len(text) / 1.5
+    walks = []
+    monkeypatch.setattr(structure.ast, "walk", lambda tree: walks.append(tree) or iter([]))
+    assert parsed("a = 1\n")["status"] == "indexed" and not walks
+    assert parsed("a = 1\n", StructuralPolicy(max_nodes=50))["status"] == "indexed" and walks
+
+
+def test_modules_are_made_in_many_tasks(spark):
+    from lodestack.driver_queries import part_sources
+
+    assert part_sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_digests_over_many_batches(spark):
+    from lodestack.functions.canonical import ordered_digest
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(100).select(F.when(F.col("id") < 60, "a").when(F.col("id") < 63, "b").alias("g"), "id", F.when(F.col("id") % 10 != 0, F.col("id").cast("string")).alias("line"))
+        found = {r["g"]: r["digest"] for r in ordered_digest(df, ["g"], ["id"], F.col("line"), "[", ",", "]").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = {"a": range(60), "b": range(60, 63), None: range(63, 100)}
+    assert found == {g: hashlib.sha256(f"[{','.join(str(n) if n % 10 else '' for n in ids)}]".encode()).hexdigest() for g, ids in groups.items()}
+
+
 def test_structural_sync(spark, tmp_path):
     index = StructuralIndex(Store(spark, str(tmp_path)), StructuralPolicy(max_file_bytes=100), buckets=4)
     first = with_names(spark, {"a.py": "class C:\n    def m(self): pass\n", "bad.py": "return 1", "n.txt": "x", "big.py": "x = 1\n" * 50})
